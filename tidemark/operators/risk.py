@@ -78,7 +78,8 @@ def risk_simple_tier(stg_customers: DataFrame, stg_signals: DataFrame) -> DataFr
     s = stg_signals.select("customer_id", "compliance_gap_score", "vendor_risk_flags")
     j = base.join(s, "customer_id", "left")
     g, v = F.col("compliance_gap_score"), F.col("vendor_risk_flags")
-    t = (F.when((g >= 0.7) | (v >= 3), "high").when((g >= 0.4) | (v >= 1), "medium").otherwise("low"))
+    f07, f04 = F.lit(0.7).cast("float"), F.lit(0.4).cast("float")  # float-precision thresholds
+    t = (F.when((g >= f07) | (v >= 3), "high").when((g >= f04) | (v >= 1), "medium").otherwise("low"))
     return j.select("customer_id", "industry", "plan_tier", "mrr", "compliance_gap_score",
                     "vendor_risk_flags", t.alias("risk_tier"))
 
@@ -221,5 +222,5 @@ def flight_risk(churn_p: Column, propensity: Column) -> Column:
 
 def flight_risk_reason(churn_p: Column, propensity: Column) -> Column:
     return F.when(flight_risk(churn_p, propensity), F.format_string(
-        "Churn probability %.0f%% and upgrade propensity %.0f%% are both high: restore health before any upsell.",
-        churn_p * 100, propensity * 100))
+        "Churn probability %.0f%% and upgrade propensity %.0f%% both exceed 50%% threshold. "
+        "Restore account health before any upsell motion.", churn_p * 100, propensity * 100))

@@ -75,7 +75,9 @@ def stg_risk_signals(signals: DataFrame) -> DataFrame:
         "customer_id",
         gap.cast("float").alias("compliance_gap_score"),
         F.col("vendor_risk_flags").cast("int").alias("vendor_risk_flags"),
-        F.when(gap >= K.GAP_TIER_HIGH, "high").when(gap >= K.GAP_TIER_MEDIUM, "medium")
+        # compared in float precision, as the float column is (0.7f >= 0.70 holds)
+        F.when(gap >= F.lit(K.GAP_TIER_HIGH).cast("float"), "high")
+         .when(gap >= F.lit(K.GAP_TIER_MEDIUM).cast("float"), "medium")
          .otherwise("low").alias("risk_tier"),
     )
 
