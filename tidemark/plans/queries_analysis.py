@@ -68,3 +68,62 @@ register("eda_pearson_matrix", with_ctes(
     OA.pearson_sql("xpit", EXP_CORR_FEATURES),
     OA.ANALYSIS_CTES + ",\nxpit AS (" + OA.ANALYSIS["train_expansion_pit"] + ")"))(
     lambda s, d: CO.pearson_matrix(train_expansion(s, d), EXP_CORR_FEATURES))
+
+# ------------------------------------------------------------ survival
+from pyspark.sql import functions as F  # noqa: E402
+
+from tidemark.operators import survival as SV  # noqa: E402
+from tidemark.plans import oracle_survival as OS  # noqa: E402
+
+
+def _sv(name: str, extra: str = "") -> str:
+    body, ctes = OS.SURVIVAL[name]
+    parts = [OS.SURV_CTES] + ([ctes] if ctes else []) + ([extra] if extra else [])
+    return with_ctes(body, ",".join(parts))
+
+
+def _sd(s, d):
+    return SV.surv_dataset(wh(s, d).customers, K.ORDERS_AS_OF)
+
+
+register("surv_dataset", _sv("surv_dataset"))(
+    lambda s, d: _sd(s, d).select("customer_id", "plan_tier", "industry", "event", "duration_days"))
+register("surv_km_tier", _sv("surv_km_tier"))(lambda s, d: SV.km_curve(_sd(s, d), F.col("plan_tier")))
+register("surv_km_industry", _sv("surv_km_industry"))(lambda s, d: SV.km_curve(_sd(s, d), F.col("industry")))
+register("surv_km_all", _sv("surv_km_all"))(lambda s, d: SV.km_curve(_sd(s, d)))
+register("surv_median", _sv("surv_median"))(lambda s, d: SV.km_median(SV.km_curve(_sd(s, d), F.col("plan_tier"))))
+register("surv_at_t", _sv("surv_at_t"))(lambda s, d: SV.km_at(SV.km_curve(_sd(s, d), F.col("plan_tier"))))
+register("surv_logrank_starter_enterprise", _sv("surv_logrank_starter_enterprise"))(
+    lambda s, d: SV.logrank_two(_sd(s, d).where(F.col("plan_tier").isin("starter", "enterprise")),
+                                F.col("plan_tier") == "starter", "starter_vs_enterprise"))
+register("surv_dropout_90d", _sv("surv_dropout_90d"))(lambda s, d: SV.dropout_90d(_sd(s, d)))
+register("surv_time_to_upgrade", _sv("surv_time_to_upgrade"))(
+    lambda s, d: SV.km_curve(SV.upgrade_dataset(wh(s, d).customers, K.ORDERS_AS_OF), F.col("plan_tier")))
+register("surv_hazard", _sv("surv_hazard"))(lambda s, d: SV.hazard_curve(_sd(s, d)))
+register("surv_hazard_peak")(lambda s, d: SV.hazard_peak(SV.hazard_curve(_sd(s, d))))
+
+
+def _activation(s, d):
+    feats = _eda(s, d).select("customer_id", (F.col("integration_connects_first_30d") >= 3).alias("activated"))
+    return _sd(s, d).join(feats, "customer_id")
+
+
+register("surv_activation_split", with_ctes(
+    OS.km_sql("(SELECT sd.*, e.integration_connects_first_30d >= 3 AS activated FROM sd JOIN eda_feats e USING (customer_id))",
+              "CASE WHEN activated THEN 'true' ELSE 'false' END"),
+    OA.ANALYSIS_CTES + "," + OS.SURV_CTES))(
+    lambda s, d: SV.km_curve(_activation(s, d), F.when(F.col("activated"), "true").otherwise("false")))
+
+
+def _logrank_tests(s, d):
+    sd = _sd(s, d)
+    two = SV.logrank_two(sd.where(F.col("plan_tier").isin("starter", "enterprise")),
+                         F.col("plan_tier") == "starter", "starter_vs_enterprise") \
+        .unionByName(SV.logrank_two(_activation(s, d), F.col("activated"), "activated_vs_not"))
+    two = SV.with_chi2_p(two).select("test", F.lit(2).cast("long").alias("groups"), "chi2", "df", "p_value")
+    tiers = [r[0] for r in sd.select("plan_tier").distinct().orderBy("plan_tier").collect()]  # <= 5 tier names
+    k = SV.logrank_k(sd, "plan_tier", tiers)
+    return two.unionByName(k.select("test", "groups", "chi2", "df", "p_value"))
+
+
+register("surv_logrank_tests")(_logrank_tests)
