@@ -143,3 +143,8 @@ PSI_EDGE_WIDEN = 1e-6
 PSI_MODERATE = 0.10
 PSI_ALERT = 0.20
 KS_ALPHA = 0.05
+
+# --- fixed values: out-of-time split on the compressed order calendar ---------
+# (the original splits at TRAIN_CUTOFF on its own calendar; on the adapter's
+# calendar signups span Oct 2000 - Aug 2001, and this date leaves ~2/3 in train)
+ORDERS_TRAIN_CUTOFF = _dt.date(2001, 5, 1)

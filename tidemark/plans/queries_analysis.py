@@ -127,3 +127,48 @@ def _logrank_tests(s, d):
 
 
 register("surv_logrank_tests")(_logrank_tests)
+
+# ------------------------------------------------------------ drift
+from tidemark.operators import drift as DR  # noqa: E402
+from tidemark.plans import oracle_drift as OD  # noqa: E402
+from tidemark.functions.columns import lit_date  # noqa: E402
+
+
+def _drift_train(s, d):
+    return train_churn(s, d).where(F.col("signup_date") < lit_date(K.ORDERS_TRAIN_CUTOFF))
+
+
+def _drift_prod(s, d):
+    return wh(s, d).churn_features
+
+
+def _baseline(s, d):
+    return DR.baseline(_drift_train(s, d))
+
+
+register("drift_baseline_stats", with_ctes(OD.DRIFT["drift_baseline_stats"], OD.DRIFT_CTES))(
+    lambda s, d: DR.baseline_stats(_drift_train(s, d)).select(
+        "feature", "n", "min", "max", DR._r6(F.col("mean")).alias("mean"), DR._r6(F.col("std")).alias("std")))
+
+
+def _hist(s, d):
+    t = _drift_train(s, d)
+    h = DR.baseline_hist(t, DR.baseline_stats(t))
+    return h.select("feature", "bin", *[DR._r6(F.col(c)).alias(c) for c in ("lower_edge", "upper_edge", "share")])
+
+
+register("drift_baseline_hist", with_ctes(OD.DRIFT["drift_baseline_hist"], OD.DRIFT_CTES))(_hist)
+register("drift_psi", with_ctes(OD.DRIFT["drift_psi"], OD.DRIFT_CTES))(
+    lambda s, d: DR.psi(_baseline(s, d), _drift_prod(s, d)))
+register("drift_ks")(lambda s, d: DR.ks(_baseline(s, d), _drift_prod(s, d)))
+register("drift_baseline")(_baseline)
+
+
+def _report(s, d):
+    b = _baseline(s, d)
+    return DR.drift_report(DR.psi(b, _drift_prod(s, d)), DR.ks(b, _drift_prod(s, d)), K.ORDERS_AS_OF)
+
+
+register("drift_report")(_report)
+register("drift_decision")(lambda s, d: DR.retrain_decision(_report(s, d)))
+register("drift_guidance")(lambda s, d: DR.drift_guidance(_report(s, d)))
