@@ -172,3 +172,101 @@ def _report(s, d):
 register("drift_report")(_report)
 register("drift_decision")(lambda s, d: DR.retrain_decision(_report(s, d)))
 register("drift_guidance")(lambda s, d: DR.drift_guidance(_report(s, d)))
+
+# ------------------------------------------------------------ two-sample tests
+import datetime as _dt  # noqa: E402
+
+from tidemark.operators import experiments as EX  # noqa: E402
+from tidemark.operators import two_sample as TS  # noqa: E402
+from tidemark.plans import oracle_tests as OT  # noqa: E402
+
+
+def _t(name: str) -> str:
+    return with_ctes(OT.TESTS[name], OT.TEST_CTES)
+
+
+def _mw_frames(s, d):
+    w = wh(s, d)
+    c, e = w.customers, w.usage_events
+    mx = e.agg(F.max("timestamp").alias("mx"))
+    recent = e.join(F.broadcast(mx), F.col("timestamp") >= F.col("mx") - F.expr("INTERVAL 30 DAYS")) \
+        .groupBy("customer_id").agg(F.count(F.lit(1)).alias("v"))
+    ev30 = c.select("customer_id", F.col("churn_date").isNotNull().alias("g")).join(recent, "customer_id", "left") \
+        .select("g", F.coalesce("v", F.lit(0)).alias("v"))
+    asof = lit_date(K.ORDERS_AS_OF)
+    trials = e.where((F.col("event_type") == "premium_feature_trial")
+                     & (F.to_date("timestamp") >= F.date_sub(asof, 30))).groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("v"))
+    tr = c.where(F.col("churn_date").isNull()).select("customer_id", F.col("upgrade_date").isNotNull().alias("g")) \
+        .join(trials, "customer_id", "left").select("g", F.coalesce("v", F.lit(0)).alias("v"))
+    lim = e.where(F.col("event_type") == "feature_limit_hit").groupBy("customer_id").agg(F.count(F.lit(1)).alias("v"))
+    li = c.where(F.col("plan_tier") == "free").select("customer_id", F.col("upgrade_date").isNotNull().alias("g")) \
+        .join(lim, "customer_id", "left").select("g", F.coalesce("v", F.lit(0)).alias("v"))
+    return ev30, tr, li
+
+
+def _mw_stats(s, d):
+    ev30, tr, li = _mw_frames(s, d)
+    return (TS.mann_whitney(ev30, "v", F.col("g"), "events_30d_churned_lt_active", "less")
+            .unionByName(TS.mann_whitney(tr, "v", F.col("g"), "premium_trials_upgraded_gt_not", "greater"))
+            .unionByName(TS.mann_whitney(li, "v", F.col("g"), "free_limit_hits_expanded_gt_not", "greater")))
+
+
+def _t_frames(s, d):
+    w = wh(s, d)
+    c = w.customers
+    integ = w.usage_events.where(F.col("event_type") == "integration_connect").groupBy("customer_id") \
+        .agg(F.count(F.lit(1)).alias("v"))
+    a = c.select("customer_id", F.col("churn_date").isNull().alias("g")).join(integ, "customer_id", "left") \
+        .select("g", F.coalesce("v", F.lit(0)).alias("v"))
+    hp = w.support_tickets.where(F.col("priority").isin(*K.HIGH_PRIORITIES)).groupBy("customer_id") \
+        .agg(F.count(F.lit(1)).alias("v"))
+    b = c.select("customer_id", F.col("churn_date").isNotNull().alias("g")).join(hp, "customer_id", "left") \
+        .select("g", F.coalesce("v", F.lit(0)).alias("v"))
+    g = c.select("customer_id", F.col("churn_date").isNotNull().alias("g")) \
+        .join(w.risk_signals, "customer_id", "left").select("g", F.col("compliance_gap_score").alias("v")) \
+        .where(F.col("v").isNotNull())
+    return a, b, g
+
+
+def _t_stats(s, d):
+    a, b, g = _t_frames(s, d)
+    return (TS.pooled_t(a, "v", F.col("g"), "integrations_retained_gt_churned")
+            .unionByName(TS.pooled_t(b, "v", F.col("g"), "hp_tickets_churned_gt_active"))
+            .unionByName(TS.pooled_t(g, "v", F.col("g"), "compliance_gap_churned_gt_active")))
+
+
+register("test_mann_whitney_stats", _t("test_mann_whitney_stats"))(_mw_stats)
+register("test_mann_whitney")(lambda s, d: TS.with_normal_p(_mw_stats(s, d)))
+register("test_t_stats", _t("test_t_stats"))(_t_stats)
+register("test_t")(lambda s, d: TS.with_t_p(_t_stats(s, d)))
+register("test_mean_ratio", _t("test_mean_ratio"))(
+    lambda s, d: TS.mean_ratio(_mw_frames(s, d)[0], "v", F.col("g"), "events_30d_churned_vs_active"))
+
+# ------------------------------------------------------------ experiments
+ASSIGNMENT_DATE = K.ORDERS_AS_OF - _dt.timedelta(days=90)
+
+
+def _eligible(s, d):
+    return EX.eligibility(wh(s, d).customers, wh(s, d).support_tickets, ASSIGNMENT_DATE)
+
+
+def _assigned(s, d):
+    return EX.assign(_eligible(s, d))
+
+
+def _outcomes(s, d):
+    return EX.outcomes(_assigned(s, d), ASSIGNMENT_DATE)
+
+
+register("exp_eligibility", _t("exp_eligibility"))(_eligible)
+register("exp_assign")(_assigned)
+register("exp_outcomes")(_outcomes)
+register("exp_secondary")(lambda s, d: EX.secondary(_assigned(s, d), wh(s, d).usage_events, wh(s, d).support_tickets,
+                                                     ASSIGNMENT_DATE))
+register("exp_posterior")(lambda s, d: EX.posterior(_outcomes(s, d)))
+register("exp_prior_sensitivity")(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS))
+register("exp_decision")(lambda s, d: EX.decision(EX.posterior(_outcomes(s, d), EX.PRIORS)))
+register("exp_required_n", _t("exp_required_n"))(
+    lambda s, d: EX.required_n_by_segment(wh(s, d).customers, K.ORDERS_AS_OF))
+register("outreach_lift", _t("outreach_lift"))(lambda s, d: EX.outreach_lift(wh(s, d).expansion_outreach_log))
