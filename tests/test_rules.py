@@ -66,3 +66,13 @@ def test_compress_date(spark):
     df = spark.createDataFrame([(dt.date(2001, 7, 31),), (dt.date(2001, 7, 24),), (dt.date(2001, 7, 1),)], "d date")
     got = [r[0] for r in df.select(compress_date(F.col("d"), as_of)).collect()]
     assert got == [as_of, dt.date(2001, 7, 31), dt.date(2001, 7, 29)]
+
+
+def test_entry_imports_without_session():
+    """oracle_sql()/queries() must not need a SparkContext (no Column at import)."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "assert set(E.oracle_sql()) <= set(E.queries())") % __import__("os").path.dirname(
+        __import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd="/tmp")

@@ -50,14 +50,11 @@ def _events_stg(s, d):
 
 
 def train_churn(s, d):
-    w = wh(s, d)
-    return FT.train_churn_pit(w.customers, _events_stg(s, d), w.support_tickets, K.ORDERS_AS_OF)
+    return wh(s, d).train_churn_pit
 
 
 def train_expansion(s, d):
-    w = wh(s, d)
-    return FT.train_expansion_pit(w.customers, _events_stg(s, d), w.support_tickets, w.gtm_opportunities,
-                                  K.ORDERS_AS_OF)
+    return wh(s, d).train_expansion_pit
 
 
 register("train_churn_pit", _a("train_churn_pit"))(train_churn)
@@ -143,7 +140,9 @@ def _drift_prod(s, d):
 
 
 def _baseline(s, d):
-    return DR.baseline(_drift_train(s, d))
+    """The baseline is a 12-row table reused by PSI and KS: checkpointed once
+    (lineage cut, files in the shared checkpoint folder)."""
+    return DR.baseline(_drift_train(s, d)).checkpoint(eager=True)
 
 
 register("drift_baseline_stats", with_ctes(OD.DRIFT["drift_baseline_stats"], OD.DRIFT_CTES))(

@@ -79,7 +79,6 @@ def _key(s, d, name):
     return f"{name}-{h}-{K.ORDERS_TRAIN_CUTOFF.isoformat()}"
 
 
-CUT = lit_date(K.ORDERS_TRAIN_CUTOFF)
 CHURN_X = K.CHURN_NUMERIC_FEATURES
 EXP_X = K.EXPANSION_NUMERIC_FEATURES
 
@@ -88,14 +87,16 @@ def _churn_frames(s, d):
     f = MD.model_frame(train_churn(s, d), CHURN_X)
     sign = train_churn(s, d).select("customer_id", "signup_date")
     f = f.join(sign, "customer_id")
-    return f.where(F.col("signup_date") < CUT), f.where(F.col("signup_date") >= CUT)
+    cut = lit_date(K.ORDERS_TRAIN_CUTOFF)
+    return f.where(F.col("signup_date") < cut), f.where(F.col("signup_date") >= cut)
 
 
 def _exp_frames(s, d):
     f = MD.model_frame(train_expansion(s, d), EXP_X)
     sign = train_expansion(s, d).select("customer_id", "signup_date")
     f = f.join(sign, "customer_id")
-    return f.where(F.col("signup_date") < CUT), f.where(F.col("signup_date") >= CUT)
+    cut = lit_date(K.ORDERS_TRAIN_CUTOFF)
+    return f.where(F.col("signup_date") < cut), f.where(F.col("signup_date") >= cut)
 
 
 def churn_model(s, d):

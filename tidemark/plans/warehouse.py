@@ -23,7 +23,7 @@ from tidemark.sources import adapter
 
 _LOCK = threading.Lock()
 _CACHE: dict[tuple, "Warehouse"] = {}
-LAYOUT_VERSION = "3"
+LAYOUT_VERSION = "4"
 
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
@@ -41,6 +41,8 @@ class Warehouse:
         self.as_of = as_of
         self.materialize = materialize
         self._tables: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._locks_guard = threading.Lock()
         key = f"{self.sf_dir}|{as_of.isoformat()}|{LAYOUT_VERSION}"
         self._root = None
         if materialize:
@@ -52,15 +54,20 @@ class Warehouse:
     def _table(self, name: str, build) -> DataFrame:
         if name in self._tables:
             return self._tables[name]
-        if not self.materialize:
-            df = build()
-        else:
-            path = f"{self._root}/{name}"
-            if not _fs_exists(self.spark, f"{path}/_SUCCESS"):
-                build().write.mode("overwrite").parquet(path)
-            df = self.spark.read.parquet(path)
-        self._tables[name] = df
-        return df
+        with self._locks_guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:  # one builder per table even when levels run concurrently
+            if name in self._tables:
+                return self._tables[name]
+            if not self.materialize:
+                df = build()
+            else:
+                path = f"{self._root}/{name}"
+                if not _fs_exists(self.spark, f"{path}/_SUCCESS"):
+                    build().write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
+            self._tables[name] = df
+            return df
 
     # -- raw tables ----------------------------------------------------------
     @property
@@ -133,13 +140,36 @@ class Warehouse:
         return self._table("mart_propensity_quadrant",
                            lambda: risk.quadrant_mart(self.risk_scores, self.expansion_features))
 
+    @property
+    def train_churn_pit(self) -> DataFrame:
+        """Point-in-time churn training set (obs_date = churn date or as_of)."""
+        return self._table("train_churn_pit", lambda: features.train_churn_pit(
+            self.customers, self.stg_usage_events(), self.support_tickets, self.as_of))
+
+    @property
+    def train_expansion_pit(self) -> DataFrame:
+        return self._table("train_expansion_pit", lambda: features.train_expansion_pit(
+            self.customers, self.stg_usage_events(), self.support_tickets, self.gtm_opportunities, self.as_of))
+
     RAW_TABLES = ["customers", "usage_events", "support_tickets", "gtm_opportunities", "risk_signals",
                   "expansion_outreach_log"]
     MARTS = ["churn_features", "risk_scores", "expansion_features", "propensity_quadrant"]
-
-    def build_all(self) -> None:
-        for name in self.RAW_TABLES + self.MARTS:
-            getattr(self, name)
+    TRAINING_SETS = ["train_churn_pit", "train_expansion_pit"]
+    # dependency levels: tables inside a level are independent Spark jobs
+    LEVELS = [["customers"],
+              ["usage_events", "support_tickets", "gtm_opportunities", "risk_signals", "expansion_outreach_log"],
+              ["churn_features", "train_churn_pit", "train_expansion_pit"],
+              ["risk_scores", "expansion_features"],
+              ["propensity_quadrant"]]
+
+    def build_all(self, parallelism: int = 4) -> None:
+        """Materialise every table, level by level; within a level the builds are
+        submitted concurrently (independent jobs share the cluster, like a dbt
+        run with several threads)."""
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            for level in self.LEVELS:
+                list(pool.map(lambda n: getattr(self, n), level))
 
 
 def warehouse(spark: SparkSession, sf_dir: str, as_of: _dt.date = K.ORDERS_AS_OF,
