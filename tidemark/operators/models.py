@@ -76,8 +76,9 @@ def _prob(model: GBTClassificationModel, df: DataFrame, out: str) -> DataFrame:
 class CalibratedGBT:
     """Five (GBT, isotonic) pairs + an uncalibrated full model."""
 
-    def __init__(self, full: GBTClassificationModel, pairs: list[tuple[GBTClassificationModel, IsotonicRegressionModel]]):
-        self.full, self.pairs = full, pairs
+    def __init__(self, full: GBTClassificationModel, pairs: list[tuple[GBTClassificationModel, IsotonicRegressionModel]],
+                 path: str | None = None):
+        self.full, self.pairs, self.path = full, pairs, path
 
     def predict(self, df: DataFrame, out: str = "probability_calibrated") -> DataFrame:
         cols = []
@@ -101,7 +102,7 @@ class CalibratedGBT:
     def load(cls, path: str, k: int = N_FOLDS) -> "CalibratedGBT":
         return cls(GBTClassificationModel.load(f"{path}/full"),
                    [(GBTClassificationModel.load(f"{path}/fold{i}/gbt"),
-                     IsotonicRegressionModel.load(f"{path}/fold{i}/iso")) for i in range(k)])
+                     IsotonicRegressionModel.load(f"{path}/fold{i}/iso")) for i in range(k)], path)
 
 
 def fit_calibrated(train: DataFrame, params: dict | None = None, k: int = N_FOLDS) -> CalibratedGBT:
@@ -142,6 +143,7 @@ def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
         return CalibratedGBT.load(path)
     m = fit_calibrated(train_fn())
     m.save(path)
+    m.path = path
     spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{path}/_DONE")
     return m
 

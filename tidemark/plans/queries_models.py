@@ -214,3 +214,44 @@ def model_metadata(s, d):
 
 
 register("ml_model_metadata")(model_metadata)
+
+# ------------------------------------------------------------ attribution
+from tidemark.operators import attribution as AT  # noqa: E402
+
+# fixed values: signals the original expects among the top-2 global attributions
+KNOWN_CHURN_SIGNALS = ["events_last_30d", "avg_adoption_score", "retention_signal_count",
+                       "days_since_last_event", "high_priority_tickets"]
+
+
+def _attr(s, d, which):
+    model = churn_model(s, d) if which == "churn" else expansion_model(s, d)
+    mart = wh(s, d).churn_features if which == "churn" else wh(s, d).expansion_features
+    xs = CHURN_X if which == "churn" else EXP_X
+    frame = MD.model_frame(mart, xs, label=None)
+    saved = f"{model.path}/full" if model.path else None
+    return AT.attribute(frame, model.full, xs + ["plan_tier", "industry"], saved_dir=saved)
+
+
+register("ml_attribution_row")(lambda s, d: _attr(s, d, "churn").select(
+    "customer_id", "base_value", "margin", "top_features"))
+register("ml_attribution_row_expansion")(lambda s, d: _attr(s, d, "expansion").select(
+    "customer_id", "base_value", "margin", "top_features"))
+
+
+def _global(s, d):
+    g = AT.global_importance(_attr(s, d, "churn"), CHURN_X + ["plan_tier", "industry"])
+    top2 = F.max(F.when((F.col("rank") <= 2) & F.col("feature").isin(*KNOWN_CHURN_SIGNALS), 1).otherwise(0)) \
+        .over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())  # over <= 10 rows
+    return g.withColumn("known_signal_in_top2", top2 == 1)
+
+
+register("ml_attribution_global")(_global)
+
+
+def _leakage(s, d):
+    g = AT.global_importance(_attr(s, d, "expansion"), EXP_X + ["plan_tier", "industry"], top_k=1)
+    return g.select("feature", "mean_abs_contribution",
+                    (F.col("feature") == "has_open_expansion_opp").alias("leakage_warning"))
+
+
+register("ml_leakage_guard_attribution")(_leakage)
