@@ -269,3 +269,19 @@ register("exp_decision")(lambda s, d: EX.decision(EX.posterior(_outcomes(s, d),
 register("exp_required_n", _t("exp_required_n"))(
     lambda s, d: EX.required_n_by_segment(wh(s, d).customers, K.ORDERS_AS_OF))
 register("outreach_lift", _t("outreach_lift"))(lambda s, d: EX.outreach_lift(wh(s, d).expansion_outreach_log))
+
+# ------------------------------------------------------------ Cox model
+from tidemark.operators import cox as CX  # noqa: E402
+
+
+def _cox(s, d):
+    w = wh(s, d)
+    dur = F.datediff(F.coalesce(F.col("churn_date"), lit_date(K.ORDERS_AS_OF)), F.col("signup_date"))
+    surv = w.customers.select("customer_id", "plan_tier", F.col("churn_date").isNotNull().cast("int").alias("event"),
+                              dur.alias("duration_days"))
+    tiers = sorted(r[0] for r in w.customers.select("plan_tier").distinct().collect())  # <= 5 names
+    frame = CX.cox_frame(_eda(s, d), surv, CO.EDA_FEATURES, tiers)
+    return CX.fit_cox(frame, CO.EDA_FEATURES + [f"tier_{t}" for t in tiers[1:]])
+
+
+register("surv_cox")(_cox)
