@@ -47,21 +47,24 @@ raw_customers AS (
          CASE WHEN s.churn_date IS NULL AND s.up_z >= s.signup_date + 30 THEN s.up_z END AS upgrade_date
   FROM raw_spans3 s JOIN customer c ON c.c_custkey = s.o_custkey
 ),
+raw_li AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_shipdate,
+         CAST(o.o_custkey AS VARCHAR) AS cid, {z('l.l_shipdate')} AS zd
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  WHERE l.l_shipdate < {AS_OF_TS}
+),
 raw_usage_events AS (
-  SELECT concat_ws('-', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR),
-                   CAST(l.l_partkey AS VARCHAR), CAST(l.l_suppkey AS VARCHAR),
-                   strftime(l.l_shipdate, '%Y%m%d')) AS event_id,
+  SELECT concat_ws('-', CAST(e.l_orderkey AS VARCHAR), CAST(e.l_linenumber AS VARCHAR),
+                   CAST(e.l_partkey AS VARCHAR), CAST(e.l_suppkey AS VARCHAR),
+                   strftime(e.l_shipdate, '%Y%m%d')) AS event_id,
          c.customer_id,
-         CAST({z('l.l_shipdate')} AS TIMESTAMP) AS "timestamp",
+         CAST(e.zd AS TIMESTAMP) AS "timestamp",
          (['evidence_upload', 'monitoring_run', 'report_view', 'user_invite', 'integration_connect',
-           'api_call', 'premium_feature_trial', 'feature_limit_hit'])[CAST((l.l_orderkey + l.l_linenumber + l.l_partkey) % 8 AS INTEGER) + 1] AS event_type,
-         CAST(l.l_quantity / 50 AS FLOAT) AS feature_adoption_score
-  FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN raw_customers c ON c.customer_id = CAST(o.o_custkey AS VARCHAR)
-  WHERE l.l_shipdate < {AS_OF_TS}
-    AND {z('l.l_shipdate')} >= c.signup_date
-    AND (c.churn_date IS NULL OR {z('l.l_shipdate')} <= c.churn_date)
+           'api_call', 'premium_feature_trial', 'feature_limit_hit'])[CAST((e.l_orderkey + e.l_linenumber + e.l_partkey) % 8 AS INTEGER) + 1] AS event_type,
+         CAST(e.l_quantity / 50 AS FLOAT) AS feature_adoption_score
+  FROM raw_li e
+  JOIN raw_customers c ON c.customer_id = e.cid
+  WHERE e.zd >= c.signup_date AND (c.churn_date IS NULL OR e.zd <= c.churn_date)
 ),
 raw_support_tickets AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS ticket_id,

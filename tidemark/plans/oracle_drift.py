@@ -33,8 +33,8 @@ bidx0 AS (SELECT l.feature, l.value, r.lo, r.hi, (r.hi - r.lo) / 10 AS width,
 bidx1 AS (SELECT *, CASE WHEN value < lo + i0 * width AND i0 > 0 THEN i0 - 1 ELSE i0 END AS i1 FROM bidx0),
 bidx AS (SELECT feature, CASE WHEN value >= lo + (i1 + 1) * width AND i1 < 9 THEN i1 + 1 ELSE i1 END AS bin FROM bidx1),
 bcount AS (SELECT feature, bin, count(*) AS c FROM bidx GROUP BY 1, 2),
-bhist AS (SELECT r.feature, g.bin, r.lo + g.bin * (r.hi - r.lo) / 10 AS lower_edge,
-                 CASE WHEN g.bin = 9 THEN r.hi ELSE r.lo + (g.bin + 1) * (r.hi - r.lo) / 10 END AS upper_edge,
+bhist AS (SELECT r.feature, g.bin, r.lo + g.bin * ((r.hi - r.lo) / 10) AS lower_edge,
+                 CASE WHEN g.bin = 9 THEN r.hi ELSE r.lo + (g.bin + 1) * ((r.hi - r.lo) / 10) END AS upper_edge,
                  coalesce(c.c, 0) / r.n AS share
           FROM brange r CROSS JOIN (SELECT range AS bin FROM range(0, 10)) g
           LEFT JOIN bcount c ON c.feature = r.feature AND c.bin = g.bin),
