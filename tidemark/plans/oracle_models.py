@@ -66,4 +66,12 @@ FROM raw_customers""",
     "ml_standardise": "SELECT customer_id, " + ", ".join(
         f"{r9(f'(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_samp(CAST({c} AS DOUBLE)) OVER ()')} AS {c}"
         for c in K.CHURN_NUMERIC_FEATURES) + " FROM cpit",
+    "feat_to_model_row": "SELECT customer_id, " + ", ".join(
+        f"CAST(CAST({c} AS INTEGER) AS DOUBLE) AS {c}" if c == "is_early_stage" else f"CAST({c} AS DOUBLE) AS {c}"
+        for c in K.CHURN_NUMERIC_FEATURES) + ", lower(plan_tier) AS plan_tier, lower(industry) AS industry FROM mart_churn",
+    "train_time_split": f"""SELECT CASE WHEN signup_date < DATE '{K.ORDERS_TRAIN_CUTOFF.isoformat()}' THEN 'train' ELSE 'test' END AS split,
+       count(*) AS n, {r9('avg(CAST(label AS DOUBLE))')} AS churn_rate FROM cpit GROUP BY 1""",
+    "feat_validation_mart_join": """SELECT e.customer_id, e.plan_tier, e.premium_feature_trials_30d,
+       CAST(CASE WHEN c.upgrade_date IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS label
+FROM mart_expansion e JOIN raw_customers c USING (customer_id)""",
 }

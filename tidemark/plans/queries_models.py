@@ -255,3 +255,44 @@ def _leakage(s, d):
 
 
 register("ml_leakage_guard_attribution")(_leakage)
+
+# ------------------------------------------------------------ small feature/ML items
+from tidemark.operators import features as FT  # noqa: E402
+from tidemark.operators import quality as Q  # noqa: E402
+
+register("feat_to_model_row", _m("feat_to_model_row"))(
+    lambda s, d: FT.to_model_row(wh(s, d).churn_features, CHURN_X))
+
+
+def _split_sizes(s, d):
+    tr, te = FT.train_time_split(train_churn(s, d), K.ORDERS_TRAIN_CUTOFF)
+    part = tr.select(F.lit("train").alias("split"), "label").unionByName(te.select(F.lit("test").alias("split"), "label"))
+    return part.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
+                                     MT._r9(F.avg(F.col("label").cast("double"))).alias("churn_rate"))
+
+
+register("train_time_split", _m("train_time_split"))(_split_sizes)
+register("feat_validation_mart_join", _m("feat_validation_mart_join"))(
+    lambda s, d: wh(s, d).expansion_features.select("customer_id", "plan_tier", "premium_feature_trials_30d")
+    .join(wh(s, d).customers.select("customer_id", F.col("upgrade_date").isNotNull().cast("long").alias("label")),
+          "customer_id"))
+
+
+def _value_guard(s, d):
+    """Rows of the 360 table that break a value-object rule, with the first reason."""
+    t = SC.customer_360_table(wh(s, d).risk_scores, wh(s, d).propensity_quadrant,
+                              RK.risk_composite(RK.usage_decay(wh(s, d).customers, wh(s, d).usage_events,
+                                                               K.ORDERS_AS_OF), wh(s, d).risk_signals),
+                              wh(s, d).usage_events, wh(s, d).support_tickets, wh(s, d).gtm_opportunities,
+                              K.ORDERS_AS_OF)
+    def in01(c):
+        return F.col(c).isNull() | F.col(c).between(0, 1)
+    checks = {"churn_probability_out_of_range": in01("churn_probability"),
+              "propensity_out_of_range": in01("upgrade_propensity"),
+              "risk_score_out_of_range": in01("composite_risk_score"),
+              "mrr_negative": F.col("mrr") >= 0}
+    _ok, rejected = Q.value_object_guard(t, checks)
+    return rejected.select("customer_id", "reject_reason")
+
+
+register("dq_value_object_guard")(_value_guard)
