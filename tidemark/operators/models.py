@@ -137,15 +137,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+_FIT_LOCKS: dict[str, "threading.Lock"] = {}
+_FIT_GUARD = __import__("threading").Lock()
+
+
 def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
+    """Load the saved ensemble, or fit and save it (one fitter per key even when
+    queries run concurrently)."""
     path = model_path(spark, key)
-    if _exists(spark, f"{path}/_DONE"):
-        return CalibratedGBT.load(path)
-    m = fit_calibrated(train_fn())
-    m.save(path)
-    m.path = path
-    spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{path}/_DONE")
-    return m
+    with _FIT_GUARD:
+        lock = _FIT_LOCKS.setdefault(path, __import__("threading").Lock())
+    with lock:
+        if _exists(spark, f"{path}/_DONE"):
+            return CalibratedGBT.load(path)
+        m = fit_calibrated(train_fn())
+        m.save(path)
+        m.path = path
+        spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{path}/_DONE")
+        return m
 
 
 def feature_importance(model: CalibratedGBT, names: list[str]) -> DataFrame:

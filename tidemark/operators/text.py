@@ -53,7 +53,9 @@ def _arr(values: list[str]) -> Column:
 
 def unknown_feature_flags(text: Column, allowed: list[str], also_skip: list[str] | None = None) -> Column:
     """Distinct snake_case tokens (>= 8 chars) not in the allowed list, first-seen order."""
-    toks = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    # only tokens with an underscore can match the snake_case pattern (stripping
+    # punctuation never adds one), so the regex work runs on those alone
+    toks = F.filter(F.split(text, r"\s+"), lambda t: F.instr(t, "_") > 0)
     clean = F.transform(toks, lambda t: F.regexp_replace(t, STRIP_PATTERN, ""))
     skip = _arr(allowed + (also_skip or []))
     bad = F.filter(clean, lambda t: (F.length(t) >= 8) & t.rlike(FEATURE_PATTERN) & ~F.array_contains(skip, t))
