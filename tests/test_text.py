@@ -46,3 +46,14 @@ def test_split_email_and_scope(spark):
 def test_tenure_text(spark):
     df = spark.createDataFrame([(455,), (30,), (10,)], "d int")
     assert [r[0] for r in df.select(TX.tenure_text(F.col("d"))).collect()] == ["1y 3mo", "1mo", "0mo"]
+
+
+def test_python_whitespace_semantics(spark):
+    """Tokens split and strip like Python's str.split()/str.strip(), Unicode spaces included."""
+    text = "\n\tLead made_up_signal and other_fake_thing.　\n"
+    df = spark.createDataFrame([(text,)], "t string")
+    flags = df.select(TX.unknown_feature_flags(F.col("t"), TX.KNOWN_FEATURES, TX.SAFE_TOKENS)).first()[0]
+    expected = [f"hallucinated_feature:{tok.strip('.,;:!?()' + chr(39) + chr(34))}" for tok in text.split()
+                if "_" in tok]
+    assert flags == expected
+    assert df.select(TX.py_strip(F.col("t"))).first()[0] == text.strip()

@@ -43,10 +43,17 @@ EMAIL_MARKER = "[EMAIL_DRAFT]"
 FEATURE_PATTERN = r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"
 UUID_PATTERN = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 STRIP_PATTERN = "^[.,;:!?()'\"]+|[.,;:!?()'\"]+$"
+# characters Python's str.split()/str.strip() treat as whitespace (str.isspace)
+PY_WS = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 MIN_PROPENSITY_FOR_API = 0.15
 MIN_PROPENSITY_FOR_BRIEF = 0.35
 
 
+def py_strip(c: Column) -> Column:
+    """str.strip(): remove leading/trailing whitespace of every kind (F.trim removes spaces only)."""
+    return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")
+
+
 def _arr(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -55,7 +62,7 @@ def unknown_feature_flags(text: Column, allowed: list[str], also_skip: list[str]
     """Distinct snake_case tokens (>= 8 chars) not in the allowed list, first-seen order."""
     # only tokens with an underscore can match the snake_case pattern (stripping
     # punctuation never adds one), so the regex work runs on those alone
-    toks = F.filter(F.split(text, r"\s+"), lambda t: F.instr(t, "_") > 0)
+    toks = F.filter(F.split(text, f"{PY_WS}+"), lambda t: F.instr(t, "_") > 0)
     clean = F.transform(toks, lambda t: F.regexp_replace(t, STRIP_PATTERN, ""))
     skip = _arr(allowed + (also_skip or []))
     bad = F.filter(clean, lambda t: (F.length(t) >= 8) & t.rlike(FEATURE_PATTERN) & ~F.array_contains(skip, t))
@@ -83,7 +90,7 @@ def churn_brief_guardrails(df: DataFrame, text_col: str, model_p: Column | None
     return df.withColumn("flags", flags).withColumn("n_flags", n.cast("long")) \
              .withColumn("confidence_score", F.greatest(F.lit(0.0), 1.0 - 0.2 * F.col("n_flags"))) \
              .withColumn("passed", F.col("n_flags") == 0) \
-             .withColumn("final_text", F.concat(F.trim(F.col(text_col)), F.lit("\n\n" + WATERMARK)))
+             .withColumn("final_text", F.concat(py_strip(F.col(text_col)), F.lit("\n\n" + WATERMARK)))
 
 
 def expansion_status(n_flags: Column) -> Column:
@@ -104,7 +111,7 @@ def calibrate_tone(text: Column, propensity: Column) -> Column:
     stripped = text
     for phrase in URGENCY_PHRASES:
         stripped = F.regexp_replace(stripped, f"(?i){phrase}", "")
-    stripped = F.trim(F.regexp_replace(stripped, "  +", " "))
+    stripped = py_strip(F.regexp_replace(stripped, "  +", " "))
     return F.when(propensity < 0.5, stripped).otherwise(text)
 
 
@@ -118,7 +125,7 @@ def scrub_email(text: Column) -> Column:
 def split_email(text: Column) -> tuple[Column, Column]:
     """(brief, email draft) cut at the first marker; draft is NULL without one."""
     parts = F.split(text, r"\[EMAIL_DRAFT\]", 2)
-    return F.trim(parts[0]), F.when(F.size(parts) > 1, F.trim(parts[1]))
+    return py_strip(parts[0]), F.when(F.size(parts) > 1, py_strip(parts[1]))
 
 
 def scope_exceeded(answer: Column) -> Column:

@@ -94,3 +94,6 @@ hz_sm AS (SELECT h.day, sum(e.raw * kn.w) AS smoothed FROM hz h, kn, hz_ext e WH
 
 SURVIVAL["surv_hazard"] = (f"""SELECT CAST(h.day AS BIGINT) AS day, CAST(h.churns AS BIGINT) AS churns, CAST(h.at_risk AS BIGINT) AS at_risk,
        {r('h.raw')} AS raw_hazard, {r('s.smoothed')} AS smoothed_hazard FROM hz h JOIN hz_sm s USING (day)""", HAZARD_CTES)
+
+SURVIVAL["surv_hazard_peak"] = (f"""SELECT arg_max(day, (sm, -day)) AS peak_day, max(sm) AS peak_hazard
+FROM (SELECT CAST(h.day AS BIGINT) AS day, {r('s.smoothed')} AS sm FROM hz h JOIN hz_sm s USING (day))""", HAZARD_CTES)

@@ -6,6 +6,14 @@ from tidemark.operators import text as TX
 from tidemark.plans.oracle_base import AS_OF
 
 
+# Python's whitespace set in RE2 syntax (RE2's \\s lacks \\v and the Unicode spaces)
+PY_WS = "[\\s\\x{000b}\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def py_strip(col: str) -> str:
+    return f"regexp_replace({col}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
+
+
 def _lst(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -14,8 +22,8 @@ def flags_sql(src: str, key: str, allowed: list[str]) -> str:
     """Per row: '|'-joined distinct hallucinated tokens in first-seen order and their count."""
     return f"""
 WITH toks AS (
-  SELECT {key}, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS tok,
-         unnest(range(1, len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) + 1)) AS pos
+  SELECT {key}, unnest(list_filter(string_split_regex(text, '{PY_WS}+'), lambda t: t <> '')) AS tok,
+         unnest(range(1, len(list_filter(string_split_regex(text, '{PY_WS}+'), lambda t: t <> '')) + 1)) AS pos
   FROM {src}),
 clean AS (SELECT {key}, pos, regexp_replace(tok, '^[.,;:!?()''"]+|[.,;:!?()''"]+$', '', 'g') AS t FROM toks),
 hits AS (SELECT {key}, t, min(pos) AS first_pos FROM clean
@@ -64,7 +72,7 @@ QUALITY = flags_sql("documents", "doc_id", TX.KNOWN_FEATURES + TX.SAFE_TOKENS) +
 SELECT avg(CASE WHEN coalesce(a.n, 0) = 0 THEN 1.0 ELSE 0.0 END) AS full_confidence_share, count(*) AS n_texts
 FROM documents d LEFT JOIN agg a USING (doc_id)"""
 
-SPLIT = """SELECT doc_id, length(trim(split_part(text, '[EMAIL_DRAFT]', 1))) AS brief_chars,
+SPLIT = f"""SELECT doc_id, length({py_strip("split_part(text, '[EMAIL_DRAFT]', 1)")}) AS brief_chars,
        contains(text, '[EMAIL_DRAFT]') AS has_email_draft FROM documents"""
 
 CTX = {
@@ -81,3 +89,21 @@ FROM (SELECT customer_id, ticket_id, row_number() OVER (PARTITION BY customer_id
        CASE WHEN tenure_days // 365 > 0 THEN CAST(tenure_days // 365 AS VARCHAR) || 'y ' || CAST((tenure_days % 365) // 30 AS VARCHAR) || 'mo'
             ELSE CAST((tenure_days % 365) // 30 AS VARCHAR) || 'mo' END AS tenure_text FROM stg_customers""",
 }
+
+
+CONFIDENCE = flags_sql("documents", "doc_id", TX.KNOWN_FEATURES + TX.SAFE_TOKENS) + f"""
+SELECT d.doc_id, coalesce(a.n, 0) AS n_flags, greatest(0.0, 1.0 - 0.2 * coalesce(a.n, 0)) AS confidence_score,
+       coalesce(a.n, 0) = 0 AS passed,
+       length({py_strip('d.text')} || chr(10) || chr(10) || '{TX.WATERMARK}') AS final_chars
+FROM documents d LEFT JOIN agg a USING (doc_id)"""
+
+
+def _tone(col: str) -> str:
+    out = col
+    for phrase in TX.URGENCY_PHRASES:
+        out = f"regexp_replace({out}, '(?i){phrase}', '', 'g')"
+    return py_strip(f"regexp_replace({out}, '  +', ' ', 'g')")
+
+
+TONE = f"""SELECT conv_id, turn, length({_tone('text')}) AS calibrated_chars
+FROM conversations WHERE role = 'assistant'"""

@@ -97,7 +97,7 @@ register("surv_dropout_90d", _sv("surv_dropout_90d"))(lambda s, d: SV.dropout_90
 register("surv_time_to_upgrade", _sv("surv_time_to_upgrade"))(
     lambda s, d: SV.km_curve(SV.upgrade_dataset(wh(s, d).customers, K.ORDERS_AS_OF), F.col("plan_tier")))
 register("surv_hazard", _sv("surv_hazard"))(lambda s, d: SV.hazard_curve(_sd(s, d)))
-register("surv_hazard_peak")(lambda s, d: SV.hazard_peak(SV.hazard_curve(_sd(s, d))))
+register("surv_hazard_peak", _sv("surv_hazard_peak"))(lambda s, d: SV.hazard_peak(SV.hazard_curve(_sd(s, d))))
 
 
 def _activation(s, d):

@@ -28,7 +28,7 @@ def _unknown_docs(s, d):
 
 
 register("guard_unknown_feature", with_ctes(OX.UNKNOWN_DOCS))(_unknown_docs)
-register("guard_confidence")(lambda s, d: TX.churn_brief_guardrails(_docs(s, d), "text").select(
+register("guard_confidence", with_ctes(OX.CONFIDENCE))(lambda s, d: TX.churn_brief_guardrails(_docs(s, d), "text").select(
     "doc_id", "n_flags", "confidence_score", "passed", F.length("final_text").alias("final_chars")))
 
 
@@ -77,7 +77,7 @@ def _tone(s, d):
     return t.select("conv_id", "turn", F.length(TX.calibrate_tone(F.col("text"), F.lit(0.3))).alias("calibrated_chars"))
 
 
-register("guard_tone")(_tone)
+register("guard_tone", with_ctes(OX.TONE))(_tone)
 
 # ------------------------------------------------------------ context assembly per customer
 register("ctx_events_by_type", with_ctes(OX.CTX["ctx_events_by_type"]))(
