@@ -107,3 +107,47 @@ def _tone(col: str) -> str:
 
 TONE = f"""SELECT conv_id, turn, length({_tone('text')}) AS calibrated_chars
 FROM conversations WHERE role = 'assistant'"""
+
+from tidemark.plans.oracle_misc import MISC  # noqa: E402
+
+
+def _tier_sql(x: str) -> str:
+    return (f"CASE WHEN {x} >= 0.75 THEN 'critical' WHEN {x} >= 0.5 THEN 'high' "
+            f"WHEN {x} >= 0.25 THEN 'medium' ELSE 'low' END")
+
+
+def _pct0(x: str) -> str:
+    return f"CAST(CAST(round(CAST({x} * 100 AS DECIMAL(38,10)), 0) AS BIGINT) AS VARCHAR)"
+
+
+def _tenure(x: str) -> str:
+    return (f"CASE WHEN {x} // 365 > 0 THEN CAST({x} // 365 AS VARCHAR) || 'y ' || CAST(({x} % 365) // 30 AS VARCHAR) || 'mo' "
+            f"ELSE CAST(({x} % 365) // 30 AS VARCHAR) || 'mo' END")
+
+
+BRIEF_CTES = f"""
+xs_b AS ({MISC['expansion_scoring'][0]}),
+briefs AS (
+  SELECT x.customer_id,
+         CASE WHEN x.propensity < 0.15 THEN 'rejected' WHEN x.propensity < 0.35 THEN 'not_ready' ELSE 'eligible' END AS gate,
+         'This account has ' || upper({_tier_sql('x.propensity')}) || ' expansion propensity (' || {_pct0('x.propensity')}
+           || '%) toward ' || coalesce(x.target_tier, 'the next tier') || '. Expected ARR uplift: $'
+           || format('{{:,.0f}}', round(x.expected_arr_uplift, 0)) || '.' AS propensity_summary,
+         concat_ws(' | ', 'Plan: ' || upper(x.plan_tier), 'MRR: $' || format('{{:,.0f}}', round(CAST(r.mrr AS DOUBLE), 0)),
+                   'Tenure: ' || {_tenure('r.tenure_days')},
+                   'Churn risk: ' || {_pct0('r.churn_score')} || '% (' || {_tier_sql('r.churn_score')} || ')',
+                   'Top signals: ' || CASE WHEN r.top_risk_drivers = '' THEN 'none' ELSE r.top_risk_drivers END) AS facts,
+         CAST(r.churn_score AS DOUBLE) AS churn_score
+  FROM xs_b x JOIN mart_risk r USING (customer_id))"""
+
+BRIEFS = "SELECT customer_id, gate, propensity_summary, facts FROM briefs"
+
+_PCT = "CASE WHEN regexp_extract(facts, '(\\d+(?:\\.\\d+)?)\\s*%', 1) <> '' THEN CAST(regexp_extract(facts, '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS DOUBLE) END"
+
+BRIEF_CHECK = flags_sql("(SELECT customer_id, facts AS text FROM briefs)", "customer_id",
+                        TX.KNOWN_FEATURES + TX.SAFE_TOKENS) + f"""
+SELECT b.customer_id, n_flags, greatest(0.0, 1.0 - 0.2 * n_flags) AS confidence_score, n_flags = 0 AS passed
+FROM (SELECT b.customer_id, coalesce(a.n, 0)
+             + CASE WHEN {_PCT.replace('facts', 'b.facts')} IS NOT NULL
+                     AND abs({_PCT.replace('facts', 'b.facts')} - b.churn_score * 100) > 2.0 THEN 1 ELSE 0 END AS n_flags
+      FROM briefs b LEFT JOIN agg a USING (customer_id)) b"""

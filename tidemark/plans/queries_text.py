@@ -108,7 +108,7 @@ def _briefs(s, d):
                                    F.col("top_risk_drivers")).alias("facts"))
 
 
-register("brief_gate_and_summary")(_briefs)
+register("brief_gate_and_summary", with_ctes(OX.BRIEFS, OX.BRIEF_CTES))(_briefs)
 
 
 def _brief_check(s, d):
@@ -119,4 +119,4 @@ def _brief_check(s, d):
     return g.select("customer_id", "n_flags", "confidence_score", "passed")
 
 
-register("ctx_brief_guardrails")(_brief_check)
+register("ctx_brief_guardrails", with_ctes(OX.BRIEF_CHECK, OX.BRIEF_CTES))(_brief_check)
