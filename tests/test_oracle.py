@@ -51,3 +51,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["risk_tier", "customer_count", "pct_of_portfolio", "arr_at_risk_usd"]
     assert df.count() >= 0
+
+
+_CAT = {"bigint": "int", "double": "float", "string": "str", "date": "date", "timestamp": "ts",
+        "timestamp_ntz": "ts", "boolean": "bool"}
+_DCAT = {"BIGINT": "int", "DOUBLE": "float", "VARCHAR": "str", "DATE": "date", "TIMESTAMP": "ts", "BOOLEAN": "bool"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_types_match_oracle(spark, con, name):
+    """Both sides use the boundary types only (BIGINT, DOUBLE, VARCHAR, DATE, TIMESTAMP, BOOLEAN)."""
+    sdf = E.queries()[name](spark, SF0001)
+    st = {f.name: _CAT.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    dt = {c: _DCAT.get(str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert st == dt and None not in st.values()

@@ -70,5 +70,6 @@ def all_queries() -> dict[str, QueryFn]:
 
 
 def all_oracles() -> dict[str, str]:
+    from tidemark.plans.oracle_types import wrap
     _load_all()
-    return dict(ORACLE)
+    return {name: wrap(name, sql) for name, sql in ORACLE.items()}
