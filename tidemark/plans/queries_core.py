@@ -137,3 +137,38 @@ def _events_weekly(s, d):
 
 
 register("events_weekly_usage", _misc("events_weekly_usage"))(_events_weekly)
+
+# ------------------------------------------------------------ small domain rules as table jobs
+from tidemark.operators import staging as STG  # noqa: E402
+
+
+def _non_empty(s, d):
+    """One flag per mart; each side reads at most one row (limit(1))."""
+    w = wh(s, d)
+    marts = {"mart_customer_churn_features": w.churn_features, "mart_customer_risk_scores": w.risk_scores,
+             "mart_customer_expansion_features": w.expansion_features, "mart_propensity_quadrant": w.propensity_quadrant}
+    parts = [df.limit(1).select(F.lit(n).alias("mart")) for n, df in marts.items()]
+    present = parts[0]
+    for p in parts[1:]:
+        present = present.unionByName(p)
+    names = s.createDataFrame([(n,) for n in marts], "mart string")
+    return names.join(present.withColumn("non_empty", F.lit(True)), "mart", "left") \
+        .select("mart", F.coalesce("non_empty", F.lit(False)).alias("non_empty"))
+
+
+register("dq_mart_non_empty", with_ctes("""SELECT 'mart_customer_churn_features' AS mart, (SELECT count(*) FROM mart_churn) > 0 AS non_empty
+UNION ALL SELECT 'mart_customer_risk_scores', (SELECT count(*) FROM mart_risk) > 0
+UNION ALL SELECT 'mart_customer_expansion_features', (SELECT count(*) FROM mart_expansion) > 0
+UNION ALL SELECT 'mart_propensity_quadrant', (SELECT count(*) FROM mart_quadrant) > 0"""))(_non_empty)
+register("dom_adoption_label", with_ctes("""SELECT customer_id, avg_adoption_score,
+       CASE WHEN avg_adoption_score < 0.2 THEN 'critical' WHEN avg_adoption_score < 0.5 THEN 'low'
+            WHEN avg_adoption_score < 0.75 THEN 'moderate' ELSE 'high' END AS adoption_label,
+       avg_adoption_score < 0.5 AS is_low_adoption FROM mart_churn"""))(
+    lambda s, d: wh(s, d).churn_features.select(
+        "customer_id", "avg_adoption_score", STG.adoption_label(F.col("avg_adoption_score")).alias("adoption_label"),
+        (F.col("avg_adoption_score") < 0.5).alias("is_low_adoption")))
+register("dom_opp_at_risk", with_ctes(f"""SELECT opp_id, customer_id, stage, close_date,
+       stage NOT IN ('closed_won', 'closed_lost') AND close_date >= DATE '{K.ORDERS_AS_OF.isoformat()}' AS is_at_risk
+FROM raw_gtm_opportunities"""))(
+    lambda s, d: STG.opp_at_risk(wh(s, d).gtm_opportunities, K.ORDERS_AS_OF).select(
+        "opp_id", "customer_id", "stage", "close_date", "is_at_risk"))

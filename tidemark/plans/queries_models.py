@@ -296,3 +296,19 @@ def _value_guard(s, d):
 
 
 register("dq_value_object_guard")(_value_guard)
+
+
+def _expansion_facts(s, d):
+    """Verified facts per expansion candidate: model score, tier, uplift, target
+    tier and the top-3 attributed signals with their direction."""
+    sc = batch_score_expansion(s, d).select("customer_id", "propensity", "propensity_tier", "expected_arr_uplift",
+                                            "target_tier")
+    att = _attr(s, d, "expansion").select("customer_id", F.slice("top_features", 1, 3).alias("top3"))
+    signals = F.transform("top3", lambda t: F.struct(
+        t["feature"].alias("feature"), t["contribution"].alias("contribution"),
+        F.when(t["contribution"] >= 0, "increases").otherwise("decreases").alias("direction")))
+    return sc.join(att, "customer_id").select("customer_id", "propensity", "propensity_tier", "expected_arr_uplift",
+                                              "target_tier", signals.alias("top_signals"))
+
+
+register("ctx_expansion_facts")(_expansion_facts)
