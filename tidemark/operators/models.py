@@ -129,7 +129,9 @@ def fit_calibrated(train: DataFrame, params: dict | None = None, k: int = N_FOLD
 
 
 def model_path(spark: SparkSession, key: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-models/{key}"
+    from tidemark.session import shared_root
+    ensure_checkpoint_dir(spark)
+    return f"{shared_root(spark)}/tidemark-models/{key}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -150,11 +152,15 @@ def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
     with lock:
         if _exists(spark, f"{path}/_DONE"):
             return CalibratedGBT.load(path)
+        from tidemark.plans.warehouse import publish
         m = fit_calibrated(train_fn())
-        m.save(path)
-        m.path = path
-        spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{path}/_DONE")
-        return m
+
+        def write(tmp: str) -> None:
+            m.save(tmp)
+            spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{tmp}/_DONE")
+
+        publish(spark, write, path)
+        return CalibratedGBT.load(path)
 
 
 def feature_importance(model: CalibratedGBT, names: list[str]) -> DataFrame:

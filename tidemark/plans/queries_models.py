@@ -3,9 +3,6 @@ calibrated GBT models (trained once per data set, persisted, then reused)."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
@@ -75,8 +72,8 @@ register("ml_standardise", _m("ml_standardise"))(_standardised)
 
 
 def _key(s, d, name):
-    h = hashlib.sha1(os.path.abspath(d).encode()).hexdigest()[:12]
-    return f"{name}-{h}-{K.ORDERS_TRAIN_CUTOFF.isoformat()}"
+    """Models are keyed by the warehouse (inputs + as_of + layout) and the split."""
+    return f"{name}-{wh(s, d).key}-{K.ORDERS_TRAIN_CUTOFF.isoformat()}-v1"
 
 
 CHURN_X = K.CHURN_NUMERIC_FEATURES

@@ -26,13 +26,40 @@ _CACHE: dict[tuple, "Warehouse"] = {}
 LAYOUT_VERSION = "4"
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _fs_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, path)
     return fs.exists(p)
 
 
+def publish(spark: SparkSession, write_to, final: str) -> None:
+    """Write into a private temporary path, then rename it into place. If another
+    process published first, its copy is kept and ours is dropped, so readers
+    only ever see complete tables."""
+    import uuid
+    tmp = f"{final}.tmp-{uuid.uuid4().hex}"
+    write_to(tmp)
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, final)
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst):
+        fs.delete(src, True)
+
+
+def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Sizes and modification times of the input files: a changed input gets new tables."""
+    p, fs = _fs(spark, sf_dir)
+    parts = []
+    if fs.exists(p):
+        for st in fs.listStatus(p):
+            parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+    return "|".join(sorted(parts))
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.date = K.ORDERS_AS_OF,
                  materialize: bool = True):
@@ -43,12 +70,12 @@ class Warehouse:
         self._tables: dict[str, DataFrame] = {}
         self._locks: dict[str, threading.Lock] = {}
         self._locks_guard = threading.Lock()
-        key = f"{self.sf_dir}|{as_of.isoformat()}|{LAYOUT_VERSION}"
+        key = f"{self.sf_dir}|{as_of.isoformat()}|{LAYOUT_VERSION}|{input_fingerprint(spark, self.sf_dir)}"
+        self.key = hashlib.sha1(key.encode()).hexdigest()[:16]
         self._root = None
         if materialize:
-            ckpt = S.ensure_checkpoint_dir(spark)
-            digest = hashlib.sha1(key.encode()).hexdigest()[:16]
-            self._root = f"{ckpt.rstrip('/')}/tidemark-warehouse/{digest}"
+            S.ensure_checkpoint_dir(spark)
+            self._root = f"{S.shared_root(spark)}/tidemark-warehouse/{self.key}"
 
     # -- materialisation ---------------------------------------------------
     def _table(self, name: str, build) -> DataFrame:
@@ -64,7 +91,7 @@ class Warehouse:
             else:
                 path = f"{self._root}/{name}"
                 if not _fs_exists(self.spark, f"{path}/_SUCCESS"):
-                    build().write.mode("overwrite").parquet(path)
+                    publish(self.spark, lambda tmp: build().write.mode("overwrite").parquet(tmp), path)
                 df = self.spark.read.parquet(path)
             self._tables[name] = df
             return df

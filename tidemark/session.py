@@ -43,19 +43,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder of this application.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder for materialised tables, models and checkpoints.
 
-    On a cluster the submitter names a shared file system folder in
-    ``spark.checkpoint.dir``; we read it from the session. Only when it is unset
-    (local runs, tests) do we pick a private scratch folder.
+    On a cluster this is ``spark.checkpoint.dir`` as set by the submitter (read
+    from the session). Only when it is unset (local runs, tests) a local folder
+    is used; it is stable across processes so repeated local runs reuse tables.
     """
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    return os.path.join(tempfile.gettempdir(), "tidemark-shared")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Set the RDD checkpoint folder (Spark adds a unique sub-folder) and return it."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    sc.setCheckpointDir(shared_root(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
