@@ -54,3 +54,14 @@ def test_baseline_json_roundtrip(spark):
     sinks.write_json(base, d)
     back = sinks.read_baseline(spark, d).collect()[0]
     assert len(back["bins"]) == 11 and len(back["hist"]) == 10 and abs(sum(back["hist"]) - 1) < 1e-9
+
+
+def test_publish_keeps_first_complete_copy(spark):
+    from tidemark.plans.warehouse import publish
+    root = tempfile.mkdtemp(prefix="tidemark-pub-")
+    final = os.path.join(root, "t")
+    publish(spark, lambda p: spark.range(3).write.parquet(p), final)
+    publish(spark, lambda p: spark.range(5).write.parquet(p), final)  # loser: dropped, not nested
+    assert spark.read.parquet(final).count() == 3
+    assert sorted(os.listdir(root)) == ["t"]
+    assert not [d for d in os.listdir(final) if ".tmp-" in d]

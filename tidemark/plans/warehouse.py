@@ -46,7 +46,8 @@ def publish(spark: SparkSession, write_to, final: str) -> None:
     src, fs = _fs(spark, tmp)
     dst, _ = _fs(spark, final)
     fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst):
+    # renaming onto an existing directory would nest the copy inside it: keep the winner's
+    if fs.exists(dst) or not fs.rename(src, dst):
         fs.delete(src, True)
 
 
