@@ -51,6 +51,20 @@ def publish(spark: SparkSession, write_to, final: str) -> None:
         fs.delete(src, True)
 
 
+_CODE_FILES = ["sources/adapter.py", "sources/driver_tables.py", "operators/staging.py", "operators/features.py",
+               "operators/risk.py", "functions/constants.py", "functions/columns.py", "plans/warehouse.py"]
+
+
+def code_fingerprint(files: list[str] = _CODE_FILES) -> str:
+    """Hash of the code that defines the stored tables: changed logic gets new tables."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in files:
+        with open(os.path.join(root, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Sizes and modification times of the input files: a changed input gets new tables."""
     p, fs = _fs(spark, sf_dir)
@@ -71,7 +85,8 @@ class Warehouse:
         self._tables: dict[str, DataFrame] = {}
         self._locks: dict[str, threading.Lock] = {}
         self._locks_guard = threading.Lock()
-        key = f"{self.sf_dir}|{as_of.isoformat()}|{LAYOUT_VERSION}|{input_fingerprint(spark, self.sf_dir)}"
+        key = (f"{self.sf_dir}|{as_of.isoformat()}|{LAYOUT_VERSION}|{code_fingerprint()}|"
+               f"{input_fingerprint(spark, self.sf_dir)}")
         self.key = hashlib.sha1(key.encode()).hexdigest()[:16]
         self._root = None
         if materialize:
