@@ -1,3 +1,32 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+# Every 13-word window of a document is looked up among the benchmark's; an item
+# of fewer words is looked up with its own length.
+_DECONTAM = r"""
+with doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null and item_id is not null),
+sized as (select item_id, w, least(13, len(w)) as size from item_words where len(w) > 0),
+windows as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as phrase
+  from (select item_id, w, size, unnest(range(1, len(w) - size + 2)) as i from sized)),
+places as (
+  select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as phrase
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from doc_words, (select distinct size from windows) where len(w) >= size)),
+found as (select doc_id, item_id, i, size from places join windows using (size, phrase)),
+hit as (select doc_id, count(distinct p) as n_hit
+        from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, i, size from found)) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as names
+          from (select distinct doc_id, cast(item_id as varchar) as k from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc_words left join hit using (doc_id) left join items using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op5_decontamination": _DECONTAM}
