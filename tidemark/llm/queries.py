@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, simhash
+from tidemark.llm import decontam, secret_scan, simhash
 from tidemark.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,22 @@ def _register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
+@_register
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; a source stands for an owner, a document for a repository."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), owner_col="source", repo_col="doc_id")
+    base = F.filter("spans", lambda s: s["kind_no"] < len(secret_scan.BASE))
+
+    def number(field: str, value: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
+
+    def listed(spans) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    return found.select("doc_id", *[number("kind", k).alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+                        number("verdict", "live").alias("n_live"), number("verdict", "example").alias("n_example"))
+
+
 @_register
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all documents: 3-word shingles, 3 bits."""
