@@ -5,26 +5,62 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.common import prepare, shared_root, table
+from tidemark.llm import decontam, langid, packing, secret_scan, simhash
+from tidemark.llm.common import fold, prepare, shared_root, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model rejects go (no letters, or too doubtful)."""
+    prepare(spark)
+    docs = docs.select(COLUMNS)
+    return langid.identified(docs, langid.train(docs, fold("doc_id", 4) != 2))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id
-    (rows without an id are kept, repeated ids keep one row)."""
+    (rows without an id stay, repeated ids keep one row)."""
     prepare(spark)
+    docs = docs.select(COLUMNS)
     groups = simhash.simhash_components(docs, shingle=3, radius=3)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
     repeats = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeats else kept
 
 
-STAGES = [("simhash_near_dedup", simhash_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark passages go."""
+    prepare(spark)
+    docs = docs.select(COLUMNS)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the value of every reported secret is blotted out and
+    n_chars follows the text."""
+    prepare(spark)
+    docs = docs.select(COLUMNS)
+    return secret_scan.redact(docs, secret_scan.scan(docs, owner_col="source", repo_col="doc_id"), length_col="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed sequences of all documents left."""
+    import public_tokenizers
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scan", secrets_stage),
+    ("packing", packing_stage),
+]
 
 ORACLE_SQL = None  # model, hash and tokenizer stages have no SQL form
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, packing, secret_scan, simhash
-from tidemark.llm.common import prepare, table
+from tidemark.llm import decontam, langid, packing, secret_scan, simhash
+from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,6 +44,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+@_register
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; learned from the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold("doc_id", 4) != 2)
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @_register
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents, by 13-word windows."""

@@ -146,9 +146,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return plain.select("doc_id", "text_hash", F.coalesce("spans", empty).alias("spans"))
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the value of every reported span replaced by ``mark``; all
-    other rows and columns as they are."""
+def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]",
+           length_col: str | None = None) -> DataFrame:
+    """``docs`` with the value of every reported span replaced by ``mark`` and,
+    in those rows, ``length_col`` (if given) set to the new text's code points;
+    all other rows and columns as they are."""
     hits = (found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"),
                                                   F.transform("spans", lambda s: F.struct(s["value_start"].alias("a"), s["value_stop"].alias("z"))).alias("hit_values"))
             .dropDuplicates(["hit_id", "hit_hash"]))
@@ -158,6 +160,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             texts = b.column(at).to_pylist()
+            lengths = b.column(names.index(length_col)).to_pylist() if length_col else []
             for i, values in enumerate(b.column(len(names)).to_pylist()):
                 if values:
                     text, out, upto = texts[i], [], 0
@@ -167,8 +170,12 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                                 out += [text[upto:v["a"]], mark]
                             upto = v["z"]
                     texts[i] = "".join(out) + text[upto:]
+                    if length_col:
+                        lengths[i] = len(texts[i])
             columns = [b.column(k) for k in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
+            if length_col:
+                columns[names.index(length_col)] = pa.array(lengths, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=names)
     text_hash = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
     joined = docs.join(hits, (F.col(f"`{id_col}`") == F.col("hit_id")) & (text_hash == F.col("hit_hash")), "left")
