@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, packing, secret_scan, simhash
+from tidemark.llm import decontam, langid, packing, secret_scan, simhash, toxicity
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+@_register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.score(docs, lexicon).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_matches")
+
+
 @_register
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; learned from the rows outside the held-out fold."""
