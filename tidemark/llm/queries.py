@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, packing, secret_scan, simhash, toxicity
+from tidemark.llm import ann, decontam, langid, packing, secret_scan, simhash, toxicity
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_matches")
 
 
+@_register
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, top=10)
+
+
 @_register
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; learned from the rows outside the held-out fold."""

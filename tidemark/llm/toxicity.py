@@ -155,7 +155,8 @@ def _choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[
     scored = []
     for entry, t, c in counts:
         weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        scored.append((-t * weight, entry.endswith(" "), len(entry), entry, weight))
+        # about equal evidence: rather a whole word, then a long beginning
+        scored.append((-round(20 * math.log(t * weight)), not entry.endswith(" "), -len(entry), entry, weight))
     chosen: dict[str, float] = {}
     for _, _, _, entry, weight in sorted(scored):
         stem = entry.rstrip(" ")
