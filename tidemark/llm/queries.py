@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, langid, packing, secret_scan, simhash, toxicity
+from tidemark.llm import ann, decontam, langid, maxent, packing, secret_scan, simhash, toxicity
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         number("verdict", "live").alias("n_live"), number("verdict", "example").alias("n_example"))
 
 
+@_register
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents; learned from the rows outside the held-out fold."""
+    found = maxent.scores(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return found.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_register
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all documents: 3-word shingles, 3 bits."""
