@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, langid, maxent, packing, secret_scan, simhash, toxicity
+from tidemark.llm import ann, decontam, html_text, langid, maxent, packing, secret_scan, simhash, toxicity
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+@_register
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, by nearest-URL differencing within each host."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @_register
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; learned from the labels outside the held-out fold."""
