@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, html_text, langid, maxent, packing, secret_scan, simhash, toxicity
+from tidemark.llm import ann, decontam, html_text, langid, maxent, packing, secret_scan, simhash, toxicity, wordpiece
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,13 @@ def _register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
+@_register
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of all documents with the public lower-case vocabulary."""
+    import public_tokenizers
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_register
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents; a source stands for an owner, a document for a repository."""
