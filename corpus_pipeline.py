@@ -20,15 +20,17 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id
-    (rows without an id stay, repeated ids keep one row)."""
+    """One document of each SimHash group stays: the one with the smallest id.
+    Rows of one id are one document, of which one row stays; rows without an id stay."""
     prepare(spark)
     docs = docs.select(COLUMNS)
     groups = simhash.simhash_components(docs, shingle=3, radius=3)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
     repeats = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    if repeats:
+        return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
