@@ -28,11 +28,12 @@ from tidemark.llm.common import id_text, small_batches
 
 BUCKETS = 1 << 17
 DIM = 16
-SIZES = (2, 3, 4)
-SAMPLE_PER_LANG = 800     # bound of the training sample, for each language
+SIZES = (2, 3, 4, 5, 6)
+SAMPLE_PER_LANG = 1000    # bound of the training sample, for each language
 MAX_LANGS = 400           # the most frequent label values that are learned
-SNIPPET_WORDS = 40
-EPOCHS = 4
+SNIPPET_WORDS = 80       # a training stretch has fewer words than this
+SNIPPETS = 4
+EPOCHS = 3
 UNDETERMINED = "und"
 
 #: Bytes of letter runs stay (lower-cased before), all other ASCII becomes a border.
@@ -81,11 +82,13 @@ def _letters_only(text: str) -> np.ndarray:
 
 
 def _snippets(text: str, seed: int) -> list[np.ndarray]:
-    """The whole text and two stretches of it, as bucket arrays."""
+    """Stretches of the text of a few to many words, drawn from its whole length, as bucket arrays."""
     words = text.split()
     rng = np.random.default_rng(seed)
-    parts = [text] + [" ".join(words[i:i + SNIPPET_WORDS]) for i in rng.integers(0, max(1, len(words) - SNIPPET_WORDS), 2)]
-    found = [ngrams(_letters_only(p))[1] for p in parts]
+    found = []
+    for size in rng.integers(4, SNIPPET_WORDS, SNIPPETS):
+        i = rng.integers(0, max(1, len(words) - size + 1))
+        found.append(ngrams(_letters_only(" ".join(words[i:i + size])))[1].astype(np.int32))
     return [f for f in found if len(f)]
 
 
@@ -129,8 +132,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, rate:
             losses.append((-np.log(np.maximum(q, 1e-12)).mean(), t))
         model.temperature = float(min(losses)[1])
         top = model.probabilities(sums, counts).max(axis=1)
-        # rejects at most one in a thousand texts like those learned from
-        model.threshold = float(min(0.5, np.quantile(top, 0.001) * 0.9))
+        # rejects next to none of the texts like those learned from, however short
+        model.threshold = float(min(0.5, 0.75 * np.quantile(top, 0.0005)))
     return model
 
 
