@@ -50,22 +50,23 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slice Arrow batches so that each holds about ``max_bytes`` at most (one
-    row may be longer): bounds the memory of what is derived from a batch."""
+    """Cut Arrow batches so that each holds about ``max_bytes`` at most (one row
+    may be longer): bounds the memory of what is derived from a batch. The parts
+    are copies: some Arrow string kernels misread slices that do not begin at 0."""
     for b in batches:
         n = b.num_rows
         if n == 0:
             continue
         step = max(1, int(n * max_bytes / max(b.nbytes, 1)))
         for i in range(0, n, step):
-            yield b.slice(i, min(step, n - i))
+            yield b if step >= n else b.take(pa.array(np.arange(i, min(i + step, n))))
 
 
 def words_of_batch(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Lower-case A-Z and split on ASCII white space. Returns (row offsets,
     distinct words, index of each word occurrence); null and empty rows have no words."""
     import pyarrow.compute as pc
-    col = pc.fill_null(column.cast(pa.large_string()), "")
+    col = pc.fill_null(column, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(col))
     offsets = np.asarray(lists.offsets).astype(np.int64)
     flat = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))

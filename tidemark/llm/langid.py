@@ -156,7 +156,7 @@ def train(docs: DataFrame, learn: Column | None = None, text_col: str = "text",
 def _score(m: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Prediction, score and rejection of each text."""
     import pyarrow.compute as pc
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     offsets = np.asarray(lists.offsets).astype(np.int64)
     enc = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
     offsets, idx = offsets - offsets[0], np.asarray(enc.indices).astype(np.int64)
