@@ -36,3 +36,26 @@ def test_contributions_add_up_to_margin(spark):
     raw = model.transform(df).select("customer_id", vector_to_array("rawPrediction")[1].alias("m"))
     err = att.join(raw, "customer_id").agg(F.max(F.abs(F.col("margin") - F.col("m")))).first()[0]
     assert err < 1e-9
+
+
+def test_two_saved_models_are_not_mixed_up(spark, tmp_path):
+    """Models loaded alternately in one session are each explained by their own trees."""
+    import gc
+
+    from pyspark.ml.classification import GBTClassificationModel
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2))
+    frames = {}
+    for name, label in (("one", x[:, 0] > 0), ("two", x[:, 1] > 0)):
+        rows = [(f"c{i}", float(a), float(b), float(y)) for i, ((a, b), y) in enumerate(zip(x, label))]
+        df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+            spark.createDataFrame(rows, "customer_id string, a double, b double, label double"))
+        GBTClassifier(maxIter=3, maxDepth=2, seed=1).fit(df).save(str(tmp_path / name))
+        frames[name] = df
+    for _ in range(3):
+        for name, feature in (("one", "a"), ("two", "b")):
+            model = GBTClassificationModel.load(str(tmp_path / name))
+            got = AT.global_importance(AT.attribute(frames[name], model, ["a", "b"], saved_dir=str(tmp_path / name)), ["a", "b"], top_k=1)
+            assert got.first()["feature"] == feature
+            del model
+            gc.collect()

@@ -18,10 +18,28 @@ def test_ks_matches_brute_force(spark):
     prod = [(f"p{i}", float(v)) for i, v in enumerate(rng.integers(2, 20, 400))]
     tdf = spark.createDataFrame(train, "customer_id string, x double")
     pdf = spark.createDataFrame(prod, "customer_id string, x double")
-    base = DR.baseline(tdf, ["x"])
-    sample = np.array(base.collect()[0]["sample"])
-    got = DR.ks(base, pdf, ["x"]).collect()[0]["ks_stat"]
-    assert abs(got - round(_brute_ks(sample, np.array([v for _, v in prod])), 6)) < 1e-9
+    got = DR.ks(tdf, pdf, ["x"]).collect()[0]
+    assert abs(got["ks_stat"] - round(_brute_ks(np.array([v for _, v in train]), np.array([v for _, v in prod])), 6)) < 1e-9
+    assert got["status"] == "ok" and 0 <= got["ks_pvalue"] <= 1
+
+
+def test_ks_uses_all_rows_of_a_large_side(spark):
+    """2,000 rows a side that differ only beyond the first hundreds."""
+    train = spark.range(2000).selectExpr("cast(id as string) customer_id", "cast(id as double) x")
+    prod = spark.range(2000).selectExpr("cast(id as string) customer_id", "cast(if(id < 1500, id, 1500) as double) x")
+    got = DR.ks(train, prod, ["x"]).collect()[0]
+    assert got["ks_stat"] == round(_brute_ks(np.arange(2000.0), np.minimum(np.arange(2000.0), 1500)), 6)
+    assert "Python" not in DR.ks(train, prod, ["x"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_features_stay_in_the_report(spark):
+    import datetime
+    train = spark.range(50).selectExpr("cast(id as string) customer_id", "cast(id as double) x", "cast(id as double) y")
+    prod = spark.range(50).selectExpr("cast(id as string) customer_id", "cast(id as double) x", "if(id < 5, cast(id as double), null) y")
+    base = DR.baseline(train, ["x", "y"])
+    report = {r["feature"]: r for r in DR.drift_report(DR.psi(base, prod, ["x", "y"]), DR.ks(train, prod, ["x", "y"]), datetime.date(2001, 8, 1)).collect()}
+    assert report["x"]["status"] == "ok"
+    assert report["y"]["status"] == "insufficient_rows" and report["y"]["psi"] is None and report["y"]["ks_stat"] is None
 
 
 def test_psi_zero_for_same_distribution(spark):

@@ -136,7 +136,6 @@ DRIFT_FEATURES = [
     "high_priority_tickets", "avg_resolution_hours",
 ]
 DRIFT_BINS = 10
-DRIFT_SAMPLE = 500
 DRIFT_MIN_ROWS = 10
 PSI_EPS = 1e-10
 PSI_EDGE_WIDEN = 1e-6

@@ -119,5 +119,5 @@ def t_sf_udf(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def norm_cdf_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([1 - norm_sf(float(a)) for a in z])
+def norm_sf_udf(z: pd.Series) -> pd.Series:
+    return pd.Series([norm_sf(float(a)) for a in z])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CACHE: dict[int, list] = {}
+_CACHE: dict[tuple[str, str], list] = {}
 
 
 def _flatten_tree(root) -> list[dict]:
@@ -133,11 +133,12 @@ def _nodes_from_saved(spark, model_dir: str) -> dict[int, list[dict]]:
 
 
 def explain_tables(gbt_model, saved_dir: str | None = None) -> list:
-    """Leaf tables of every tree of a Spark GBT model (cached per model object).
+    """Leaf tables of every tree of a Spark GBT model (cached for a saved model,
+    by its path and uid; a model object's address may be reused by another).
     With ``saved_dir`` the nodes come from the saved model's parquet node table;
     otherwise they are walked through the JVM objects."""
-    key = id(gbt_model)
-    if key not in _CACHE:
+    key = (saved_dir, gbt_model.uid)
+    if saved_dir is None or key not in _CACHE:
         weights = list(gbt_model.treeWeights)
         leaves = []
         if saved_dir:
@@ -149,6 +150,8 @@ def explain_tables(gbt_model, saved_dir: str | None = None) -> list:
             jtrees = gbt_model._java_obj.trees()
             for t in range(len(weights)):
                 leaves.extend(_leaf_tables(_flatten_tree(jtrees[t].rootNode()), float(weights[t])))
+        if saved_dir is None:
+            return leaves
         _CACHE[key] = leaves
     return _CACHE[key]
 

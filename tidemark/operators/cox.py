@@ -106,6 +106,8 @@ def fit_cox(df: DataFrame, covariates: list[str], penalizer: float = 0.01, max_i
         beta = beta - step
         if np.max(np.abs(step)) < tol:
             break
+    else:
+        raise RuntimeError(f"Cox fit: not converged after {max_iter} Newton steps (last step {np.max(np.abs(step)):.2e})")
     cov = np.linalg.inv(-(H - n * penalizer * np.eye(p)))
     se_z = np.sqrt(np.diag(cov))
     coef = beta / std

@@ -1,29 +1,22 @@
-"""Feature drift: baseline, PSI, two-sample KS and the report.
+"""Feature drift: baseline, PSI, exact two-sample KS and the report.
 
 * baseline: one aggregation for all features over an unpivoted (feature,
   value) view: min, max, mean, sample std, count; a second pass buckets values
-  into 10 equal-width bins. The KS sample is the rows with the 500 smallest
-  seeded hashes (same rows for every feature, independent of partitioning).
+  into 10 equal-width bins.
 * PSI: production values are bucketed against the widened baseline edges
   (12-row baseline table, broadcast: size bounded by the feature list).
-* KS: sup |F_base - F_prod| is attained at baseline sample points, so each
-  production value only needs its insertion index into the (<= 500) sorted
-  sample; counts per index form a table of <= 501 rows per feature. No global
-  sort, no pairs.
+* KS: over the value counts of both sides and their prefix sums; all rows count.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import constants as K
+from tidemark.operators import ranking
 
 
 def _r6(c: Column) -> Column:
@@ -74,17 +67,8 @@ def baseline_hist(train: DataFrame, stats: DataFrame, features: list[str] = K.DR
         (F.coalesce("c", F.lit(0)) / F.col("n")).alias("share"))
 
 
-def baseline_sample(train: DataFrame, features: list[str] = K.DRIFT_FEATURES, size: int = K.DRIFT_SAMPLE,
-                    seed: int = K.RANDOM_SEED, id_col: str = "customer_id") -> DataFrame:
-    """(feature, sorted sample array) from the rows with the smallest seeded hashes.
-    The top-`size` is a TakeOrderedAndProject, so the array is bounded by `size`."""
-    picked = train.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(size)
-    return unpivot(picked, features, id_col).groupBy("feature").agg(
-        F.sort_array(F.collect_list("value")).alias("sample"))
-
-
 def baseline(train: DataFrame, features: list[str] = K.DRIFT_FEATURES) -> DataFrame:
-    """One row per feature: n, min, max, mean, std, bins (11 edges), hist (10 shares), sample."""
+    """One row per feature: n, min, max, mean, std, bins (11 edges), hist (10 shares)."""
     stats = baseline_stats(train, features)
     hist = baseline_hist(train, stats, features)
     h = hist.groupBy("feature").agg(
@@ -93,17 +77,19 @@ def baseline(train: DataFrame, features: list[str] = K.DRIFT_FEATURES) -> DataFr
                  F.concat(F.transform("_h", lambda x: x["lower_edge"]),
                           F.array(F.element_at("_h", -1)["upper_edge"])).alias("bins"),
                  F.transform("_h", lambda x: x["share"]).alias("hist"))
-    return stats.join(h, "feature").join(baseline_sample(train, features), "feature", "left")
+    return stats.join(h, "feature")
 
 
 def psi(base: DataFrame, prod: DataFrame, features: list[str] = K.DRIFT_FEATURES,
         min_rows: int = K.DRIFT_MIN_ROWS) -> DataFrame:
-    """PSI per feature against the baseline bins; features with < min_rows
-    production values are skipped."""
+    """PSI per feature against the baseline bins. A feature with fewer than
+    ``min_rows`` production values, or none in the baseline, stays in the result
+    with status 'insufficient_rows' and no figures."""
     long = unpivot(prod, features)
     pstats = long.groupBy("feature").agg(F.count(F.lit(1)).alias("pn"), F.min("value").alias("pmin"),
-                                         F.max("value").alias("pmax")).where(F.col("pn") >= min_rows)
-    b = base.select("feature", "bins", "hist").join(pstats, "feature")
+                                         F.max("value").alias("pmax"))
+    every = base.select("feature").union(pstats.select("feature")).distinct()
+    b = base.select("feature", "bins", "hist").join(pstats.where(F.col("pn") >= min_rows), "feature")
     b = b.withColumn("edges", F.concat(
         F.array(F.least(F.element_at("bins", 1), F.col("pmin")) - K.PSI_EDGE_WIDEN),
         F.slice("bins", 2, K.DRIFT_BINS - 1),
@@ -118,91 +104,63 @@ def psi(base: DataFrame, prod: DataFrame, features: list[str] = K.DRIFT_FEATURES
     e = F.col("expected")
     term = (a - e) * F.log((a + K.PSI_EPS) / (e + K.PSI_EPS))
     out = j.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("psi"))
-    return out.select("feature", _r6(F.col("psi")).alias("psi"), psi_level(F.col("psi")).alias("psi_level"))
+    return every.join(out, "feature", "left").select(
+        "feature", _r6(F.col("psi")).alias("psi"), F.when(F.col("psi").isNotNull(), psi_level(F.col("psi"))).alias("psi_level"),
+        _status(F.col("psi")).alias("status"))
+
+
+def _status(figure: Column) -> Column:
+    return F.when(figure.isNull(), "insufficient_rows").otherwise("ok")
 
 
 def psi_level(p: Column) -> Column:
     return F.when(p < K.PSI_MODERATE, "no_drift").when(p < K.PSI_ALERT, "moderate").otherwise("alert")
 
 
-def kolmogorov_sf(lam: float) -> float:
-    """Asymptotic two-sided Kolmogorov tail Q(lambda) = 2 sum (-1)^(k-1) exp(-2 k^2 lambda^2)."""
-    if lam <= 0:
-        return 1.0
-    if lam < 0.2:
-        return 1.0
-    s = 0.0
-    for k in range(1, 101):
-        t = (-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam)
-        s += t
-        if abs(t) < 1e-16:
-            break
-    return max(0.0, min(1.0, 2 * s))
+def kolmogorov_tail(lam: Column) -> Column:
+    """Asymptotic two-sided Kolmogorov tail 2 sum (-1)^(k-1) exp(-2 k^2 lambda^2), k to 100."""
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)),
+                        lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam))
+    total = 2 * F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
-def ks(base: DataFrame, prod: DataFrame, features: list[str] = K.DRIFT_FEATURES,
+def ks(train: DataFrame, prod: DataFrame, features: list[str] = K.DRIFT_FEATURES,
        min_rows: int = K.DRIFT_MIN_ROWS) -> DataFrame:
-    """Two-sample KS statistic and asymptotic p-value per feature."""
-    spark = prod.sparkSession
-    # the baseline sample is bounded (features x DRIFT_SAMPLE doubles): safe to broadcast
-    samples = {r["feature"]: np.asarray(r["sample"] or [], dtype=float)
-               for r in base.select("feature", "sample").collect()}
-    bc = spark.sparkContext.broadcast(samples)
-
-    @F.pandas_udf(T.StructType([T.StructField("lt", T.IntegerType()), T.StructField("le", T.IntegerType())]))
-    def insertion(feature: pd.Series, value: pd.Series) -> pd.DataFrame:
-        lt = np.zeros(len(value), dtype=np.int32)
-        le = np.zeros(len(value), dtype=np.int32)
-        smp = bc.value
-        for f in feature.unique():
-            m = (feature == f).to_numpy()
-            s = smp.get(f, np.array([]))
-            lt[m] = np.searchsorted(s, value[m].to_numpy(), side="left")
-            le[m] = np.searchsorted(s, value[m].to_numpy(), side="right")
-        return pd.DataFrame({"lt": lt, "le": le})
-
-    long = unpivot(prod, [f for f in features if f in samples])
-    ins = long.select("feature", insertion(F.col("feature"), F.col("value")).alias("i"))
-    # prod count <= sample[j]  ==  #{v : left_index(v) <= j}; prod count < sample[j] == #{v : right_index(v) <= j}
-    by_lt = ins.groupBy("feature", F.col("i.lt").alias("k")).agg(F.count(F.lit(1)).alias("c_lt"))
-    by_le = ins.groupBy("feature", F.col("i.le").alias("k")).agg(F.count(F.lit(1)).alias("c_le"))
-    grid = base.select("feature", F.size("sample").alias("m"),
-                       F.posexplode("sample").alias("k", "s")).where(F.col("m") > 0)
-    j = grid.join(by_lt, ["feature", "k"], "left").join(by_le, ["feature", "k"], "left").na.fill(0, ["c_lt", "c_le"])
-    w = Window.partitionBy("feature").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # <= 500 rows each
-    pn = long.groupBy("feature").agg(F.count(F.lit(1)).alias("pn"))
-    j = j.withColumn("p_le", F.sum("c_lt").over(w)).withColumn("p_lt", F.sum("c_le").over(w)).join(pn, "feature")
-    # sample CDF at s_j: (#sample <= s_j)/m and (#sample < s_j)/m, ties handled by the value's first/last index
-    fs = Window.partitionBy("feature", "s")
-    j = j.withColumn("s_le", F.max(F.col("k") + 1).over(fs)).withColumn("s_lt", F.min("k").over(fs))
-    m, n = F.col("m").cast("double"), F.col("pn").cast("double")
-    d1 = F.abs(F.col("s_le") / m - F.col("p_le") / n)
-    d2 = F.abs(F.col("s_lt") / m - F.col("p_lt") / n)
-    stat = j.groupBy("feature").agg(F.max(F.greatest(d1, d2)).alias("ks_stat"), F.first("m").alias("m"),
-                                    F.first("pn").alias("pn")).where(F.col("pn") >= min_rows)
-
-    @F.pandas_udf(T.DoubleType())
-    def pvalue(d: pd.Series, m_: pd.Series, n_: pd.Series) -> pd.Series:
-        out = []
-        for dd, a, b in zip(d, m_, n_):
-            en = a * b / (a + b)
-            out.append(kolmogorov_sf(math.sqrt(en) * dd))
-        return pd.Series(out)
-
-    return stat.select("feature", _r6(F.col("ks_stat")).alias("ks_stat"),
-                       _r6(pvalue(F.col("ks_stat"), F.col("m").cast("double"), F.col("pn").cast("double")))
-                       .alias("ks_pvalue"))
+    """Exact two-sample KS statistic and asymptotic p-value per feature.
+
+    Both sides are aggregated to value counts (combined before the shuffle), the
+    counts are prefix-summed in (feature, value) order, and the statistic is the
+    largest distance of the two distribution functions at any value: all rows
+    count, none is sampled. Features short of rows keep a row (see ``psi``)."""
+    both = unpivot(train, features).select("feature", "value", F.lit(1).alias("b"), F.lit(0).alias("p")).unionByName(
+        unpivot(prod, features).select("feature", "value", F.lit(0).alias("b"), F.lit(1).alias("p")))
+    counts = both.groupBy("feature", (F.col("value") + 0.0).alias("value")).agg(
+        F.sum("b").cast("long").alias("cb"), F.sum("p").cast("long").alias("cp"))
+    run = ranking.prefix_sums(counts, ["feature", "value"], ["cb", "cp"])
+    sizes = run.groupBy("feature").agg(F.sum("cb").alias("m"), F.sum("cp").alias("n"),
+                                       F.min("cb_before").alias("b0"), F.min("cp_before").alias("p0"))  # a row per feature
+    m, n = F.col("m").cast("double"), F.col("n").cast("double")
+    gap = F.abs((F.col("cb_before") - F.col("b0") + F.col("cb")) / m - (F.col("cp_before") - F.col("p0") + F.col("cp")) / n)
+    stat = run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(
+        F.max(gap).alias("d"), F.first("m").alias("m"), F.first("n").alias("n"))
+    enough = (F.col("n") >= min_rows) & (F.col("m") > 0)
+    stat = stat.select("feature", F.when(enough, F.col("d")).alias("d"), F.sqrt(m * n / (m + n)).alias("en"))
+    return stat.select("feature", _r6(F.col("d")).alias("ks_stat"),
+                       _r6(kolmogorov_tail(F.col("en") * F.col("d"))).alias("ks_pvalue"), _status(F.col("d")).alias("status"))
 
 
 def drift_report(psi_df: DataFrame, ks_df: DataFrame, as_of: _dt.date) -> DataFrame:
     """Per-feature rows plus the summary columns repeated on each row
     (max PSI, min KS p, drifted list, has_drift)."""
-    j = psi_df.join(ks_df, "feature", "inner")
-    j = j.withColumn("drift_detected", (F.col("psi") > K.PSI_ALERT) | (F.col("ks_pvalue") < K.KS_ALPHA))
+    either = F.when((F.col("status") == "ok") & (F.col("ks_status") == "ok"), "ok").otherwise("insufficient_rows")
+    j = psi_df.join(ks_df.withColumnRenamed("status", "ks_status"), "feature", "full").withColumn("status", either)
+    over = (F.col("psi") > K.PSI_ALERT) | (F.col("ks_pvalue") < K.KS_ALPHA)
+    j = j.withColumn("drift_detected", F.coalesce(over, F.lit(False)))
     all_w = Window.partitionBy()  # over the <= 12 feature rows
     return j.select(
-        F.lit(as_of).alias("checked_at"), "feature", "psi", "psi_level", "ks_stat", "ks_pvalue", "drift_detected",
-        F.max("psi").over(all_w).alias("max_psi"), F.min("ks_pvalue").over(all_w).alias("min_ks_pvalue"),
+        F.lit(as_of).alias("checked_at"), "feature", "psi", "psi_level", "ks_stat", "ks_pvalue", "status",
+        "drift_detected", F.max("psi").over(all_w).alias("max_psi"), F.min("ks_pvalue").over(all_w).alias("min_ks_pvalue"),
         F.max(F.col("drift_detected").cast("int")).over(all_w).cast("boolean").alias("has_drift"),
         F.array_sort(F.collect_list(F.when(F.col("drift_detected"), F.col("feature"))).over(all_w))
          .alias("drifted_features"))
@@ -212,7 +170,7 @@ def retrain_decision(report: DataFrame, psi_limit: float = K.PSI_ALERT, p_limit:
     """Retrain if any feature crosses the (overridable) limits."""
     return report.agg(
         F.max("psi").alias("max_psi"), F.min("ks_pvalue").alias("min_ks_pvalue"),
-        F.bool_or((F.col("psi") > psi_limit) | (F.col("ks_pvalue") < p_limit)).alias("retrain"))
+        F.coalesce(F.bool_or((F.col("psi") > psi_limit) | (F.col("ks_pvalue") < p_limit)), F.lit(False)).alias("retrain"))
 
 
 def drift_guidance(report: DataFrame) -> DataFrame:
@@ -220,5 +178,5 @@ def drift_guidance(report: DataFrame) -> DataFrame:
     hp = F.col("psi") > K.PSI_ALERT
     hk = F.col("ks_pvalue") < K.KS_ALPHA
     g = (F.when(hp & hk, "retrain").when(~hp & hk, "sampling_artefact").when(hp & ~hk, "investigate")
-          .otherwise("stable"))
+          .when(F.col("status") != "ok", "insufficient_rows").otherwise("stable"))
     return report.select("feature", "psi", "ks_pvalue", g.alias("guidance"))

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import datetime as _dt
 import math
+from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import constants as K
 from tidemark.functions.columns import lit_date
 from tidemark.operators import ranking
+from tidemark.operators.lookups import seeded_hash
 
 # fixed values: prior, priors for the sensitivity check, decision thresholds
 PRIOR = (2, 8)
@@ -40,7 +41,7 @@ def eligibility(customers: DataFrame, tickets: DataFrame, assignment_date: _dt.d
 
 
 def assign(eligible: DataFrame, salt: str = "exp-1", seed: int = K.RANDOM_SEED) -> DataFrame:
-    h = F.xxhash64(F.col("customer_id"), F.lit(salt), F.lit(seed))
+    h = seeded_hash("customer_id", f"{salt}-{seed}")
     pos = ranking.global_positions(eligible.withColumn("_h", h), [F.col("plan_tier"), F.col("_h"), F.col("customer_id")])
     first = pos.groupBy("plan_tier").agg(F.min("pos").alias("_first"))  # one row per stratum
     j = pos.join(F.broadcast(first), "plan_tier")
@@ -74,11 +75,11 @@ def secondary(assigned: DataFrame, events: DataFrame, tickets: DataFrame, assign
         r(F.avg(F.coalesce("tickets_30d", F.lit(0)))).alias("tickets_per_customer_30d"))
 
 
-def posterior(outcome: DataFrame, priors: list[tuple[int, int, str]] | None = None,
-              draws: int = 100_000, seed: int = K.RANDOM_SEED) -> DataFrame:
-    """Beta-Binomial posterior per prior: P(treatment churn < control churn), mean
-    effect (control - treatment) and its 95 % interval from seeded draws. Runs on
-    the two-row outcome table; the work is per prior, not per customer."""
+def posterior(outcome: DataFrame, priors: list[tuple[int, int, str]] | None = None) -> DataFrame:
+    """Beta-Binomial posterior per prior, in closed form: P(treatment churn <
+    control churn), mean and standard deviation of the effect (control -
+    treatment). Runs on the two-row outcome table; the work is per prior, not per
+    customer."""
     priors = priors or [(PRIOR[0], PRIOR[1], "base")]
     pivot = outcome.groupBy().pivot("arm", ["treatment", "control"]).agg(
         F.first("n").alias("n"), F.first("churned_90d").alias("c"))
@@ -92,20 +93,15 @@ def posterior(outcome: DataFrame, priors: list[tuple[int, int, str]] | None = No
                     at, bt = a0 + ct, b0 + nt - ct
                     ac, bc = a0 + cc, b0 + nc - cc
                     p_win = _p_beta_greater_int(ac, bc, at, bt)
-                    rng = np.random.default_rng(seed)
-                    st = rng.beta(at, bt, draws)
-                    sc = rng.beta(ac, bc, draws)
-                    eff = sc - st
-                    lo, hi = np.percentile(eff, [2.5, 97.5])
+                    mean = ac / (ac + bc) - at / (at + bt)
+                    var = sum(a * b / ((a + b) ** 2 * (a + b + 1)) for a, b in ((ac, bc), (at, bt)))
                     out.append({"prior": label, "prior_a": a0, "prior_b": b0, "n_treatment": nt, "churn_treatment": ct,
                                 "n_control": nc, "churn_control": cc, "p_treatment_better": round(p_win, 9),
-                                "p_harm": round(1 - p_win, 9), "effect_mean": round(float(eff.mean()), 6),
-                                "effect_ci_low": round(float(lo), 6), "effect_ci_high": round(float(hi), 6)})
+                                "p_harm": round(1 - p_win, 9), "effect_mean": round(mean, 6), "effect_sd": round(math.sqrt(var), 6)})
             yield pd.DataFrame(out)
 
     schema = ("prior string, prior_a long, prior_b long, n_treatment long, churn_treatment long, n_control long, "
-              "churn_control long, p_treatment_better double, p_harm double, effect_mean double, "
-              "effect_ci_low double, effect_ci_high double")
+              "churn_control long, p_treatment_better double, p_harm double, effect_mean double, effect_sd double")
     return pivot.na.fill(0).mapInPandas(run, schema)
 
 
@@ -130,9 +126,8 @@ def decision(post: DataFrame) -> DataFrame:
 
 
 def required_n(baseline_rate: Column, mde: float = 0.10, alpha: float = 0.05, power: float = 0.80) -> Column:
-    """Per-arm n for a one-tailed two-proportion z-test (constant z values)."""
-    z_a = 1.6448536269514722 if alpha == 0.05 else None
-    z_b = 0.8416212335729143 if power == 0.80 else None
+    """Per-arm n for a one-tailed two-proportion z-test."""
+    z_a, z_b = NormalDist().inv_cdf(1 - alpha), NormalDist().inv_cdf(power)
     pc, pt = baseline_rate, baseline_rate - mde
     pbar = (pc + pt) / 2
     num = F.pow(z_a * F.sqrt(2 * pbar * (1 - pbar)) + z_b * F.sqrt(pc * (1 - pc) + pt * (1 - pt)), 2)

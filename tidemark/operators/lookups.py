@@ -20,13 +20,17 @@ def active_by_mrr(customers: DataFrame) -> DataFrame:
     return customers.where(F.col("churn_date").isNull()).orderBy(F.col("mrr").desc(), F.col("customer_id"))
 
 
-def sample_n(customers: DataFrame, n: int = 100, seed: int = K.RANDOM_SEED, cap: int = 100) -> DataFrame:
-    """Repeatable sample of n rows (n capped): smallest seeded hash wins.
+def seeded_hash(col: str, seed: int | str = K.RANDOM_SEED):
+    """md5 of seed and value: the same order in every engine."""
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(col)).cast("binary"))
+
+
+def sample_n(customers: DataFrame, n: int = 100, seed: int = K.RANDOM_SEED) -> DataFrame:
+    """Repeatable sample of n rows: smallest seeded hash wins.
 
     Independent of partitioning and file order; top-n by hash is a
     TakeOrderedAndProject, so no global sort of the table."""
-    n = max(0, min(n, cap))
-    return customers.orderBy(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.col("customer_id")).limit(n)
+    return customers.orderBy(seeded_hash("customer_id", seed), F.col("customer_id")).limit(max(0, n))
 
 
 def events_since(events: DataFrame, since: _dt.datetime, ts_col: str = "timestamp") -> DataFrame:
@@ -56,9 +60,3 @@ def row_audit(tables: dict[str, DataFrame]) -> DataFrame:
 def as_of_ts(d: _dt.date) -> _dt.datetime:
     return _dt.datetime(d.year, d.month, d.day)
 
-
-def days_ago(d: _dt.date, n: int) -> _dt.date:
-    return d - _dt.timedelta(days=n)
-
-
-lit_date = lit_date

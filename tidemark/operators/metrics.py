@@ -21,8 +21,8 @@ def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """ROC AUC = (sum of positive ranks - P(P+1)/2) / (P N), ties at average rank."""
     vc = df.groupBy(F.col(score).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum(F.col(label).cast("long")).alias("pos"))
-    cum = ranking._cumulative(vc, "v", "cnt")
-    a = cum.agg(F.sum(F.col("pos") * (F.col("_before") + (F.col("cnt") + 1) / 2.0)).alias("rpos"),
+    cum = ranking.prefix_sums(vc, ["v"], ["cnt"])
+    a = cum.agg(F.sum(F.col("pos") * (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0)).alias("rpos"),
                 F.sum("pos").cast("double").alias("P"), (F.sum("cnt") - F.sum("pos")).cast("double").alias("N"))
     return a.select(_r9((F.col("rpos") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * F.col("N"))).alias("auc"),
                     F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"))

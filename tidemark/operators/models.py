@@ -15,8 +15,7 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-import os
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
@@ -34,6 +33,7 @@ from tidemark.session import ensure_checkpoint_dir
 GBT_PARAMS = dict(maxIter=300, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                   seed=K.RANDOM_SEED)
 N_FOLDS = 5
+ROWS_PER_TASK = 20_000
 CHURN_GATES = {"auc_min": 0.80, "brier_max": 0.15}
 EXPANSION_GATES = {"auc_min": 0.75, "brier_max": 0.10}
 PROMOTION_AUC = 0.80
@@ -65,7 +65,14 @@ def with_class_weight(df: DataFrame) -> DataFrame:
 
 
 def folds(df: DataFrame, k: int = N_FOLDS, seed: int = K.RANDOM_SEED) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col("customer_id"), F.col("label"), F.lit(seed)), F.lit(k)))
+    """Stratified folds: the rows of each label in seeded hash order are dealt in
+    turn, so every fold has its share of both labels."""
+    from tidemark.operators.ranking import global_positions
+    h = F.xxhash64(F.col("customer_id"), F.lit(seed))
+    placed = global_positions(df.withColumn("_h", h), [F.col("label"), F.col("_h"), F.col("customer_id")])
+    first = placed.groupBy("label").agg(F.min("pos").alias("_first"))  # a row per label
+    return (placed.join(F.broadcast(first), "label").withColumn("fold", F.pmod(F.col("pos") - F.col("_first"), F.lit(k)))
+            .drop("_h", "pos", "_first"))
 
 
 def _prob(model: GBTClassificationModel, df: DataFrame, out: str) -> DataFrame:
@@ -108,7 +115,9 @@ class CalibratedGBT:
 def fit_calibrated(train: DataFrame, params: dict | None = None, k: int = N_FOLDS) -> CalibratedGBT:
     params = params or GBT_PARAMS
     data = folds(with_class_weight(train)).select("customer_id", "features", "label", "weight", "fold")
-    data = data.checkpoint(eager=True)  # cut lineage once; six fits read it concurrently
+    # a tree level is a job: small data in many partitions spends its time starting tasks
+    n = max(1, min(data.rdd.getNumPartitions(), data.count() // ROWS_PER_TASK + 1))
+    data = data.coalesce(n).checkpoint(eager=True)  # cut lineage once; six fits read it concurrently
 
     def gbt() -> GBTClassifier:
         return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **params)
@@ -139,8 +148,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-_FIT_LOCKS: dict[str, "threading.Lock"] = {}
-_FIT_GUARD = __import__("threading").Lock()
+_FIT_LOCKS: dict[str, threading.Lock] = {}
+_FIT_GUARD = threading.Lock()
 
 
 def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
@@ -148,7 +157,7 @@ def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
     queries run concurrently)."""
     path = model_path(spark, key)
     with _FIT_GUARD:
-        lock = _FIT_LOCKS.setdefault(path, __import__("threading").Lock())
+        lock = _FIT_LOCKS.setdefault(path, threading.Lock())
     with lock:
         if _exists(spark, f"{path}/_DONE"):
             return CalibratedGBT.load(path)
@@ -159,7 +168,7 @@ def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
             m.save(tmp)
             spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{tmp}/_DONE")
 
-        publish(spark, write, path)
+        publish(spark, write, path, marker="_DONE")
         return CalibratedGBT.load(path)
 
 

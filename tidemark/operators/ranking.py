@@ -4,24 +4,23 @@
 Instead:
 
 * ``global_positions``: range-partition on the sort key (Spark samples the
-  bounds), sort inside each partition, number rows locally in a
-  ``mapInPandas`` pass, checkpoint, then add each partition's offset. The only
-  thing that reaches the driver is one row count per partition.
-* ``average_ranks``: ranks with ties averaged, from the value counts of the
-  column (one row per distinct value) numbered the same way.
-
-Both feed NTILE/decile buckets, rank-sum tests, Spearman correlation and AUC.
+  bounds), sort inside each partition, number the rows with
+  ``monotonically_increasing_id`` (partition and place in it), checkpoint, then
+  add each partition's offset. The only thing that reaches the driver is one row
+  count per partition.
+* ``prefix_sums``: running sums in a sort order the same way, with a window
+  inside each range.
+* ``average_ranks``: ranks with ties averaged, from the prefix sums of the
+  column's value counts (one row per distinct value).
+
+They feed NTILE/decile buckets, rank-sum tests, two-sample KS, Spearman
+correlation and AUC; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -31,33 +30,26 @@ def _num_partitions(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _ranged(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """``df`` in sorted ranges with each row's range (_pid) and place in it (_lpos), checkpointed."""
+    n = partitions or _num_partitions(df)
+    at = F.monotonically_increasing_id()
+    return (df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at)
+            .withColumn("_pid", F.shiftright("_at", 33).cast("int")).withColumn("_lpos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("_at").checkpoint(eager=True))
+
+
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
                      partitions: int | None = None) -> DataFrame:
     """Add a 0-based position in the total order ``order`` (must be a strict order:
     include an id column as the last key for determinism)."""
-    n = partitions or _num_partitions(df)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType(), False),
-                                                  T.StructField("_lpos", T.LongType(), False)])
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        for b in batches:
-            b = b.copy()
-            b["_pid"] = pid
-            b["_lpos"] = range(seen, seen + len(b))
-            seen += len(b)
-            yield b
-
-    numbered = ranged.mapInPandas(number, schema).checkpoint(eager=True)
+    numbered = _ranged(df, order, partitions)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
     offsets, acc = [], 0
     for r in sorted(counts, key=lambda r: r["_pid"]):
         offsets.append((int(r["_pid"]), acc))
         acc += int(r["n"])
-    spark = df.sparkSession
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
+    off = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
     return (numbered.join(F.broadcast(off), "_pid", "left")
             .withColumn(pos_col, F.col("_lpos") + F.coalesce(F.col("_off"), F.lit(0)))
             .drop("_pid", "_lpos", "_off"))
@@ -66,42 +58,29 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos",
 def average_ranks(df: DataFrame, col: str, rank_col: str | None = None) -> DataFrame:
     """Attach the 1-based average rank of ``col`` (ties share the mean rank)."""
     rank_col = rank_col or f"{col}_rank"
-    vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-    # cumulative count before each value = sum of counts of smaller values
-    cum = _cumulative(vc, col, "_cnt")
-    table = cum.select(col, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(rank_col))
+    counted = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
+    table = prefix_sums(counted, [col], ["_cnt"]).select(
+        col, (F.col("_cnt_before") + (F.col("_cnt") + 1) / 2.0).alias(rank_col))
     return df.join(table, col, "left")
 
 
-def _cumulative(df: DataFrame, pos_col: str, weight_col: str) -> DataFrame:
-    """Exclusive running sum of ``weight_col`` in ``pos_col`` order, distributed:
-    per-range sums are offsets, the rest is a local prefix sum."""
-    n = _num_partitions(df)
-    ranged = df.repartitionByRange(n, F.col(pos_col)).sortWithinPartitions(pos_col)
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType(), False),
-                                                  T.StructField("_lcum", T.LongType(), False)])
-
-    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        run = 0
-        for b in batches:
-            b = b.copy()
-            w = b[weight_col].astype("int64")
-            b["_lcum"] = (w.cumsum() - w + run).astype("int64")
-            run += int(w.sum())
-            b["_pid"] = pid
-            yield b
-
-    local = ranged.mapInPandas(prefix, schema).checkpoint(eager=True)
-    sums = local.groupBy("_pid").agg(F.sum(weight_col).alias("s")).collect()
-    offsets, acc = [], 0
+def prefix_sums(df: DataFrame, order: list[str], weights: list[str]) -> DataFrame:
+    """Add ``<weight>_before``: the sum of ``weight`` over the rows before this one
+    in the order of ``order`` (a strict order). Ranges give offsets, a window
+    inside each range the rest."""
+    ranged = _ranged(df, [F.col(c) for c in order])
+    sums = ranged.groupBy("_pid").agg(*[F.sum(w).alias(w) for w in weights]).collect()  # one row per partition
+    offsets, acc = [], [0] * len(weights)
     for r in sorted(sums, key=lambda r: r["_pid"]):
-        offsets.append((int(r["_pid"]), acc))
-        acc += int(r["s"])
-    off = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    return (local.join(F.broadcast(off), "_pid", "left")
-            .withColumn("_before", F.col("_lcum") + F.coalesce(F.col("_off"), F.lit(0)))
-            .drop("_pid", "_lcum", "_off"))
+        offsets.append((int(r["_pid"]), *acc))
+        acc = [a + int(r[w] or 0) for a, w in zip(acc, weights)]
+    schema = ", ".join(["_pid int"] + [f"_off{k} long" for k in range(len(weights))])
+    off = df.sparkSession.createDataFrame(offsets or [(0, *acc)], schema)
+    inside = Window.partitionBy("_pid").orderBy("_lpos").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_in{k}") for k, w in enumerate(weights)])
+    out = out.join(F.broadcast(off), "_pid", "left")
+    return out.select(*df.columns, *[(F.col(f"_in{k}") + F.coalesce(F.col(f"_off{k}"), F.lit(0))).alias(f"{w}_before")
+                                     for k, w in enumerate(weights)])
 
 
 def ntile_from_position(pos: Column, n_rows: Column, buckets: int) -> Column:

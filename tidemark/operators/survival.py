@@ -153,45 +153,38 @@ def dropout_90d(surv: DataFrame) -> DataFrame:
                         .cast("double"))
 
 
-def hazard_curve(surv: DataFrame, max_day: int = 400, sigma: float = 7.0, truncate: float = 4.0) -> DataFrame:
-    """Daily hazard (churns clipped into [1, max_day] / at-risk), smoothed with a
-    Gaussian kernel (reflected edges). The convolution is a weighted sum of
-    lags over the max_day-row day table."""
+def hazard_curve(surv: DataFrame, max_day: int | None = None, sigma: float = 7.0, truncate: float = 4.0) -> DataFrame:
+    """Daily hazard (churns / at risk) over all observed days, smoothed with a
+    Gaussian kernel (reflected edges).
+
+    The curve ends at the longest observed duration; with ``max_day`` later days
+    fall into that last day. The tables here hold a row per day. The smoothing
+    sends each day's hazard, weighted, to the days within the kernel's reach.
+    """
     spark = surv.sparkSession
+    if max_day is None:
+        max_day = max(1, surv.agg(F.max("duration_days")).first()[0] or 1)
     days = spark.range(1, max_day + 1).select(F.col("id").cast("int").alias("day"))
+    per_day = surv.groupBy(F.least(F.col("duration_days"), F.lit(max_day + 1)).alias("day")).agg(F.count(F.lit(1)).alias("c"))
     churn = surv.where(F.col("event") == 1).groupBy(
-        F.least(F.greatest(F.col("duration_days"), F.lit(1)), F.lit(max_day)).alias("day")).agg(
-        F.count(F.lit(1)).alias("churns"))
-    # at_risk(d) = # with duration >= d: counts of durations capped at max_day+1,
-    # reverse running sum over the (max_day+1)-row day index
-    dur = surv.groupBy(F.least(F.col("duration_days"), F.lit(max_day + 1)).alias("day")).agg(
-        F.count(F.lit(1)).alias("c"))
-    idx = spark.range(1, max_day + 2).select(F.col("id").cast("int").alias("day"))
-    rev = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ar = idx.join(dur, "day", "left").select("day", F.sum(F.coalesce("c", F.lit(0))).over(rev).alias("at_risk"))
-    h = days.join(churn, "day", "left").join(ar, "day", "left").select(
-        "day", F.coalesce("churns", F.lit(0)).alias("churns"),
-        F.greatest(F.coalesce("at_risk", F.lit(0)), F.lit(1)).alias("at_risk"))
+        F.least(F.greatest(F.col("duration_days"), F.lit(1)), F.lit(max_day)).alias("day")).agg(F.count(F.lit(1)).alias("churns"))
+    back = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    at_risk = spark.range(1, max_day + 2).select(F.col("id").cast("int").alias("day")).join(per_day, "day", "left").select(
+        "day", F.sum(F.coalesce("c", F.lit(0))).over(back).alias("at_risk"))
+    h = days.join(churn, "day", "left").join(at_risk, "day", "left").select(
+        "day", F.coalesce("churns", F.lit(0)).alias("churns"), F.greatest(F.coalesce("at_risk", F.lit(0)), F.lit(1)).alias("at_risk"))
     h = h.withColumn("raw_hazard", F.col("churns") / F.col("at_risk"))
     radius = int(truncate * sigma + 0.5)
-    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    tot = sum(w)
-    w = [x / tot for x in w]
-    # reflected extension: index i in [1-radius, 0] -> 1-i ; i in [max_day+1, max_day+radius] -> 2*max_day+1-i
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    kernel = F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in enumerate(weights)])
     base = h.select("day", "raw_hazard")
-    left = base.where(F.col("day") <= radius).select((1 - F.col("day")).alias("day"), "raw_hazard")
-    right = base.where(F.col("day") > max_day - radius).select((2 * max_day + 1 - F.col("day")).alias("day"),
-                                                                "raw_hazard")
-    ext = base.unionByName(left).unionByName(right)
-    ow = Window.orderBy("day")
-    smooth = sum((F.lead("raw_hazard", k).over(ow) * w[k + radius] if k > 0 else
-                  F.lag("raw_hazard", -k).over(ow) * w[k + radius] if k < 0 else
-                  F.col("raw_hazard") * w[radius]) for k in range(-radius, radius + 1))
-    ext = ext.withColumn("smoothed_hazard", smooth)
-    out = h.join(ext.select("day", "smoothed_hazard"), "day")
-    return out.select(F.col("day").cast("long").alias("day"), F.col("churns").cast("long").alias("churns"),
-                      F.col("at_risk").cast("long").alias("at_risk"), r9(F.col("raw_hazard")).alias("raw_hazard"),
-                      r9(F.col("smoothed_hazard")).alias("smoothed_hazard"))
+    before = base.where(F.col("day") <= radius).select((1 - F.col("day")).alias("day"), "raw_hazard")
+    after = base.where(F.col("day") > max_day - radius).select((2 * max_day + 1 - F.col("day")).alias("day"), "raw_hazard")
+    sent = base.unionByName(before).unionByName(after).select("day", "raw_hazard", F.explode(kernel).alias("x"))
+    smooth = sent.groupBy((F.col("day") - F.col("x.k")).alias("day")).agg(F.sum(F.col("raw_hazard") * F.col("x.w")).alias("smoothed_hazard"))
+    return h.join(smooth, "day").select(
+        F.col("day").cast("long").alias("day"), F.col("churns").cast("long").alias("churns"), F.col("at_risk").cast("long").alias("at_risk"),
+        r9(F.col("raw_hazard")).alias("raw_hazard"), r9(F.col("smoothed_hazard")).alias("smoothed_hazard"))
 
 
 def hazard_peak(curve: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column, name: str, alterna
     """U for the first sample (rows where ``in_first``) vs the rest."""
     vc = df.groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("cnt"), F.count_if(in_first).alias("c1"))
-    cum = ranking._cumulative(vc, "v", "cnt")
-    ranked = cum.select("cnt", "c1", (F.col("_before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
+    cum = ranking.prefix_sums(vc, ["v"], ["cnt"])
+    ranked = cum.select("cnt", "c1", (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
     agg = ranked.agg(
         F.sum("c1").cast("double").alias("n1"), (F.sum("cnt") - F.sum("c1")).cast("double").alias("n2"),
         F.sum(F.col("c1") * F.col("avg_rank")).alias("r1"),
@@ -40,7 +40,7 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column, name: str, alterna
 
 
 def with_normal_p(df: DataFrame) -> DataFrame:
-    return df.withColumn("p_value", 1 - ST.norm_cdf_udf(F.col("z")))
+    return df.withColumn("p_value", ST.norm_sf_udf(F.col("z")))
 
 
 def pooled_t(df: DataFrame, value: str, in_first: Column, name: str) -> DataFrame:

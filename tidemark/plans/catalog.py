@@ -55,13 +55,7 @@ def wh(spark: SparkSession, sf_dir: str):
 
 def _load_all() -> None:
     # importing the modules registers their queries
-    from tidemark.plans import queries_core  # noqa: F401
-    for mod in ("queries_analysis", "queries_models", "queries_text"):
-        try:
-            __import__(f"tidemark.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"tidemark.plans.{mod}":
-                raise
+    from tidemark.plans import queries_analysis, queries_core, queries_models, queries_text  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:

@@ -38,7 +38,7 @@ bhist AS (SELECT r.feature, g.bin, r.lo + g.bin * ((r.hi - r.lo) / 10) AS lower_
                  coalesce(c.c, 0) / r.n AS share
           FROM brange r CROSS JOIN (SELECT range AS bin FROM range(0, 10)) g
           LEFT JOIN bcount c ON c.feature = r.feature AND c.bin = g.bin),
-pstats AS (SELECT feature, count(*) AS pn, min(value) AS pmin, max(value) AS pmax FROM plong GROUP BY 1 HAVING count(*) >= 10),
+pstats AS (SELECT feature, count(*) AS pn, min(value) AS pmin, max(value) AS pmax FROM plong GROUP BY 1),
 pedges AS (SELECT h.feature, h.bin, h.share,
                   CASE WHEN h.bin = 0 THEN least(h.lower_edge, p.pmin) - 1e-6 ELSE h.lower_edge END AS e_lo
            FROM bhist h JOIN pstats p USING (feature)),
@@ -47,13 +47,45 @@ pbin AS (SELECT l.feature, (SELECT count(*) FROM pedges e WHERE e.feature = l.fe
 pcount AS (SELECT feature, bin, count(*) AS c FROM pbin GROUP BY 1, 2),
 psi_terms AS (SELECT e.feature, (coalesce(c.c, 0) / p.pn - e.share)
                      * ln((coalesce(c.c, 0) / p.pn + 1e-10) / (e.share + 1e-10)) AS term
-              FROM pedges e JOIN pstats p USING (feature) LEFT JOIN pcount c ON c.feature = e.feature AND c.bin = e.bin)"""
+              FROM pedges e JOIN pstats p USING (feature) LEFT JOIN pcount c ON c.feature = e.feature AND c.bin = e.bin
+              WHERE p.pn >= 10),
+all_features AS (SELECT feature FROM bstats UNION SELECT feature FROM pstats),
+psi_sum AS (SELECT feature, greatest(sum(term), 0.0) AS raw FROM psi_terms GROUP BY feature),
+psi_out AS (SELECT f.feature, {r6('raw')} AS psi,
+                   CASE WHEN raw < 0.10 THEN 'no_drift' WHEN raw < 0.20 THEN 'moderate' WHEN raw >= 0.20 THEN 'alert' END AS psi_level,
+                   CASE WHEN raw IS NULL THEN 'insufficient_rows' ELSE 'ok' END AS status
+            FROM all_features f LEFT JOIN psi_sum s USING (feature)),
+points AS (SELECT DISTINCT feature, value FROM (SELECT feature, value FROM blong UNION ALL SELECT feature, value FROM plong)),
+steps AS (SELECT t.feature, t.value, coalesce(b.n, 0) AS nb, coalesce(p.n, 0) AS np
+          FROM points t LEFT JOIN (SELECT feature, value, count(*) AS n FROM blong GROUP BY 1, 2) b USING (feature, value)
+                        LEFT JOIN (SELECT feature, value, count(*) AS n FROM plong GROUP BY 1, 2) p USING (feature, value)),
+cdfs AS (SELECT feature, sum(nb) OVER up AS ub, sum(np) OVER up AS up_, sum(nb) OVER whole AS m, sum(np) OVER whole AS n
+         FROM steps WINDOW up AS (PARTITION BY feature ORDER BY value), whole AS (PARTITION BY feature)),
+ks_raw AS (SELECT feature, CASE WHEN max(n) >= 10 AND max(m) > 0 THEN max(abs(ub / m - up_ / n)) END AS d,
+                  sqrt(CAST(max(m) AS DOUBLE) * max(n) / (max(m) + max(n))) AS en FROM cdfs GROUP BY feature),
+ks_out AS (SELECT feature, {r6('d')} AS ks_stat,
+                  {r6("CASE WHEN en * d < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), "
+                      "lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * en * d * en * d))))) END")} AS ks_pvalue,
+                  CASE WHEN d IS NULL THEN 'insufficient_rows' ELSE 'ok' END AS status
+           FROM ks_raw),
+report AS (SELECT feature, psi, psi_level, ks_stat, ks_pvalue,
+                  CASE WHEN a.status = 'ok' AND b.status = 'ok' THEN 'ok' ELSE 'insufficient_rows' END AS status,
+                  coalesce(psi > 0.20 OR ks_pvalue < 0.05, FALSE) AS drift_detected
+           FROM psi_out a FULL JOIN ks_out b USING (feature))"""
 
 DRIFT = {
     "drift_baseline_stats": f"SELECT feature, n, min, max, {r6('mean')} AS mean, {r6('std')} AS std FROM bstats",
     "drift_baseline_hist": f"""SELECT feature, CAST(bin AS BIGINT) AS bin, {r6('lower_edge')} AS lower_edge,
         {r6('upper_edge')} AS upper_edge, {r6('share')} AS share FROM bhist""",
-    "drift_psi": f"""SELECT feature, {r6('greatest(sum(term), 0.0)')} AS psi,
-        CASE WHEN greatest(sum(term), 0.0) < 0.10 THEN 'no_drift' WHEN greatest(sum(term), 0.0) < 0.20 THEN 'moderate'
-             ELSE 'alert' END AS psi_level FROM psi_terms GROUP BY feature""",
+    "drift_psi": "SELECT * FROM psi_out",
+    "drift_ks": "SELECT * FROM ks_out",
+    "drift_report": f"""SELECT DATE '{K.ORDERS_AS_OF.isoformat()}' AS checked_at, *, max(psi) OVER () AS max_psi, min(ks_pvalue) OVER () AS min_ks_pvalue,
+        (SELECT bool_or(drift_detected) FROM report) AS has_drift,
+        coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM report WHERE drift_detected), '') AS drifted_features FROM report""",
+    "drift_decision": """SELECT max(psi) AS max_psi, min(ks_pvalue) AS min_ks_pvalue,
+        coalesce(bool_or(psi > 0.20 OR ks_pvalue < 0.05), FALSE) AS retrain FROM report""",
+    "drift_guidance": """SELECT feature, psi, ks_pvalue,
+        CASE WHEN psi > 0.20 AND ks_pvalue < 0.05 THEN 'retrain' WHEN psi <= 0.20 AND ks_pvalue < 0.05 THEN 'sampling_artefact'
+             WHEN psi > 0.20 AND ks_pvalue >= 0.05 THEN 'investigate' WHEN status <> 'ok' THEN 'insufficient_rows' ELSE 'stable' END AS guidance
+        FROM report""",
 }

@@ -64,7 +64,7 @@ SELECT customer_id,
        coalesce(CAST(list_position([{", ".join(f"'{i.lower()}'" for i in K.INDUSTRIES)}], lower(industry)) - 1 AS DOUBLE), -1.0) AS industry_code
 FROM raw_customers""",
     "ml_standardise": "SELECT customer_id, " + ", ".join(
-        f"{r9(f'(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_samp(CAST({c} AS DOUBLE)) OVER ()')} AS {c}"
+        f"{r9(f'(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1)')} AS {c}"
         for c in K.CHURN_NUMERIC_FEATURES) + " FROM cpit",
     "feat_to_model_row": "SELECT customer_id, " + ", ".join(
         f"CAST(CAST({c} AS INTEGER) AS DOUBLE) AS {c}" if c == "is_early_stage" else f"CAST({c} AS DOUBLE) AS {c}"

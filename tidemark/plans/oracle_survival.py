@@ -79,15 +79,15 @@ SURVIVAL = {
 
 
 HAZARD_CTES = """
-hz_ch AS (SELECT least(greatest(duration_days, 1), 400) AS day, count(*) AS churns FROM sd WHERE event = 1 GROUP BY 1),
-hz_dur AS (SELECT least(duration_days, 401) AS day, count(*) AS c FROM sd GROUP BY 1),
-hz_ar AS (SELECT i.range AS day, sum(coalesce(c, 0)) OVER (ORDER BY i.range DESC ROWS UNBOUNDED PRECEDING) AS at_risk
-          FROM range(1, 402) i LEFT JOIN hz_dur ON hz_dur.day = i.range),
-hz AS (SELECT d.range AS day, coalesce(churns, 0) AS churns, greatest(coalesce(at_risk, 0), 1) AS at_risk,
+hz_end AS (SELECT max(duration_days) AS last FROM sd),
+hz_ch AS (SELECT greatest(duration_days, 1) AS day, count(*) AS churns FROM sd WHERE event = 1 GROUP BY 1),
+hz_days AS (SELECT unnest(range(1, last + 1)) AS day FROM hz_end),
+hz_ar AS (SELECT d.day, (SELECT count(*) FROM sd WHERE duration_days >= d.day) AS at_risk FROM hz_days d),
+hz AS (SELECT d.day, coalesce(churns, 0) AS churns, greatest(coalesce(at_risk, 0), 1) AS at_risk,
               coalesce(churns, 0) / greatest(coalesce(at_risk, 0), 1) AS raw
-       FROM range(1, 401) d LEFT JOIN hz_ch ON hz_ch.day = d.range LEFT JOIN hz_ar ON hz_ar.day = d.range),
+       FROM hz_days d LEFT JOIN hz_ch ON hz_ch.day = d.day LEFT JOIN hz_ar ON hz_ar.day = d.day),
 hz_ext AS (SELECT day, raw FROM hz UNION ALL SELECT 1 - day, raw FROM hz WHERE day <= 28
-           UNION ALL SELECT 801 - day, raw FROM hz WHERE day > 372),
+           UNION ALL SELECT 2 * last + 1 - day, raw FROM hz, hz_end WHERE day > last - 28),
 kern AS (SELECT range AS k, exp(-0.5 * (range / 7.0) * (range / 7.0)) AS w FROM range(-28, 29)),
 kn AS (SELECT k, w / sum(w) OVER () AS w FROM kern),
 hz_sm AS (SELECT h.day, sum(e.raw * kn.w) AS smoothed FROM hz h, kn, hz_ext e WHERE e.day = h.day + kn.k GROUP BY h.day)"""

@@ -88,3 +88,46 @@ FROM (SELECT plan_tier, count(*) AS n_customers,
        CAST(round(CAST(count(*) FILTER (WHERE outcome = 'upgraded') / count(*) AS DECIMAL(38,12)), 6) AS DOUBLE) AS conversion_rate
 FROM raw_expansion_outreach_log GROUP BY 1, 2""",
 }
+
+_ELIGIBLE = TESTS["exp_eligibility"]
+_ARMS = f"""arms AS (
+  SELECT customer_id, plan_tier, signup_date, churn_date,
+         CASE WHEN (row_number() OVER (PARTITION BY plan_tier ORDER BY md5('exp-1-42-' || customer_id), customer_id)) % 2 = 1
+              THEN 'treatment' ELSE 'control' END AS arm
+  FROM ({_ELIGIBLE}))"""
+_OUTCOME = f"""outcome AS (
+  SELECT arm, count(*) AS n, count(*) FILTER (WHERE churn_date > {ASSIGN} AND churn_date <= {ASSIGN} + 90) AS churned
+  FROM arms GROUP BY arm)"""
+# P(control rate > treatment rate) for independent Beta posteriors with whole-number parameters, as a finite sum
+_POSTERIOR = f"""{_ARMS}, {_OUTCOME},
+both_arms AS (SELECT coalesce(max(n) FILTER (WHERE arm = 'treatment'), 0) AS nt, coalesce(max(churned) FILTER (WHERE arm = 'treatment'), 0) AS ct,
+                     coalesce(max(n) FILTER (WHERE arm = 'control'), 0) AS nc, coalesce(max(churned) FILTER (WHERE arm = 'control'), 0) AS cc FROM outcome),
+pars AS (SELECT prior, a, b, nt, ct, nc, cc, CAST(a + ct AS DOUBLE) AS ta, CAST(b + nt - ct AS DOUBLE) AS tb,
+                CAST(a + cc AS DOUBLE) AS ca, CAST(b + nc - cc AS DOUBLE) AS cb
+         FROM both_arms, (VALUES ('weak', 1, 4), ('base', 2, 8), ('moderate', 3, 7), ('informative', 5, 15)) p(prior, a, b)),
+win AS (SELECT prior, sum(exp(lgamma(ta + i) + lgamma(tb + cb) - lgamma(ta + i + tb + cb) - ln(cb + i)
+                              - lgamma(1 + i) - lgamma(cb) + lgamma(1 + i + cb) - lgamma(ta) - lgamma(tb) + lgamma(ta + tb))) AS p
+        FROM (SELECT *, unnest(range(0, CAST(ca AS BIGINT))) AS i FROM pars) GROUP BY prior),
+post AS (SELECT prior, CAST(a AS BIGINT) AS prior_a, CAST(b AS BIGINT) AS prior_b, nt AS n_treatment, ct AS churn_treatment, nc AS n_control, cc AS churn_control,
+                round(least(1.0, greatest(0.0, p)), 9) AS p_treatment_better, round(1 - least(1.0, greatest(0.0, p)), 9) AS p_harm,
+                round(ca / (ca + cb) - ta / (ta + tb), 6) AS effect_mean,
+                round(sqrt(ca * cb / (pow(ca + cb, 2) * (ca + cb + 1)) + ta * tb / (pow(ta + tb, 2) * (ta + tb + 1))), 6) AS effect_sd
+         FROM pars JOIN win USING (prior))"""
+TESTS |= {
+    "exp_assign": f"WITH {_ARMS} SELECT * FROM arms",
+    "exp_outcomes": f"WITH {_ARMS}, {_OUTCOME} SELECT arm, n, churned AS churned_90d FROM outcome",
+    "exp_secondary": f"""WITH {_ARMS},
+used AS (SELECT customer_id, count(*) FILTER (WHERE event_type = 'integration_connect' AND CAST("timestamp" AS DATE) < {ASSIGN} + 30) AS i,
+                avg(feature_adoption_score) AS adoption
+         FROM raw_usage_events WHERE CAST("timestamp" AS DATE) >= {ASSIGN} AND CAST("timestamp" AS DATE) < {ASSIGN} + 60 GROUP BY 1),
+asked AS (SELECT customer_id, count(*) AS n FROM raw_support_tickets WHERE created_date >= {ASSIGN} AND created_date < {ASSIGN} + 30 GROUP BY 1)
+SELECT arm, {r9('avg(CASE WHEN i > 0 THEN 1 ELSE 0 END)')} AS integration_rate_30d, {r9('avg(adoption)')} AS adoption_60d,
+       {r9('avg(coalesce(asked.n, 0))')} AS tickets_per_customer_30d
+FROM arms LEFT JOIN used USING (customer_id) LEFT JOIN asked USING (customer_id) GROUP BY arm""",
+    "exp_posterior": f"WITH {_POSTERIOR} SELECT * FROM post WHERE prior = 'base'",
+    "exp_prior_sensitivity": f"WITH {_POSTERIOR} SELECT * FROM post",
+    "exp_decision": f"""WITH {_POSTERIOR} SELECT prior, p_treatment_better, p_harm,
+       CASE WHEN p_harm > 0.10 THEN 'stop' WHEN p_treatment_better >= 0.90 THEN 'effective' WHEN p_treatment_better >= 0.70 THEN 'extend'
+            ELSE 'redesign' END AS decision,
+       p_treatment_better > 0.95 AND least(n_treatment, n_control) >= 40 AS early_stop_success FROM post""",
+}

@@ -27,6 +27,7 @@ OUTPUT_CASTS: dict[str, dict[str, str]] = {
     "lkp_customer_by_id": {"mrr": D},
     "lkp_events_since": {"feature_adoption_score": D},
     "lkp_open_opps": {"amount": D},
+    "lkp_sample_n": {"mrr": D},
     "exp_eligibility": {"mrr": D},
     "mart_churn_features": {"mrr": D, "activated_at_30d": B},
     "mart_expansion_features": {"mrr": D, "expansion_opp_amount": D, "activated_at_30d": B},

@@ -159,18 +159,23 @@ def _hist(s, d):
 register("drift_baseline_hist", with_ctes(OD.DRIFT["drift_baseline_hist"], OD.DRIFT_CTES))(_hist)
 register("drift_psi", with_ctes(OD.DRIFT["drift_psi"], OD.DRIFT_CTES))(
     lambda s, d: DR.psi(_baseline(s, d), _drift_prod(s, d)))
-register("drift_ks")(lambda s, d: DR.ks(_baseline(s, d), _drift_prod(s, d)))
+register("drift_ks", with_ctes(OD.DRIFT["drift_ks"], OD.DRIFT_CTES))(lambda s, d: DR.ks(_drift_train(s, d), _drift_prod(s, d)))
 register("drift_baseline")(_baseline)
 
 
 def _report(s, d):
     b = _baseline(s, d)
-    return DR.drift_report(DR.psi(b, _drift_prod(s, d)), DR.ks(b, _drift_prod(s, d)), K.ORDERS_AS_OF)
+    return DR.drift_report(DR.psi(b, _drift_prod(s, d)), DR.ks(_drift_train(s, d), _drift_prod(s, d)), K.ORDERS_AS_OF)
 
 
-register("drift_report")(_report)
-register("drift_decision")(lambda s, d: DR.retrain_decision(_report(s, d)))
-register("drift_guidance")(lambda s, d: DR.drift_guidance(_report(s, d)))
+def _report_rows(s, d):
+    """The report with the list of drifted features as text."""
+    return _report(s, d).withColumn("drifted_features", F.array_join("drifted_features", ","))
+
+
+register("drift_report", with_ctes(OD.DRIFT["drift_report"], OD.DRIFT_CTES))(_report_rows)
+register("drift_decision", with_ctes(OD.DRIFT["drift_decision"], OD.DRIFT_CTES))(lambda s, d: DR.retrain_decision(_report(s, d)))
+register("drift_guidance", with_ctes(OD.DRIFT["drift_guidance"], OD.DRIFT_CTES))(lambda s, d: DR.drift_guidance(_report(s, d)))
 
 # ------------------------------------------------------------ two-sample tests
 import datetime as _dt  # noqa: E402
@@ -187,9 +192,8 @@ def _t(name: str) -> str:
 def _mw_frames(s, d):
     w = wh(s, d)
     c, e = w.customers, w.usage_events
-    mx = e.agg(F.max("timestamp").alias("mx"))
-    recent = e.join(F.broadcast(mx), F.col("timestamp") >= F.col("mx") - F.expr("INTERVAL 30 DAYS")) \
-        .groupBy("customer_id").agg(F.count(F.lit(1)).alias("v"))
+    latest = e.agg(F.max("timestamp")).first()[0]  # one number, so that the filter reaches the scan
+    recent = e.where(F.col("timestamp") >= F.lit(latest) - F.expr("INTERVAL 30 DAYS")).groupBy("customer_id").agg(F.count(F.lit(1)).alias("v"))
     ev30 = c.select("customer_id", F.col("churn_date").isNotNull().alias("g")).join(recent, "customer_id", "left") \
         .select("g", F.coalesce("v", F.lit(0)).alias("v"))
     asof = lit_date(K.ORDERS_AS_OF)
@@ -259,13 +263,13 @@ def _outcomes(s, d):
 
 
 register("exp_eligibility", _t("exp_eligibility"))(_eligible)
-register("exp_assign")(_assigned)
-register("exp_outcomes")(_outcomes)
-register("exp_secondary")(lambda s, d: EX.secondary(_assigned(s, d), wh(s, d).usage_events, wh(s, d).support_tickets,
+register("exp_assign", _t("exp_assign"))(_assigned)
+register("exp_outcomes", _t("exp_outcomes"))(_outcomes)
+register("exp_secondary", _t("exp_secondary"))(lambda s, d: EX.secondary(_assigned(s, d), wh(s, d).usage_events, wh(s, d).support_tickets,
                                                      ASSIGNMENT_DATE))
-register("exp_posterior")(lambda s, d: EX.posterior(_outcomes(s, d)))
-register("exp_prior_sensitivity")(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS))
-register("exp_decision")(lambda s, d: EX.decision(EX.posterior(_outcomes(s, d), EX.PRIORS)))
+register("exp_posterior", _t("exp_posterior"))(lambda s, d: EX.posterior(_outcomes(s, d)))
+register("exp_prior_sensitivity", _t("exp_prior_sensitivity"))(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS))
+register("exp_decision", _t("exp_decision"))(lambda s, d: EX.decision(EX.posterior(_outcomes(s, d), EX.PRIORS)))
 register("exp_required_n", _t("exp_required_n"))(
     lambda s, d: EX.required_n_by_segment(wh(s, d).customers, K.ORDERS_AS_OF))
 register("outreach_lift", _t("outreach_lift"))(lambda s, d: EX.outreach_lift(wh(s, d).expansion_outreach_log))

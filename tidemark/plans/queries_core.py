@@ -92,7 +92,7 @@ register("lkp_customer_by_id", _misc("lkp_customer_by_id"))(
                                     wh(s, d).risk_scores.where(F.col("risk_tier") == "critical")))
 register("lkp_event_count_n_days", _misc("lkp_event_count_n_days"))(
     lambda s, d: L.event_count_n_days(wh(s, d).customers, wh(s, d).usage_events, _ASOF_TS, 30))
-register("lkp_sample_n")(lambda s, d: L.sample_n(wh(s, d).customers, 100))
+register("lkp_sample_n", with_ctes("SELECT * FROM raw_customers ORDER BY md5('42-' || customer_id), customer_id LIMIT 100"))(lambda s, d: L.sample_n(wh(s, d).customers, 100))
 
 # ------------------------------------------------------------ risk rules and scoring tables
 register("usage_decay", _misc("usage_decay"))(

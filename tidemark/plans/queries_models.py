@@ -56,13 +56,13 @@ register("ml_ordinal_encode", _m("ml_ordinal_encode"))(
 
 
 def _standardised(s, d):
-    """z-scores with the sample standard deviation (sklearn uses the population
-    one: a factor sqrt(n/(n-1)) apart). Two numbers per feature reach the driver."""
+    """z-scores with the population standard deviation; a constant column gives 0.
+    Two numbers per feature reach the driver."""
     df = train_churn(s, d)
     feats = [c for c in K.CHURN_NUMERIC_FEATURES]
     st = df.agg(*[x for c in feats for x in (F.avg(F.col(c).cast("double")).alias(f"m_{c}"),
-                                             F.stddev_samp(F.col(c).cast("double")).alias(f"s_{c}"))]).first()
-    return df.select("customer_id", *[MT._r9((F.col(c).cast("double") - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"]))
+                                             F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}"))]).first()
+    return df.select("customer_id", *[MT._r9((F.col(c).cast("double") - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"] or 1.0))
                                       .alias(c) for c in feats])
 
 
@@ -106,7 +106,17 @@ def expansion_model(s, d):
     return MD.fit_or_load(s, _key(s, d, "expansion"), lambda: _exp_frames(s, d)[0])
 
 
+def _scored(s, d, name, build):
+    """A scored table, stored once: the ensembles of 1,500 trees are not evaluated
+    again for every metric that reads it."""
+    return wh(s, d)._table(f"scored-{_key(s, d, name)}", build)
+
+
 def _test_scores(s, d, which):
+    return _scored(s, d, f"test-{which}", lambda: _score_test(s, d, which))
+
+
+def _score_test(s, d, which):
     model = churn_model(s, d) if which == "churn" else expansion_model(s, d)
     test = (_churn_frames if which == "churn" else _exp_frames)(s, d)[1]
     return model.predict(test).select("customer_id", "label", F.col("probability_calibrated").alias("score"),
@@ -152,6 +162,10 @@ register("ml_leakage_guard")(lambda s, d: _importance(s, d, "expansion").where(F
 
 def batch_score_churn(s, d):
     """Every active customer at as_of: calibrated probability, tier, action flag."""
+    return _scored(s, d, "batch-churn", lambda: _batch_score_churn(s, d))
+
+
+def _batch_score_churn(s, d):
     mart = wh(s, d).churn_features
     frame = MD.model_frame(mart, CHURN_X, label=None)
     p = churn_model(s, d).predict(frame).select("customer_id", F.col("probability_calibrated").alias("p"))
@@ -167,6 +181,10 @@ register("ml_batch_score_churn_summary")(lambda s, d: batch_score_churn(s, d).ag
 
 
 def batch_score_expansion(s, d):
+    return _scored(s, d, "batch-expansion", lambda: _batch_score_expansion(s, d))
+
+
+def _batch_score_expansion(s, d):
     mart = wh(s, d).expansion_features
     frame = MD.model_frame(mart, EXP_X, label=None)
     p = expansion_model(s, d).predict(frame).select("customer_id", F.col("probability_calibrated").alias("propensity"))

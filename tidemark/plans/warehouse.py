@@ -36,19 +36,30 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def publish(spark: SparkSession, write_to, final: str) -> None:
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a full URI: whatever store it is in, and however it is spelled."""
+    p, fs = _fs(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
+def publish(spark: SparkSession, write_to, final: str, marker: str = "_SUCCESS") -> None:
     """Write into a private temporary path, then rename it into place. If another
-    process published first, its copy is kept and ours is dropped, so readers
-    only ever see complete tables."""
+    process published first, its complete copy (one with ``marker``) is kept and
+    ours is dropped; a folder without the marker is a broken copy and is replaced."""
     import uuid
     tmp = f"{final}.tmp-{uuid.uuid4().hex}"
     write_to(tmp)
     src, fs = _fs(spark, tmp)
     dst, _ = _fs(spark, final)
     fs.mkdirs(dst.getParent())
+    done, _ = _fs(spark, f"{final}/{marker}")
+    if fs.exists(dst) and not fs.exists(done):
+        fs.delete(dst, True)
     # renaming onto an existing directory would nest the copy inside it: keep the winner's
     if fs.exists(dst) or not fs.rename(src, dst):
         fs.delete(src, True)
+        if not fs.exists(done):
+            raise RuntimeError(f"{final} could not be published")
 
 
 _CODE_FILES = ["sources/adapter.py", "sources/driver_tables.py", "operators/staging.py", "operators/features.py",
@@ -66,12 +77,15 @@ def code_fingerprint(files: list[str] = _CODE_FILES) -> str:
 
 
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Sizes and modification times of the input files: a changed input gets new tables."""
+    """Paths, sizes and modification times of all input files, however deep: a
+    changed input gets new tables."""
     p, fs = _fs(spark, sf_dir)
     parts = []
     if fs.exists(p):
-        for st in fs.listStatus(p):
-            parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            st = files.next()
+            parts.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
     return "|".join(sorted(parts))
 
 
@@ -79,7 +93,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.date = K.ORDERS_AS_OF,
                  materialize: bool = True):
         self.spark = spark
-        self.sf_dir = os.path.abspath(sf_dir)
+        self.sf_dir = qualified(spark, sf_dir)
         self.as_of = as_of
         self.materialize = materialize
         self._tables: dict[str, DataFrame] = {}
@@ -216,11 +230,9 @@ class Warehouse:
 
 
 def warehouse(spark: SparkSession, sf_dir: str, as_of: _dt.date = K.ORDERS_AS_OF,
-              materialize: bool | None = None) -> Warehouse:
+              materialize: bool = True) -> Warehouse:
     """Memoised per (session, directory, as_of)."""
-    if materialize is None:
-        materialize = os.environ.get("TIDEMARK_MATERIALIZE", "1") != "0"
-    key = (id(spark), os.path.abspath(sf_dir), as_of, materialize)
+    key = (spark._jsparkSession.sessionUUID(), qualified(spark, sf_dir), as_of, materialize)
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,12 +48,15 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder for materialised tables, models and checkpoints.
 
     On a cluster this is ``spark.checkpoint.dir`` as set by the submitter (read
-    from the session). Only when it is unset (local runs, tests) a local folder
-    is used; it is stable across processes so repeated local runs reuse tables.
+    from the session). Only in local mode, where one machine runs everything, may
+    it be unset: then a local folder is used, stable across processes so that
+    repeated runs reuse tables.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return os.path.join(tempfile.gettempdir(), "tidemark-shared")
 
 
@@ -66,7 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -77,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     the same on a cluster as in local mode whatever the working directory.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     import zipfile
