@@ -49,12 +49,12 @@ psi_terms AS (SELECT e.feature, (coalesce(c.c, 0) / p.pn - e.share)
                      * ln((coalesce(c.c, 0) / p.pn + 1e-10) / (e.share + 1e-10)) AS term
               FROM pedges e JOIN pstats p USING (feature) LEFT JOIN pcount c ON c.feature = e.feature AND c.bin = e.bin
               WHERE p.pn >= 10),
-all_features AS (SELECT feature FROM bstats UNION SELECT feature FROM pstats),
+either_side AS (SELECT feature FROM bstats UNION SELECT feature FROM pstats),
 psi_sum AS (SELECT feature, greatest(sum(term), 0.0) AS raw FROM psi_terms GROUP BY feature),
 psi_out AS (SELECT f.feature, {r6('raw')} AS psi,
                    CASE WHEN raw < 0.10 THEN 'no_drift' WHEN raw < 0.20 THEN 'moderate' WHEN raw >= 0.20 THEN 'alert' END AS psi_level,
                    CASE WHEN raw IS NULL THEN 'insufficient_rows' ELSE 'ok' END AS status
-            FROM all_features f LEFT JOIN psi_sum s USING (feature)),
+            FROM either_side f LEFT JOIN psi_sum s USING (feature)),
 points AS (SELECT DISTINCT feature, value FROM (SELECT feature, value FROM blong UNION ALL SELECT feature, value FROM plong)),
 steps AS (SELECT t.feature, t.value, coalesce(b.n, 0) AS nb, coalesce(p.n, 0) AS np
           FROM points t LEFT JOIN (SELECT feature, value, count(*) AS n FROM blong GROUP BY 1, 2) b USING (feature, value)
