@@ -40,3 +40,27 @@ def test_ticket_top_k_with_hot_customer(spark):
     assert len(hot) == 20 and all(r["priority"] == "critical" for r in hot)
     exp = sorted([r for r in rows if r[0] == "hot" and r[3] == "critical"], key=lambda r: (-r[2].toordinal(), r[1]))[:20]
     assert [r["ticket_id"] for r in hot] == [r[1] for r in exp]
+
+
+def test_raw_events_are_summed_below_the_exchange_and_scanned_once(spark):
+    """The plan: partial aggregate, then exchange, then joins; no join sees raw events."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ev = spark.range(100).selectExpr("cast(id % 3 as string) customer_id", "timestamp'2001-07-01' event_timestamp", "'api_call' event_type",
+                                         "cast(0.5 as float) feature_adoption_score")
+        refs = spark.createDataFrame([("0", dt.date(2001, 1, 1), dt.date(2001, 8, 1))], "customer_id string, signup_date date, obs_date date")
+        plan = FT.event_aggregates(ev, refs, cut_before_obs=False)._jdf.queryExecution().sparkPlan().toString()
+        below = plan[plan.index("Join"):]
+        assert below.count("Range (") == 1 and below.index("partial_count") < below.index("Range (")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_rollup_is_pruned_by_day(spark):
+    from tidemark.functions import constants as K
+    from tidemark.operators import risk
+    from tidemark.plans.warehouse import warehouse
+    from tests.conftest import SF0001
+    w = warehouse(spark, SF0001, K.ORDERS_AS_OF)
+    plan = risk.usage_decay(w.customers, w.event_days, K.ORDERS_AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(day" in plan

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as _dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import constants as K
 from tidemark.functions.columns import lit_date
 from tidemark.operators import ranking
+from tidemark.operators.features import mean_score, n_if
 
 
 def _pct(num: Column, den: Column, digits: int = 1) -> Column:
@@ -83,20 +83,19 @@ EDA_FEATURES = ["events_last_30d", "avg_adoption_score", "retention_signal_count
                 "integration_connects_first_30d", "high_priority_tickets"]
 
 
-def feat_eda_all(customers: DataFrame, events: DataFrame, tickets: DataFrame, as_of: _dt.date) -> DataFrame:
-    """Five features for every customer; events NOT cut at the reference date,
+def feat_eda_all(customers: DataFrame, days: DataFrame, tickets: DataFrame, as_of: _dt.date) -> DataFrame:
+    """Five features for every customer from the daily rollup; events NOT cut at the reference date,
     retention counted over a different type set (as in the descriptive analysis)."""
     ref = F.coalesce(F.col("churn_date"), lit_date(as_of))
     refs = customers.select("customer_id", "plan_tier", "industry", "signup_date", "mrr",
                             F.col("churn_date").isNotNull().cast("int").alias("is_churned"), ref.alias("obs_date"))
-    e = events.select("customer_id", F.to_date("timestamp").alias("_d"), "event_type", "feature_adoption_score")
-    j = e.join(refs.select("customer_id", "signup_date", "obs_date"), "customer_id", "inner")
+    j = days.join(refs.select("customer_id", "signup_date", "obs_date"), "customer_id", "inner")
     ev = j.groupBy("customer_id").agg(
-        F.count_if(F.col("_d") >= F.date_sub("obs_date", 30)).alias("events_last_30d"),
-        F.avg("feature_adoption_score").alias("avg_adoption_score"),
-        F.count_if(F.col("event_type").isin(*K.EDA_RETENTION_EVENT_TYPES)).alias("retention_signal_count"),
-        F.count_if((F.col("event_type") == "integration_connect")
-                   & (F.col("_d") <= F.date_add("signup_date", 30))).alias("integration_connects_first_30d"))
+        n_if(F.col("day") >= F.date_sub("obs_date", 30)).alias("events_last_30d"),
+        mean_score().alias("avg_adoption_score"),
+        n_if(F.col("event_type").isin(*K.EDA_RETENTION_EVENT_TYPES)).alias("retention_signal_count"),
+        n_if((F.col("event_type") == "integration_connect")
+             & (F.col("day") <= F.date_add("signup_date", 30))).alias("integration_connects_first_30d"))
     tk = tickets.groupBy("customer_id").agg(
         F.count_if(F.col("priority").isin(*K.HIGH_PRIORITIES)).alias("high_priority_tickets"))
     out = refs.join(ev, "customer_id", "left").join(tk, "customer_id", "left")
@@ -206,7 +205,3 @@ def cohort_churn_rate_context(customers: DataFrame) -> DataFrame:
         F.avg(F.col("churn_date").isNotNull().cast("int")).alias("_r"))
     return customers.select("customer_id", "plan_tier", "industry").join(F.broadcast(g), ["plan_tier", "industry"]) \
         .select("customer_id", "plan_tier", "industry", _r(F.col("_r"), 6).alias("cohort_churn_rate"))
-
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)

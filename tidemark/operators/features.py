@@ -3,14 +3,17 @@
 One idea carries all of them: a mart is a point-in-time set whose observation
 date is ``as_of``. ``event_aggregates`` / ``ticket_aggregates`` take a
 reference table (customer_id, signup_date, obs_date) and compute every
-per-customer window in ONE ``groupBy(customer_id)`` over the joined rows, so the
-event table is scanned and shuffled once no matter how many features use it.
+per-customer window in one ``groupBy(customer_id)``.
 
 Scale notes
+* raw events are never joined: ``event_days`` sums them per customer, day and
+  type first. Partial aggregation runs below its exchange, so a customer with a
+  third of all events leaves each map task as at most one row per day and type;
+* the warehouse stores that rollup once, ordered by day, and all feature sets,
+  the descriptive features, usage decay and the 360 counts read it, with their
+  day filters pushed down to its files;
 * the reference side is joined on customer_id and the aggregate keeps that
-  partitioning, so aggregate + later joins on customer_id add no exchange;
-* all aggregates are algebraic (count/sum/avg/min/max), so partial aggregation
-  collapses a hot customer to one row per map task before the shuffle.
+  partitioning, so aggregate + later joins on customer_id add no exchange.
 """
 
 from __future__ import annotations
@@ -28,32 +31,48 @@ def _days_before(obs: Column, n: int) -> Column:
     return F.date_sub(obs, n)
 
 
-def event_aggregates(events: DataFrame, refs: DataFrame, cut_before_obs: bool,
+def event_days(events: DataFrame, ts_col: str = "event_timestamp") -> DataFrame:
+    """customer_id, day, event_type, n, score_sum, score_n: usage events summed per day."""
+    score = F.col("feature_adoption_score").cast("double")
+    return events.groupBy("customer_id", F.to_date(ts_col).alias("day"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(score).alias("score_sum"), F.count(score).alias("score_n"))
+
+
+def n_if(cond: Column) -> Column:
+    """Events (not rows) of a rollup where ``cond`` holds."""
+    return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+
+def mean_score() -> Column:
+    return F.sum("score_sum") / F.nullif(F.sum("score_n"), F.lit(0))
+
+
+def event_aggregates(days: DataFrame, refs: DataFrame, cut_before_obs: bool,
                      retention_types: list[str] | None = None) -> DataFrame:
     """Per-customer event features relative to each customer's ``obs_date``.
 
-    ``events``: staged usage events (customer_id, event_timestamp, event_type,
-    feature_adoption_score). ``refs``: customer_id, signup_date, obs_date.
+    ``days``: the daily rollup (``event_days``), or staged usage events, which are
+    rolled up here. ``refs``: customer_id, signup_date, obs_date.
     """
+    if "score_n" not in days.columns:
+        days = event_days(days)
     retention_types = retention_types or K.RETENTION_EVENT_TYPES
-    e = events.select("customer_id", F.to_date("event_timestamp").alias("_d"),
-                      "event_type", "feature_adoption_score")
-    j = e.join(refs.select("customer_id", "signup_date", "obs_date"), "customer_id", "inner")
+    j = days.withColumnRenamed("day", "_d").join(refs.select("customer_id", "signup_date", "obs_date"), "customer_id", "inner")
     if cut_before_obs:
         j = j.where(F.col("_d") < F.col("obs_date"))
     obs, d, et = F.col("obs_date"), F.col("_d"), F.col("event_type")
     last30 = d >= _days_before(obs, 30)
     return j.groupBy("customer_id", "obs_date").agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_if(last30).alias("events_last_30d"),
-        F.count_if(d >= _days_before(obs, 7)).alias("events_last_7d"),
-        F.avg("feature_adoption_score").alias("avg_adoption_score"),
+        F.sum("n").alias("total_events"),
+        n_if(last30).alias("events_last_30d"),
+        n_if(d >= _days_before(obs, 7)).alias("events_last_7d"),
+        mean_score().alias("avg_adoption_score"),
         F.datediff(obs, F.max(d)).alias("days_since_last_event"),
-        F.count_if(et.isin(*retention_types)).alias("retention_signal_count"),
-        F.count_if((et == "integration_connect") & (d <= F.date_add(F.col("signup_date"), 30)))
-         .alias("integration_connects_first_30d"),
-        F.count_if((et == "premium_feature_trial") & last30).alias("premium_feature_trials_30d"),
-        F.count_if((et == "feature_limit_hit") & last30).alias("feature_limit_hit_30d"),
+        n_if(et.isin(*retention_types)).alias("retention_signal_count"),
+        n_if((et == "integration_connect") & (d <= F.date_add(F.col("signup_date"), 30)))
+        .alias("integration_connects_first_30d"),
+        n_if((et == "premium_feature_trial") & last30).alias("premium_feature_trials_30d"),
+        n_if((et == "feature_limit_hit") & last30).alias("feature_limit_hit_30d"),
     )
 
 
@@ -154,7 +173,10 @@ def mart_expansion_features(stg_customers: DataFrame, churn_mart: DataFrame, stg
     """Active, not-yet-upgraded customers: churn features + expansion signals."""
     base = stg_customers.where(F.col("is_active") & ~F.col("is_upgraded"))
     refs = base.select("customer_id", "signup_date", lit_date(as_of).alias("obs_date"))
-    ev = event_aggregates(stg_events, refs, cut_before_obs=False) \
+    # only the last 30 days matter here; the rest comes from the churn mart
+    days = stg_events if "score_n" in stg_events.columns else event_days(stg_events)
+    days = days.where(F.col("day") >= _days_before(lit_date(as_of), 30))
+    ev = event_aggregates(days, refs, cut_before_obs=False) \
         .select("customer_id", "premium_feature_trials_30d", "feature_limit_hit_30d")
     tk = ticket_aggregates(stg_tickets, refs, cut_before_obs=False) \
         .select("customer_id", "feature_request_tickets_90d")

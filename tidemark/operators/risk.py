@@ -84,18 +84,17 @@ def risk_simple_tier(stg_customers: DataFrame, stg_signals: DataFrame) -> DataFr
                     "vendor_risk_flags", t.alias("risk_tier"))
 
 
-def usage_decay(customers: DataFrame, events: DataFrame, as_of: _dt.date,
-                ts_col: str = "timestamp") -> DataFrame:
+def usage_decay(customers: DataFrame, days: DataFrame, as_of: _dt.date) -> DataFrame:
     """Usage decay per customer: 1 - last30/prev30 (prev window [-60, -30)), 1.0 when prev is 0.
 
-    Starts from the customer table, so customers without events get 1.0.
+    Starts from the customer table, so customers without events get 1.0. ``days``
+    is the daily rollup; only its last 60 days are read.
     """
     asof = lit_date(as_of)
-    d = F.to_date(F.col(ts_col))
-    counts = events.select("customer_id", d.alias("_d")).groupBy("customer_id").agg(
-        F.count_if(F.col("_d") >= F.date_sub(asof, 30)).alias("events_last_30d"),
-        F.count_if((F.col("_d") >= F.date_sub(asof, 60)) & (F.col("_d") < F.date_sub(asof, 30)))
-         .alias("events_prev_30d"))
+    last30 = F.col("day") >= F.date_sub(asof, 30)
+    counts = days.where(F.col("day") >= F.date_sub(asof, 60)).groupBy("customer_id").agg(
+        F.coalesce(F.sum(F.when(last30, F.col("n"))), F.lit(0)).alias("events_last_30d"),
+        F.coalesce(F.sum(F.when(~last30, F.col("n"))), F.lit(0)).alias("events_prev_30d"))
     j = customers.select("customer_id").join(counts, "customer_id", "left")
     last = F.coalesce("events_last_30d", F.lit(0))
     prev = F.coalesce("events_prev_30d", F.lit(0))

@@ -30,12 +30,12 @@ def churn_actions(risk_mart: DataFrame) -> DataFrame:
                             R.requires_action(s).alias("requires_action"), R.churn_action(s).alias("action"))
 
 
-def customer_360_table(risk_mart: DataFrame, quadrant: DataFrame, composite: DataFrame, events: DataFrame,
+def customer_360_table(risk_mart: DataFrame, quadrant: DataFrame, composite: DataFrame, days: DataFrame,
                        tickets: DataFrame, opps: DataFrame, as_of: _dt.date) -> DataFrame:
     """One wide row per active customer; each child table is pre-aggregated by
     customer before the joins, so no join fans out."""
-    ev30 = events.where(F.col("timestamp") >= F.date_sub(lit_date(as_of), 30).cast("timestamp")) \
-        .groupBy("customer_id").agg(F.count(F.lit(1)).alias("events_last_30d_raw"))
+    ev30 = days.where(F.col("day") >= F.date_sub(lit_date(as_of), 30)) \
+        .groupBy("customer_id").agg(F.sum("n").alias("events_last_30d_raw"))
     open_t = tickets.groupBy("customer_id").agg(F.count_if(F.col("resolution_time").isNull()).alias("open_tickets"))
     last_opp = opps.groupBy("customer_id").agg(
         F.max_by(F.col("stage"), F.struct("close_date", "opp_id")).alias("latest_opportunity_stage"))

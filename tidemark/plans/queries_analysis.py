@@ -17,7 +17,7 @@ def _a(name: str, extra_sql: str | None = None) -> str:
 
 def _eda(s, d):
     w = wh(s, d)
-    return CO.feat_eda_all(w.customers, w.usage_events, w.support_tickets, K.ORDERS_AS_OF)
+    return w.eda_features
 
 
 register("eda_churn_by_tier", _a("eda_churn_by_tier"))(lambda s, d: CO.churn_by_tier(wh(s, d).customers))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
 from tidemark.operators import charts as C
+from tidemark.operators import features as FT
 from tidemark.plans import oracle_charts as OC
 from tidemark.plans.catalog import register, wh
 from tidemark.plans.oracle_base import with_ctes
@@ -96,12 +97,12 @@ register("lkp_sample_n", with_ctes("SELECT * FROM raw_customers ORDER BY md5('42
 
 # ------------------------------------------------------------ risk rules and scoring tables
 register("usage_decay", _misc("usage_decay"))(
-    lambda s, d: RK.usage_decay(wh(s, d).customers, wh(s, d).usage_events, K.ORDERS_AS_OF))
+    lambda s, d: RK.usage_decay(wh(s, d).customers, wh(s, d).event_days, K.ORDERS_AS_OF))
 
 
 def _composite(s, d):
     w = wh(s, d)
-    return RK.risk_composite(RK.usage_decay(w.customers, w.usage_events, K.ORDERS_AS_OF), w.risk_signals)
+    return RK.risk_composite(RK.usage_decay(w.customers, w.event_days, K.ORDERS_AS_OF), w.risk_signals)
 
 
 register("risk_composite", _misc("risk_composite"))(_composite)
@@ -112,7 +113,7 @@ register("expansion_scoring", _misc("expansion_scoring"))(
     lambda s, d: SC.expansion_scoring(wh(s, d).propensity_quadrant))
 register("customer_360_table", _misc("customer_360_table"))(
     lambda s, d: SC.customer_360_table(wh(s, d).risk_scores, wh(s, d).propensity_quadrant, _composite(s, d),
-                                       wh(s, d).usage_events, wh(s, d).support_tickets,
+                                       wh(s, d).event_days, wh(s, d).support_tickets,
                                        wh(s, d).gtm_opportunities, K.ORDERS_AS_OF))
 
 # ------------------------------------------------------------ event-only operators (driver `events`)
@@ -124,7 +125,7 @@ def _ev(s, d):
 
 
 register("events_usage_decay", _misc("events_usage_decay"))(
-    lambda s, d: RK.usage_decay(_ev(s, d).select("customer_id").distinct(), _ev(s, d), K.EVENTS_AS_OF))
+    lambda s, d: RK.usage_decay(_ev(s, d).select("customer_id").distinct(), FT.event_days(_ev(s, d), "timestamp"), K.EVENTS_AS_OF))
 register("events_count_n_days", _misc("events_count_n_days"))(
     lambda s, d: L.event_count_n_days(_ev(s, d).select("customer_id").distinct(), _ev(s, d), _EV_TS, 7))
 

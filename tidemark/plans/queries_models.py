@@ -298,9 +298,9 @@ register("feat_validation_mart_join", _m("feat_validation_mart_join"))(
 def _value_guard(s, d):
     """Rows of the 360 table that break a value-object rule, with the first reason."""
     t = SC.customer_360_table(wh(s, d).risk_scores, wh(s, d).propensity_quadrant,
-                              RK.risk_composite(RK.usage_decay(wh(s, d).customers, wh(s, d).usage_events,
+                              RK.risk_composite(RK.usage_decay(wh(s, d).customers, wh(s, d).event_days,
                                                                K.ORDERS_AS_OF), wh(s, d).risk_signals),
-                              wh(s, d).usage_events, wh(s, d).support_tickets, wh(s, d).gtm_opportunities,
+                              wh(s, d).event_days, wh(s, d).support_tickets, wh(s, d).gtm_opportunities,
                               K.ORDERS_AS_OF)
     def in01(c):
         return F.col(c).isNull() | F.col(c).between(0, 1)

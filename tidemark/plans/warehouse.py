@@ -23,7 +23,7 @@ from tidemark.sources import adapter
 
 _LOCK = threading.Lock()
 _CACHE: dict[tuple, "Warehouse"] = {}
-LAYOUT_VERSION = "4"
+LAYOUT_VERSION = "5"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -62,7 +62,7 @@ def publish(spark: SparkSession, write_to, final: str, marker: str = "_SUCCESS")
             raise RuntimeError(f"{final} could not be published")
 
 
-_CODE_FILES = ["sources/adapter.py", "sources/driver_tables.py", "operators/staging.py", "operators/features.py",
+_CODE_FILES = ["operators/cohort.py", "sources/adapter.py", "sources/driver_tables.py", "operators/staging.py", "operators/features.py",
                "operators/risk.py", "functions/constants.py", "functions/columns.py", "plans/warehouse.py"]
 
 
@@ -180,7 +180,14 @@ class Warehouse:
     @property
     def churn_features(self) -> DataFrame:
         return self._table("mart_customer_churn_features", lambda: features.mart_churn_features(
-            self.stg_customers(), self.stg_usage_events(), self.stg_support_tickets(), self.as_of))
+            self.stg_customers(), self.event_days, self.stg_support_tickets(), self.as_of))
+
+    @property
+    def event_days(self) -> DataFrame:
+        """Usage events summed per customer, day and type; ordered by day, so that a
+        date filter skips files and row groups."""
+        return self._table("event_days", lambda: features.event_days(self.stg_usage_events()).repartitionByRange("day")
+                           .sortWithinPartitions("day", "customer_id"))
 
     @property
     def risk_scores(self) -> DataFrame:
@@ -189,7 +196,7 @@ class Warehouse:
     @property
     def expansion_features(self) -> DataFrame:
         return self._table("mart_customer_expansion_features", lambda: features.mart_expansion_features(
-            self.stg_customers(), self.churn_features, self.stg_usage_events(), self.stg_support_tickets(),
+            self.stg_customers(), self.churn_features, self.event_days, self.stg_support_tickets(),
             self.stg_gtm_opportunities(), self.stg_expansion_outreach(), self.as_of))
 
     @property
@@ -201,12 +208,17 @@ class Warehouse:
     def train_churn_pit(self) -> DataFrame:
         """Point-in-time churn training set (obs_date = churn date or as_of)."""
         return self._table("train_churn_pit", lambda: features.train_churn_pit(
-            self.customers, self.stg_usage_events(), self.support_tickets, self.as_of))
+            self.customers, self.event_days, self.support_tickets, self.as_of))
 
     @property
     def train_expansion_pit(self) -> DataFrame:
         return self._table("train_expansion_pit", lambda: features.train_expansion_pit(
-            self.customers, self.stg_usage_events(), self.support_tickets, self.gtm_opportunities, self.as_of))
+            self.customers, self.event_days, self.support_tickets, self.gtm_opportunities, self.as_of))
+
+    @property
+    def eda_features(self) -> DataFrame:
+        from tidemark.operators import cohort
+        return self._table("eda_features", lambda: cohort.feat_eda_all(self.customers, self.event_days, self.support_tickets, self.as_of))
 
     RAW_TABLES = ["customers", "usage_events", "support_tickets", "gtm_opportunities", "risk_signals",
                   "expansion_outreach_log"]
@@ -215,7 +227,8 @@ class Warehouse:
     # dependency levels: tables inside a level are independent Spark jobs
     LEVELS = [["customers"],
               ["usage_events", "support_tickets", "gtm_opportunities", "risk_signals", "expansion_outreach_log"],
-              ["churn_features", "train_churn_pit", "train_expansion_pit"],
+              ["event_days"],
+              ["churn_features", "train_churn_pit", "train_expansion_pit", "eda_features"],
               ["risk_scores", "expansion_features"],
               ["propensity_quadrant"]]
 
