@@ -147,3 +147,7 @@ KS_ALPHA = 0.05
 # (the original splits at TRAIN_CUTOFF on its own calendar; on the adapter's
 # calendar signups span Oct 2000 - Aug 2001, and this date leaves ~2/3 in train)
 ORDERS_TRAIN_CUTOFF = _dt.date(2001, 5, 1)
+
+# fixed values: output texts
+FLIGHT_RISK_REASON = ("Churn probability %d%% and upgrade propensity %d%% both exceed 50%% threshold. "
+                      "Restore account health before any upsell motion.")

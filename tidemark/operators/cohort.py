@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
+from tidemark.functions import stats as ST
 from tidemark.functions.columns import lit_date
 from tidemark.operators import ranking
 from tidemark.operators.features import mean_score, n_if
@@ -124,25 +125,36 @@ def point_biserial(feats: DataFrame, label: str = "is_churned", features: list[s
                        _r(t, 6).alias("t_stat"), F.row_number().over(w).cast("long").alias("rank"))
 
 
+def point_biserial_p(feats: DataFrame) -> DataFrame:
+    """The point-biserial table with its two-sided p-value (t distribution, n - 2 degrees)."""
+    t = point_biserial(feats)
+    return t.withColumn("p_value", ST.t_two_sided_udf(F.col("t_stat"), (F.col("n") - 2).cast("double")))
+
+
 def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """All pairwise Pearson correlations in one aggregation (long format)."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     g = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}")
                  for k, (a, b) in enumerate(pairs)])
-    args = ", ".join(f"'{a}', '{b}', c{k}" for k, (a, b) in enumerate(pairs))
-    long = g.select(F.expr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, r)"))
-    mirrored = long.where(F.col("feature_a") != F.col("feature_b")).select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r")
-    return long.unionByName(mirrored).select("feature_a", "feature_b", _r(F.col("r"), 6).alias("r"))
+    both = [(a, b, k) for k, (a, b) in enumerate(pairs)] + [(b, a, k) for k, (a, b) in enumerate(pairs) if a != b]
+    args = ", ".join(f"'{a}', '{b}', c{k}" for a, b, k in both)
+    return g.select(F.expr(f"stack({len(both)}, {args}) AS (feature_a, feature_b, r)")).select(
+        "feature_a", "feature_b", _r(F.col("r"), 6).alias("r"))
 
 
 def spearman_matrix(feats: DataFrame, features: list[str]) -> DataFrame:
-    """Rank correlation: average ranks per column (distributed), then Pearson."""
-    ranked = feats.select("customer_id", *features)
-    for c in features:
-        ranked = ranking.average_ranks(ranked, c, f"{c}__rk")
-    r = ranked.select(*[F.col(f"{c}__rk").alias(c) for c in features])
-    return pearson_matrix(r, features)
+    """Rank correlation: the value counts of all columns are prefix-summed in one
+    pass, each row looks its ranks up, then Pearson."""
+    args = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in features)
+    long = feats.select("customer_id", F.expr(f"stack({len(features)}, {args}) AS (feature, value)"))
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    run = ranking.prefix_sums(counts, ["feature", "value"], ["n"])
+    first = run.groupBy("feature").agg(F.min("n_before").alias("start"))  # a row per feature
+    ranks = run.join(F.broadcast(first), "feature").select(
+        "feature", "value", (F.col("n_before") - F.col("start") + (F.col("n") + 1) / 2.0).alias("rank"))
+    wide = long.join(ranks, ["feature", "value"]).groupBy("customer_id").agg(
+        *[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in features])
+    return pearson_matrix(wide, features)
 
 
 def integration_buckets(feats: DataFrame) -> DataFrame:
@@ -150,13 +162,14 @@ def integration_buckets(feats: DataFrame) -> DataFrame:
     b = F.when(i == 0, "0").when(i <= 2, "1–2").when(i <= 5, "3–5").otherwise("6+")
     g = feats.groupBy(b.alias("integration_bucket")).agg(
         F.count(F.lit(1)).alias("n_customers"), F.sum("is_churned").cast("long").alias("n_churned"),
-        F.avg(F.col("mrr").cast("double")).alias("_mrr_sum_part"))
+        F.sum(F.col("mrr").cast("double")).alias("_mrr"))
     all_w = Window.partitionBy()  # over the <= 4 aggregated rows
     rate = F.col("n_churned") / F.col("n_customers")
     g = g.withColumn("_rate", rate)
     r3 = F.avg(F.when(F.col("integration_bucket").isin("3–5", "6+"), F.col("_rate"))).over(all_w)
     return g.select("integration_bucket", "n_customers", "n_churned", _r(rate, 6).alias("churn_rate"),
-                    _r(F.col("_rate") / r3, 6).alias("multiplier_vs_3plus")).drop("_mrr_sum_part")
+                    _r(F.col("_rate") / r3, 6).alias("multiplier_vs_3plus"),
+                    _r(F.col("n_churned") * 12 * F.sum("_mrr").over(all_w) / F.sum("n_customers").over(all_w), 0).alias("arr_at_risk"))
 
 
 def upgrade_totals(customers: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
+from tidemark.functions import stats as ST
 from tidemark.functions.columns import lit_date
 from tidemark.operators import ranking
 from tidemark.operators.lookups import seeded_hash
@@ -134,6 +135,21 @@ def required_n(baseline_rate: Column, mde: float = 0.10, alpha: float = 0.05, po
     return F.ceil(num / F.pow(pc - pt, 2)).cast("long")
 
 
+def power_at_n(baseline_rate: Column, n: int, mde: float = 0.10, alpha: float = 0.05) -> Column:
+    """Power of the one-tailed two-proportion z-test with ``n`` customers an arm."""
+    pt = baseline_rate - mde
+    se = F.sqrt((baseline_rate * (1 - baseline_rate) + pt * (1 - pt)) / n)
+    return ST.norm_sf_udf(NormalDist().inv_cdf(1 - alpha) - mde / se)
+
+
+def power_by_segment(customers: DataFrame, as_of: _dt.date, sizes: tuple[int, ...] = (50, 100, 200, 400), mde: float = 0.10) -> DataFrame:
+    """Power per plan tier and arm size, for tiers whose 90-day churn exceeds ``mde``."""
+    rates = required_n_by_segment(customers, as_of, mde).where(F.col("baseline_churn_90d") > mde)
+    return rates.select("plan_tier", F.explode(F.array(*[
+        F.struct(F.lit(n).cast("long").alias("n_per_arm"), power_at_n(F.col("baseline_churn_90d"), n, mde).alias("p")) for n in sizes])).alias("x")) \
+        .select("plan_tier", "x.n_per_arm", F.round("x.p", 6).alias("power"))
+
+
 def required_n_by_segment(customers: DataFrame, as_of: _dt.date, mde: float = 0.10) -> DataFrame:
     """Baseline 90-day churn rate per plan tier -> required n per arm."""
     dur = F.datediff(F.coalesce("churn_date", lit_date(as_of)), F.col("signup_date"))

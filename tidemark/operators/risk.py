@@ -220,6 +220,5 @@ def flight_risk(churn_p: Column, propensity: Column) -> Column:
 
 
 def flight_risk_reason(churn_p: Column, propensity: Column) -> Column:
-    return F.when(flight_risk(churn_p, propensity), F.format_string(
-        "Churn probability %.0f%% and upgrade propensity %.0f%% both exceed 50%% threshold. "
-        "Restore account health before any upsell motion.", churn_p * 100, propensity * 100))
+    whole = lambda p: F.round((p * 100).cast("decimal(38,10)"), 0).cast("int")
+    return F.when(flight_risk(churn_p, propensity), F.format_string(K.FLIGHT_RISK_REASON, whole(churn_p), whole(propensity)))

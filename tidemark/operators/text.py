@@ -1,8 +1,8 @@
 """Text: context assembly for briefs and the rule checks on written text.
 
-All checks are column expressions (split / regexp / higher-order array
-functions), so they run JVM-side inside whole-stage code generation over
-whole texts; no Python per row.
+All checks are built-in column expressions over whole texts; no Python per row.
+Higher-order array functions are interpreted, so regular expressions narrow a
+text to its few candidates first.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ KNOWN_FEATURES = [
     "events_last_30d_by_type", "churn_probability", "risk_score", "risk_tier", "cohort_churn_rate",
     "compliance_gap_score", "vendor_risk_flags", "usage_decay_score", "premium_feature_trials_30d",
     "feature_request_tickets_90d", "has_open_expansion_opp", "expansion_opp_amount", "mrr_tier_ceiling_pct",
+    "activated_at_30d", "feature_limit_hit_30d",
 ]
 SAFE_TOKENS = ["plan_tier", "customer_id", "risk_tier", "churn_date", "sign_up", "follow_up", "well_known",
                "opt_in", "check_in", "log_in"]
@@ -31,7 +32,7 @@ EXPANSION_KNOWN_FEATURES = [
     "days_since_last_event", "retention_signal_count", "integration_connects_first_30d", "tickets_last_30d",
     "high_priority_tickets", "avg_resolution_hours", "plan_tier", "industry", "is_early_stage",
     "premium_feature_trials_30d", "feature_request_tickets_90d", "has_open_expansion_opp",
-    "expansion_opp_amount", "mrr_tier_ceiling_pct",
+    "expansion_opp_amount", "mrr_tier_ceiling_pct", "activated_at_30d", "feature_limit_hit_30d",
 ]
 EXPANSION_SAFE_TOKENS = SAFE_TOKENS + ["next_tier", "upgrade_date"]
 EXPANSION_TECHNICAL_TERMS = ["xgboost", "shap", "shap_impact", "lightgbm", "sklearn", "propensity_score",
@@ -60,9 +61,10 @@ def _arr(values: list[str]) -> Column:
 
 def unknown_feature_flags(text: Column, allowed: list[str], also_skip: list[str] | None = None) -> Column:
     """Distinct snake_case tokens (>= 8 chars) not in the allowed list, first-seen order."""
-    # only tokens with an underscore can match the snake_case pattern (stripping
-    # punctuation never adds one), so the regex work runs on those alone
-    toks = F.filter(F.split(text, f"{PY_WS}+"), lambda t: F.instr(t, "_") > 0)
+    # only words with an underscore can match the snake_case pattern (stripping
+    # punctuation never adds one); one regular expression extracts those
+    word = PY_WS.replace("[", "[^", 1)
+    toks = F.regexp_extract_all(text, F.lit(f"({word}*_{word}*)"), F.lit(1))
     clean = F.transform(toks, lambda t: F.regexp_replace(t, STRIP_PATTERN, ""))
     skip = _arr(allowed + (also_skip or []))
     bad = F.filter(clean, lambda t: (F.length(t) >= 8) & t.rlike(FEATURE_PATTERN) & ~F.array_contains(skip, t))

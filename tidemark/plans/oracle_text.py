@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.operators import text as TX
 from tidemark.plans.oracle_base import AS_OF
 
 
@@ -10,6 +9,21 @@ from tidemark.plans.oracle_base import AS_OF
 PY_WS = "[\\s\\x{000b}\\x{001c}-\\x{001f}\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
+# the rules' vocabularies, written out here: fixed values
+FEATURES = ("events_last_30d avg_adoption_score days_since_last_event high_priority_tickets retention_signal_count integration_connects_first_30d "
+            "mrr tenure_days total_events tickets_last_30d avg_resolution_hours events_last_7d is_early_stage plan_tier industry "
+            "premium_feature_trials_30d feature_request_tickets_90d has_open_expansion_opp expansion_opp_amount mrr_tier_ceiling_pct "
+            "activated_at_30d feature_limit_hit_30d").split()
+CHURN_ONLY = ("events_last_30d_by_type churn_probability risk_score risk_tier cohort_churn_rate compliance_gap_score vendor_risk_flags "
+              "usage_decay_score").split()
+HARMLESS = "plan_tier customer_id risk_tier churn_date sign_up follow_up well_known opt_in check_in log_in".split()
+EXPANSION_HARMLESS = HARMLESS + ["next_tier", "upgrade_date"]
+TECHNICAL = "xgboost shap shap_impact lightgbm sklearn propensity_score model_version".split()
+URGENT = ["immediately", "urgent", "critical"]
+SCOPE_PHRASE = "I cannot answer this from the available customer data."
+NOTE = "⚠️ AI-generated. Requires human review."
+
+
 def py_strip(col: str) -> str:
     return f"regexp_replace({col}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
 
@@ -33,13 +47,13 @@ agg AS (SELECT {key}, string_agg('hallucinated_feature:' || t, '|' ORDER BY firs
         FROM hits GROUP BY 1)"""
 
 
-UNKNOWN_DOCS = flags_sql("documents", "doc_id", TX.KNOWN_FEATURES + TX.SAFE_TOKENS) + """
+UNKNOWN_DOCS = flags_sql("documents", "doc_id", FEATURES + CHURN_ONLY + HARMLESS) + """
 SELECT d.doc_id, coalesce(a.flags, '') AS flags, coalesce(a.n, 0) AS n_flags,
        greatest(0.0, 1.0 - 0.2 * coalesce(a.n, 0)) AS confidence_score, coalesce(a.n, 0) = 0 AS passed
 FROM documents d LEFT JOIN agg a USING (doc_id)"""
 
 EXP_STATUS_TURNS = flags_sql("(SELECT conv_id * 100000 + turn AS k, text FROM conversations WHERE role = 'assistant')", "k",
-                             TX.EXPANSION_KNOWN_FEATURES + TX.EXPANSION_SAFE_TOKENS + TX.EXPANSION_TECHNICAL_TERMS) + """
+                             FEATURES + EXPANSION_HARMLESS + TECHNICAL) + """
 SELECT c.conv_id, c.turn, coalesce(a.n, 0) AS n_flags,
        CASE WHEN coalesce(a.n, 0) >= 2 THEN 'REJECTED' WHEN coalesce(a.n, 0) = 1 THEN 'FLAGGED' ELSE 'PASSED' END AS status,
        greatest(0.0, 1.0 - 0.25 * coalesce(a.n, 0)) AS confidence_score
@@ -52,28 +66,45 @@ SELECT conv_id, turn,
        END AS stated_pct
 FROM conversations"""
 
-SCOPE = f"""SELECT conv_id, turn, contains(lower(text), lower('{TX.SCOPE_EXCEEDED_PHRASE}')) AS scope_exceeded
+SCOPE = f"""SELECT conv_id, turn, contains(lower(text), lower('{SCOPE_PHRASE}')) AS scope_exceeded
 FROM conversations WHERE role = 'assistant'"""
 
 
 def _scrub(col: str) -> str:
     out = f"regexp_replace({col}, '(?i)\\b[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}\\b', '[REDACTED]', 'g')"
-    for term in TX.EXPANSION_TECHNICAL_TERMS:
+    for term in TECHNICAL:
         out = f"regexp_replace({out}, '(?i)\\b{term}\\b', '[REDACTED]', 'g')"
     return out
 
 
 SCRUB = f"""SELECT doc_id, CAST((length({_scrub('text')}) - length(replace({_scrub('text')}, '[REDACTED]', ''))) / 10
                            - (length(text) - length(replace(text, '[REDACTED]', ''))) / 10 AS BIGINT) AS n_redacted,
-       length({_scrub('text')}) AS scrubbed_chars
+       {_scrub('text')} AS scrubbed
 FROM documents"""
 
-QUALITY = flags_sql("documents", "doc_id", TX.KNOWN_FEATURES + TX.SAFE_TOKENS) + """
+QUALITY = flags_sql("documents", "doc_id", FEATURES + CHURN_ONLY + HARMLESS) + """
 SELECT avg(CASE WHEN coalesce(a.n, 0) = 0 THEN 1.0 ELSE 0.0 END) AS full_confidence_share, count(*) AS n_texts
 FROM documents d LEFT JOIN agg a USING (doc_id)"""
 
-SPLIT = f"""SELECT doc_id, length({py_strip("split_part(text, '[EMAIL_DRAFT]', 1)")}) AS brief_chars,
-       contains(text, '[EMAIL_DRAFT]') AS has_email_draft FROM documents"""
+SPLIT = f"""WITH marked AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND contains(text, chr(10))
+                      THEN split_part(text, chr(10), 1) || chr(10) || '[EMAIL_DRAFT] ' || substr(text, strpos(text, chr(10))) ELSE text END AS t FROM documents),
+cut AS (SELECT doc_id, t, strpos(t, '[EMAIL_DRAFT]') AS place FROM marked)
+SELECT doc_id, {py_strip("CASE WHEN place = 0 THEN t ELSE substr(t, 1, place - 1) END")} AS brief,
+       CASE WHEN place > 0 THEN {py_strip("substr(t, place + 13)")} END AS email_draft FROM cut"""
+
+PROBABILITY_CHECK = STATED_PCT.strip()
+PROBABILITY_CHECK = f"""
+SELECT conv_id, turn, p AS model_p, stated_pct, coalesce(abs(stated_pct - p * 100) > 2.0, FALSE) AS mismatch
+FROM ({PROBABILITY_CHECK})
+JOIN (SELECT CAST(customer_id AS BIGINT) % 1000 AS k, arg_min(CAST(churn_score AS DOUBLE), CAST(customer_id AS BIGINT)) AS p FROM mart_risk GROUP BY 1)
+  ON k = conv_id % 1000"""
+
+FLIGHT_REASONS = """
+SELECT customer_id, 'Churn probability ' || CAST(round(CAST(churn_probability * 100 AS DECIMAL(38,10)), 0) AS INTEGER)
+       || '% and upgrade propensity ' || CAST(round(CAST(upgrade_propensity_proxy * 100 AS DECIMAL(38,10)), 0) AS INTEGER)
+       || '% both exceed 50% threshold. Restore account health before any upsell motion.' AS reason
+FROM mart_quadrant WHERE quadrant_label = 'Flight Risk'"""
 
 CTX = {
     "ctx_events_by_type": f"""SELECT customer_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS events_last_30d_by_type
@@ -91,21 +122,22 @@ FROM (SELECT customer_id, ticket_id, row_number() OVER (PARTITION BY customer_id
 }
 
 
-CONFIDENCE = flags_sql("documents", "doc_id", TX.KNOWN_FEATURES + TX.SAFE_TOKENS) + f"""
+CONFIDENCE = flags_sql("documents", "doc_id", FEATURES + CHURN_ONLY + HARMLESS) + f"""
 SELECT d.doc_id, coalesce(a.n, 0) AS n_flags, greatest(0.0, 1.0 - 0.2 * coalesce(a.n, 0)) AS confidence_score,
        coalesce(a.n, 0) = 0 AS passed,
-       length({py_strip('d.text')} || chr(10) || chr(10) || '{TX.WATERMARK}') AS final_chars
+       {py_strip('d.text')} || chr(10) || chr(10) || '{NOTE}' AS final_text
 FROM documents d LEFT JOIN agg a USING (doc_id)"""
 
 
 def _tone(col: str) -> str:
     out = col
-    for phrase in TX.URGENCY_PHRASES:
+    for phrase in URGENT:
         out = f"regexp_replace({out}, '(?i){phrase}', '', 'g')"
     return py_strip(f"regexp_replace({out}, '  +', ' ', 'g')")
 
 
-TONE = f"""SELECT conv_id, turn, length({_tone('text')}) AS calibrated_chars
+TONE = f"""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 0.3 ELSE 0.7 END::DOUBLE AS propensity,
+       CASE WHEN conv_id % 2 = 0 THEN {_tone('text')} ELSE text END AS calibrated
 FROM conversations WHERE role = 'assistant'"""
 
 from tidemark.plans.oracle_misc import MISC  # noqa: E402
@@ -145,7 +177,7 @@ BRIEFS = "SELECT customer_id, gate, propensity_summary, facts FROM briefs"
 _PCT = "CASE WHEN regexp_extract(facts, '(\\d+(?:\\.\\d+)?)\\s*%', 1) <> '' THEN CAST(regexp_extract(facts, '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS DOUBLE) END"
 
 BRIEF_CHECK = flags_sql("(SELECT customer_id, facts AS text FROM briefs)", "customer_id",
-                        TX.KNOWN_FEATURES + TX.SAFE_TOKENS) + f"""
+                        FEATURES + CHURN_ONLY + HARMLESS) + f"""
 SELECT b.customer_id, n_flags, greatest(0.0, 1.0 - 0.2 * n_flags) AS confidence_score, n_flags = 0 AS passed
 FROM (SELECT b.customer_id, coalesce(a.n, 0)
              + CASE WHEN {_PCT.replace('facts', 'b.facts')} IS NOT NULL

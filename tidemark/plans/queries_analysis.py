@@ -32,6 +32,7 @@ register("cohort_tier_ratio", _a("cohort_tier_ratio"))(lambda s, d: CO.tier_chur
 register("feat_eda_all", _a("feat_eda_all"))(_eda)
 register("eda_median_split", _a("eda_median_split"))(lambda s, d: CO.median_split(_eda(s, d)))
 register("eda_point_biserial", _a("eda_point_biserial"))(lambda s, d: CO.point_biserial(_eda(s, d)))
+register("eda_point_biserial_p")(lambda s, d: CO.point_biserial_p(_eda(s, d)))
 register("eda_spearman_matrix", _a("eda_spearman_matrix"))(
     lambda s, d: CO.spearman_matrix(_eda(s, d), CO.EDA_FEATURES + ["is_churned"]))
 register("eda_integration_bucket", _a("eda_integration_bucket"))(lambda s, d: CO.integration_buckets(_eda(s, d)))
@@ -270,6 +271,7 @@ register("exp_secondary", _t("exp_secondary"))(lambda s, d: EX.secondary(_assign
 register("exp_posterior", _t("exp_posterior"))(lambda s, d: EX.posterior(_outcomes(s, d)))
 register("exp_prior_sensitivity", _t("exp_prior_sensitivity"))(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS))
 register("exp_decision", _t("exp_decision"))(lambda s, d: EX.decision(EX.posterior(_outcomes(s, d), EX.PRIORS)))
+register("exp_power_at_n")(lambda s, d: EX.power_by_segment(wh(s, d).customers, K.ORDERS_AS_OF))
 register("exp_required_n", _t("exp_required_n"))(
     lambda s, d: EX.required_n_by_segment(wh(s, d).customers, K.ORDERS_AS_OF))
 register("outreach_lift", _t("outreach_lift"))(lambda s, d: EX.outreach_lift(wh(s, d).expansion_outreach_log))

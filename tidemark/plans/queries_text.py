@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
+from tidemark.operators import risk as RK
 from tidemark.operators import scoring as SC
 from tidemark.operators import text as TX
 from tidemark.plans import oracle_misc as OM
@@ -29,7 +30,7 @@ def _unknown_docs(s, d):
 
 register("guard_unknown_feature", with_ctes(OX.UNKNOWN_DOCS))(_unknown_docs)
 register("guard_confidence", with_ctes(OX.CONFIDENCE))(lambda s, d: TX.churn_brief_guardrails(_docs(s, d), "text").select(
-    "doc_id", "n_flags", "confidence_score", "passed", F.length("final_text").alias("final_chars")))
+    "doc_id", "n_flags", "confidence_score", "passed", "final_text"))
 
 
 def _exp_status(s, d):
@@ -52,7 +53,7 @@ def _scrub(s, d):
     scrubbed = TX.scrub_email(F.col("text"))
     marks = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("[REDACTED]"), F.lit("")))) / 10
     return doc.select("doc_id", (marks(scrubbed) - marks(F.col("text"))).cast("long").alias("n_redacted"),
-                      F.length(scrubbed).alias("scrubbed_chars"))
+                      scrubbed.alias("scrubbed"))
 
 
 register("guard_scrub_email", with_ctes(OX.SCRUB))(_scrub)
@@ -62,19 +63,21 @@ register("guard_quality_rate", with_ctes(OX.QUALITY))(
 
 
 def _split(s, d):
-    brief, _draft = TX.split_email(F.col("text"))
-    return _docs(s, d).select("doc_id", F.length(brief).alias("brief_chars"),
-                              F.col("text").contains(TX.EMAIL_MARKER).alias("has_email_draft"))
+    """Documents carry no marker of their own: every second one gets it after its
+    first line, so both branches are met; brief and draft are returned."""
+    marked = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"^([^\n]*)\n", "$1\n[EMAIL_DRAFT] \n")).otherwise(F.col("text"))
+    brief, draft = TX.split_email(marked)
+    return _docs(s, d).select("doc_id", brief.alias("brief"), draft.alias("email_draft"))
 
 
 register("brief_split_email", with_ctes(OX.SPLIT))(_split)
 
 
 def _tone(s, d):
-    """Tone calibration on assistant turns at each customer's propensity is not
-    linkable; here each turn is calibrated as for a low-propensity account."""
-    t = _turns(s, d).where(F.col("role") == "assistant")
-    return t.select("conv_id", "turn", F.length(TX.calibrate_tone(F.col("text"), F.lit(0.3))).alias("calibrated_chars"))
+    """Assistant turns are linked to no customer: conversations with an even id
+    are calibrated at propensity 0.3, the others at 0.7, so both sides are met."""
+    t = _turns(s, d).where(F.col("role") == "assistant").withColumn("propensity", F.when(F.col("conv_id") % 2 == 0, 0.3).otherwise(0.7))
+    return t.select("conv_id", "turn", "propensity", TX.calibrate_tone(F.col("text"), F.col("propensity")).alias("calibrated"))
 
 
 register("guard_tone", with_ctes(OX.TONE))(_tone)
@@ -119,4 +122,29 @@ def _brief_check(s, d):
     return g.select("customer_id", "n_flags", "confidence_score", "passed")
 
 
+def _probability_check(s, d):
+    """Texts that state a percentage against a probability that is not theirs:
+    every conversation turn is checked against the churn score of the customer
+    whose id, modulo 1000, equals the conversation's."""
+    r = wh(s, d).risk_scores.groupBy((F.col("customer_id").cast("long") % 1000).alias("k")).agg(
+        F.min_by(F.col("churn_score").cast("double"), F.col("customer_id").cast("long")).alias("p"))
+    t = _turns(s, d).withColumn("k", F.col("conv_id") % 1000).join(r, "k")
+    flag = F.size(TX.probability_flag(F.col("text"), F.col("p")))
+    return t.select("conv_id", "turn", F.col("p").alias("model_p"), TX.stated_percentage(F.col("text")).alias("stated_pct"),
+                    (flag > 0).alias("mismatch"))
+
+
+register("guard_probability_check", with_ctes(OX.PROBABILITY_CHECK))(_probability_check)
+
+
+def _flight_reasons(s, d):
+    """Customers that are flight risks, with the reason in words."""
+    q = wh(s, d).propensity_quadrant
+    c, p = F.col("churn_probability").cast("double"), F.col("upgrade_propensity_proxy").cast("double")
+    return q.where(RK.flight_risk(c, p)).select("customer_id", RK.flight_risk_reason(c, p).alias("reason"))
+
+
+register("flight_risk_reasons", with_ctes(OX.FLIGHT_REASONS))(_flight_reasons)
+
+
 register("ctx_brief_guardrails", with_ctes(OX.BRIEF_CHECK, OX.BRIEF_CTES))(_brief_check)
