@@ -32,25 +32,3 @@ def tier_order(tier_col: Column) -> Column:
     """Dashboard order: critical, high, medium, other."""
     return (F.when(tier_col == "critical", 0).when(tier_col == "high", 1)
              .when(tier_col == "medium", 2).otherwise(3))
-
-
-def bool_int(c: Column) -> Column:
-    return c.cast("int")
-
-
-def round_half_up(c: Column, digits: int) -> Column:
-    """Round a double the way the SQL oracle rounds a decimal (half away from zero).
-
-    Doubles are first cast to an exact decimal with a few guard digits, so
-    both engines see the same value before rounding.
-    """
-    return F.round(c.cast("decimal(38,10)"), digits)
-
-
-def pct1(c: Column) -> Column:
-    """round(x * 100, 1) on an exact decimal, returned as double."""
-    return F.round((c * 100).cast("decimal(38,10)"), 1).cast("double")
-
-
-def dbl_round(c: Column, digits: int) -> Column:
-    return F.round(c.cast("decimal(38,10)"), digits).cast("double")

@@ -213,8 +213,8 @@ def upgrade_by_usage_quartile(customers: DataFrame, events: DataFrame) -> DataFr
 
 def cohort_churn_rate_context(customers: DataFrame) -> DataFrame:
     """Churn rate of each customer's tier x industry cohort (cohort table has
-    at most tiers x industries rows, so the broadcast is bounded)."""
+    a row per tier and industry; industry is an open text, so AQE decides by its size)."""
     g = customers.groupBy("plan_tier", "industry").agg(
         F.avg(F.col("churn_date").isNotNull().cast("int")).alias("_r"))
-    return customers.select("customer_id", "plan_tier", "industry").join(F.broadcast(g), ["plan_tier", "industry"]) \
+    return customers.select("customer_id", "plan_tier", "industry").join(g, ["plan_tier", "industry"]) \
         .select("customer_id", "plan_tier", "industry", _r(F.col("_r"), 6).alias("cohort_churn_rate"))

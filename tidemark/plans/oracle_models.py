@@ -75,3 +75,13 @@ FROM raw_customers""",
        CAST(CASE WHEN c.upgrade_date IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS label
 FROM mart_expansion e JOIN raw_customers c USING (customer_id)""",
 }
+
+VALUE_GUARD = """
+SELECT customer_id, 'churn_probability_out_of_range' AS reject_reason FROM mart_risk WHERE NOT churn_score BETWEEN 0 AND 1
+UNION ALL SELECT customer_id, 'propensity_out_of_range' FROM mart_quadrant WHERE NOT upgrade_propensity_proxy BETWEEN 0 AND 1
+UNION ALL SELECT customer_id, reason FROM (
+  SELECT r.customer_id, CASE WHEN c.c_acctbal < 0 THEN 'mrr_negative' WHEN r.churn_date < r.signup_date THEN 'churn_before_signup'
+                             WHEN u.low < 0 OR u.high > 1 THEN 'adoption_out_of_range' END AS reason
+  FROM raw_customers r JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = r.customer_id
+  LEFT JOIN (SELECT customer_id, min(feature_adoption_score) AS low, max(feature_adoption_score) AS high FROM raw_usage_events GROUP BY 1) u
+    ON u.customer_id = r.customer_id) WHERE reason IS NOT NULL"""

@@ -16,6 +16,7 @@ from tidemark.plans import oracle_models as OMD
 from tidemark.plans.catalog import register, wh
 from tidemark.plans.oracle_base import with_ctes
 from tidemark.plans.queries_analysis import train_churn, train_expansion
+from tidemark.sources.driver_tables import read_table
 
 # ------------------------------------------------------------ rule score as a predictor (point in time)
 
@@ -309,10 +310,19 @@ def _value_guard(s, d):
               "risk_score_out_of_range": in01("composite_risk_score"),
               "mrr_negative": F.col("mrr") >= 0}
     _ok, rejected = Q.value_object_guard(t, checks)
-    return rejected.select("customer_id", "reject_reason")
-
-
-register("dq_value_object_guard")(_value_guard)
+    # the raw side, before the adapter's repairs: account balance as revenue, dates, adoption scores
+    balance = read_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_acctbal").alias("raw_mrr"))
+    days = wh(s, d).event_days.groupBy("customer_id").agg(F.min(F.col("score_sum") / F.col("score_n")).alias("low"),
+                                                         F.max(F.col("score_sum") / F.col("score_n")).alias("high"))
+    raw = wh(s, d).customers.join(balance, "customer_id").join(days, "customer_id", "left")
+    _ok, raw_rejected = Q.value_object_guard(raw, {
+        "mrr_negative": F.col("raw_mrr") >= 0,
+        "churn_before_signup": F.col("churn_date").isNull() | (F.col("churn_date") >= F.col("signup_date")),
+        "adoption_out_of_range": in01("low") & in01("high")})
+    return rejected.select("customer_id", "reject_reason").unionByName(raw_rejected.select("customer_id", "reject_reason"))
+
+
+register("dq_value_object_guard", with_ctes(OMD.VALUE_GUARD))(_value_guard)
 
 
 def _expansion_facts(s, d):
