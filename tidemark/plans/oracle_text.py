@@ -97,7 +97,7 @@ PROBABILITY_CHECK = STATED_PCT.strip()
 PROBABILITY_CHECK = f"""
 SELECT conv_id, turn, p AS model_p, stated_pct, coalesce(abs(stated_pct - p * 100) > 2.0, FALSE) AS mismatch
 FROM ({PROBABILITY_CHECK})
-JOIN (SELECT CAST(customer_id AS BIGINT) % 1000 AS k, arg_min(CAST(churn_score AS DOUBLE), CAST(customer_id AS BIGINT)) AS p FROM mart_risk GROUP BY 1)
+LEFT JOIN (SELECT CAST(customer_id AS BIGINT) % 1000 AS k, arg_min(CAST(churn_score AS DOUBLE), CAST(customer_id AS BIGINT)) AS p FROM mart_risk GROUP BY 1)
   ON k = conv_id % 1000"""
 
 FLIGHT_REASONS = """

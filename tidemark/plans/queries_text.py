@@ -125,10 +125,10 @@ def _brief_check(s, d):
 def _probability_check(s, d):
     """Texts that state a percentage against a probability that is not theirs:
     every conversation turn is checked against the churn score of the customer
-    whose id, modulo 1000, equals the conversation's."""
+    whose id, modulo 1000, equals the conversation's (none: no mismatch)."""
     r = wh(s, d).risk_scores.groupBy((F.col("customer_id").cast("long") % 1000).alias("k")).agg(
         F.min_by(F.col("churn_score").cast("double"), F.col("customer_id").cast("long")).alias("p"))
-    t = _turns(s, d).withColumn("k", F.col("conv_id") % 1000).join(r, "k")
+    t = _turns(s, d).withColumn("k", F.col("conv_id") % 1000).join(r, "k", "left")
     flag = F.size(TX.probability_flag(F.col("text"), F.col("p")))
     return t.select("conv_id", "turn", F.col("p").alias("model_p"), TX.stated_percentage(F.col("text")).alias("stated_pct"),
                     (flag > 0).alias("mismatch"))
