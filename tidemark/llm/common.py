@@ -15,8 +15,10 @@ from tidemark.session import apply_query_settings, shared_root
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on (UTC, AQE, package on the workers)."""
+    """Session settings the operators rely on (UTC, AQE, package on the workers);
+    Arrow batches by bytes, since rows may be very long texts."""
     apply_query_settings(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +51,7 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``max_bytes`` at most (one row
     may be longer): bounds the memory of what is derived from a batch. The parts
     are copies: some Arrow string kernels misread slices that do not begin at 0."""

@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in small_batches(batches, 2 << 20):
             names, score, rejected = _score(sent.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)],
                                              names=["doc_id", "lang_pred", "score", "rejected"])
@@ -201,6 +201,6 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in small_batches(batches, 2 << 20):
             yield b.filter(pa.array(~_score(sent.value, b.column(at))[2]))
     return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ from tidemark.llm.common import id_text, small_batches
 CAPACITY = 2048
 MIN_CUT = 64
 END_ID = 1
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: A run of non-blanks with the blank before it, or blanks; the tokenizer's own
