@@ -169,9 +169,13 @@ def mrr_tier_ceiling_pct(plan_tier: Column, mrr: Column) -> Column:
 
 def mart_expansion_features(stg_customers: DataFrame, churn_mart: DataFrame, stg_events: DataFrame,
                             stg_tickets: DataFrame, stg_opps: DataFrame, stg_outreach: DataFrame,
-                            as_of: _dt.date) -> DataFrame:
-    """Active, not-yet-upgraded customers: churn features + expansion signals."""
-    base = stg_customers.where(F.col("is_active") & ~F.col("is_upgraded"))
+                            as_of: _dt.date, every: bool = False) -> DataFrame:
+    """Active, not-yet-upgraded customers: churn features + expansion signals.
+
+    ``every=True`` gives the same features for all customers (the from-raw
+    variant; ``churn_mart`` must then hold all customers too).
+    """
+    base = stg_customers if every else stg_customers.where(F.col("is_active") & ~F.col("is_upgraded"))
     refs = base.select("customer_id", "signup_date", lit_date(as_of).alias("obs_date"))
     # only the last 30 days matter here; the rest comes from the churn mart
     days = stg_events if "score_n" in stg_events.columns else event_days(stg_events)

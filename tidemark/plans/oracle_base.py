@@ -270,16 +270,16 @@ pipeline_value AS (
   FROM stg_gtm_opportunities GROUP BY customer_id
 ),
 last_contact AS (SELECT customer_id, {AS_OF} - max(contacted_date) AS days_ago FROM stg_expansion_outreach GROUP BY customer_id),
-mart_expansion AS (
-  SELECT a.customer_id, a.mrr, a.tenure_days, a.is_early_stage, {", ".join("a." + c for c in _CHURN_COLUMNS)}, a.plan_tier, a.industry,
+wanted AS (
+  SELECT a.is_active AND NOT a.is_upgraded AS is_candidate, a.customer_id, a.mrr, a.tenure_days, a.is_early_stage, {", ".join("a." + c for c in _CHURN_COLUMNS)}, a.plan_tier, a.industry,
          a.premium_feature_trials_30d, a.feature_request_tickets_90d, a.feature_limit_hit_30d,
          coalesce(v.has_open_expansion_opp, FALSE) AS has_open_expansion_opp, coalesce(v.expansion_opp_amount, 0.0) AS expansion_opp_amount,
          {outgrown('a.mrr')} AS mrr_tier_ceiling_pct,
          l.customer_id IS NOT NULL AS was_contacted, l.days_ago AS days_since_last_outreach
   FROM all_features a
   LEFT JOIN {PLAN_BANDS} USING (plan_tier) LEFT JOIN pipeline_value v USING (customer_id) LEFT JOIN last_contact l USING (customer_id)
-  WHERE a.is_active AND NOT a.is_upgraded
 ),
+mart_expansion AS (SELECT * EXCLUDE (is_candidate) FROM wanted WHERE is_candidate),
 propensity AS (
   SELECT customer_id, was_contacted, days_since_last_outreach,
          least(1.0, greatest(0.0, 0.30 * {saturating('premium_feature_trials_30d', 10)} + 0.25 * {saturating('feature_limit_hit_30d', 10)}

@@ -30,6 +30,8 @@ OUTPUT_CASTS: dict[str, dict[str, str]] = {
     "lkp_sample_n": {"mrr": D},
     "exp_eligibility": {"mrr": D},
     "mart_churn_features": {"mrr": D, "activated_at_30d": B},
+    "feat_churn_from_raw": {"mrr": D, "activated_at_30d": B},
+    "feat_expansion_from_raw": {"mrr": D, "expansion_opp_amount": D, "activated_at_30d": B},
     "mart_expansion_features": {"mrr": D, "expansion_opp_amount": D, "activated_at_30d": B},
     "mart_risk_scores": {"mrr": D, "arr": D, "churn_score": D, "arr_at_risk": D, "intervention_value_10pct": D,
                          "risk_flag_count": B},

@@ -282,6 +282,24 @@ register("feat_to_model_row", _m("feat_to_model_row"))(
     lambda s, d: FT.to_model_row(wh(s, d).churn_features, CHURN_X))
 
 
+def _churn_all(s, d):
+    """Churn features of every customer, churned ones included, straight from raw."""
+    w = wh(s, d)
+    return FT.mart_churn_features(w.stg_customers(), w.event_days, w.stg_support_tickets(), K.ORDERS_AS_OF, active_only=False)
+
+
+def _expansion_all(s, d):
+    """Expansion features of every customer."""
+    w = wh(s, d)
+    return FT.mart_expansion_features(w.stg_customers(), _churn_all(s, d), w.event_days, w.stg_support_tickets(), w.stg_gtm_opportunities(),
+                                      w.stg_expansion_outreach(), K.ORDERS_AS_OF, every=True)
+
+
+register("feat_churn_from_raw", with_ctes("SELECT * EXCLUDE (is_active, is_upgraded, last_event_age, premium_feature_trials_30d, "
+                                          "feature_limit_hit_30d, feature_request_tickets_90d) FROM all_features"))(_churn_all)
+register("feat_expansion_from_raw", with_ctes("SELECT * EXCLUDE (is_candidate) FROM wanted"))(_expansion_all)
+
+
 def _split_sizes(s, d):
     tr, te = FT.train_time_split(train_churn(s, d), K.ORDERS_TRAIN_CUTOFF)
     part = tr.select(F.lit("train").alias("split"), "label").unionByName(te.select(F.lit("test").alias("split"), "label"))
