@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,7 @@ class Head:
     tokens: int          # N
     distinct: int        # V
     rare_total: float    # normaliser of the rare class
+    end: int = -1        # place of the end token
 
     @property
     def base_total(self) -> float:
@@ -99,7 +101,9 @@ def make_head(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> He
     mass_of = np.bincount(which, n, minlength=classes)
     inside = np.log10(n / mass_of[which]) if len(n) else np.zeros(0)
     rare_total = (total - mass) + 0.5 * (distinct - taken + 1)
-    return Head(pa.array(rows["token"].tolist(), pa.string()), n, which, inside, int(total), int(distinct), float(rare_total))
+    ends = np.flatnonzero(rows["token"].to_numpy() == END)
+    return Head(pa.array(rows["token"].tolist(), pa.string()), n, which, inside, int(total), int(distinct), float(rare_total),
+                int(ends[0]) if len(ends) else -1)
 
 
 def _mix(kind: int, *parts: np.ndarray) -> np.ndarray:
@@ -122,20 +126,18 @@ class Tokens:
 
 def tokens_of(texts: pa.Array, head: Head) -> Tokens:
     import pyarrow.compute as pc
-    from xxhash import xxh32_intdigest as xxh
     offsets, words, idx = words_of_batch(texts)
     words = words.cast(pa.string())
     sizes = np.diff(offsets)
     at = np.asarray(pc.fill_null(pc.index_in(words, value_set=head.words), -1)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
     names = at.copy()  # what a word is to the features: its place, or a hash if rare
     rare = np.flatnonzero(at < 0)
-    names[rare] = [len(head.counts) + xxh(w) for w in words.take(pa.array(rare, pa.int64())).to_pylist()]
-    end = pc.index_in(pa.array([END], pa.string()), value_set=head.words)[0].as_py() if len(head.counts) else None
+    names[rare] = [len(head.counts) + crc32(w) for w in words.take(pa.array(rare, pa.int64())).cast(pa.binary()).to_pylist()]
     ends = offsets[1:] + np.arange(len(sizes))
     n = int(offsets[-1]) + len(sizes)
     is_end = np.zeros(n, dtype=bool)
     is_end[ends] = True
-    word, place, name = np.full(n, -1, np.int64), np.full(n, -1 if end is None else end, np.int64), np.zeros(n, np.int64)
+    word, place, name = np.full(n, -1, np.int64), np.full(n, head.end, np.int64), np.zeros(n, np.int64)
     word[~is_end], place[~is_end], name[~is_end] = idx, at[idx], names[idx] + 2
     doc = np.repeat(np.arange(len(sizes)), sizes + 1)
     first = np.concatenate([[0], ends[:-1] + 1]) if len(sizes) else np.zeros(0, np.int64)
@@ -169,8 +171,10 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, f
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         for k in range(KINDS):
-            order = np.argsort(f[:, k], kind="stable")
-            rows, first = np.unique(f[order, k], return_index=True)
+            order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # a radix sort; a kind's buckets fit 16 bits
+            placed = f[order, k]
+            first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+            rows = placed[first]
             slope = np.add.reduceat(p[order], first, axis=0)
             squares[rows] += (slope * slope).mean(axis=1)
             weights[rows] -= (rate / np.sqrt(1e-6 + squares[rows]))[:, None] * slope
