@@ -76,6 +76,57 @@ def test_proximity_finds_changed_passage(spark, make_docs):
     assert got[3]["near_items"] == [] and got[4]["near_items"] == []
 
 
+def plain_near(docs, items, size=13, drift=2):
+    windows = set()
+    for item, text in items:
+        w = words(text)
+        n = min(size, len(w))
+        windows |= {(str(item), *w[i:i + n]) for i in range(len(w) - n + 1) if w and item is not None}
+    out = []
+    for doc, text in docs:
+        at, n = {}, len(words(text))
+        for i, x in enumerate(words(text)):
+            at.setdefault(x, []).append(i)
+        found = set()
+        for item, *terms in windows:
+            if item not in found:
+                starts = np.zeros(n + 2 * drift + len(terms), dtype=int)  # by start + len(terms) - 1 + drift
+                for k, x in enumerate(terms):
+                    hit = {p - k + d + len(terms) - 1 + drift for p in at.get(x, ()) for d in range(-drift, drift + 1)}
+                    starts[list(hit)] += 1
+                if starts.max() >= -(-4 * len(terms) // 5):
+                    found.add(item)
+        out.append((doc, sorted(found)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_words,segment_words", [(10**6, 1 << 19), (10**6, 50), (60, 200)])
+def test_near_items_against_plain(spark, make_docs, cases, block_words, segment_words):
+    """Whatever the segments are; the rarest word may be the changed one, and no match crosses documents."""
+    rng = random.Random(5)
+    docs = [r for r in cases[0] if r[0] is not None]
+    for d in range(300, 360):
+        t = words(rng.choice([x for x in cases[1][:25] if len(words(x[1])) >= 13])[1])
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(t))
+            t[k:k + 1] = rng.choice([["zz"], [], [t[k], "yy"], ["w3"], ["w29"]])
+        docs.append((d, " ".join(t)))
+    tests = spark.createDataFrame(cases[1], "item_id long, text string")
+    got = D.contamination(make_docs(docs), tests, drift=2, block_words=block_words, segment_words=segment_words).collect()
+    want = plain_near(docs, cases[1])
+    assert sorted([(r["doc_id"], r["near_items"]) for r in got], key=str) == want and sum(len(n) for _, n in want) > 100
+
+
+def test_query_reports_changed_passages(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+    text = " ".join(f"term{k}" for k in range(40))
+    changed = " ".join("other" if k % 12 == 6 else f"term{k}" for k in range(40))
+    spark.createDataFrame([(1, changed), (2, text), (3, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()}
+    assert [(got[k]["n_items"], got[k]["contaminated"], got[k]["n_near_items"]) for k in (1, 2, 3)] == [(0, False, 1), (1, True, 1), (0, False, 0)]
+
+
 def test_window_never_crosses_documents(spark, make_docs):
     tests = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     got = D.contamination(make_docs([(1, "a b"), (2, "c d"), (3, "a b c d")], extra=False).coalesce(1), tests).collect()

@@ -7,7 +7,8 @@ folder. Test windows are then looked up in each segment: starting from the
 window's rarest term, each further posting list is shifted by the term's offset
 and intersected. A gap between documents keeps matches from crossing them. The
 exact phrase matches give hit words; the proximity matches allow each term a
-few words of drift and some terms missing.
+few words of drift and a fifth of the terms missing. They depend on the document
+alone, not on the segment it is in.
 
 Test items are taken in blocks of a fixed number of words, so what is broadcast
 is bounded however large the test set is.
@@ -131,12 +132,15 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, at, -1)
 
-    def holds(self, place: np.ndarray, position: np.ndarray, drift: int = 0) -> np.ndarray:
-        """Whether the posting list at ``place`` has a position within ``drift``."""
-        low = place * (self.length + 1) + np.maximum(position - drift, 0)
-        high = place * (self.length + 1) + np.minimum(position + drift, self.length - 1)
+    def holds(self, place: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether the posting list at ``place`` has the position."""
+        return (position >= 0) & (position < self.length) & self.between(place, position, position)
+
+    def between(self, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether the posting list at ``place`` has a position from ``first`` to ``last``, both inside the segment."""
+        low, high = place * (self.length + 1) + first, place * (self.length + 1) + last
         at = np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)
-        return (position >= -drift) & (position < self.length + drift) & (place >= 0) & (self.keys[at] >= low) & (self.keys[at] <= high)
+        return (place >= 0) & (self.keys[at] >= low) & (self.keys[at] <= high)
 
 
 def _candidates(seg: Segment, place: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -173,27 +177,40 @@ def phrase_matches(seg: Segment, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def proximity_matches(seg: Segment, terms: np.ndarray, drift: int = 2, share: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) where, around a posting of the window's rarest term that
-    occurs, at least ``share`` of the terms stand within ``drift`` words of their
-    place in the window."""
+    """(window, position of one of its terms) where, for some start, at least
+    ``share`` of the terms stand within ``drift`` words of their place in the
+    window, all in one document. Some of the rarest terms, one more than may be
+    missing, must be among them, so their postings are the places to look at."""
     place = seg.place(terms)
-    df = np.where(place >= 0, seg.counts[place] if len(seg.counts) else 0, np.iinfo(np.int64).max)
-    need = math.ceil(share * terms.shape[1])
+    df = np.where(place >= 0, seg.counts[place] if len(seg.counts) else 0, 0)
+    size = terms.shape[1]
+    need = math.ceil(share * size)
     able = (place >= 0).sum(axis=1) >= need
     order = np.argsort(df, axis=1, kind="stable")
-    rarest = np.where(able, np.take_along_axis(place, order[:, :1], axis=1)[:, 0], -1)
+    low, high = seg.starts[:-1], seg.starts[1:] - 2  # first and last word of each document
+
+    def near_enough(window: np.ndarray, start: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
+        """Which candidates have enough terms within ``reach``; rows are given up once too many are missing."""
+        rows, near = np.arange(len(window)), np.zeros(len(window), dtype=np.int64)
+        for k in range(size):
+            w, d = window[rows], doc[rows]
+            off = order[w, k]
+            near = near + seg.between(place[w, off], np.maximum(start[rows] + off - reach, low[d]), np.minimum(start[rows] + off + reach, high[d]))
+            kept = near + size - 1 - k >= need
+            rows, near = rows[kept], near[kept]
+        return rows
+
     found_w, found_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for window, start in _candidates(seg, rarest, order[:, 0]):
-        near, left = np.ones(len(window), dtype=np.int64), terms.shape[1] - 1
-        for k in range(1, terms.shape[1]):
-            able_yet = near + left >= need  # gone once too many terms are missing
-            window, start, near = window[able_yet], start[able_yet], near[able_yet]
-            off = order[window, k]
-            near = near + seg.holds(place[window, off], start + off, drift)
-            left -= 1
-        kept = near >= need
-        found_w.append(window[kept])
-        found_p.append(np.maximum(start[kept], 0))
+    for k in range(size - need + 1):
+        anchor = np.where(able, np.take_along_axis(place, order[:, k:k + 1], axis=1)[:, 0], -1)
+        for window, start in _candidates(seg, anchor, order[:, k]):
+            position = start + order[window, k]
+            doc = np.searchsorted(seg.starts, position, "right") - 1
+            rows = near_enough(window, start, doc, 2 * drift)  # whatever the start is, the terms are that near
+            for shift in range(-drift, drift + 1):
+                kept = rows[near_enough(window[rows], start[rows] + shift, doc[rows], drift)]
+                found_w.append(window[kept])
+                found_p.append(position[kept])
     return np.concatenate(found_w), np.concatenate(found_p)
 
 
@@ -217,8 +234,8 @@ def match(index: DataFrame, tests: Broadcast, drift: int | None = None) -> DataF
             doc = np.searchsorted(seg.starts, start, "right") - 1
             pairs["exact"].append(np.unique(np.stack([doc, item[window]], axis=1), axis=0))
             if drift is not None:
-                window, start = proximity_matches(seg, terms, drift)
-                doc = np.minimum(np.searchsorted(seg.starts, start, "right") - 1, n - 1)
+                window, position = proximity_matches(seg, terms, drift)
+                doc = np.searchsorted(seg.starts, position, "right") - 1
                 pairs["near"].append(np.unique(np.stack([doc, item[window]], axis=1), axis=0))
         flags = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
         first, last = np.flatnonzero(flags == 1), np.flatnonzero(flags == -1) - 1
@@ -257,8 +274,8 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   drift: int | None = None, block_words: int = BLOCK_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items, near_items, contaminated: a row per document
-    row; near_items are the proximity matches, looked for if ``drift`` (words that
-    a term may stand off its place) is given. A word is hit if it lies in an occurrence of a window (``window``
+    row; near_items are the items of which, for a window and some start in the
+    document, four fifths of the terms stand within ``drift`` words of their place; they are looked for if it is given. A word is hit if it lies in an occurrence of a window (``window``
     consecutive item words; a shorter item is one window). contaminated: at
     least a twentieth of the words are hit."""
     spark = docs.sparkSession
