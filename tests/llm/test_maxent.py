@@ -61,6 +61,35 @@ def test_probabilities_add_up_to_one(spark, make_docs):
         assert np.allclose(inside[used], 1) and np.allclose(p.sum(axis=1), 1)
 
 
+def test_every_pair_has_weights_of_its_own(spark, make_docs):
+    """Pairs that share a bucket differ; scores are those of a plain count of all pairs, whatever the tasks are."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 60} x{j % 5}" for j in range(i % 40))) for i in range(90)]
+    docs, learn = id_text(make_docs(rows)), F.col("doc_id") % 3 != 0
+    head = M.make_head(store(M.count_tokens(docs.where(learn)), "test-counts"))
+    weights, bias = M.fit(docs.where(learn), head, 1)
+    place, counts, every = {w: i for i, w in enumerate(head.words.to_pylist())}, Counter(), {}
+    for i, text in rows:
+        t = M.tokens_of(pa.array([text]), head)
+        names = ["<", "<", *tokens(text)]
+        z = np.exp(M._logits(weights, bias, t.features))
+        every[i] = [((a, b), M._class_of(head, np.array([place.get(w, -1)]))[0], p) for a, b, w, p in zip(names, names[1:], names[2:], z / z.sum(axis=1, keepdims=True))]
+        counts.update((pair, c) for pair, c, _ in every[i] if i % 3)
+    sizes = Counter()
+    for (pair, _), n in counts.items():
+        sizes[pair] += n
+    want = {i: sum(math.log10((M.PRIOR * p[c] + counts[pair, c]) / (M.PRIOR + sizes[pair])) for pair, c, p in found) for i, found in every.items()}
+    for tasks in (1, 5):
+        scored = store(M._score_pairs(M._score_head(docs.withColumn("learn", learn), head, tasks * M.SHARES), weights, bias, tasks), "test-scored")
+        got = scored.where("docs is null").join(M._class_sums(scored), "row").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["class_sum"] == pytest.approx(want[r["doc_id"]], rel=1e-4)
+
+
+def test_rounds_follow_the_learning_tokens():
+    assert [M.rounds_for(n) for n in (0, 1 << 24, 1 << 27, 1 << 33)] == [2, 2, 4, 10]
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(0, .1, (M.KINDS * M.BUCKETS, M.CLASSES)).astype(np.float32), np.zeros(M.CLASSES, np.float32)

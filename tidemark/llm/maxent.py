@@ -13,7 +13,15 @@ Token counts cover all learning texts and stay distributed; only the counts of
 the ``HEAD`` most frequent tokens are sent to workers, those of rarer tokens are
 joined. Training is by distributed gradient steps: in each round the workers take
 steps through their share of the texts and the means of their weights, by token,
-become the next model. Scoring goes through sparse numpy batches.
+become the next model; the number of rounds follows the learning tokens.
+
+The ``BUCKETS`` hashed features of each kind are many histories' in common. Every
+distinct pair of previous words has weights of its own besides: that of class c is
+log(1 + n(c) / (PRIOR * q(c))), with the pair's counts n in the learning texts and
+q by the hashed features, and exp of the weights is normalised by 1 + n / PRIOR
+(the optimum of the pair's likelihood under a Dirichlet prior at q). These weights
+stay distributed: tokens are dealt by pair, numbered and counted where they
+arrive, and their scores go back to the texts.
 
 Defined cases: a null or blank text is one end token; very long texts are scored
 in batches of tokens; without learning texts N = V = 0, every token is unseen and
@@ -41,7 +49,11 @@ CLASSES = 64
 BUCKETS = 1 << 13   # hashed features of each kind
 KINDS = 3
 BATCH = 8192        # tokens in a gradient step or scoring batch
-ROUNDS = 2
+ROUNDS = 2          # at least; and one for each doubling of the learning tokens from ROUND_TOKENS
+ROUND_TOKENS = 1 << 24
+PRIOR = 8.0         # strength of the hashed model against a pair's own counts
+SHARES = 8          # shards of the pairs for each task
+SHARD_TOKENS = 4_000_000  # tokens of the pairs that a task is meant for
 RATE = 0.15
 CHUNKS = 64         # pieces in which weights are averaged
 END = ""            # no word is empty, so this stands for the end token
@@ -106,12 +118,16 @@ def make_head(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> He
                 int(ends[0]) if len(ends) else -1)
 
 
-def _mix(kind: int, *parts: np.ndarray) -> np.ndarray:
+def _hash(kind: int, *parts: np.ndarray) -> np.ndarray:
     h = np.full(parts[0].shape, 0x9E3779B97F4A7C15 * (kind + 1) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     for p in parts:
         h = (h ^ p.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
-    return (h % np.uint64(BUCKETS)).astype(np.int64) + kind * BUCKETS
+    return h
+
+
+def _mix(kind: int, *parts: np.ndarray) -> np.ndarray:
+    return (_hash(kind, *parts) % np.uint64(BUCKETS)).astype(np.int64) + kind * BUCKETS
 
 
 @dataclass
@@ -122,6 +138,7 @@ class Tokens:
     word: np.ndarray      # place in ``words``, -1 for the end
     words: pa.Array
     features: np.ndarray  # tokens x KINDS
+    pair: np.ndarray      # hash of the two previous words
 
 
 def tokens_of(texts: pa.Array, head: Head) -> Tokens:
@@ -146,8 +163,9 @@ def tokens_of(texts: pa.Array, head: Head) -> Tokens:
     two[first] = 1
     second = first[sizes > 0] + 1
     two[second] = 1
-    features = np.stack([_mix(0, one), _mix(1, one, two), _mix(2, two)], axis=1) if n else np.zeros((0, KINDS), np.int64)
-    return Tokens(doc, place, word, words, features)
+    pair = _hash(1, one, two)
+    features = np.stack([_mix(0, one), (pair % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS, _mix(2, two)], axis=1) if n else np.zeros((0, KINDS), np.int64)
+    return Tokens(doc, place, word, words, features, pair)
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -180,6 +198,10 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, f
             weights[rows] -= (rate / np.sqrt(1e-6 + squares[rows]))[:, None] * slope
 
 
+def rounds_for(tokens: int) -> int:
+    return max(ROUNDS, (tokens // ROUND_TOKENS).bit_length())
+
+
 def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
     """Class weights (KINDS x BUCKETS rows) and bias, from all rows (doc_id, text)."""
     spark = docs.sparkSession
@@ -222,26 +244,22 @@ RARE = "array<struct<token:string,n:long>>"
 _RARE_TYPE = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
 
-def _score_head(docs: DataFrame, head: Head, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
-    """A row per text: its sums over frequent tokens and classes, and its rare tokens with their numbers."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((head, weights, bias))
+def _score_head(docs: DataFrame, head: Head, shards: int) -> DataFrame:
+    """A row per text: its sums over frequent tokens, and its rare tokens with their numbers; and a row per part of a
+    batch and shard with the tokens of that shard's pairs, under the number of the part's first text. From rows
+    (doc_id, text, learn)."""
+    sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, w, b0 = sent.value
+        h = sent.value
         number = TaskContext.get().partitionId() << 40
-        for b in small_batches(batches, 4 << 20):
+        for b in small_batches(batches, 2 << 20):
             t, n = tokens_of(b.column(1), h), b.num_rows
             target = _class_of(h, t.head)
-            model = np.zeros(len(target))
-            for i in range(0, len(target), BATCH):
-                z = _logits(w, b0, t.features[i:i + BATCH])
-                own = z[np.arange(len(z)), target[i:i + BATCH]]
-                model[i:i + BATCH] = (own - np.log(np.exp(z).sum(axis=1))) / np.log(10)
             frequent = t.head >= 0
-            base = np.zeros(len(target))
+            base, model = np.zeros(len(target)), np.zeros(len(target))
             base[frequent] = np.log10((h.counts[t.head[frequent]] + 0.5) / h.base_total)
-            model[frequent] += h.inside[t.head[frequent]]
+            model[frequent] = h.inside[t.head[frequent]]
             rare = np.flatnonzero(~frequent)
             # an end token is rare only if there is no head at all: it is then the word ""
             key = t.doc[rare] * (len(t.words) + 1) + t.word[rare] + 1
@@ -250,17 +268,119 @@ def _score_head(docs: DataFrame, head: Head, weights: np.ndarray, bias: np.ndarr
             names = pa.concat_arrays([t.words, pa.array([END], pa.string())]).take(pa.array(np.where(word < 0, len(t.words), word)))
             offsets = np.searchsorted(owner, np.arange(n + 1))
             cells = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([names, pa.array(times, pa.int64())], names=["token", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number, number + n), pa.int64()), b.column(0), pa.array(np.bincount(t.doc, minlength=n), pa.int64()),
-                 pa.array(np.bincount(t.doc, frequent, minlength=n).astype(np.int64)), pa.array(np.bincount(t.doc, base, minlength=n)),
-                 pa.array(np.bincount(t.doc, model, minlength=n)), cells],
-                names=["row", "doc_id", "n_tokens", "known", "base", "model", "rare"])
+            texts = [pa.array(np.arange(number, number + n), pa.int64()), pa.array(np.arange(number, number + n) % shards, pa.int32()), b.column(0),
+                     pa.array(np.bincount(t.doc, minlength=n), pa.int64()), pa.array(np.bincount(t.doc, frequent, minlength=n).astype(np.int64)),
+                     pa.array(np.bincount(t.doc, base, minlength=n)), pa.array(np.bincount(t.doc, model, minlength=n)), cells]
+            yield pa.RecordBatch.from_arrays([*texts, *[pa.nulls(n, pa.binary())] * 3], schema=_DEALT_TYPE)
+            dealt = _deal(t, target, np.asarray(b.column(2)), shards)
+            k = len(dealt[0])
+            yield pa.RecordBatch.from_arrays([pa.array([number] * k, pa.int64()), pa.array(dealt[0], pa.int32()), *[pa.nulls(k, x.type) for x in texts[2:]],
+                                              *[pa.array(x, pa.binary()) for x in dealt[1:]]], schema=_DEALT_TYPE)
             number += n
-    return docs.mapInArrow(run, f"row long, doc_id long, n_tokens long, known long, base double, model double, rare {RARE}")
+    return docs.mapInArrow(run, f"row long, shard int, doc_id long, n_tokens long, known long, base double, model double, rare {RARE}, docs binary, low binary, high binary")
+
+
+_TEXT = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", _RARE_TYPE)]
+_DEALT_TYPE = pa.schema([("row", pa.int64()), ("shard", pa.int32()), *_TEXT, ("docs", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+_SCORED_TYPE = pa.schema([("row", pa.int64()), *_TEXT, ("docs", pa.binary()), ("sums", pa.binary())])
+
+
+def _deal(t: Tokens, target: np.ndarray, learn: np.ndarray, shards: int) -> tuple[list, list, list, list]:
+    """The tokens by shard of their pair: shards; steps of text number; kinds 0 and 2 and class (32 bits); 15 bits of
+    the pair, of which 13 are kind 1, and whether the token is learned from. With the shard this tells pairs apart."""
+    shard = ((t.pair >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    low = (t.features[:, 0] << 19 | (t.features[:, 2] - 2 * BUCKETS) << 6 | target).astype("<u4")[order]
+    high = ((t.pair & np.uint64(0x7FFF)).astype(np.int64) << 1 | learn.astype(np.int64)[t.doc]).astype("<u2")[order]
+    docs, ends = t.doc[order], np.searchsorted(shard[order], np.arange(shards + 1))
+    some = [(k, i, j) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if i < j]
+    return ([k for k, _, _ in some], [np.diff(docs[i:j], prepend=0).astype("<u4").tobytes() for _, i, j in some],
+            [low[i:j].tobytes() for _, i, j in some], [high[i:j].tobytes() for _, i, j in some])
+
+
+def class_scores(weights: np.ndarray, bias: np.ndarray, shard: np.ndarray, low: np.ndarray, high: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log10 P(class | history) of tokens; the learning ones among them are all that the shards have of their pairs."""
+    key = (shard.astype(np.uint64) << np.uint64(47)) | (high.astype(np.uint64) >> np.uint64(1) << np.uint64(32)) | low.astype(np.uint64)
+    order = np.argsort(key)
+    key, learned = key[order], (high[order] & 1).astype(np.int64)
+    if not len(key):
+        return np.zeros(0)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n_class = np.add.reduceat(learned, starts)
+    own = key[starts]
+    pairs = np.flatnonzero(np.concatenate([[True], own[1:] >> np.uint64(6) != own[:-1] >> np.uint64(6)]))
+    n_pair = np.add.reduceat(n_class, pairs)
+    sizes = np.diff(np.append(pairs, len(own)))
+    f = own[pairs]
+    features = np.stack([f >> np.uint64(19) & np.uint64(BUCKETS - 1), (f >> np.uint64(32) & np.uint64(BUCKETS - 1)) + np.uint64(BUCKETS),
+                         (f >> np.uint64(6) & np.uint64(BUCKETS - 1)) + np.uint64(2 * BUCKETS)], axis=1).astype(np.int64)
+    target = (own & np.uint64(CLASSES - 1)).astype(np.int64)
+    q = np.zeros(len(own))
+    for i in range(0, len(pairs), BATCH):
+        z = np.exp(_logits(weights, bias, features[i:i + BATCH]))
+        a, b = pairs[i], pairs[i + BATCH] if i + BATCH < len(pairs) else len(own)
+        at = np.repeat(np.arange(len(z)), sizes[i:i + BATCH])
+        q[a:b] = z[at, target[a:b]] / z.sum(axis=1, dtype=np.float64)[at]
+    q = np.maximum(q, 1e-30)
+    of_key = np.log10(q + n_class / prior) - np.log10(1 + np.repeat(n_pair, sizes) / prior)
+    out = np.empty(len(key))
+    out[order] = np.repeat(of_key, np.diff(np.append(starts, len(key))))
+    return out
+
+
+def _score_pairs(dealt: DataFrame, weights: np.ndarray, bias: np.ndarray, tasks: int) -> DataFrame:
+    """The rows of texts as they are, and for each part of a batch the class sums of its texts over a task's pairs."""
+    sent = dealt.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        w, b0 = sent.value
+        by_shard: dict[int, list[tuple]] = {}
+        for b in batches:
+            is_text = pc.is_null(b.column(8))
+            texts, b = b.filter(is_text), b.filter(pc.invert(is_text))
+            n = texts.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([texts.column(0), *texts.columns[2:8], pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_SCORED_TYPE)
+            for row, shard, *cell in zip(*(c.to_pylist() for c in (b.column(0), b.column(1), *b.columns[8:]))):
+                by_shard.setdefault(shard, []).append((row, *cell))
+        sums: dict[int, np.ndarray] = {}
+        while by_shard:  # a shard at a time, for memory
+            shard, cells = by_shard.popitem()
+            low, high = (np.frombuffer(b"".join(c[k] for c in cells), kind) for k, kind in ((2, "<u4"), (3, "<u2")))
+            got, start = class_scores(w, b0, np.full(len(low), shard, np.uint32), low, high), 0
+            for row, docs, *_ in cells:
+                at = np.cumsum(np.frombuffer(docs, "<u4")).astype(np.int64)
+                add, start = np.bincount(at, got[start:start + len(at)]), start + len(at)
+                old = sums.get(row, add[:0])
+                if len(old) > len(add):
+                    add, old = old, add
+                add[:len(old)] += old
+                sums[row] = add
+        for row, total in sums.items():
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *[pa.nulls(1, x) for _, x in _TEXT], pa.array([np.diff(some, prepend=0).astype("<u4").tobytes()], pa.binary()),
+                                              pa.array([total[some].astype("<f8").tobytes()], pa.binary())], schema=_SCORED_TYPE)
+    return dealt.repartition(tasks, "shard").mapInArrow(
+        run, f"row long, doc_id long, n_tokens long, known long, base double, model double, rare {RARE}, docs binary, sums binary")
+
+
+def _class_sums(scored: DataFrame) -> DataFrame:
+    """row, class_sum: the class part of every text's score."""
+    def back(key: tuple, group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0)
+        for part in group:
+            for docs, sums in zip(part["docs"], part["sums"]):
+                at = np.cumsum(np.frombuffer(docs, "<u4")).astype(np.int64)
+                if len(at) and at[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(at[-1] + 1 - len(total))])
+                total[at] += np.frombuffer(sums, "<f8")
+        yield pd.DataFrame({"row": key[0] + np.arange(len(total)), "class_sum": total})
+    return scored.where("docs is not null").select("row", "docs", "sums").groupBy("row").applyInPandas(back, "row long, class_sum double")
 
 
 def scores(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD,
-           rounds: int = ROUNDS) -> DataFrame:
+           rounds: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: a row per input
     row. base_score is log10 of an add-1/2 unigram model, score the log10
     probability by the maximum-entropy model; both learn from the rows where
@@ -269,8 +389,11 @@ def scores(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     learning = rows.where(learn) if learn is not None else rows
     counts = store(count_tokens(learning), "maxent-counts")
     head = make_head(counts, head_size)
-    weights, bias = fit(learning, head, rounds)
-    scored = store(_score_head(rows, head, weights, bias), "maxent-scored")
+    weights, bias = fit(learning, head, rounds or rounds_for(head.tokens))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), head.tokens // SHARD_TOKENS)
+    marked = rows.withColumn("learn", F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True))
+    found = store(_score_pairs(_score_head(marked, head, tasks * SHARES), weights, bias, tasks), "maxent-scored")
+    scored, classes = found.where("docs is null").drop("docs", "sums"), _class_sums(found)
     floor = int(head.counts.min()) if len(head.counts) else 1 << 62
     rarer = counts.where(F.col("c") <= floor)  # words of the head never ask, so a few of them do no harm
     asked = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n")
@@ -279,7 +402,7 @@ def scores(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum("n").alias("n_rare"),
         F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"))
     n_rare, logs = F.coalesce("n_rare", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.drop("rare").join(sums, "row", "left").join(classes, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + logs - n_rare * float(np.log10(head.base_total))).alias("base_score"),
-        (F.col("model") + logs - n_rare * float(np.log10(head.rare_total))).alias("score"))
+        (F.col("model") + F.coalesce("class_sum", F.lit(0.0)) + logs - n_rare * float(np.log10(head.rare_total))).alias("score"))
