@@ -20,7 +20,9 @@ def test_sql_agrees(spark, name):
         con.sql(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
     relation = con.sql(ORACLE[name])
     want = relation.fetchall()
-    got = [tuple(r[c] for c in relation.columns) for r in QUERIES[name](spark, SF001).collect()]
+    found = QUERIES[name](spark, SF001)
+    assert sorted(found.columns) == sorted(relation.columns)
+    got = [tuple(r[c] for c in relation.columns) for r in found.collect()]
     assert sorted(got) == sorted(want)
 
 

@@ -1,7 +1,9 @@
 """DuckDB SQL of the operators that SQL can express."""
 
 # Every 13-word window of a document is looked up among the benchmark's; an item
-# of fewer words is looked up with its own length.
+# of fewer words is looked up with its own length. Near items: word q of an item
+# lies on diagonal g of a document if the same word stands within 2 places of
+# q + g there; an item is near if one diagonal holds four fifths of a window.
 _DECONTAM = r"""
 with doc_words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -23,10 +25,23 @@ found as (select doc_id, item_id, i, size from places join windows using (size,
 hit as (select doc_id, count(distinct p) as n_hit
         from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, i, size from found)) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as names
-          from (select distinct doc_id, cast(item_id as varchar) as k from found) group by doc_id)
+          from (select distinct doc_id, cast(item_id as varchar) as k from found) group by doc_id),
+item_places as (select distinct item_id, size, q, w[q] as word from (select item_id, w, size, unnest(range(1, len(w) + 1)) as q from sized)),
+doc_places as (select doc_id, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from doc_words)),
+diagonals as (
+  select distinct doc_id, item_id, size, q, p - q + drift as g
+  from doc_places join item_places using (word), (select unnest(range(-2, 3)) as drift)),
+near as (
+  select distinct doc_id, cast(item_id as varchar) as k
+  from (select doc_id, item_id, size,
+               count(*) over (partition by doc_id, item_id, g order by q range between 12 preceding and current row) as n
+        from diagonals)
+  where 5 * n >= 4 * size),
+near_items as (select doc_id, count(*) as n_near, string_agg(k, ',' order by k) as near_names from near group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from doc_words left join hit using (doc_id) left join items using (doc_id)
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+       coalesce(n_near, 0) as n_near_items, sha256(coalesce(near_names, '')) as near_items_sha256
+from doc_words left join hit using (doc_id) left join items using (doc_id) left join near_items using (doc_id)
 """
 
 ORACLE: dict[str, str] = {"op5_decontamination": _DECONTAM}
