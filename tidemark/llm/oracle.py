@@ -44,4 +44,52 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from doc_words left join hit using (doc_id) left join items using (doc_id) left join near_items using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op5_decontamination": _DECONTAM}
+_EXACT = r"""
+with t as (
+  select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body
+  from documents)
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by body) as group_size,
+       row_number() over best = 1 as kept, sha256(body) as text_sha256
+from t
+window best as (partition by body order by chars desc, doc_id nulls last)
+"""
+
+# crc32 by its table; a prefix is named by the digests of its turns.
+_TRIE = r"""
+with crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as steps),
+turns as (
+  select conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+  from conversations where conv_id is not null),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, digest) as pos from turns),
+convs as (
+  select conv_id, conv_id - conv_id % 20 as base,
+         xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+                         lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4 as h
+  from (select distinct conv_id from turns), crc_table),
+taken as (
+  select c.conv_id, 0 as own, n.pos, n.digest, n.words from convs c join numbered n on n.conv_id = c.base and n.pos <= c.h
+  union all
+  select n.conv_id, 1, n.pos, n.digest, n.words from numbered n join convs c using (conv_id) where n.pos > c.h),
+paths as (
+  select conv_id, coalesce(list(digest order by own, pos) filter (digest is not null), []) as digests, coalesce(list(words order by own, pos) filter (digest is not null), []) as words
+  from convs left join taken using (conv_id) group by conv_id),
+prefixes as (
+  select conv_id, d as depth, array_to_string(digests[1:d], '') as path, array_to_string(digests[1:d - 1], '') as up, case when d = 0 then 0 else words[d] end as words, d = len(digests) as ends
+  from (select *, unnest(range(0, len(digests) + 1)) as d from paths)),
+nodes as (
+  select depth, path, min(up) as up, min(words) as words, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from prefixes group by depth, path),
+children as (select depth - 1 as depth, up as path, count(*) as n_children from nodes where depth > 0 group by 1, 2),
+owned as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (depth, path)),
+below as (
+  select p.depth, p.path, sum((o.n_convs - 1) * o.words) as saved_tokens, sum(case when o.n_children = 0 then 1 else 0 end) as n_leaves
+  from prefixes p join owned o on o.conv_id = p.conv_id and o.depth >= p.depth group by 1, 2)
+select o.conv_id, o.depth, u.conv_id as parent_conv_id, o.n_convs, o.n_children, cast(b.n_leaves as bigint) as n_leaves,
+       cast(b.saved_tokens as bigint) as saved_tokens, o.ends_sha256
+from owned o join below b using (depth, path) left join owned u on o.depth > 0 and u.depth = o.depth - 1 and u.path = o.up
+"""
+
+ORACLE: dict[str, str] = {"op5_decontamination": _DECONTAM, "op12_exact_dedup": _EXACT, "op13_prefix_trie": _TRIE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, html_text, langid, maxent, packing, secret_scan, simhash, toxicity, wordpiece
+from tidemark.llm import ann, decontam, exact_dedup, html_text, langid, maxent, packing, prefix_trie, secret_scan, simhash, toxicity, wordpiece
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, by harmonic classes."""
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_register
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates, white space aside, among all documents."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt on the first turns of its block of twenty."""
+    conv = F.col("conv_id")
+    turns = prefix_trie.rebuilt(table(spark, sf_dir, "conversations"), conv - conv % 20, fold("conv_id", 4), most_taken=3)
+    return prefix_trie.prefix_trie(turns).drop("words")
