@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, exact_dedup, html_text, langid, maxent, packing, prefix_trie, secret_scan, simhash, toxicity, wordpiece
+from tidemark.llm import ann, decontam, exact_dedup, html_text, langid, maxent, packing, prefix_trie, secret_scan, simhash, token_align, toxicity, wordpiece
 from tidemark.llm.common import fold, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_register
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and sentence-piece tokens of all documents aligned, with corpus counts of linked pairs."""
+    import public_tokenizers
+    return token_align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_register
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates, white space aside, among all documents."""
