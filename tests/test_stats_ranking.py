@@ -38,3 +38,27 @@ def test_ntile_formula(spark):
     n = 10
     df = spark.range(n).withColumn("b", ranking.ntile_from_position(F.col("id"), F.lit(n), 4))
     assert [r["b"] for r in df.orderBy("id").collect()] == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4]
+
+
+def test_exact_quantiles_by_brute_force(spark):
+    import numpy as np
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 2.5, float(rng.randint(0, 50))])) for _ in range(700)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: [r["n"], *[r[f"q{k}"] for k in range(6)]] for r in ranking.exact_quantiles(df, ["g"], "v", probs).collect()}
+    for g in ("a", "b", None, "one"):
+        vs = [v for k, v in rows if k == g and v is not None]
+        assert got[g][0] == len(vs) and np.allclose(got[g][1:], np.quantile(vs, probs), rtol=1e-14)
+    assert set(got) == {"a", "b", None, "one"}
+    whole = ranking.exact_quantiles(df, [], "v", [0.3]).first()
+    assert abs(whole["q0"] - np.quantile([v for _, v in rows if v is not None], 0.3)) < 1e-12
+    assert ranking.exact_quantiles(df.where("v > 1000"), [], "v", [0.5]).first()["q0"] is None
+
+
+def test_no_percentile_buffer_in_plans(spark):
+    from tests.conftest import SF0001
+    import __spark_entry__ as E
+    for name in ("eda_median_split", "ml_precision_top_decile_rule", "ml_decile_lift_rule"):
+        plan = E.queries()[name](spark, SF0001)._jdf.queryExecution().executedPlan().toString().lower()
+        assert "percentile" not in plan and "median(" not in plan

@@ -57,3 +57,22 @@ def test_python_whitespace_semantics(spark):
                 if "_" in tok]
     assert flags == expected
     assert df.select(TX.py_strip(F.col("t"))).first()[0] == text.strip()
+
+
+def test_long_tokens_take_linear_time(spark):
+    """A token, a run of blanks, of digits, of punctuation or of underscores, a million characters long."""
+    import time
+    n = 1_000_000
+    texts = ["x" * n, "made_up_feature" + " " * n + "z", "1" * n, "made_up_feature" + "!" * n + "y z", "a_" * (n // 2) + "a", "a" * n + " made_up_feature"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).cache()
+    cols = [F.size(TX.unknown_feature_flags(F.col("t"), TX.KNOWN_FEATURES)).alias("n"), TX.stated_percentage(F.col("t")).alias("p"), F.length(TX.py_strip(F.col("t"))).alias("s")]
+    df.limit(0).select(*cols).collect()
+    start = time.time()
+    got = [r["n"] for r in df.select(*cols).collect()]
+    assert got == [0, 1, 0, 0, 1, 1] and time.time() - start < 30
+
+
+def test_a_row_allows_its_own_features(spark):
+    df = spark.createDataFrame([("sso_login_count rose", ["sso_login_count"]), ("sso_login_count rose", ["other_signal"]), ("sso_login_count rose", None)], "t string, own array<string>")
+    got = [r[0] for r in df.select(F.size(TX.expansion_brief_flags(F.col("t"), F.col("own")))).collect()]
+    assert got == [0, 1, 1]

@@ -106,10 +106,11 @@ def feat_eda_all(customers: DataFrame, days: DataFrame, tickets: DataFrame, as_o
 
 
 def median_split(feats: DataFrame, features: list[str] = EDA_FEATURES) -> DataFrame:
-    """Exact median of each feature for churned vs active (long format)."""
-    g = feats.groupBy("is_churned").agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features])
-    args = ", ".join(f"'{c}', {c}" for c in features)
-    return g.select("is_churned", F.expr(f"stack({len(features)}, {args}) AS (feature, median)"))
+    """Exact median of each feature for churned vs active (long format), from one
+    unpivoted table of value counts."""
+    args = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in features)
+    long = feats.select("is_churned", F.expr(f"stack({len(features)}, {args}) AS (feature, value)"))
+    return ranking.exact_quantiles(long, ["is_churned", "feature"], "value", [0.5]).select("is_churned", "feature", F.col("q0").alias("median"))
 
 
 def point_biserial(feats: DataFrame, label: str = "is_churned", features: list[str] = EDA_FEATURES) -> DataFrame:

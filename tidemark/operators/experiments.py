@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import betas
 from tidemark.functions import constants as K
 from tidemark.functions import stats as ST
 from tidemark.functions.columns import lit_date
@@ -26,6 +27,7 @@ from tidemark.operators.lookups import seeded_hash
 # fixed values: prior, priors for the sensitivity check, decision thresholds
 PRIOR = (2, 8)
 PRIORS = [(1, 4, "weak"), (2, 8, "base"), (3, 7, "moderate"), (5, 15, "informative")]
+INTERVAL = (0.025, 0.975)
 EFFECTIVE, EXTEND, HARM, EARLY_STOP, EARLY_MIN_N = 0.90, 0.70, 0.10, 0.95, 40
 
 
@@ -77,10 +79,10 @@ def secondary(assigned: DataFrame, events: DataFrame, tickets: DataFrame, assign
 
 
 def posterior(outcome: DataFrame, priors: list[tuple[int, int, str]] | None = None) -> DataFrame:
-    """Beta-Binomial posterior per prior, in closed form: P(treatment churn <
-    control churn), mean and standard deviation of the effect (control -
-    treatment). Runs on the two-row outcome table; the work is per prior, not per
-    customer."""
+    """Beta-Binomial posterior per prior: P(treatment churn < control churn), mean,
+    standard deviation and 95 % interval of the effect (control - treatment). Runs
+    on the two-row outcome table by quadrature on fixed nodes: the work is per
+    prior, whatever the counts."""
     priors = priors or [(PRIOR[0], PRIOR[1], "base")]
     pivot = outcome.groupBy().pivot("arm", ["treatment", "control"]).agg(
         F.first("n").alias("n"), F.first("churned_90d").alias("c"))
@@ -91,33 +93,22 @@ def posterior(outcome: DataFrame, priors: list[tuple[int, int, str]] | None = No
             for _, r in b.iterrows():
                 nt, ct, nc, cc = int(r["treatment_n"]), int(r["treatment_c"]), int(r["control_n"]), int(r["control_c"])
                 for a0, b0, label in priors:
-                    at, bt = a0 + ct, b0 + nt - ct
-                    ac, bc = a0 + cc, b0 + nc - cc
-                    p_win = _p_beta_greater_int(ac, bc, at, bt)
-                    mean = ac / (ac + bc) - at / (at + bt)
-                    var = sum(a * b / ((a + b) ** 2 * (a + b + 1)) for a, b in ((ac, bc), (at, bt)))
+                    treated, control = betas.Beta(a0 + ct, b0 + nt - ct), betas.Beta(a0 + cc, b0 + nc - cc)
+                    p_win = 1 - betas.probability_below(treated, control, 0.0)
+                    low, high = (betas.difference_quantile(treated, control, q) for q in INTERVAL)
                     out.append({"prior": label, "prior_a": a0, "prior_b": b0, "n_treatment": nt, "churn_treatment": ct,
                                 "n_control": nc, "churn_control": cc, "p_treatment_better": round(p_win, 9),
-                                "p_harm": round(1 - p_win, 9), "effect_mean": round(mean, 6), "effect_sd": round(math.sqrt(var), 6)})
+                                "p_harm": round(1 - p_win, 9), "effect_mean": round(control.mean - treated.mean, 6),
+                                "effect_sd": round(math.hypot(treated.sd, control.sd), 6),
+                                "effect_low_95": round(low, 6), "effect_high_95": round(high, 6)})
             yield pd.DataFrame(out)
 
     schema = ("prior string, prior_a long, prior_b long, n_treatment long, churn_treatment long, n_control long, "
-              "churn_control long, p_treatment_better double, p_harm double, effect_mean double, effect_sd double")
+              "churn_control long, p_treatment_better double, p_harm double, effect_mean double, effect_sd double, "
+              "effect_low_95 double, effect_high_95 double")
     return pivot.na.fill(0).mapInPandas(run, schema)
 
 
-def _p_beta_greater_int(a_c: int, b_c: int, a_t: int, b_t: int) -> float:
-    """P(p_control > p_treatment) for independent Betas with integer parameters."""
-    def lbeta(x, y):
-        return math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
-    # P(Y > X) with Y ~ Beta(a_c, b_c), X ~ Beta(a_t, b_t):
-    # sum_{i=0}^{a_c-1} B(a_t + i, b_t + b_c) / ((b_c + i) B(1 + i, b_c) B(a_t, b_t))
-    s = 0.0
-    for i in range(int(a_c)):
-        s += math.exp(lbeta(a_t + i, b_t + b_c) - math.log(b_c + i) - lbeta(1 + i, b_c) - lbeta(a_t, b_t))
-    return min(1.0, max(0.0, s))
-
-
 def decision(post: DataFrame) -> DataFrame:
     p = F.col("p_treatment_better")
     d = (F.when(F.col("p_harm") > HARM, "stop").when(p >= EFFECTIVE, "effective").when(p >= EXTEND, "extend")

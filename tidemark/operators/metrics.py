@@ -1,8 +1,9 @@
 """Model-quality metrics over a (score, label) table, all distributed.
 
 AUC comes from average ranks of distinct scores (value counts + cumulative
-counts), top-decile and decile tables from the distributed global numbering;
-nothing is sorted in one task and nothing is collected.
+counts), top-decile and decile tables from the distributed global numbering,
+percentile edges from ``ranking.exact_quantiles``; nothing is sorted or buffered
+in one task and nothing is collected but single numbers.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def precision_top_decile(df: DataFrame, score: str = "score", label: str = "labe
     pos = ranking.global_positions(df.select(id_col, score, label),
                                    [F.col(score).desc(), F.col(id_col)])
     top = pos.where(F.col("pos") < k).agg(F.avg(F.col(label).cast("double")).alias("p1"))
-    t = df.agg(F.percentile(F.col(score).cast("double"), 0.9)).first()[0]  # one number
+    t = ranking.exact_quantiles(df, [], score, [0.9]).first()["q0"]  # one number
     p2 = df.where(F.col(score) >= F.lit(t)).agg(F.avg(F.col(label).cast("double")).alias("p2"))
     both = (top.select("p1", F.lit(None).cast("double").alias("p2"))
             .unionByName(p2.select(F.lit(None).cast("double").alias("p1"), "p2"))
@@ -73,12 +74,11 @@ def decile_table(df: DataFrame, score: str = "score", label: str = "label", mrr:
 
 def decile_lift(df: DataFrame, score: str, uplift: str, capture_rate: float = 0.25) -> DataFrame:
     """Value deciles from exact percentile edges (right-closed, lowest included)."""
-    edges = df.agg(F.percentile(F.col(score).cast("double"), [i / 10 for i in range(1, 10)])).first()[0]  # 9 numbers
-    j = df
+    found = ranking.exact_quantiles(df, [], score, [i / 10 for i in range(1, 10)]).first()  # 9 numbers
     bucket = F.lit(1)
-    for e in edges:
-        bucket = bucket + F.when(F.col(score) > F.lit(float(e)), 1).otherwise(0)
-    g = j.groupBy(bucket.cast("long").alias("decile")).agg(
+    for e in (found[f"q{k}"] for k in range(9)):
+        bucket = bucket + F.when(F.col(score) > F.lit(e), 1).otherwise(0)
+    g = df.groupBy(bucket.cast("long").alias("decile")).agg(
         F.count(F.lit(1)).alias("n"), _r9(F.avg(F.col(score).cast("double"))).alias("mean_propensity"),
         _r9(F.sum(F.col(uplift).cast("double"))).alias("total_arr_uplift"))
     return g.withColumn("captured_arr", _r9(F.col("total_arr_uplift") * capture_rate))

@@ -13,7 +13,10 @@ Instead:
 * ``average_ranks``: ranks with ties averaged, from the prefix sums of the
   column's value counts (one row per distinct value).
 
-They feed NTILE/decile buckets, rank-sum tests, two-sample KS, Spearman
+* ``exact_quantiles``: order statistics of groups from the prefix sums of their
+  value counts; a group's values are never in one buffer.
+
+They feed NTILE/decile buckets, medians and percentiles, rank-sum tests, two-sample KS, Spearman
 correlation and AUC; no Python runs on the executors.
 """
 
@@ -83,6 +86,39 @@ def prefix_sums(df: DataFrame, order: list[str], weights: list[str]) -> DataFram
                                      for k, w in enumerate(weights)])
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """keys, n, q0, q1, ...: the exact quantiles of each group, with linear
+    interpolation between the two order statistics around p * (n - 1). Nulls are left out.
+
+    Values are counted (combined on the map side, so a repeated value is one row),
+    counts become ranks by prefix sums over sorted ranges, and a quantile is the
+    value whose ranks hold the wanted one: only aggregates per group remain."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
+    ranked = prefix_sums(counted, [*keys, "_v"], ["_cnt"])
+    groups = ranked.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.min("_cnt_before").alias("_first"))
+    if keys:
+        rows = _join_groups(ranked, groups, keys)
+    else:
+        one = groups.first()  # one row
+        rows = ranked.withColumn("n", F.lit(one["n"] or 0)).withColumn("_first", F.lit(one["_first"] or 0))
+    at = F.col("_cnt_before") - F.col("_first")  # rank of the value's first row
+    aggs, out = [F.max("n").alias("n")], []
+    for k, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            aggs.append(F.max(F.when((at <= rank) & (rank < at + F.col("_cnt")), F.col("_v"))).alias(f"_{side}{k}"))
+        lo, hi, place = F.col(f"_lo{k}"), F.col(f"_hi{k}"), F.lit(float(p)) * (F.col("n") - 1)
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(f"q{k}"))
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, "n", *out)
+
+
+def _join_groups(ranked: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Give every value its group's row; null keys are groups too."""
+    renamed = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return ranked.join(renamed, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def ntile_from_position(pos: Column, n_rows: Column, buckets: int) -> Column:
     """NTILE(buckets) for a 0-based position among n rows (first n % b buckets get one extra)."""
     q = F.floor(n_rows / buckets)

@@ -41,40 +41,63 @@ URGENCY_PHRASES = ["immediately", "urgent", "critical"]
 WATERMARK = "⚠️ AI-generated. Requires human review."
 SCOPE_EXCEEDED_PHRASE = "I cannot answer this from the available customer data."
 EMAIL_MARKER = "[EMAIL_DRAFT]"
-FEATURE_PATTERN = r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"
+FEATURE_PATTERN = r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"  # checked part by part, see is_feature_token
 UUID_PATTERN = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
-STRIP_PATTERN = "^[.,;:!?()'\"]+|[.,;:!?()'\"]+$"
+STRIP_SET = "[.,;:!?()'\"]"
 # characters Python's str.split()/str.strip() treat as whitespace (str.isspace)
 PY_WS = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 MIN_PROPENSITY_FOR_API = 0.15
 MIN_PROPENSITY_FOR_BRIEF = 0.35
 
 
+def strip_set(c: Column, chars: str) -> Column:
+    """Remove leading and trailing characters of a set. A run is tried once, from
+    its first character, and never given back, so the work is linear in the text."""
+    return F.regexp_replace(c, f"^{chars}++|(?<!{chars}){chars}++$", "")
+
+
 def py_strip(c: Column) -> Column:
     """str.strip(): remove leading/trailing whitespace of every kind (F.trim removes spaces only)."""
-    return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")
+    return strip_set(c, PY_WS)
 
 
 def _arr(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def unknown_feature_flags(text: Column, allowed: list[str], also_skip: list[str] | None = None) -> Column:
-    """Distinct snake_case tokens (>= 8 chars) not in the allowed list, first-seen order."""
-    # only words with an underscore can match the snake_case pattern (stripping
-    # punctuation never adds one); one regular expression extracts those
-    word = PY_WS.replace("[", "[^", 1)
-    toks = F.regexp_extract_all(text, F.lit(f"({word}*_{word}*)"), F.lit(1))
-    clean = F.transform(toks, lambda t: F.regexp_replace(t, STRIP_PATTERN, ""))
+def is_feature_token(t: Column) -> Column:
+    """Does the whole token match FEATURE_PATTERN? In parts without repeated groups,
+    whose matching takes a stack frame a repeat."""
+    return t.rlike("^[a-z][a-z0-9_]*+$") & t.contains("_") & ~t.contains("__") & ~t.endswith("_")
+
+
+def feature_tokens(text: Column) -> Column:
+    """Distinct snake_case tokens (>= 8 characters) of a text, in first-seen order.
+
+    Only words with an underscore can match (stripping punctuation never adds one);
+    one linear scan extracts those: a match begins where a word does, and what was
+    read before its underscore is never given back."""
+    word, start = PY_WS.replace("[", "[^", 1), PY_WS.replace("[", "[^_", 1)
+    toks = F.regexp_extract_all(text, F.lit(f"(?<!{word})({start}*+_{word}*+)"), F.lit(1))
+    clean = F.transform(toks, lambda t: strip_set(t, STRIP_SET))
+    return F.array_distinct(F.filter(clean, lambda t: (F.length(t) >= 8) & is_feature_token(t)))
+
+
+def unknown_feature_flags(text: Column, allowed: list[str], also_skip: list[str] | None = None, row_allowed: Column | None = None) -> Column:
+    """Feature-like tokens of the text that are neither in the allowed lists nor in
+    the row's own list ``row_allowed`` (an array column)."""
     skip = _arr(allowed + (also_skip or []))
-    bad = F.filter(clean, lambda t: (F.length(t) >= 8) & t.rlike(FEATURE_PATTERN) & ~F.array_contains(skip, t))
-    return F.transform(F.array_distinct(bad), lambda t: F.concat(F.lit("hallucinated_feature:"), t))
+    if row_allowed is not None:
+        skip = F.array_union(skip, F.coalesce(row_allowed, F.array().cast("array<string>")))
+    return F.transform(F.array_except(feature_tokens(text), skip), lambda t: F.concat(F.lit("hallucinated_feature:"), t))
 
 
 def stated_percentage(text: Column) -> Column:
-    """First 'N %' in the text, else first 'N percent' (case-insensitive), as double."""
-    pct = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*%", 1)
-    word = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s+percent\b", 1)
+    """First 'N %' in the text, else first 'N percent' (case-insensitive), as double.
+    A number is tried from its first digit only: linear in the text."""
+    number = r"(?<!\d)(\d++(?:\.\d++)?+)"
+    pct = F.regexp_extract(text, number + r"\s*+%", 1)
+    word = F.regexp_extract(text, rf"(?i){number}\s++percent\b", 1)
     return F.when(pct != "", pct.cast("double")).when(word != "", word.cast("double"))
 
 
@@ -100,12 +123,8 @@ def expansion_status(n_flags: Column) -> Column:
 
 
 def expansion_brief_flags(text: Column, top_features: Column | None = None) -> Column:
-    allowed = EXPANSION_KNOWN_FEATURES + EXPANSION_SAFE_TOKENS + EXPANSION_TECHNICAL_TERMS
-    flags = unknown_feature_flags(text, allowed)
-    if top_features is not None:
-        flags = F.filter(flags, lambda f: ~F.array_contains(
-            F.transform(top_features, lambda x: F.concat(F.lit("hallucinated_feature:"), x)), f))
-    return flags
+    """Flags of an expansion brief; the row's own attributed features are allowed too."""
+    return unknown_feature_flags(text, EXPANSION_KNOWN_FEATURES + EXPANSION_SAFE_TOKENS + EXPANSION_TECHNICAL_TERMS, row_allowed=top_features)
 
 
 def calibrate_tone(text: Column, propensity: Column) -> Column:

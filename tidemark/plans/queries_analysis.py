@@ -268,8 +268,11 @@ register("exp_assign", _t("exp_assign"))(_assigned)
 register("exp_outcomes", _t("exp_outcomes"))(_outcomes)
 register("exp_secondary", _t("exp_secondary"))(lambda s, d: EX.secondary(_assigned(s, d), wh(s, d).usage_events, wh(s, d).support_tickets,
                                                      ASSIGNMENT_DATE))
-register("exp_posterior", _t("exp_posterior"))(lambda s, d: EX.posterior(_outcomes(s, d)))
-register("exp_prior_sensitivity", _t("exp_prior_sensitivity"))(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS))
+_INTERVAL = ["effect_low_95", "effect_high_95"]
+register("exp_posterior", _t("exp_posterior"))(lambda s, d: EX.posterior(_outcomes(s, d)).drop(*_INTERVAL))
+register("exp_prior_sensitivity", _t("exp_prior_sensitivity"))(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS).drop(*_INTERVAL))
+# quantiles of a difference of Betas have no SQL: tested by brute force
+register("exp_effect_interval")(lambda s, d: EX.posterior(_outcomes(s, d), EX.PRIORS).select("prior", "effect_mean", *_INTERVAL))
 register("exp_decision", _t("exp_decision"))(lambda s, d: EX.decision(EX.posterior(_outcomes(s, d), EX.PRIORS)))
 register("exp_power_at_n")(lambda s, d: EX.power_by_segment(wh(s, d).customers, K.ORDERS_AS_OF))
 register("exp_required_n", _t("exp_required_n"))(
