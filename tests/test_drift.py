@@ -56,3 +56,39 @@ def test_equal_width_bins_like_numpy(spark):
     h = {r["bin"]: r["share"] for r in DR.baseline_hist(df, stats, ["x"]).collect()}
     counts, _ = np.histogram(vals, bins=10)
     assert [round(h[i] * len(vals)) for i in range(10)] == counts.tolist()
+
+
+def _paths_tail(d, m, n):
+    """Share of lattice paths that reach distance d, by listing whole-number counts."""
+    from fractions import Fraction
+    from math import comb
+    reach = Fraction(d).limit_denominator(m * n)
+    inside = {}
+    for i in range(m + 1):
+        for j in range(n + 1):
+            if abs(Fraction(i, m) - Fraction(j, n)) >= reach:
+                inside[i, j] = 0
+            else:
+                inside[i, j] = 1 if i + j == 0 else inside.get((i - 1, j), 0) + inside.get((i, j - 1), 0)
+    return float(1 - Fraction(inside[m, n], comb(m + n, m)))
+
+
+def test_exact_tail_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    cases = [(1, 1, 1.0), (1, 30, 0.5), (30, 30, 1.0)]
+    while len(cases) < 40:
+        m, n = (int(x) for x in rng.integers(2, 31, 2))
+        cases.append((m, n, _brute_ks(rng.normal(size=m), rng.normal(size=n) + rng.random())))
+    df = spark.createDataFrame([(m, n, float(d)) for m, n, d in cases], "m long, n long, d double")
+    got = df.select("m", "n", "d", DR.ks_exact_tail(F.col("d"), F.col("m"), F.col("n")).alias("p")).collect()
+    for r in got:
+        assert abs(r["p"] - _paths_tail(r["d"], r["m"], r["n"])) < 1e-12
+
+
+def test_ks_method_by_size(spark):
+    def side(k, shift):
+        return spark.range(k).selectExpr("cast(id as string) customer_id", f"cast(id * 1.7 + {shift} as double) x")
+    small, large = DR.ks(side(20, 0), side(25, 9), ["x"]).first(), DR.ks(side(200, 0), side(250, 9), ["x"]).first()
+    assert small["ks_method"] == "exact" and large["ks_method"] == "asymptotic"
+    d = _brute_ks(np.arange(20) * 1.7, np.arange(25) * 1.7 + 9)
+    assert abs(small["ks_pvalue"] - _paths_tail(d, 20, 25)) < 1e-6

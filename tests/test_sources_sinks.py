@@ -65,3 +65,34 @@ def test_publish_keeps_first_complete_copy(spark):
     assert spark.read.parquet(final).count() == 3
     assert sorted(os.listdir(root)) == ["t"]
     assert not [d for d in os.listdir(final) if ".tmp-" in d]
+
+
+def _files(path):
+    return {b: sorted((f, os.stat(os.path.join(path, b, f)).st_mtime_ns) for f in os.listdir(os.path.join(path, b))) for b in os.listdir(path) if b.startswith("_bucket=")}
+
+
+def test_bucketed_upsert_rewrites_touched_buckets_only(spark):
+    schema = "customer_id string, mrr int, updated_at int"
+    store = sinks.BucketedStore(spark, os.path.join(tempfile.mkdtemp(prefix="tidemark-buckets-"), "t"), buckets=8)
+    assert store.upsert(spark.createDataFrame([], schema)) == []
+    store.upsert(spark.createDataFrame([(f"c{k}", k, 1) for k in range(200)], schema))
+    before = _files(store.path)
+    touched = store.upsert(spark.createDataFrame([("c7", 1000, 2), ("c7", 1001, 3), ("c7", 1001, 3), ("new", 5, 1), ("c8", 0, 0)], schema))
+    after = _files(store.path)
+    assert {int(b.split("=")[1]) for b in after if before.get(b) != after[b]} == set(touched) and len(touched) <= 3
+    got = {r["customer_id"]: (r["mrr"], r["updated_at"]) for r in store.read().collect()}
+    want = {f"c{k}": (k, 1) for k in range(200)} | {"c7": (1001, 3), "new": (5, 1)}  # the older row of c8 loses
+    assert got == want and store.read().count() == len(want)
+    with pytest.raises(ValueError):
+        store.upsert(spark.createDataFrame([(None, 1, 1)], schema))
+
+
+def test_report_json_roundtrip(spark):
+    train = spark.createDataFrame([(f"c{i}", float(i % 13)) for i in range(200)], "customer_id string, mrr double")
+    prod = spark.createDataFrame([(f"c{i}", float(i % 13 + 4)) for i in range(150)], "customer_id string, mrr double")
+    report = DR.drift_report(DR.psi(DR.baseline(train, ["mrr"]), prod, ["mrr"]), DR.ks(train, prod, ["mrr"]), dt.date(2001, 8, 1))
+    d = tempfile.mkdtemp(prefix="tidemark-report-")
+    sinks.write_json(report, d)
+    back, want = spark.read.json(d).first(), report.first()
+    assert (back["feature"], back["psi"], back["ks_stat"], back["has_drift"], back["drifted_features"]) == (
+        want["feature"], want["psi"], want["ks_stat"], want["has_drift"], want["drifted_features"])

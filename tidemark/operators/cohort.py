@@ -71,6 +71,27 @@ def cohort_tier_industry(customers: DataFrame) -> DataFrame:
     return g.withColumn("churn_rate", _r(F.col("n_churned") / F.col("n_customers"), 6))
 
 
+#: Most columns a pivot may have; more values raise an error instead of a huge row.
+MAX_PIVOT = 200
+
+
+def pivot_rates(long: DataFrame, rows: str, column: str, value: str, declared: list[str]) -> DataFrame:
+    """A row per ``rows``, a column per value of ``column``; missing cells are null.
+    The values are found first, from the grouped table (at most ``MAX_PIVOT``, else an
+    error): the declared ones in their order, then any others by name. With the
+    values given, Spark pivots in one aggregation."""
+    found = {r[0] for r in long.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_PIVOT + 1).collect()}
+    names = declared + sorted(found - set(declared))
+    if len(names) > MAX_PIVOT:
+        raise ValueError(f"{column} has more than {MAX_PIVOT} values")
+    return long.groupBy(rows).pivot(column, names).agg(F.first(value))
+
+
+def cohort_tier_industry_pivot(customers: DataFrame) -> DataFrame:
+    """Churn rate, a row per industry and a column per plan tier."""
+    return pivot_rates(cohort_tier_industry(customers), "industry", "plan_tier", "churn_rate", K.PLAN_TIERS)
+
+
 def tier_churn_ratio(customers: DataFrame) -> DataFrame:
     """Starter vs enterprise churn rate and their ratio (tier risk multiplier)."""
     a = customers.agg(

@@ -125,9 +125,36 @@ def kolmogorov_tail(lam: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
+#: Sizes whose product is at most this get the exact p-value.
+EXACT_PATHS = 10_000
+
+
+def ks_exact_tail(d: Column, m: Column, n: Column) -> Column:
+    """P(D >= d) of two samples of m and n values without ties, exactly: the share of
+    lattice paths from (0, 0) to (m, n) that leave the band |i / m - j / n| < d.
+
+    The share of paths inside up to (i, j) among all paths there is i / (i + j) times
+    that at (i - 1, j) plus j / (i + j) times that at (i, j - 1), or 0 outside the
+    band, so no count overflows. A row of the lattice is an array; m + 1 rows are
+    folded. Distances compare as whole numbers i * n - j * m."""
+    reach = F.round(d * m * n).cast("long")
+    steps = F.sequence(F.lit(0).cast("long"), n)
+
+    def along(row: Column, i: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            left = F.when(j > 0, F.element_at(acc, -1)).otherwise(F.lit(0.0))
+            above = F.when(i > 0, F.get(row, j.cast("int"))).otherwise(F.lit(0.0))
+            share = F.when(i + j == 0, 1.0).otherwise((i * above + j * left) / (i + j))
+            return F.concat(acc, F.array(F.when(F.abs(i * n - j * m) < reach, share).otherwise(0.0)))
+        return F.aggregate(steps, F.array().cast("array<double>"), step)
+    last = F.aggregate(F.sequence(F.lit(0).cast("long"), m), F.array().cast("array<double>"), along)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.element_at(last, -1)))
+
+
 def ks(train: DataFrame, prod: DataFrame, features: list[str] = K.DRIFT_FEATURES,
        min_rows: int = K.DRIFT_MIN_ROWS) -> DataFrame:
-    """Exact two-sample KS statistic and asymptotic p-value per feature.
+    """Exact two-sample KS statistic and p-value per feature: the p-value is exact
+    (``ks_method``) where the product of the sizes is small, else asymptotic.
 
     Both sides are aggregated to value counts (combined before the shuffle), the
     counts are prefix-summed in (feature, value) order, and the statistic is the
@@ -145,9 +172,11 @@ def ks(train: DataFrame, prod: DataFrame, features: list[str] = K.DRIFT_FEATURES
     stat = run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(
         F.max(gap).alias("d"), F.first("m").alias("m"), F.first("n").alias("n"))
     enough = (F.col("n") >= min_rows) & (F.col("m") > 0)
-    stat = stat.select("feature", F.when(enough, F.col("d")).alias("d"), F.sqrt(m * n / (m + n)).alias("en"))
-    return stat.select("feature", _r6(F.col("d")).alias("ks_stat"),
-                       _r6(kolmogorov_tail(F.col("en") * F.col("d"))).alias("ks_pvalue"), _status(F.col("d")).alias("status"))
+    small = F.col("m") * F.col("n") <= EXACT_PATHS
+    stat = stat.select("feature", "m", "n", F.when(enough, F.col("d")).alias("d"), F.sqrt(m * n / (m + n)).alias("en"))
+    p = F.when(small, ks_exact_tail(F.col("d"), F.col("m"), F.col("n"))).otherwise(kolmogorov_tail(F.col("en") * F.col("d")))
+    return stat.select("feature", _r6(F.col("d")).alias("ks_stat"), _r6(F.when(F.col("d").isNotNull(), p)).alias("ks_pvalue"),
+                       F.when(F.col("d").isNotNull(), F.when(small, "exact").otherwise("asymptotic")).alias("ks_method"), _status(F.col("d")).alias("status"))
 
 
 def drift_report(psi_df: DataFrame, ks_df: DataFrame, as_of: _dt.date) -> DataFrame:

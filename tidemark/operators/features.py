@@ -32,10 +32,12 @@ def _days_before(obs: Column, n: int) -> Column:
 
 
 def event_days(events: DataFrame, ts_col: str = "event_timestamp") -> DataFrame:
-    """customer_id, day, event_type, n, score_sum, score_n: usage events summed per day."""
+    """customer_id, day, event_type, n, n_midnight (at the day's first instant),
+    score_sum, score_n: usage events summed per day."""
     score = (F.col("feature_adoption_score") if "feature_adoption_score" in events.columns else F.lit(None)).cast("double")
     return events.groupBy("customer_id", F.to_date(ts_col).alias("day"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(score).alias("score_sum"), F.count(score).alias("score_n"))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(ts_col) == F.to_date(ts_col).cast("timestamp")).alias("n_midnight"),
+        F.sum(score).alias("score_sum"), F.count(score).alias("score_n"))
 
 
 def n_if(cond: Column) -> Column:

@@ -1,10 +1,11 @@
 """Data contracts as DataFrame jobs.
 
 Each check yields rows ``(check, table_name, column_name, n_bad, passed)``.
-Per table, all NOT NULL / accepted-value / range / conditional checks are
-computed in ONE aggregation pass (``count_if`` per rule), so a table is
-scanned once regardless of how many rules it carries. Uniqueness is
-``count - count(distinct)``; foreign keys are ``left_anti`` joins.
+``contract_report`` reads every raw table once. A row becomes tagged keys (its
+customer, its own id, and one for each rule it breaks), the keys of all tables
+are one union, and one aggregation by key, combined on the map side, answers
+uniqueness, foreign keys, row rules and row counts together. Event days are
+checked on the stored daily rollup, not on raw events.
 """
 
 from __future__ import annotations
@@ -65,17 +66,8 @@ CHILD_TABLES = ["usage_events", "support_tickets", "gtm_opportunities", "risk_si
                 "expansion_outreach_log"]
 
 
-def _rows(spark, table: str, items: list[tuple[str, str, Column]], df: DataFrame) -> DataFrame:
-    """Evaluate many (check, column, bad-row predicate) in one aggregation."""
-    aggs = [F.count_if(pred).alias(f"c{i}") for i, (_, _, pred) in enumerate(items)]
-    one = df.agg(*aggs)
-    stack_args = ", ".join(f"'{chk}', '{col}', c{i}" for i, (chk, col, _) in enumerate(items))
-    out = one.select(F.expr(f"stack({len(items)}, {stack_args}) AS (check, column_name, n_bad)"))
-    return out.select("check", F.lit(table).alias("table_name"), "column_name",
-                      F.col("n_bad").cast("long").alias("n_bad"), (F.col("n_bad") == 0).alias("passed"))
-
-
-def table_checks(table: str, df: DataFrame) -> DataFrame:
+def row_rules(table: str) -> list[tuple[str, str, Column]]:
+    """(check, column, predicate of a bad row) of every rule on single rows."""
     spec = RAW_CONTRACTS[table]
     items: list[tuple[str, str, Column]] = []
     for c in spec["not_null"]:
@@ -99,62 +91,96 @@ def table_checks(table: str, df: DataFrame) -> DataFrame:
         items.append(("conditional_free_mrr_zero", "mrr", (plan == "free") & (mrr != 0)))
         items.append(("temporal_churn_after_signup", "churn_date",
                       F.col("churn_date").isNotNull() & (F.col("churn_date") <= F.col("signup_date"))))
-    key = spec["unique"]
-    uniq = df.agg((F.count(key) - F.count_distinct(key)).alias("n_bad")).select(
-        F.lit("unique").alias("check"), F.lit(table).alias("table_name"), F.lit(key).alias("column_name"),
-        F.col("n_bad").cast("long").alias("n_bad"), (F.col("n_bad") == 0).alias("passed"))
-    return _rows(df.sparkSession, table, items, df).unionByName(uniq)
-
-
-def foreign_key_checks(customers: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    ids = customers.select("customer_id")
-    parts = []
+    return items
+
+
+# Kinds of tagged keys: a customer's id, a table's own id (OWN + table number),
+# a broken rule (RULE + its number).
+CUSTOMER, OWN, RULE = 0, 1, 100
+
+
+def _tagged_keys(no: int, table: str, df: DataFrame, first_rule: int) -> DataFrame:
+    """(kind, tag, key, day): a row's keys; rules cost a row only where they are broken."""
+    def key(kind: int, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"))
+    keys = [key(CUSTOMER, F.col("customer_id"))]
+    own = RAW_CONTRACTS[table]["unique"]
+    if own != "customer_id":
+        keys.append(key(OWN + no, F.col(own)))
+    rules = [F.coalesce(bad, F.lit(False)) for _, _, bad in row_rules(table)]
+    broken = F.array(*[F.when(bad, key(RULE + first_rule + i, F.lit(None))) for i, bad in enumerate(rules)])
+    any_broken = rules[0]
+    for bad in rules[1:]:
+        any_broken = any_broken | bad
+    every = F.when(any_broken, F.concat(F.array(*keys), F.array_compact(broken))).otherwise(F.array(*keys))
+    day = F.unix_date("signup_date") if table == "customers" else F.lit(None)
+    return df.select(day.cast("int").alias("day"), F.explode(every).alias("x")).select("x.kind", F.lit(no).alias("tag"), "x.key", "day")
+
+
+def key_totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, key, n0, n1, ..., first_day, last_day): how often each tagged key occurs
+    in each table. One scan a table, one exchange."""
+    parts, first = [], 0
+    for no, t in enumerate(RAW_CONTRACTS):
+        parts.append(_tagged_keys(no, t, tables[t], first))
+        first += len(row_rules(t))
+    union = reduce(DataFrame.unionByName, parts)
+    return union.groupBy("kind", "key").agg(*[F.count_if(F.col("tag") == no).alias(f"n{no}") for no in range(len(RAW_CONTRACTS))],
+                                            F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+def _at(kind: int, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+
+
+def contract_report(tables: dict[str, DataFrame], event_days: DataFrame) -> DataFrame:
+    """Every contract check of the raw tables, and that no event lies before its
+    customer's signup or after the churn day's first instant."""
+    checks, rule = [], 0  # (check, table, column, n_bad)
+    number = {t: no for no, t in enumerate(RAW_CONTRACTS)}
+    known = F.col("key").isNotNull()
+    for t, no in number.items():
+        for check, column, _ in row_rules(t):
+            checks.append((check, t, column, _at(RULE + rule, F.col(f"n{no}"))))
+            rule += 1
+        own = RAW_CONTRACTS[t]["unique"]
+        n = F.col(f"n{no}")
+        checks.append(("unique", t, own, _at(CUSTOMER if own == "customer_id" else OWN + no, F.when(known & (n > 0), n - 1))))
     for t in CHILD_TABLES:
-        n = tables[t].select("customer_id").join(ids, "customer_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(n.select(F.lit("foreign_key").alias("check"), F.lit(t).alias("table_name"),
-                              F.lit("customer_id").alias("column_name"), F.col("n").cast("long").alias("n_bad"),
-                              (F.col("n") == 0).alias("passed")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def temporal_event_checks(customers: DataFrame, events: DataFrame) -> DataFrame:
-    """No event before signup or after churn (timestamp vs midnight of the churn day)."""
-    c = customers.select("customer_id", "signup_date", "churn_date")
-    j = events.select("customer_id", "timestamp").join(c, "customer_id", "inner")
-    agg = j.agg(
-        F.count_if(F.col("timestamp") < F.col("signup_date").cast("timestamp")).alias("before"),
-        F.count_if(F.col("churn_date").isNotNull()
-                   & (F.col("timestamp") > F.col("churn_date").cast("timestamp"))).alias("after"))
-    return agg.select(F.expr("stack(2, 'temporal_event_after_signup', before, "
-                             "'temporal_event_before_churn', after) AS (check, n_bad)")).select(
-        "check", F.lit("usage_events").alias("table_name"), F.lit("timestamp").alias("column_name"),
-        F.col("n_bad").cast("long").alias("n_bad"), (F.col("n_bad") == 0).alias("passed"))
-
-
-def spread_and_count_checks(customers: DataFrame, risk_signals: DataFrame) -> DataFrame:
-    """Signups span at least 548 days; one risk row per customer."""
-    span = customers.agg(F.datediff(F.max("signup_date"), F.min("signup_date")).alias("d"))
-    s = span.select(F.lit("spread_signup_days").alias("check"), F.lit("customers").alias("table_name"),
-                    F.lit("signup_date").alias("column_name"),
-                    F.greatest(F.lit(0), 548 - F.col("d")).cast("long").alias("n_bad"),
-                    (F.col("d") >= 548).alias("passed"))
-    # both counts in one aggregate over a union (no join of the two tables)
-    counts = (customers.select(F.lit(1).alias("a"), F.lit(0).alias("b"))
-              .unionByName(risk_signals.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
-              .agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    rc = counts.select(
-        F.lit("row_count_one_per_customer").alias("check"), F.lit("risk_signals").alias("table_name"),
-        F.lit("customer_id").alias("column_name"), F.abs(F.col("a") - F.col("b")).cast("long").alias("n_bad"),
-        (F.col("a") == F.col("b")).alias("passed"))
-    return s.unionByName(rc)
-
-
-def contract_report(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [table_checks(t, tables[t]) for t in RAW_CONTRACTS]
-    parts.append(foreign_key_checks(tables["customers"], tables))
-    parts.append(temporal_event_checks(tables["customers"], tables["usage_events"]))
-    parts.append(spread_and_count_checks(tables["customers"], tables["risk_signals"]))
-    return reduce(DataFrame.unionByName, parts)
+        checks.append(("foreign_key", t, "customer_id", _at(CUSTOMER, F.when(~known | (F.col("n0") == 0), F.col(f"n{number[t]}")))))
+    span = F.max(F.when(F.col("kind") == CUSTOMER, F.col("last_day"))) - F.min(F.when(F.col("kind") == CUSTOMER, F.col("first_day")))
+    checks.append(("spread_signup_days", "customers", "signup_date", F.greatest(F.lit(0), 548 - span)))
+    rows = {t: _at(CUSTOMER, F.col(f"n{no}")) for t, no in number.items()}
+    checks.append(("row_count_one_per_customer", "risk_signals", "customer_id", F.abs(rows["customers"] - rows["risk_signals"])))
+    totals = key_totals(tables).agg(*[n.alias(f"c{i}") for i, (_, _, _, n) in enumerate(checks)])
+    args = ", ".join(f"'{check}', '{t}', '{column}', CAST(c{i} AS BIGINT)" for i, (check, t, column, _) in enumerate(checks))
+    report = totals.select(F.expr(f"stack({len(checks)}, {args}) AS (check, table_name, column_name, n_bad)"))
+    return report.unionByName(temporal_event_checks(tables["customers"], event_days)).withColumn("passed", F.coalesce(F.col("n_bad") == 0, F.lit(False)))
+
+
+def temporal_event_checks(customers: DataFrame, event_days: DataFrame) -> DataFrame:
+    """Events before signup or after midnight of the churn day, from the daily rollup."""
+    j = event_days.select("customer_id", "day", "n", "n_midnight").join(customers.select("customer_id", "signup_date", "churn_date"), "customer_id")
+    late = F.when(F.col("day") > F.col("churn_date"), F.col("n")).when(F.col("day") == F.col("churn_date"), F.col("n") - F.col("n_midnight"))
+    agg = j.agg(F.coalesce(F.sum(F.when(F.col("day") < F.col("signup_date"), F.col("n"))), F.lit(0)).alias("before"), F.coalesce(F.sum(late), F.lit(0)).alias("after"))
+    return agg.select(F.expr("stack(2, 'temporal_event_after_signup', before, 'temporal_event_before_churn', after) AS (check, n_bad)")).select(
+        "check", F.lit("usage_events").alias("table_name"), F.lit("timestamp").alias("column_name"), F.col("n_bad").cast("long").alias("n_bad"))
+
+
+def row_counts(tables: dict[str, DataFrame], exact: dict[str, str | int], minimum: dict[str, str | int]) -> DataFrame:
+    """(table_name, rule, expected, n_rows, passed): exact and minimum row counts. A
+    count is expected as a number or as another table's name (as many rows as that).
+    Counts come from the files' footers, in one row a table."""
+    counted = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in tables.items()]
+    counts = reduce(DataFrame.unionByName, counted)
+    spark = counts.sparkSession
+    wanted = [(t, rule, None if isinstance(v, int) else v, v if isinstance(v, int) else None)
+              for rule, spec in (("exact", exact), ("minimum", minimum)) for t, v in spec.items()]
+    rules = spark.createDataFrame(wanted, "table_name string, rule string, other string, number long")
+    others = counts.select(F.col("table_name").alias("other"), F.col("n_rows").alias("other_rows"))
+    j = rules.join(counts, "table_name").join(others, "other", "left").withColumn("expected", F.coalesce("number", "other_rows"))
+    ok = F.when(F.col("rule") == "exact", F.col("n_rows") == F.col("expected")).otherwise(F.col("n_rows") >= F.col("expected"))
+    return j.select("table_name", "rule", "expected", "n_rows", ok.alias("passed"))
 
 
 def rate_bands(customers: DataFrame, outreach: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import constants as K
 from tidemark.functions import stats as ST
 from tidemark.functions.columns import lit_date
+from tidemark.operators.cohort import pivot_rates
 
 Z95 = 1.959963984540054
 
@@ -153,6 +155,11 @@ def dropout_90d(surv: DataFrame) -> DataFrame:
                         .cast("double"))
 
 
+def dropout_90d_pivot(surv: DataFrame) -> DataFrame:
+    """90-day dropout rate, a row per industry and a column per plan tier."""
+    return pivot_rates(dropout_90d(surv), "industry", "plan_tier", "dropout_rate", K.PLAN_TIERS)
+
+
 def hazard_curve(surv: DataFrame, max_day: int | None = None, sigma: float = 7.0, truncate: float = 4.0) -> DataFrame:
     """Daily hazard (churns / at risk) over all observed days, smoothed with a
     Gaussian kernel (reflected edges).

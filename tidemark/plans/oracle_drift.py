@@ -62,12 +62,27 @@ steps AS (SELECT t.feature, t.value, coalesce(b.n, 0) AS nb, coalesce(p.n, 0) AS
 cdfs AS (SELECT feature, sum(nb) OVER up AS ub, sum(np) OVER up AS up_, sum(nb) OVER whole AS m, sum(np) OVER whole AS n
          FROM steps WINDOW up AS (PARTITION BY feature ORDER BY value), whole AS (PARTITION BY feature)),
 ks_raw AS (SELECT feature, CASE WHEN max(n) >= 10 AND max(m) > 0 THEN max(abs(ub / m - up_ / n)) END AS d,
-                  sqrt(CAST(max(m) AS DOUBLE) * max(n) / (max(m) + max(n))) AS en FROM cdfs GROUP BY feature),
+                  sqrt(CAST(max(m) AS DOUBLE) * max(n) / (max(m) + max(n))) AS en, CAST(max(m) AS BIGINT) AS m, CAST(max(n) AS BIGINT) AS n
+           FROM cdfs GROUP BY feature),
+-- paths of the lattice inside the band, a row of it at a time: a path to (i, j) comes over (i - 1, j') for some j' <= j
+lattice AS (
+  WITH RECURSIVE small AS (SELECT feature, m, n, round(d * m * n) AS reach FROM ks_raw WHERE d IS NOT NULL AND m * n <= 10000),
+  cells AS (SELECT feature, i, unnest(range(0, n + 1)) AS j, m, n, reach FROM (SELECT *, unnest(range(0, m + 1)) AS i FROM small)),
+  band AS (SELECT feature, i, j, m, n FROM cells WHERE abs(i * n - j * m) < reach),
+  paths AS (
+    SELECT feature, i, j, m, n, CAST(1 AS DOUBLE) AS w FROM band WHERE i = 0
+    UNION ALL
+    SELECT b.feature, b.i, b.j, b.m, b.n, sum(p.w) FROM paths p JOIN band b ON b.feature = p.feature AND b.i = p.i + 1 AND p.j <= b.j
+    GROUP BY ALL)
+  SELECT s.feature, 1 - coalesce(max(p.w) FILTER (WHERE p.i = s.m AND p.j = s.n), 0)
+                        / exp(lgamma(s.m + s.n + 1) - lgamma(s.m + 1) - lgamma(s.n + 1)) AS exact
+  FROM small s LEFT JOIN paths p USING (feature) GROUP BY s.feature, s.m, s.n),
 ks_out AS (SELECT feature, {r6('d')} AS ks_stat,
-                  {r6("CASE WHEN en * d < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), "
+                  {r6("CASE WHEN d IS NULL THEN NULL WHEN m * n <= 10000 THEN greatest(0.0, least(1.0, exact)) WHEN en * d < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), "
                       "lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * en * d * en * d))))) END")} AS ks_pvalue,
+                  CASE WHEN d IS NULL THEN NULL WHEN m * n <= 10000 THEN 'exact' ELSE 'asymptotic' END AS ks_method,
                   CASE WHEN d IS NULL THEN 'insufficient_rows' ELSE 'ok' END AS status
-           FROM ks_raw),
+           FROM ks_raw LEFT JOIN lattice USING (feature)),
 report AS (SELECT feature, psi, psi_level, ks_stat, ks_pvalue,
                   CASE WHEN a.status = 'ok' AND b.status = 'ok' THEN 'ok' ELSE 'insufficient_rows' END AS status,
                   coalesce(psi > 0.20 OR ks_pvalue < 0.05, FALSE) AS drift_detected

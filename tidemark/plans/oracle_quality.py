@@ -55,6 +55,15 @@ def contract_report_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+ROW_COUNT_SQL = """
+SELECT table_name, rule, expected, n_rows, CASE rule WHEN 'exact' THEN n_rows = expected ELSE n_rows >= expected END AS passed FROM (
+  SELECT 'risk_signals' AS table_name, 'exact' AS rule, (SELECT count(*) FROM raw_customers) AS expected, (SELECT count(*) FROM raw_risk_signals) AS n_rows
+  UNION ALL SELECT 'customers', 'minimum', 1, (SELECT count(*) FROM raw_customers)
+  UNION ALL SELECT 'usage_events', 'minimum', (SELECT count(*) FROM raw_customers), (SELECT count(*) FROM raw_usage_events)
+  UNION ALL SELECT 'support_tickets', 'minimum', 1, (SELECT count(*) FROM raw_support_tickets)
+  UNION ALL SELECT 'gtm_opportunities', 'minimum', 1, (SELECT count(*) FROM raw_gtm_opportunities)
+  UNION ALL SELECT 'expansion_outreach_log', 'minimum', 1, (SELECT count(*) FROM raw_expansion_outreach_log))"""
+
 RATE_BANDS_SQL = """
 SELECT metric, CAST(round(CAST(value AS DECIMAL(38,10)), 6) AS DOUBLE) AS value, low, high,
        value BETWEEN low AND high AS passed

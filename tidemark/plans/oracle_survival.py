@@ -74,6 +74,11 @@ SURVIVAL = {
         count(*) FILTER (WHERE event = 1 AND duration_days <= 90) AS churned_90d,
         CAST(round(CAST(count(*) FILTER (WHERE event = 1 AND duration_days <= 90) / count(*) AS DECIMAL(38,10)), 6) AS DOUBLE) AS dropout_rate
         FROM sd GROUP BY 1, 2""", ""),
+    "surv_dropout_90d_pivot": ("""SELECT * FROM (
+        PIVOT (SELECT plan_tier, industry,
+               CAST(round(CAST(count(*) FILTER (WHERE event = 1 AND duration_days <= 90) / count(*) AS DECIMAL(38,10)), 6) AS DOUBLE) AS dropout_rate
+               FROM sd GROUP BY 1, 2)
+        ON plan_tier IN ('free', 'starter', 'growth', 'enterprise', 'custom') USING first(dropout_rate) GROUP BY industry)""", ""),
     "surv_time_to_upgrade": ("SELECT * FROM km_up", km_cte("km_up", "ud", "plan_tier")),
 }
 

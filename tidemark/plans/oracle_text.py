@@ -136,9 +136,11 @@ def _tone(col: str) -> str:
     return py_strip(f"regexp_replace({out}, '  +', ' ', 'g')")
 
 
-TONE = f"""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 0.3 ELSE 0.7 END::DOUBLE AS propensity,
-       CASE WHEN conv_id % 2 = 0 THEN {_tone('text')} ELSE text END AS calibrated
-FROM conversations WHERE role = 'assistant'"""
+TONE = f"""SELECT conv_id, turn, propensity, CASE WHEN propensity < 0.5 THEN {_tone('text')} ELSE text END AS calibrated
+FROM conversations LEFT JOIN (
+  SELECT CAST(customer_id AS BIGINT) % 1000 AS k, arg_min(CAST(upgrade_propensity_proxy AS DOUBLE), CAST(customer_id AS BIGINT)) AS propensity
+  FROM mart_quadrant GROUP BY 1) ON k = conv_id % 1000
+WHERE role = 'assistant'"""
 
 from tidemark.plans.oracle_misc import MISC  # noqa: E402
 
@@ -183,3 +185,39 @@ FROM (SELECT b.customer_id, coalesce(a.n, 0)
              + CASE WHEN {_PCT.replace('facts', 'b.facts')} IS NOT NULL
                      AND abs({_PCT.replace('facts', 'b.facts')} - b.churn_score * 100) > 2.0 THEN 1 ELSE 0 END AS n_flags
       FROM briefs b LEFT JOIN agg a USING (customer_id)) b"""
+
+
+# A row's own drivers are allowed; the text of an industry names all of them.
+EXPANSION_CHECK = f"""
+WITH base AS (
+  SELECT q.customer_id, CAST(q.upgrade_propensity_proxy AS DOUBLE) AS propensity, r.industry, string_split(r.top_risk_drivers, ', ') AS own
+  FROM mart_quadrant q JOIN mart_risk r USING (customer_id)),
+named AS (SELECT industry, string_agg(x, ', ' ORDER BY x) AS named FROM (SELECT DISTINCT industry, unnest(own) AS x FROM base) WHERE x <> '' GROUP BY 1),
+told AS (
+  SELECT customer_id, propensity, own,
+         'Urgent: talk to the ' || industry || ' accounts immediately about ' || coalesce(named, 'usage') || ' and plan_tier.' AS brief
+  FROM base LEFT JOIN named USING (industry)),
+words AS (
+  SELECT customer_id, own, w, pos FROM (
+    SELECT customer_id, own, unnest(list_transform(string_split(brief, ' '), lambda t: trim(t, '.,;:!?()'))) AS w,
+           unnest(range(len(string_split(brief, ' ')))) AS pos FROM told)
+  WHERE length(w) >= 8 AND regexp_full_match(w, '[a-z][a-z0-9]*(_[a-z0-9]+)+') AND w NOT IN {_lst(FEATURES + EXPANSION_HARMLESS + TECHNICAL)}),
+bad AS (
+  SELECT customer_id, string_agg('hallucinated_feature:' || w, '|' ORDER BY pos) AS flags, count(*) AS n
+  FROM (SELECT customer_id, w, min(pos) AS pos FROM words WHERE NOT list_contains(own, w) GROUP BY 1, 2) GROUP BY 1)
+SELECT customer_id, coalesce(flags, '') AS flags, coalesce(n, 0) AS n_flags,
+       CASE WHEN coalesce(n, 0) >= 2 THEN 'REJECTED' WHEN n = 1 THEN 'FLAGGED' ELSE 'PASSED' END AS status,
+       CAST(greatest(0.0, 1.0 - 0.25 * coalesce(n, 0)) AS DOUBLE) AS confidence,
+       CASE WHEN propensity < 0.5 THEN {_tone('brief')} ELSE brief END || chr(10) || chr(10) || '{NOTE}' AS final_text,
+       'Account [REDACTED] leads by [REDACTED] and [REDACTED].' AS email_draft
+FROM told LEFT JOIN bad USING (customer_id)"""
+
+GATE_TEXT = f"""
+SELECT b.customer_id, audience, b.gate,
+       CASE b.gate WHEN 'eligible' THEN b.propensity_summary
+                   WHEN 'not_ready' THEN 'Account not ready for outreach — propensity ' || {_pct0('x.propensity')} || '% is below the 35% threshold.' END AS summary,
+       CASE WHEN b.gate = 'not_ready' THEN 'Account not ready for outreach. Propensity ' || {_pct0('x.propensity')} || '% (' || {_tier_sql('x.propensity')}
+         || ') is below the activation threshold. Monitor for rising usage signals before scheduling an upgrade conversation toward '
+         || coalesce(x.target_tier, 'N/A') || '.' || chr(10) || chr(10) || '{NOTE}' END AS brief,
+       b.gate = 'eligible' AND audience <> 'csm' AS wants_email
+FROM briefs b JOIN xs_b x USING (customer_id), (VALUES ('csm'), ('executive')) a(audience)"""

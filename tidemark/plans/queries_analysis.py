@@ -28,6 +28,7 @@ register("cohort_retention", _a("cohort_retention"))(
 register("cohort_month3", _a("cohort_month3"))(
     lambda s, d: CO.cohort_month3(CO.cohort_retention(wh(s, d).customers, K.ORDERS_AS_OF)))
 register("cohort_tier_industry", _a("cohort_tier_industry"))(lambda s, d: CO.cohort_tier_industry(wh(s, d).customers))
+register("cohort_tier_industry_pivot", _a("cohort_tier_industry_pivot"))(lambda s, d: CO.cohort_tier_industry_pivot(wh(s, d).customers))
 register("cohort_tier_ratio", _a("cohort_tier_ratio"))(lambda s, d: CO.tier_churn_ratio(wh(s, d).customers))
 register("feat_eda_all", _a("feat_eda_all"))(_eda)
 register("eda_median_split", _a("eda_median_split"))(lambda s, d: CO.median_split(_eda(s, d)))
@@ -95,6 +96,7 @@ register("surv_logrank_starter_enterprise", _sv("surv_logrank_starter_enterprise
     lambda s, d: SV.logrank_two(_sd(s, d).where(F.col("plan_tier").isin("starter", "enterprise")),
                                 F.col("plan_tier") == "starter", "starter_vs_enterprise"))
 register("surv_dropout_90d", _sv("surv_dropout_90d"))(lambda s, d: SV.dropout_90d(_sd(s, d)))
+register("surv_dropout_90d_pivot", _sv("surv_dropout_90d_pivot"))(lambda s, d: SV.dropout_90d_pivot(_sd(s, d)))
 register("surv_time_to_upgrade", _sv("surv_time_to_upgrade"))(
     lambda s, d: SV.km_curve(SV.upgrade_dataset(wh(s, d).customers, K.ORDERS_AS_OF), F.col("plan_tier")))
 register("surv_hazard", _sv("surv_hazard"))(lambda s, d: SV.hazard_curve(_sd(s, d)))

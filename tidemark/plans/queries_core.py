@@ -76,7 +76,11 @@ register("src_row_audit", _misc("src_row_audit"))(lambda s, d: L.row_audit({
     "mart_customer_risk_scores": wh(s, d).risk_scores,
     "mart_customer_expansion_features": wh(s, d).expansion_features,
     "mart_propensity_quadrant": wh(s, d).propensity_quadrant}))
-register("dq_contracts", with_ctes(OQ.contract_report_sql()))(lambda s, d: Q.contract_report(_tables(s, d)))
+OQ_ROW_COUNT = with_ctes(OQ.ROW_COUNT_SQL)
+register("dq_contracts", with_ctes(OQ.contract_report_sql()))(lambda s, d: Q.contract_report(_tables(s, d), wh(s, d).event_days))
+# fixed here: a row of risk signals a customer; no table empty, and at least an event a customer
+register("dq_row_count", OQ_ROW_COUNT)(lambda s, d: Q.row_counts(_tables(s, d), {"risk_signals": "customers"}, {
+    "customers": 1, "usage_events": "customers", "support_tickets": 1, "gtm_opportunities": 1, "expansion_outreach_log": 1}))
 register("dq_rate_in_band", with_ctes(OQ.RATE_BANDS_SQL))(
     lambda s, d: Q.rate_bands(wh(s, d).customers, wh(s, d).expansion_outreach_log))
 register("dq_freshness", _misc("dq_freshness"))(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
+from tidemark.functions.columns import lit_date
+from tidemark.operators import briefs as BR
+from tidemark.operators import cohort as CO
 from tidemark.operators import risk as RK
 from tidemark.operators import scoring as SC
 from tidemark.operators import text as TX
@@ -74,9 +77,12 @@ register("brief_split_email", with_ctes(OX.SPLIT))(_split)
 
 
 def _tone(s, d):
-    """Assistant turns are linked to no customer: conversations with an even id
-    are calibrated at propensity 0.3, the others at 0.7, so both sides are met."""
-    t = _turns(s, d).where(F.col("role") == "assistant").withColumn("propensity", F.when(F.col("conv_id") % 2 == 0, 0.3).otherwise(0.7))
+    """Assistant turns carry no customer: a turn is calibrated at the propensity of the
+    candidate with the least id among those equal to the conversation's modulo 1000
+    (none: no propensity, the text stays)."""
+    q = wh(s, d).propensity_quadrant.groupBy((F.col("customer_id").cast("long") % 1000).alias("k")).agg(
+        F.min_by(F.col("upgrade_propensity_proxy").cast("double"), F.col("customer_id").cast("long")).alias("propensity"))
+    t = _turns(s, d).where(F.col("role") == "assistant").withColumn("k", F.col("conv_id") % 1000).join(q, "k", "left")
     return t.select("conv_id", "turn", "propensity", TX.calibrate_tone(F.col("text"), F.col("propensity")).alias("calibrated"))
 
 
@@ -148,3 +154,60 @@ register("flight_risk_reasons", with_ctes(OX.FLIGHT_REASONS))(_flight_reasons)
 
 
 register("ctx_brief_guardrails", with_ctes(OX.BRIEF_CHECK, OX.BRIEF_CTES))(_brief_check)
+
+
+def _segment_briefs(s, d):
+    """One written brief per industry, for every candidate in it: it names all risk
+    drivers found in the industry, presses, and drafts an e-mail with an id and jargon.
+    A row's own features are its own drivers, so one text gets different flags."""
+    q = wh(s, d).propensity_quadrant.select("customer_id", F.col("upgrade_propensity_proxy").cast("double").alias("propensity"))
+    r = wh(s, d).risk_scores.select("customer_id", "industry", F.split("top_risk_drivers", ", ").alias("own_features"))
+    rows = q.join(r, "customer_id")
+    named = rows.select("industry", F.explode("own_features").alias("x")).where("x <> ''").groupBy("industry", "x").count() \
+        .groupBy("industry").agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias("named"))  # at most the nine driver names
+    text = F.concat(F.lit("Urgent: talk to the "), F.col("industry"), F.lit(" accounts immediately about "), F.coalesce("named", F.lit("usage")),
+                    F.lit(" and plan_tier.\n[EMAIL_DRAFT] Account 0f8fad5b-d9cb-469f-a165-70867728950e leads by XGBoost and SHAP."))
+    return rows.join(named, "industry", "left").select("customer_id", "propensity", "own_features", text.alias("raw_text"))
+
+
+register("guard_expansion_check", with_ctes(OX.EXPANSION_CHECK))(
+    lambda s, d: BR.check_expansion_brief(_segment_briefs(s, d)).select(
+        "customer_id", F.array_join("flags", "|").alias("flags"), "n_flags", "status", "confidence", "final_text", "email_draft"))
+
+
+def _gate_text(s, d):
+    sc = SC.expansion_scoring(wh(s, d).propensity_quadrant)
+    return BR.gate(sc.select("customer_id", "propensity", "target_tier", "expected_arr_uplift")).select(
+        "customer_id", "audience", "gate", "summary", "brief", "wants_email")
+
+
+register("brief_gate_text", with_ctes(OX.GATE_TEXT, OX.BRIEF_CTES))(_gate_text)
+
+
+def _facts_parts(s, d):
+    """Every fact of a brief per active customer: attributed signals of the churn
+    model, usage by type, newest tickets, latest open opportunity, cohort rate."""
+    from tidemark.plans import queries_models as QM
+    w = wh(s, d)
+    features = QM.CHURN_X + ["plan_tier", "industry"]
+    composite = RK.risk_composite(RK.usage_decay(w.customers, w.event_days, K.ORDERS_AS_OF), w.risk_signals).select(
+        "customer_id", F.col("risk_score").alias("composite_risk"))
+    usage = TX.events_by_type(w.usage_events, K.ORDERS_AS_OF).select("customer_id", F.transform(
+        F.map_entries("events_last_30d_by_type"), lambda e: F.struct(e["key"].alias("event_type"), e["value"].alias("n"))).alias("usage"))
+    opp = TX.latest_open_opportunity(w.gtm_opportunities).select("customer_id", F.struct("stage", "amount").alias("opportunity"))
+    base = w.churn_features.join(w.risk_scores.select("customer_id", F.col("churn_score").cast("double").alias("churn_probability"),
+                                                      RK.churn_action(F.col("churn_score")).alias("action")), "customer_id")
+    base = base.join(QM._attr(s, d, "churn").select("customer_id", "top_features"), "customer_id").withColumn("signals", BR.ranked_signals(features))
+    for more in (composite, CO.cohort_churn_rate_context(w.customers).select("customer_id", F.col("cohort_churn_rate").alias("cohort_rate")), usage,
+                 TX.recent_tickets(w.support_tickets, K.ORDERS_AS_OF), opp):
+        base = base.join(more, "customer_id", "left")
+    return base
+
+
+def _facts(s, d):
+    """The facts text of every active customer, with the three leading drivers' names."""
+    return _facts_parts(s, d).select("customer_id", BR.facts_text(lit_date(K.ORDERS_AS_OF)).alias("facts"),
+                                     F.array_join(BR.driver_labels(F.col("top_features")), "; ").alias("drivers"))
+
+
+register("ctx_facts_text")(_facts)
