@@ -34,10 +34,9 @@ def test_cox_matches_direct_optimum(spark):
 
 
 def test_efron_sums_by_brute_force(spark):
-    from pyspark.sql import functions as F
     cases = [(r, e, d) for d in (1, 2, 5, 15, 16, 17, 18, 40, 1000, 30_000) for r, e in ((1.0, 1.0), (1.5, 1.0), (40.0, 0.3), (1e6, 2.5))]
     df = spark.createDataFrame([(float(r), float(e), float(d)) for r, e, d in cases], "r double, e double, d double")
-    got = df.select("r", "e", "d", *[v.alias(k) for k, v in CX.efron_day_sums(F.col("r"), F.col("e"), F.col("d")).items()]).collect()
+    got = CX.with_efron_sums(df, "r", "e", "d").collect()
     for row in got:
         f = np.arange(int(row["d"]), dtype=np.longdouble) / np.longdouble(row["d"])
         den = np.longdouble(row["r"]) - f * np.longdouble(row["e"])
@@ -49,8 +48,7 @@ def test_efron_sums_by_brute_force(spark):
 
 def test_a_day_of_ten_million_churns(spark):
     """The work of a day does not depend on its churns."""
-    from pyspark.sql import functions as F
     df = spark.createDataFrame([(2e7, 1e7, 1e7)], "r double, e double, d double")
-    got = df.select(*[v.alias(k) for k, v in CX.efron_day_sums(F.col("r"), F.col("e"), F.col("d")).items()]).first()
+    got = CX.with_efron_sums(df, "r", "e", "d").first()
     # sums of smooth terms: integrals over f in [0, 1] of 1/(2 - f), f/(2 - f), with the ends' half term
     assert abs(got["a"] - np.log(2)) < 1e-7 and abs(got["b"] - (2 * np.log(2) - 1)) < 1e-7

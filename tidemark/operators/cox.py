@@ -40,7 +40,7 @@ def _day_table(x: DataFrame, cols: list[str], beta: np.ndarray) -> DataFrame:
 
 
 #: Terms of an Efron sum that are added one by one; the rest is a series.
-DIRECT = 16
+DIRECT = 12
 
 
 def efron_powers(z: Column, d: Column) -> tuple[Column, Column]:
@@ -63,14 +63,17 @@ def efron_powers(z: Column, d: Column) -> tuple[Column, Column]:
     return one + F.when(m > 0, digamma).otherwise(0.0), two + F.when(m > 0, trigamma).otherwise(0.0)
 
 
-def efron_day_sums(at_risk: Column, churning: Column, d: Column) -> dict[str, Column]:
-    """With f = l / d and D = at_risk - f * churning, the sums over l = 0 .. d - 1 of
-    1/D (a), f/D (b), 1/D^2 (aa), f/D^2 (ab) and f^2/D^2 (bb)."""
-    scale = d / churning
-    z = F.greatest(scale * at_risk, d)  # those churning are at risk, so z >= d but for rounding
-    one, two = efron_powers(z, d)
-    return {"a": scale * one, "b": (z * one - d) / churning, "aa": scale * scale * two, "ab": scale * (z * two - one) / churning,
-            "bb": (z * z * two - 2 * z * one + d) / (churning * churning)}
+def with_efron_sums(day: DataFrame, at_risk: str, churning: str, d: str) -> DataFrame:
+    """With f = l / d and D = at_risk - f * churning, add the sums over l = 0 .. d - 1
+    of 1/D (a), f/D (b), 1/D^2 (aa), f/D^2 (ab) and f^2/D^2 (bb). The two power sums are
+    columns of their own, so that their long expressions are planned once."""
+    r, e, n = F.col(at_risk), F.col(churning), F.col(d)
+    day = day.withColumn("_z", F.greatest(n / e * r, n))  # those churning are at risk, so z >= d but for rounding
+    one, two = efron_powers(F.col("_z"), n)
+    day = day.withColumns({"_one": one, "_two": two})
+    z, one, two, scale = F.col("_z"), F.col("_one"), F.col("_two"), n / e
+    return day.withColumns({"a": scale * one, "b": (z * one - n) / e, "aa": scale * scale * two, "ab": scale * (z * two - one) / e,
+                            "bb": (z * z * two - 2 * z * one + n) / (e * e)}).drop("_z", "_one", "_two")
 
 
 def _efron_sums(day: DataFrame, p: int):
@@ -79,8 +82,7 @@ def _efron_sums(day: DataFrame, p: int):
     The l-th of a day's d churns (l from 0) has the denominator R - (l/d) E, where R
     and E are sums over those at risk and those churning; over l only five sums are
     needed."""
-    sums = efron_day_sums(F.col("Rs0"), F.col("e0"), F.col("d"))
-    day = day.select("*", *[v.alias(k) for k, v in sums.items()])
+    day = with_efron_sums(day, "Rs0", "e0", "d")
     c = F.col
     aggs = []
     for j in range(p):

@@ -129,32 +129,40 @@ def key_totals(tables: dict[str, DataFrame]) -> DataFrame:
                                             F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-def _at(kind: int, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+def kind_totals(keys: DataFrame) -> DataFrame:
+    """A row per kind: for each table the rows (r), the repeats of a key (u) and the
+    rows whose key is no customer's (f), and the days' range."""
+    known, tables = F.col("key").isNotNull(), range(len(RAW_CONTRACTS))
+    n = [F.col(f"n{no}") for no in tables]
+    return keys.groupBy("kind").agg(
+        *[F.sum(n[no]).alias(f"r{no}") for no in tables],
+        *[F.sum(F.when(known & (n[no] > 0), n[no] - 1).otherwise(0)).alias(f"u{no}") for no in tables],
+        *[F.sum(F.when(~known | (n[0] == 0), n[no]).otherwise(0)).alias(f"f{no}") for no in tables],
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
 
 
 def contract_report(tables: dict[str, DataFrame], event_days: DataFrame) -> DataFrame:
     """Every contract check of the raw tables, and that no event lies before its
     customer's signup or after the churn day's first instant."""
-    checks, rule = [], 0  # (check, table, column, n_bad)
+    checks, rule = [], 0  # (check, table, column, kind, figure)
     number = {t: no for no, t in enumerate(RAW_CONTRACTS)}
-    known = F.col("key").isNotNull()
     for t, no in number.items():
         for check, column, _ in row_rules(t):
-            checks.append((check, t, column, _at(RULE + rule, F.col(f"n{no}"))))
+            checks.append((check, t, column, RULE + rule, f"r{no}"))
             rule += 1
         own = RAW_CONTRACTS[t]["unique"]
-        n = F.col(f"n{no}")
-        checks.append(("unique", t, own, _at(CUSTOMER if own == "customer_id" else OWN + no, F.when(known & (n > 0), n - 1))))
-    for t in CHILD_TABLES:
-        checks.append(("foreign_key", t, "customer_id", _at(CUSTOMER, F.when(~known | (F.col("n0") == 0), F.col(f"n{number[t]}")))))
-    span = F.max(F.when(F.col("kind") == CUSTOMER, F.col("last_day"))) - F.min(F.when(F.col("kind") == CUSTOMER, F.col("first_day")))
-    checks.append(("spread_signup_days", "customers", "signup_date", F.greatest(F.lit(0), 548 - span)))
-    rows = {t: _at(CUSTOMER, F.col(f"n{no}")) for t, no in number.items()}
-    checks.append(("row_count_one_per_customer", "risk_signals", "customer_id", F.abs(rows["customers"] - rows["risk_signals"])))
-    totals = key_totals(tables).agg(*[n.alias(f"c{i}") for i, (_, _, _, n) in enumerate(checks)])
-    args = ", ".join(f"'{check}', '{t}', '{column}', CAST(c{i} AS BIGINT)" for i, (check, t, column, _) in enumerate(checks))
-    report = totals.select(F.expr(f"stack({len(checks)}, {args}) AS (check, table_name, column_name, n_bad)"))
+        checks.append(("unique", t, own, CUSTOMER if own == "customer_id" else OWN + no, f"u{no}"))
+    checks += [("foreign_key", t, "customer_id", CUSTOMER, f"f{number[t]}") for t in CHILD_TABLES]
+    checks.append(("spread_signup_days", "customers", "signup_date", CUSTOMER, "spread"))
+    checks.append(("row_count_one_per_customer", "risk_signals", "customer_id", CUSTOMER, "count_gap"))
+    totals = kind_totals(key_totals(tables))  # a row per kind, at most one a rule and table
+    totals = totals.withColumn("spread", F.greatest(F.lit(0), 548 - (F.col("last_day") - F.col("first_day")))).withColumn(
+        "count_gap", F.abs(F.col(f"r{number['customers']}") - F.col(f"r{number['risk_signals']}")))
+    figures = sorted({c[4] for c in checks})
+    long = totals.select("kind", F.expr(f"stack({len(figures)}, " + ", ".join(f"'{f}', CAST({f} AS BIGINT)" for f in figures) + ") AS (figure, n_bad)"))
+    wanted = tables["customers"].sparkSession.createDataFrame(checks, "check string, table_name string, column_name string, kind int, figure string")
+    report = wanted.join(long, ["kind", "figure"], "left").select(
+        "check", "table_name", "column_name", F.when(F.col("figure") == "spread", F.col("n_bad")).otherwise(F.coalesce("n_bad", F.lit(0))).alias("n_bad"))
     return report.unionByName(temporal_event_checks(tables["customers"], event_days)).withColumn("passed", F.coalesce(F.col("n_bad") == 0, F.lit(False)))
 
 
