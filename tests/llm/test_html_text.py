@@ -98,3 +98,59 @@ def test_whole_table_keeps_article_lines(spark):
     assert len(got) == df.count()
     # the article repeats its document after the heading
     assert sum(r["text"].split("\n", 1)[-1] in texts for r in got) >= 0.9 * len(got)
+
+
+def test_attributes_are_read_by_name():
+    """Ordinary article text whose attributes only look like chrome stays; real chrome goes."""
+    kept = ['<p title="hidden gems">a</p>', '<p data-id="comment-3">a</p>', '<section id="search-algorithms"><p>a</p></section>', '<h2 id="related-work">a</h2>',
+            '<p class="notice-of-award">a</p>', '<p data-class="ad">a</p>', "<p title='class=ad'>a</p>", '<p aria-hidden="false">a</p>', "<p class=lead id=x>a</p>"]
+    gone = ['<p hidden>a</p>', '<p class="lead ad">a</p>', '<div class="cookie-notice">a</div>', "<div CLASS='Ad_2'>a</div>", '<div id="comments">a</div>', '<div role=search>a</div>',
+            '<p aria-hidden="true">a</p>']
+    for piece in kept:
+        assert one(f"<article><p>x</p>{piece}</article>") == "x\na", piece
+    for piece in gone:
+        assert one(f"<article><p>x</p>{piece}</article>") == "x", piece
+
+
+def test_teasers_beside_the_article_go():
+    story = "<p>" + "A long story. " * 20 + "</p>"
+    assert "Teaser" not in one(f'<article>{story}</article><article class="teaser"><h3>Teaser</h3><p>More</p></article>')
+    assert one("<article><p>first half here</p></article><article><p>second half of it</p></article>") == "first half here\nsecond half of it"
+
+
+def test_exact_alignment_at_every_size(monkeypatch):
+    """Halved alignments are as long as whole ones, many equal lines or not."""
+    rng = random.Random(6)
+    for _ in range(60):
+        letters = rng.choice([1, 2, 5, 40])
+        a, b = ([rng.randint(0, letters) for _ in range(rng.randint(0, 120))] for _ in range(2))
+        monkeypatch.setattr(H, "MAX_PAIRS", 10**9)
+        whole = H.shared_lines(a, b)
+        monkeypatch.setattr(H, "MAX_PAIRS", 3)
+        halved = sorted(H.shared_lines(a, b))
+        assert len(halved) == len(whole)
+        at = iter(b)
+        assert all(any(a[i] == x for x in at) for i in halved)  # a common subsequence indeed
+    a, b = [k % 3 for k in range(20_000)], [k % 2 for k in range(20_000)]
+    monkeypatch.setattr(H, "MAX_PAIRS", 2_000_000)
+    got = sorted(H.shared_lines(a, b))
+    at = iter(b)
+    assert len(got) >= 13_333 and all(any(a[i] == x for x in at) for i in got)
+
+
+def test_pairing_does_not_depend_on_the_partitions(spark):
+    from tests.conftest import SF0001
+    df = spark.read.parquet(f"{SF0001}/pages.parquet")
+    found = []
+    for n in ("1", "8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, H.main_text(df.repartition(3)).collect()), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] == found[1] == found[2] and any(r[4] is not None for r in found[0])
+
+
+def test_headings_of_the_article_stay(spark):
+    """A heading at the same place on all near pages is the article's all the same."""
+    rows = [(k, f"http://r.example/{k}", f"<article><h2>Ingredients</h2><p>Take {k} of the things that page {k} alone can name.</p><div>Share</div></article>") for k in range(1, 7)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Ingredients\nTake {k} of the things that page {k} alone can name." for k in got)

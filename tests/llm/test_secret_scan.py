@@ -49,3 +49,40 @@ def test_redaction_and_edge_rows(make_docs, edge_rows):
 
 def test_live_looking():
     assert S.live_looking("9f8a7Kq2LmZx01Rt") and not S.live_looking("aaaaaaaaaaaaaaaaaaaa") and not S.live_looking("EXAMPLEkey9f8a7Kq2")
+
+
+def test_long_passwords_in_urls():
+    for user, password in (("u" * 90, "aB3dE6gH9"), ("bob", "aB3-dE6_gH9." * 30)):
+        text = f"see https://{user}:{password}@host/x and more"
+        assert [text[s[3]:s[4]] for s in S.further_candidates(text, []) if s[1] == 4] == [password]
+    assert S.further_candidates("http://" + "a" * 2_000_000, []) == []
+
+
+def test_further_spans_overlap_nothing():
+    import random
+    rng = random.Random(4)
+    parts = ["ghp_a8Fk29dLqPz71XcVbN0mQwErTyUiOp", "token=Zx81LkQw20PoIuYtReWq", "https://bob:q9W8e7R6t5Y4@h", "0123456789abcdef" * 3, "aB3dE6gH9jK2lM5nP8qR", "plain words"]
+    for _ in range(100):
+        text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        base = S.base_spans(text)
+        taken, want = [(s[0], s[2]) for s in base], []
+        for kind, pattern, group in ((3, S.PROVIDER, 0), (4, S.URL, 1), (5, S.RANDOM, 0)):
+            for m in pattern.finditer(text):
+                v = m.group()
+                mixed = kind != 5 or any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v)
+                if mixed and all(m.end() <= s or m.start() >= e for s, e in taken) and S.live_looking(m.group(group)):
+                    taken.append(m.span())
+                    want.append((m.start(), kind, m.end(), *m.span(group)))
+        assert S.further_candidates(text, base) == want
+
+
+def test_a_value_copied_within_one_owner_is_an_example(make_docs):
+    value = "ghp_a8Fk29dLqPz71XcVbN0mQwErTyUiOp"
+    rows = [(k, f"see {value} here", "en", "one") for k in range(70)]
+    assert all(r["spans"] == [] for r in S.scan(make_docs(rows)).collect())
+    assert all(len(r["spans"]) == 1 for r in S.scan(make_docs(rows[:60])).collect())
+
+
+def test_secrets_of_rows_without_id_go_too(make_docs):
+    docs = make_docs([(None, "token=abcdefgh0123 x", "en", "a"), (1, "token=abcdefgh0123 x", "en", "a"), (None, None, "en", "a")])
+    assert sorted(str(r["text"]) for r in S.redact(docs, S.scan(docs)).collect()) == ["None", "token=[SECRET] x", "token=[SECRET] x"]

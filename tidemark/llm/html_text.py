@@ -29,6 +29,7 @@ from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ from tidemark.llm.common import small_batches
 NEAR = 4              # rows on either side, in path order, among which the partner is chosen
 RECUR = 3             # near pages on which a line inside the article recurs at least to be the site's
 PROSE_WORDS = 8       # words from which a line is prose in any element
-MAX_PAIRS = 2_000_000  # equal line pairs beyond which repeated lines are paired in their order
+MAX_PAIRS = 2_000_000  # equal line pairs that one chain search lists; larger alignments are halved first
+RANGE_ROWS = 4000     # pages of a range of the path order
+SIBLING_SHARE = 0.5   # part of the longest article's characters that another on the page has at least, else it is a teaser
 
 #: Fixed element names.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -62,13 +65,15 @@ TOKEN = re.compile(
     r"|<(?P<raw>script|style|textarea|title)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One attribute: its name, and its value with quotes, if any.
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'/=]""")
+WORD_PARTS = re.compile(r"[^a-z]+")
 
 
 @dataclass
 class Line:
     text: str
-    article: bool
+    article: int  # number of the outermost article element on the page, from 1; 0 outside
     main: bool
     chrome: bool
     path: tuple[str, ...]  # names of its open elements
@@ -78,26 +83,36 @@ class Line:
         return next((n for n in reversed(self.path) if n in BLOCKS), "")
 
 
+def _all_words(token: str, words: frozenset[str]) -> bool:
+    """Is a class a chrome word, or made of chrome words alone ("cookie-notice", "ad-2")?"""
+    parts = [p for p in WORD_PARTS.split(token) if p]
+    return bool(parts) and all(p in words for p in parts)
+
+
 def _says_chrome(name: str, attrs: str, in_article: bool) -> str:
-    """'' for content, 'chrome', 'top' (a heading line inside may be the article's) or 'unseen'."""
+    """'' for content, 'chrome', 'top' (a heading line inside may be the article's) or
+    'unseen'. Attributes are read name by name; each class counts as a whole, and an
+    id or role only if it is a chrome word itself."""
     if name in UNSEEN:
         return "unseen"
     if name in CHROME:
         return "chrome"
     kind = "top" if name == "header" else ""
-    if attrs and name not in ("html", "body", "article", "main"):
+    if attrs and name not in ("html", "body", "main") and (name != "article" or in_article):  # a reader's comment may be an article in the article
         for key, value in ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"' ").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true":
+            if name != "article" and (key == "hidden" or key == "aria-hidden" and value == "true"):
                 return "chrome"
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & CHROME_WORDS and key != "hidden":
+            if key == "class":
+                classes = value.split()
+            elif key in ("id", "role"):
+                classes = [value] if value in CHROME_WORDS or value in TOP_WORDS else []
+            else:
+                continue
+            if any(_all_words(c, CHROME_WORDS) for c in classes):
                 return "chrome"
-            if words & TOP_WORDS:
+            if name != "article" and any(_all_words(c, TOP_WORDS) for c in classes):
                 kind = "top"
-    elif name == "article" and attrs and in_article:  # a reader's comment may be an article in the article
-        if any(set(re.split(r"[^a-z0-9]+", v.lower())) & CHROME_WORDS for _, v in ATTR.findall(attrs)):
-            return "chrome"
     return kind
 
 
@@ -106,6 +121,7 @@ def lines_of(page: str | None) -> list[Line]:
     out: list[Line] = []
     stack: list[tuple[str, str]] = []  # open elements: name, what it says
     text: list[str] = []
+    articles = 0
 
     def end_line() -> None:
         joined = " ".join("".join(text).split())
@@ -113,7 +129,7 @@ def lines_of(page: str | None) -> list[Line]:
         if joined:
             names = [n for n, _ in stack]
             said = {s for _, s in stack}
-            article = "article" in names
+            article = articles if "article" in names else 0
             top = "top" in said and not (article and any(n in HEADINGS for n in names))
             out.append(Line(joined, article, "main" in names, "chrome" in said or top, tuple(names)))
 
@@ -159,52 +175,80 @@ def lines_of(page: str | None) -> list[Line]:
         if name in BLOCKS:
             end_line()
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append((name, _says_chrome(name, m["attrs"], any(n == "article" for n, _ in stack))))
+            inside = any(n == "article" for n, _ in stack)
+            articles += name == "article" and not inside
+            stack.append((name, _says_chrome(name, m["attrs"], inside)))
     add(page[at:])
     end_line()
     return out
 
 
-def shared_lines(a: list[int], b: list[int]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    found = set(range(low)) | set(range(len(a) - high, len(a)))
+def _chain(a: list[int], b: list[int], first: int) -> set[int]:
+    """Positions (from ``first``) in ``a`` of a longest common subsequence, by the longest
+    chain of equal pairs."""
     places: dict[int, list[int]] = {}
-    for j in range(low, len(b) - high):
-        places.setdefault(b[j], []).append(j)
-    inner = range(low, len(a) - high)
-    if sum(len(places.get(a[i], ())) for i in inner) > MAX_PAIRS:
-        met: dict[int, int] = {}
-        choices = {}
-        for i in inner:
-            k = met.get(a[i], 0)
-            met[a[i]] = k + 1
-            choices[i] = places.get(a[i], [])[k:k + 1]
-    else:
-        choices = {i: places.get(a[i], []) for i in inner}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
     ends: list[int] = []                 # smallest last position in b of a chain, by length
     last: list[tuple] = []               # that chain, linked
-    for i in inner:
-        for j in reversed(choices[i]):
+    for i, x in enumerate(a):
+        for j in reversed(places.get(x, ())):
             k = bisect_left(ends, j)
-            link = (i, last[k - 1] if k else None)
+            link = (first + i, last[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
                 last.append(link)
             else:
                 ends[k], last[k] = j, link
-    link = last[-1] if last else None
+    found, link = set(), last[-1] if last else None
     while link:
         found.add(link[0])
         link = link[1]
     return found
 
 
+def _row_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and every beginning of ``b``,
+    a bit per line of ``b``: a machine word of lines at a step."""
+    bits: dict[int, int] = {}
+    for j, x in enumerate(b):
+        bits[x] = bits.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        if u := v & bits.get(x, 0):
+            v = (v + u | v - u) & full
+    steps = np.unpackbits(np.frombuffer((full ^ v).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+
+
+def shared_lines(a: list[int], b: list[int]) -> set[int]:
+    """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``, exact at
+    every size: where too many pairs are equal to list, ``a`` is halved and ``b`` cut where the
+    halves' lengths add up to most."""
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, left, right = todo.pop()
+        while low < high and left < right and a[low] == b[left]:
+            found.add(low)
+            low, left = low + 1, left + 1
+        while low < high and left < right and a[high - 1] == b[right - 1]:
+            high, right = high - 1, right - 1
+            found.add(high)
+        if low == high or left == right:
+            continue
+        times = Counter(b[left:right])
+        if high - low == 1 or sum(times[x] for x in a[low:high]) <= MAX_PAIRS:
+            found |= _chain(a[low:high], b[left:right], low)
+            continue
+        middle = (low + high) // 2
+        before, after = _row_lengths(a[low:middle], b[left:right]), _row_lengths(a[middle:high][::-1], b[left:right][::-1])[::-1]
+        cut = left + int((before + after).argmax())
+        todo += [(low, middle, left, cut), (middle, high, cut, right)]
+    return found
+
+
 def _alike(a: str, b: str) -> int:
     """How much two paths share from the left, whole segments first."""
     n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
@@ -223,9 +267,16 @@ def _partner(row: dict, near: Iterable[dict]) -> dict | None:
 
 
 def _inside(lines: list[Line]) -> list[bool]:
-    """Which lines the article holds, or else the main element."""
-    inside = [x.article and not x.chrome for x in lines]
-    return inside if any(inside) else [x.main and not x.chrome for x in lines]
+    """Which lines the article holds, or else the main element. Of several articles
+    the longest counts, and those at least half as long; shorter ones are teasers."""
+    sizes: Counter = Counter()
+    for x in lines:
+        if x.article and not x.chrome:
+            sizes[x.article] += len(x.text)
+    if not sizes:
+        return [x.main and not x.chrome for x in lines]
+    least = SIBLING_SHARE * max(sizes.values())
+    return [x.article > 0 and not x.chrome and sizes[x.article] >= least for x in lines]
 
 
 def _places(row: dict) -> dict[int, int]:
@@ -252,7 +303,7 @@ def _site_lines(row: dict, inside: list[bool], near: Iterable[dict]) -> set[int]
     aligned, at = shared_lines(row["keys"], mate["keys"]), _places(mate)
     found = set()
     for k, x in enumerate(row["lines"]):
-        if inside[k] and (place := hash((x.path, x.text))) in times and x.block not in CELLS:
+        if inside[k] and (place := hash((x.path, x.text))) in times and x.block not in CELLS and not any(n in HEADINGS for n in x.path):
             prose = x.block in PROSE or len(x.text.split()) >= PROSE_WORDS
             if k in aligned and place in at and not prose or times[place] >= RECUR and 2 * times[place] > len(others):
                 found.add(k)
@@ -274,7 +325,8 @@ def _finish(row: dict, partner: dict | None, near: Iterable[dict] = ()) -> tuple
     return row["page_id"], row["url"], text, len(text), partner["page_id"] if partner else None, deleted
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", near: int = NEAR) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", near: int = NEAR,
+              range_rows: int = RANGE_ROWS) -> DataFrame:
     """page_id, url, text, n_chars, partner_id, n_deleted: a row per input row;
     n_deleted counts the lines that differencing against the partner and the near pages deleted."""
     url = F.col(f"`{url_col}`").cast("string")
@@ -312,8 +364,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             settle()
         yield batch()
 
-    # ranges of the path order, so that a host with a third of all pages is many tasks; a page
-    # at the edge of a range is paired inside it
-    parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of the path order, so that a host with a third of all pages is many tasks; their
+    # number follows the table, whatever the session's settings, and a page at the edge of a
+    # range is paired inside it
+    parts = max(1, round(pages.count() / range_rows))
     ordered = rows.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
     return ordered.mapInArrow(compare, "page_id long, url string, text string, n_chars long, partner_id long, n_deleted long")

@@ -30,7 +30,6 @@ BUCKETS = 1 << 17
 DIM = 16
 SIZES = (2, 3, 4, 5, 6)
 SAMPLE_PER_LANG = 1000    # bound of the training sample, for each language
-MAX_LANGS = 400           # the most frequent label values that are learned
 SNIPPET_WORDS = 80       # a training stretch has fewer words than this
 SNIPPETS = 4
 EPOCHS = 3
@@ -138,18 +137,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, rate:
 
 
 def train(docs: DataFrame, learn: Column | None = None, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
-          per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+          per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on a bounded sample of the rows where ``learn`` holds and text and
     language are known: about ``per_lang`` whole texts of each language, drawn by
     a hash of key and text."""
     known = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                         F.xxhash64(F.col(f"`{key_col}`"), F.lit(17)).alias("h"), (F.lit(True) if learn is None else learn).alias("learn"))
     known = known.where("learn and text is not null and lang is not null")
-    counts = [tuple(r) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    rows = known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang").collect()
+    counts = known.groupBy("lang").count()  # a row per language, all of which are learned
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
+    rows = known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang").collect()
     return fit(sorted((r["text"], r["lang"]) for r in rows))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches, store
 
 WIDELY = 4             # owners from which on a value is a copied example
+WIDELY_COPIED = 64     # repositories from which on it is one whoever owns them
 MIN_ENTROPY = 3.0      # bits a character of a live-looking value
 
 #: Fixed patterns. Base kinds in their order, then the kinds that the ownership count decides on.
@@ -32,7 +34,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs; shorter runs are dropped anyway
 PROVIDER = re.compile(r"(?:ghp_|gho_|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_-]{16,}")
-URL = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@")
+URL = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]++:([^\s:/@]{6,}+)@")
 RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ["assign", "access", "hex", "provider", "url", "random"]
 BASE = KINDS[:3]
@@ -66,13 +68,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 def further_candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Candidates of the other kinds that overlap no base span nor each other."""
-    taken = [(s[0], s[2]) for s in base]
+    starts, ends = [], []  # of the spans taken, merged where they overlap: both in order
+    for s, e in sorted((s[0], s[2]) for s in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
 
     def add(kind: int, m: re.Match, group: int = 0) -> None:
         a, b = m.span()
-        if all(b <= s or a >= e for s, e in taken) and live_looking(m.group(group)):
-            taken.append((a, b))
+        k = bisect_right(ends, a)  # the first span that ends after the match begins
+        if (k == len(starts) or b <= starts[k]) and live_looking(m.group(group)):
+            starts.insert(k, a)
+            ends.insert(k, b)
             out.append((a, kind, b, *m.span(group)))
     for m in PROVIDER.finditer(text):
         add(3, m)
@@ -127,14 +137,15 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
-         widely: int = WIDELY) -> DataFrame:
+         widely: int = WIDELY, widely_copied: int = WIDELY_COPIED) -> DataFrame:
     """doc_id, text_hash, spans: a row per input row; spans are those reported, in
     order of start and kind, each with kind, verdict ('live', 'example' or
-    'unclear'), owners and repos."""
+    'unclear'), owners and repos. A value held by ``widely`` owners is a copied example,
+    and so is one in ``widely_copied`` repositories, be they of one owner."""
     found = store(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
     spans = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    verdict = (F.when(F.col("owners") >= widely, F.lit("example")).when(F.col("looks"), F.lit("live")).otherwise(F.lit("unclear")))
+    verdict = (F.when((F.col("owners") >= widely) | (F.col("repos") >= widely_copied), F.lit("example")).when(F.col("looks"), F.lit("live")).otherwise(F.lit("unclear")))
     judged = (spans.join(ownership(found), "hash").withColumn("verdict", verdict)
               .where((F.col("kind") < len(BASE)) | (F.col("verdict") == "live"))
               .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
@@ -178,5 +189,5 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                 columns[names.index(length_col)] = pa.array(lengths, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=names)
     text_hash = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
-    joined = docs.join(hits, (F.col(f"`{id_col}`") == F.col("hit_id")) & (text_hash == F.col("hit_hash")), "left")
+    joined = docs.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("hit_id")) & (text_hash == F.col("hit_hash")), "left")
     return joined.select(*[docs[f"`{c}`"] for c in names], "hit_values").mapInArrow(run, docs.schema)
