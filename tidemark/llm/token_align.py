@@ -20,6 +20,7 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -37,7 +38,8 @@ from tidemark.llm.packing import encoder
 HEAD = 1 << 20
 #: Pairs a task counts before it passes its table on.
 TASK_PAIRS = 1 << 18
-FIRST_WINDOW = 8
+FIRST_WINDOW = 16
+CACHE_ENTRIES = 200_000
 
 _ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()),
                   ("pairs", pa.binary()), ("times", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())])
@@ -48,43 +50,44 @@ def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices in the end arrays ``a`` and ``b`` (both increasing, equal at the last) at which groups end."""
     i, j, na = 0, 0, len(a)
     la, lb = a.tolist(), b.tolist()
-    out_i: list[int] = []
-    shifts: list[int] = []
+    stretches: list[tuple[int, int, int]] = []  # (first index in a, shift, length)
     while i < na:
-        width = FIRST_WINDOW
-        while True:  # a stretch of one token each, at shift j - i
-            most = min(width, na - i, len(lb) - j)
-            if most > 64:
-                same = a[i:i + most] == b[j:j + most]
-                run = most if same.all() else int(same.argmin())
-            elif la[i:i + most] == lb[j:j + most]:
-                run = most
-            else:
-                run = 0
-                while la[i + run] == lb[j + run]:
-                    run += 1
-            if run:
-                out_i.extend(range(i, i + run))
-                shifts.extend([j - i] * run)
+        first, width = i, FIRST_WINDOW
+        while True:  # a stretch of common ends, at shift j - i
+            sa, sb = la[i:i + width], lb[j:j + width]
+            if sa == sb:
+                i, j = i + len(sa), j + len(sa)
+                if len(sa) < width:
+                    break
+                width *= 2
+            elif width > 64:
+                most = min(len(sa), len(sb))
+                differ = a[i:i + most] != b[j:j + most]
+                run = int(differ.argmax()) if differ.any() else most
                 i, j = i + run, j + run
-            if run < width:
                 break
-            width *= 2
-        if i >= na:
-            break
-        while True:  # an irregular group, to the next common end
-            x, y = la[i], lb[j]
-            if x < y:
-                i += 1
-            elif x > y:
-                j += 1
             else:
+                for x, y in zip(sa, sb):
+                    if x != y:
+                        break
+                    i += 1
+                    j += 1
                 break
-        out_i.append(i)
-        shifts.append(j - i)
-        i, j = i + 1, j + 1
-    at = np.array(out_i, np.int64)
-    return at, at + np.array(shifts, np.int64)
+        if i > first:
+            stretches.append((first, j - i, i - first))
+        if i < na:  # an irregular group: to the next common end, which begins the next stretch
+            x, y = la[i], lb[j]
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = la[i]
+                else:
+                    j += 1
+                    y = lb[j]
+    start, shift, length = np.array(stretches, np.int64).reshape(-1, 3).T
+    before = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) + np.repeat(start - before, length)
+    return at, at + np.repeat(shift, length)
 
 
 def byte_level_bytes(path: str) -> list[bytes]:
@@ -110,71 +113,77 @@ def piece_bytes(model) -> list[bytes]:
     return out
 
 
+class _Names(dict):
+    """(id of A << 20 | id of B) -> `a|b`, in a cache of bounded size."""
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[pair] = name = f"{pair >> 20}|{pair & (1 << 20) - 1}"
+        return name
+
+
 class Aligner:
     """text -> (ids of A, ids of B, group ends in A, group ends in B), or None."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        from tokenizers import Tokenizer
         self.encode_a: Callable[[str], bytes] = encoder(a_path)
-        self.whole_a = _plain_encoder(a_path)
+        self.whole_a = Tokenizer.from_file(a_path)
+        self.whole_a.encode_special_tokens = True
+        self.special_a = [t.content for t in self.whole_a.get_added_tokens_decoder().values()]
         self.model_b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.bytes_a, self.bytes_b = byte_level_bytes(a_path), piece_bytes(self.model_b)
         self.len_a, self.len_b = (np.array([len(x) for x in v]) for v in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = ([str(k) for k in range(len(v))] for v in (self.bytes_a, self.bytes_b))
+        self.names = _Names()
+
+    def ids_a(self, text: str) -> np.ndarray | None:
+        if any(s in text for s in self.special_a):  # special strings are text
+            ids = np.array(self.whole_a.encode(text, add_special_tokens=False).ids, np.int64)
+        else:
+            ids = np.frombuffer(self.encode_a(text), "<u4").astype(np.int64)
+        if self.whole_a.normalizer is None:  # byte-level tokens spell any text
+            return ids
+        return ids if b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == text.encode() else None
 
-    def ids_a(self, text: str) -> np.ndarray:
-        return self.whole_a(text) if self.whole_a.needs(text) else np.frombuffer(self.encode_a(text), "<u4").astype(np.int64)
+    def ids_b(self, text: str) -> np.ndarray | None:
+        ids = self.model_b.encode(text)
+        return np.array(ids, np.int64) if b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + text.encode() else None
 
     def align(self, text: str | None) -> tuple | None:
         if not text:
             return None
-        whole = b" " + text.encode()
-        b = np.array(self.model_b.encode(text), np.int64)
-        if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
-            return None
-        a = self.ids_a(" " + text)
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole:
+        b = self.ids_b(text)
+        a = None if b is None else self.ids_a(" " + text)
+        if a is None:
             return None
         return a, b, *groups(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
 
     def digest(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray) -> str:
         """SHA-256 of `a1,a2|b1;a3|b2,b3`: the text is made in blocks of groups."""
         out = hashlib.sha256()
-        ones = (np.diff(at, prepend=-1) == 1) & (np.diff(bt, prepend=-1) == 1)
-        for k in range(0, len(at), 1 << 14):
-            i0, j0 = (int(x[k - 1]) + 1 if k else 0 for x in (at, bt))
-            ends_i, ends_j = at[k:k + (1 << 14)].tolist(), bt[k:k + (1 << 14)].tolist()
-            sa = list(map(self.name_a.__getitem__, a[i0:ends_i[-1] + 1].tolist()))
-            sb = list(map(self.name_b.__getitem__, b[j0:ends_j[-1] + 1].tolist()))
-            parts, i, j = [], 0, 0
-            for one, x, y in zip(ones[k:k + (1 << 14)].tolist(), ends_i, ends_j):
-                x, y = x - i0 + 1, y - j0 + 1
-                parts.append(f"{sa[i]}|{sb[j]}" if one else f"{','.join(sa[i:x])}|{','.join(sb[j:y])}")
-                i, j = x, y
+        pairs = a[at] << 20 | b[bt]
+        from_a, from_b = (np.concatenate([[0], x[:-1] + 1]) for x in (at, bt))
+        irregular = np.flatnonzero((at != from_a) | (bt != from_b))
+        bounds = np.searchsorted(irregular, np.arange(0, len(at) + (1 << 14), 1 << 14)).tolist()
+        la, lb, names = a.tolist(), b.tolist(), self.names.__getitem__
+        for block, k in enumerate(range(0, len(at), 1 << 14)):
+            parts = list(map(names, pairs[k:k + (1 << 14)].tolist()))
+            odd = irregular[bounds[block]:bounds[block + 1]]
+            for g, i, x, j, y in zip((odd - k).tolist(), from_a[odd].tolist(), at[odd].tolist(), from_b[odd].tolist(), bt[odd].tolist()):
+                # the last ids of the group are its pair; those before them are listed
+                left = f"{','.join(map(str, la[i:x]))},{la[x]}" if x > i else str(la[x])
+                parts[g] = f"{left}|{','.join(map(str, lb[j:y]))},{lb[y]}" if y > j else f"{left}|{lb[y]}"
             out.update(((";" if k else "") + ";".join(parts)).encode())
         return out.hexdigest()
 
 
-class _plain_encoder:
-    """The file's own tokenizer with special strings as text, for texts that hold one."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-
-    def needs(self, text: str) -> bool:
-        return any(s in text for s in self.special)
-
-    def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int64)
-
-
 def _aligned(rows: DataFrame, a_path: str, b_path: str, task_pairs: int) -> DataFrame:
     """A row per text, with its linked pairs (a << 20 | b) and how often each, and
     rows of pair counts (doc fields null) whenever the task's table is full."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of numbers by the million and no cycles: the collector would only walk them
         aligner = Aligner(a_path, b_path)
         row = TaskContext.get().partitionId() << 40
         counts: Counter = Counter()
@@ -185,24 +194,27 @@ def _aligned(rows: DataFrame, a_path: str, b_path: str, task_pairs: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, f.type) for f in list(_ROW)[:8]] + [pa.array(list(counts), pa.int64()),
                                                  pa.array(list(counts.values()), pa.int64())], schema=_ROW)
             counts.clear()
-        for b in small_batches(batches, 1 << 20):
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = aligner.align(text)
-                if got is None:
-                    out.append((row, doc_id, 0, 0, 0, "", b"", b""))
-                else:
-                    ids_a, ids_b, at, bt = got
-                    pairs, times = np.unique(ids_a[at] << 20 | ids_b[bt], return_counts=True)
-                    out.append((row, doc_id, len(ids_a), len(ids_b), len(at), aligner.digest(*got), pairs.astype("<i8").tobytes(), times.astype("<u4").tobytes()))
-                    for p, n in zip(pairs.tolist(), times.tolist()):
-                        counts[p] += n
-                    if len(counts) > task_pairs:
-                        yield from counted()
-                row += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROW)] + [pa.nulls(len(out), pa.int64())] * 2, schema=_ROW)
-        yield from counted()
+        try:
+            for b in small_batches(batches, 1 << 20):
+                out = []
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    got = aligner.align(text)
+                    if got is None:
+                        out.append((row, doc_id, 0, 0, 0, "", b"", b""))
+                    else:
+                        ids_a, ids_b, at, bt = got
+                        pairs, times = np.unique(ids_a[at] << 20 | ids_b[bt], return_counts=True)
+                        out.append((row, doc_id, len(ids_a), len(ids_b), len(at), aligner.digest(*got), pairs.astype("<i8").tobytes(), times.astype("<u4").tobytes()))
+                        for p, n in zip(pairs.tolist(), times.tolist()):
+                            counts[p] += n
+                        if len(counts) > task_pairs:
+                            yield from counted()
+                    row += 1
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROW)] + [pa.nulls(len(out), pa.int64())] * 2, schema=_ROW)
+            yield from counted()
+        finally:
+            gc.enable()  # the worker serves other tasks after this one
     return rows.mapInArrow(run, _ROW_SQL)
 
 
