@@ -92,6 +92,23 @@ def test_long_and_empty(make_docs, edge_rows):
     assert got[6]["n_groups"] > 100_000 and A.alignment(make_docs([]), A_PATH, B_PATH).collect() == []
 
 
+def test_long_runs_of_one_sign():
+    aligner, whole = A.Aligner(A_PATH, B_PATH), Tokenizer.from_file(A_PATH)
+    for text in (" " * 700_000, "a" + "\n" * 700_000 + "b", "^" * 300_000):
+        assert aligner.ids_a(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_digest_over_several_blocks():
+    aligner = A.Aligner(A_PATH, B_PATH)
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["plain", "Straße", "unbelievable", "x1y2", "漢字", "tokenization"]) for _ in range(30_000))
+    a, b, at, bt = aligner.align(text)
+    assert len(at) > 2 * A.BLOCK
+    parts = [(a[i:x + 1], b[j:y + 1]) for i, x, j, y in zip([0, *(at[:-1] + 1)], at, [0, *(bt[:-1] + 1)], bt)]
+    want = ";".join("|".join(",".join(map(str, v.tolist())) for v in p) for p in parts)
+    assert aligner.digest(a, b, at, bt) == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_groups_of_random_ends():
     rng = random.Random(1)
     for _ in range(300):

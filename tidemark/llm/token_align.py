@@ -3,7 +3,7 @@
 Both tokenizers encode a text; a token's end is a byte offset. Where a token of
 each ends, a group ends. Most groups are one token each, so at the current index
 shift the end arrays are equal over long stretches: windows of doubling size are
-compared as wholes, an equal one is jumped, an unequal one narrowed to its first
+compared as wholes, an equal one is jumped, an unequal one halved down to its first
 difference. There the irregular group is resolved by a merge of the two arrays up
 to the next common end, and the shift becomes the difference of the indices.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_text, small_batches, store
-from tidemark.llm.packing import encoder
 
 #: Pairs sent to the tasks, 24 bytes each; rarer ones are joined.
 HEAD = 1 << 20
 #: Pairs a task counts before it passes its table on.
 TASK_PAIRS = 1 << 18
 FIRST_WINDOW = 16
-CACHE_ENTRIES = 200_000
+BLOCK = 1 << 14  # groups whose text is made at once
+_COMMA, _BAR, _SEMICOLON = (np.uint64(ord(sign) << 56) for sign in ",|;")
 
 _ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()),
                   ("pairs", pa.binary()), ("times", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())])
@@ -48,31 +48,25 @@ _ROW_SQL = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha
 
 def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices in the end arrays ``a`` and ``b`` (both increasing, equal at the last) at which groups end."""
-    i, j, na = 0, 0, len(a)
+    i, j, na, nb = 0, 0, len(a), len(b)
     la, lb = a.tolist(), b.tolist()
+    raw_a, raw_b = a.astype("<i8").tobytes(), b.astype("<i8").tobytes()  # windows are compared as bytes
     stretches: list[tuple[int, int, int]] = []  # (first index in a, shift, length)
     while i < na:
-        first, width = i, FIRST_WINDOW
-        while True:  # a stretch of common ends, at shift j - i
-            sa, sb = la[i:i + width], lb[j:j + width]
-            if sa == sb:
-                i, j = i + len(sa), j + len(sa)
-                if len(sa) < width:
-                    break
-                width *= 2
-            elif width > 64:
-                most = min(len(sa), len(sb))
-                differ = a[i:i + most] != b[j:j + most]
-                run = int(differ.argmax()) if differ.any() else most
-                i, j = i + run, j + run
-                break
-            else:
-                for x, y in zip(sa, sb):
-                    if x != y:
-                        break
-                    i += 1
-                    j += 1
-                break
+        first = i
+        short = min(i + FIRST_WINDOW // 2, na, nb - j + i)
+        while i < short and la[i] == lb[j]:  # a stretch of common ends, at shift j - i
+            i += 1
+            j += 1
+        if i == short:
+            width, doubling = FIRST_WINDOW, True
+            while width and i < na:
+                window = raw_a[8 * i:8 * (i + width)]
+                if window == raw_b[8 * j:8 * (j + width)]:
+                    i, j = i + len(window) // 8, j + len(window) // 8
+                else:
+                    doubling = False
+                width = width * 2 if doubling else width // 2
         if i > first:
             stretches.append((first, j - i, i - first))
         if i < na:  # an irregular group: to the next common end, which begins the next stretch
@@ -113,36 +107,34 @@ def piece_bytes(model) -> list[bytes]:
     return out
 
 
-class _Names(dict):
-    """(id of A << 20 | id of B) -> `a|b`, in a cache of bounded size."""
-
-    def __missing__(self, pair: int) -> str:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[pair] = name = f"{pair >> 20}|{pair & (1 << 20) - 1}"
-        return name
-
-
 class Aligner:
     """text -> (ids of A, ids of B, group ends in A, group ends in B), or None."""
 
     def __init__(self, a_path: str, b_path: str):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
-        self.encode_a: Callable[[str], bytes] = encoder(a_path)
         self.whole_a = Tokenizer.from_file(a_path)
         self.whole_a.encode_special_tokens = True
         self.special_a = [t.content for t in self.whole_a.get_added_tokens_decoder().values()]
         self.model_b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.bytes_a, self.bytes_b = byte_level_bytes(a_path), piece_bytes(self.model_b)
         self.len_a, self.len_b = (np.array([len(x) for x in v]) for v in (self.bytes_a, self.bytes_b))
-        self.names = _Names()
+        ranks = {piece: k for k, piece in enumerate(self.bytes_a) if piece.decode(errors="replace") not in self.special_a}
+        self.encode_a = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        # the digits of every id in eight bytes, of which the last is left for the sign that follows it
+        self.decimal = np.array([str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))], "S8").view("<u8")
 
     def ids_a(self, text: str) -> np.ndarray | None:
-        if any(s in text for s in self.special_a):  # special strings are text
+        ids = None
+        if not any(s in text for s in self.special_a):  # special strings are text
+            try:
+                ids = self.encode_a(text, disallowed_special=()).astype(np.int64)
+            except ValueError:  # a run of blanks too long for the pattern's stack
+                pass
+        if ids is None:
             ids = np.array(self.whole_a.encode(text, add_special_tokens=False).ids, np.int64)
-        else:
-            ids = np.frombuffer(self.encode_a(text), "<u4").astype(np.int64)
         if self.whole_a.normalizer is None:  # byte-level tokens spell any text
             return ids
         return ids if b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == text.encode() else None
@@ -161,21 +153,23 @@ class Aligner:
         return a, b, *groups(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
 
     def digest(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray) -> str:
-        """SHA-256 of `a1,a2|b1;a3|b2,b3`: the text is made in blocks of groups."""
+        """SHA-256 of `a1,a2|b1;a3|b2,b3`: the text is made in blocks of groups, every id
+        and the sign after it in a cell of eight bytes, from which the zeros are then taken out."""
         out = hashlib.sha256()
-        pairs = a[at] << 20 | b[bt]
-        from_a, from_b = (np.concatenate([[0], x[:-1] + 1]) for x in (at, bt))
-        irregular = np.flatnonzero((at != from_a) | (bt != from_b))
-        bounds = np.searchsorted(irregular, np.arange(0, len(at) + (1 << 14), 1 << 14)).tolist()
-        la, lb, names = a.tolist(), b.tolist(), self.names.__getitem__
-        for block, k in enumerate(range(0, len(at), 1 << 14)):
-            parts = list(map(names, pairs[k:k + (1 << 14)].tolist()))
-            odd = irregular[bounds[block]:bounds[block + 1]]
-            for g, i, x, j, y in zip((odd - k).tolist(), from_a[odd].tolist(), at[odd].tolist(), from_b[odd].tolist(), bt[odd].tolist()):
-                # the last ids of the group are its pair; those before them are listed
-                left = f"{','.join(map(str, la[i:x]))},{la[x]}" if x > i else str(la[x])
-                parts[g] = f"{left}|{','.join(map(str, lb[j:y]))},{lb[y]}" if y > j else f"{left}|{lb[y]}"
-            out.update(((";" if k else "") + ";".join(parts)).encode())
+        i = j = 0
+        for k in range(0, len(at), BLOCK):
+            last_a, last_b = at[k:k + BLOCK] - i, bt[k:k + BLOCK] - j
+            n_a, n_b = int(last_a[-1]) + 1, int(last_b[-1]) + 1
+            of_a, of_b = self.decimal[a[i:i + n_a]] | _COMMA, self.decimal[b[j:j + n_b]] | _COMMA
+            of_a[last_a] ^= _COMMA ^ _BAR
+            of_b[last_b] ^= _COMMA ^ _SEMICOLON
+            size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+            cells = np.empty(n_a + n_b, "<u8")
+            cells[np.arange(n_a) + np.repeat(last_b + 1 - size_b, size_a)] = of_a  # after the B ids of the groups before
+            cells[np.arange(n_b) + np.repeat(last_a + 1, size_b)] = of_b           # after the A ids up to its own group
+            text = cells.tobytes().translate(None, b"\0")
+            out.update(text if k + BLOCK < len(at) else text[:-1])
+            i, j = i + n_a, j + n_b
         return out.hexdigest()
 
 
