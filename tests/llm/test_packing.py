@@ -83,3 +83,9 @@ def test_classes_take_a_fixed_count():
     assert sorted(full.values()) == [[512] * 4, [512] * 4]
     packer.finish()
     assert sum(r[2] for r in packer.rows) == 9 * 700
+
+
+def test_long_runs_of_one_sign(plain):
+    encode = P.encoder(PATH)
+    for text in (" " * 700_000, "a " + "\n" * 700_000 + "b", "^" * 300_000, "é" * 100_000 + " x"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain(text)

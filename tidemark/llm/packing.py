@@ -32,6 +32,7 @@ CAPACITY = 2048
 MIN_CUT = 64
 END_ID = 1
 CACHE_ENTRIES = 200_000
+LONG_CHUNK = 10_000  # from this length on, the pattern may need more stack than it has
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: A run of non-blanks with the blank before it, or blanks; the tokenizer's own
@@ -65,6 +66,12 @@ def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Callable[[str], by
     model = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     merge, merge_piece = model.encode_ordinary, model._encode_single_piece
 
+    def long_ids(chunk: str) -> bytes:
+        try:
+            return model.encode_to_numpy(chunk, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # a run of blanks too long for the pattern's stack
+            return array("I", whole.encode(chunk, add_special_tokens=False).ids).tobytes()
+
     class Words(dict):
         """Chunk -> ids; a chunk of inner blanks (a line break between words) is taken apart."""
 
@@ -74,7 +81,7 @@ def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Callable[[str], by
                 parts = chunks(chunk)
                 if len(parts) > 1:
                     return b"".join(map(known, parts))
-                ids = array("I", merge(chunk)).tobytes()
+                ids = array("I", merge(chunk)).tobytes() if len(chunk) < LONG_CHUNK else long_ids(chunk)
             elif word[2]:
                 ids = self[word[1]] + self[word[2]]
             else:
