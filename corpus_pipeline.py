@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, packing, secret_scan, simhash
-from tidemark.llm.common import fold, prepare, shared_root, table
+from tidemark.llm.common import fold, prepare, shared_root, store, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,26 +20,38 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.identified(docs, langid.train(docs, fold("doc_id", 4) != 2))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``text_key``, a hash of the text. Both stages
+    below decide by the text alone, so rows find their decision by this key,
+    whether they have an id, share it with another text, or have none. (Two texts
+    of one 64-bit key would share a decision; of 10^9 texts, one pair in 40 tables.)"""
+    return docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id.
-    Rows of one id are one document, of which one row stays; rows without an id stay."""
+    """One row of each SimHash group stays: that with the smallest id (rows without
+    an id come last, then the smallest key). Of rows repeated as wholes one stays."""
     prepare(spark)
-    docs = docs.select(COLUMNS)
-    groups = simhash.simhash_components(docs, shingle=3, radius=3)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    repeats = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeats:
-        return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    docs = keyed(docs)
+    groups = simhash.simhash_components(docs, id_col="text_key", shingle=3, radius=3).select("doc_id", "component_id").distinct()
+    rows = docs.groupBy("doc_id", "text_key").count()
+    first = F.struct(F.col("rows.doc_id").isNull(), F.col("rows.doc_id").alias("doc_id"), F.col("rows.text_key").alias("text_key"), F.col("rows.count").alias("rows"))
+    stays = store(rows.alias("rows").join(groups.alias("groups"), F.col("rows.text_key") == F.col("groups.doc_id"))
+                  .groupBy("groups.component_id").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_key", "first.rows"), "pipeline-stays")
+    same = docs["text_key"].eqNullSafe(stays["text_key"]) & docs["doc_id"].eqNullSafe(stays["doc_id"])
+    kept = docs.join(stays, same, "left_semi")
+    if stays.where("rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return kept.select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark passages go."""
+    """Documents contaminated by benchmark passages go, with or without an id."""
     prepare(spark)
-    docs = docs.select(COLUMNS)
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    docs = keyed(docs)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), id_col="text_key")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("text_key")).distinct()
+    return docs.join(gone, "text_key", "left_anti").select(COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
