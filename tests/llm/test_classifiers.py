@@ -76,3 +76,13 @@ def test_toxicity_edge_rows(spark, make_docs, edge_rows):
     empty = toxicity.train(make_docs([]), labels.limit(0))
     assert all(r["score"] == 0 for r in toxicity.score(make_docs(edge_rows), empty).collect())
     assert toxicity.score(make_docs([]), lexicon).count() == 0
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    """Ids with two texts: whichever comes first, the same one is learned from."""
+    docs = table(spark, SF001, "documents").select("doc_id", "text")
+    labels = table(spark, SF001, "labels")
+    twice = docs.unionByName(docs.select("doc_id", F.reverse("text").alias("text")))
+    a, b = (toxicity.train(d, labels) for d in (twice.orderBy("doc_id", "text"), twice.orderBy(F.desc("text")).repartition(5)))
+    assert a.weights == b.weights and a.exceptions == b.exceptions
+    assert all(abs(x - y) < 1e-9 for x, y in zip(a.logistic, b.logistic))

@@ -11,8 +11,9 @@ does not grow; whole texts are read, in the sample and in scoring.
 
 Defined cases: null and empty texts have no match and get the score of a text
 without matches; rows without a label, or labelled null, teach nothing; a
-document labelled twice counts as toxic if either label is; repeated rows get a
-row each; without labels of both kinds every score is 0; an empty table gives an
+document labelled twice counts as toxic if either label is; of several texts of
+one id the one with the smallest hash teaches; entries of equal evidence rank by
+their text; repeated rows get a row each; without labels of both kinds every score is 0; an empty table gives an
 empty table.
 """
 
@@ -183,10 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     n = known.count()
     drawn = known.where(F.col("h") < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30)))).select("doc_id", "toxic", F.pmod("h", F.lit(3)).alias("part"))
     # about ``sample`` ids and labels are broadcast; their texts are read from a small table from here on
-    texts = store(id_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", "part"), "toxicity-sample")
+    found = id_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))  # of several texts of an id always the same one
+    texts = store(found.groupBy("doc_id", "toxic", "part").agg(first.alias("first")).select("doc_id", "first.text", "toxic", "part"), "toxicity-sample")
     ids = {d: (int(toxic == 1), part) for d, toxic, part in _one_of_each(texts)}
     sent = spark.sparkContext.broadcast(ids)
-    texts = texts.select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = texts.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, Counter] = {0: Counter(), 1: Counter()}
