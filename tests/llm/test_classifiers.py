@@ -86,3 +86,13 @@ def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
     a, b = (toxicity.train(d, labels) for d in (twice.orderBy("doc_id", "text"), twice.orderBy(F.desc("text")).repartition(5)))
     assert a.weights == b.weights and a.exceptions == b.exceptions
     assert all(abs(x - y) < 1e-9 for x, y in zip(a.logistic, b.logistic))
+
+
+def test_gibberish_is_rejected(spark, make_docs):
+    import random
+    r = random.Random(1)
+    rows = [(k, " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 10))) for _ in range(60)))
+            for k, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"] * 100)]
+    model = langid.train(table(spark, SF001, "documents"), fold("doc_id", 4) != 2)
+    got = langid.predict(make_docs(rows), model).collect()
+    assert sum(x["rejected"] for x in got) >= 0.95 * len(rows)
