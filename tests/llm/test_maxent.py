@@ -86,6 +86,65 @@ def test_every_pair_has_weights_of_its_own(spark, make_docs):
             assert r["class_sum"] == pytest.approx(want[r["doc_id"]], rel=1e-4)
 
 
+def hot_rows():
+    """One pair before every text, a phrase in most texts, and texts of one word."""
+    return [(i, f"w{i % 9}" if i % 2 else " ".join(["one two three"] * (i % 5) + [f"x{i % 31}", f"y{i % 7}"])) for i in range(400)]
+
+
+def test_heavy_pairs_are_counted_by_class(spark, make_docs):
+    docs, share = id_text(make_docs(hot_rows())), 0.01
+    every = store(M.count_all(docs, share), "test-counts")
+    head = M.make_head(M.only_tokens(every))
+    heavy = M.make_heavy(every, head.tokens, share)
+    M.fit(docs, head, 2, heavy=heavy)
+    place, counts = {w: i for i, w in enumerate(head.words.to_pylist())}, Counter()
+    for _, text in hot_rows():
+        names = ["<", "<", *tokens(text)]
+        counts.update(((a, b), int(head.classes[place[w]])) for a, b, w in zip(names, names[1:], names[2:]))
+    sizes = Counter()
+    for (pair, _), n in counts.items():
+        sizes[pair] += n
+    name = lambda w: 1 if w == "<" else int(M._names(pa.array([w]))[0])
+    hashes = {int(M._hash(1, np.array([name(b)]), np.array([name(a)]))[0]): (a, b) for a, b in sizes}
+    assert 3 <= len(heavy.pairs) <= 1 / share and {p for p, n in sizes.items() if n >= 2 * share * head.tokens} <= {hashes[p] for p in heavy.pairs.tolist()}
+    for p, row in zip(heavy.pairs.tolist(), heavy.counts):
+        assert {c: n for c, n in enumerate(row.tolist()) if n} == {c: n for (pair, c), n in counts.items() if pair == hashes[p]}
+
+
+def test_scores_do_not_depend_on_what_is_heavy(spark, make_docs):
+    """Whole scores equal a plain sum over all tokens of class and word parts, by either way of a pair."""
+    rows = hot_rows()
+    docs, learn = id_text(make_docs(rows)), F.col("doc_id") % 3 != 0
+    every = store(M.count_all(docs.where(learn), 0.01), "test-counts")
+    head = M.make_head(M.only_tokens(every))
+    heavy = M.make_heavy(every, head.tokens, 0.01)
+    weights, bias = M.fit(docs.where(learn), head, 1, heavy=heavy)
+    place, counts, sizes, every = {w: i for i, w in enumerate(head.words.to_pylist())}, Counter(), Counter(), {}
+    unseen = math.log10(0.5 / head.rare_total)
+    for i, text in rows:
+        t = M.tokens_of(pa.array([text]), head)
+        names = ["<", "<", *tokens(text)]
+        z = np.exp(M._logits(weights, bias, t.features))
+        every[i] = [((a, b), int(head.classes[place[w]]) if w in place else M.CLASSES - 1, place.get(w), p)
+                    for a, b, w, p in zip(names, names[1:], names[2:], z / z.sum(axis=1, keepdims=True))]
+        if i % 3:
+            counts.update((pair, c) for pair, c, _, _ in every[i])
+            sizes.update(pair for pair, *_ in every[i])
+    want = {i: sum(math.log10((M.PRIOR * p[c] + counts[pair, c]) / (M.PRIOR + sizes[pair])) + (unseen if w is None else head.inside[w]) for pair, c, w, p in found)
+            for i, found in every.items()}
+    marked, most = docs.withColumn("learn", learn), []
+    for hot in (heavy, None):
+        dealt = store(M._score_head(marked, head, 16, hot, (weights, bias)), "test-dealt")
+        most.append(max([r[0] for r in dealt.where("docs is not null").groupBy("shard").agg(F.sum(F.length("high"))).select("sum(length(high))").collect()], default=0))
+        scored = store(M._score_pairs(dealt, weights, bias, 2), "test-scored")
+        got = scored.where("docs is null").join(M._class_sums(scored), "row", "left").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            rare = sum(x["n"] for x in r["rare"])
+            assert r["model"] + (r["class_sum"] or 0.0) + rare * unseen == pytest.approx(want[r["doc_id"]], rel=1e-4)
+    assert most[0] * 4 < most[1]  # no shard is hot for a pair that all texts share
+
+
 def test_rounds_follow_the_learning_tokens():
     assert [M.rounds_for(n) for n in (0, 1 << 24, 1 << 27, 1 << 33)] == [2, 2, 4, 10]
 

@@ -21,12 +21,19 @@ log(1 + n(c) / (PRIOR * q(c))), with the pair's counts n in the learning texts a
 q by the hashed features, and exp of the weights is normalised by 1 + n / PRIOR
 (the optimum of the pair's likelihood under a Dirichlet prior at q). These weights
 stay distributed: tokens are dealt by pair, numbered and counted where they
-arrive, and their scores go back to the texts.
+arrive, and their scores go back to the texts. Tokens of heavy pairs (``Heavy``; the
+pair before every text's first word is one) are never dealt: a first pass finds these
+pairs, the training rounds count their classes beside their steps, and the counts are
+sent to the tasks that read the texts. So no shard is larger for a pair that holds a
+third of all tokens.
 
 Defined cases: a null or blank text is one end token; very long texts are scored
 in batches of tokens; without learning texts N = V = 0, every token is unseen and
 takes the rare class; repeated rows get a row each; an empty table gives an empty
-table.
+table. Ties: words of equal counts stand in the head in the words' order, and the
+border of the head falls between bands of counts, so equal counts are all in or all
+out. Of the input only the id and the text are read: columns of other names, whatever
+they are, cannot clash.
 """
 
 from __future__ import annotations
@@ -56,6 +63,9 @@ SHARES = 8          # shards of the pairs for each task
 SHARD_TOKENS = 4_000_000  # tokens of the pairs that a task is meant for
 RATE = 0.15
 CHUNKS = 64         # pieces in which weights are averaged
+TRAINERS = 4096     # tasks of a training round at most: each gives back a change of all weights
+HEAVY_SHARE = 2.0 ** -14  # a pair that holds this share of the learning tokens is heavy (bounds their number)
+SLOTS = 1 << 20     # a first sieve for heavy pairs
 END = ""            # no word is empty, so this stands for the end token
 
 
@@ -69,6 +79,7 @@ class Head:
     tokens: int          # N
     distinct: int        # V
     rare_total: float    # normaliser of the rare class
+    names: np.ndarray    # what the words are to the features
     end: int = -1        # place of the end token
 
     @property
@@ -76,21 +87,77 @@ class Head:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """token, c over all rows (doc_id, text); the end token's count is that of the rows."""
+@dataclass
+class Heavy:
+    """The pairs of previous words that hold a large share of the learning tokens, in order of their
+    hashes, at most 1 / share of them; and their learning tokens by class, which ``fit`` counts."""
+    pairs: np.ndarray
+    counts: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.sieve = np.zeros(SLOTS, dtype=bool)
+        self.sieve[(self.pairs & np.uint64(SLOTS - 1)).astype(np.int64)] = True
+
+    def place(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens after heavy pairs, and the places of these pairs."""
+        some = np.flatnonzero(self.sieve[(pair & np.uint64(SLOTS - 1)).astype(np.int64)])
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.pairs, pair[some]), len(self.pairs) - 1)
+        same = self.pairs[at] == pair[some]
+        return some[same], at[same]
+
+
+def _names(words: pa.Array) -> np.ndarray:
+    """What words are to the features: a hash, the same in every pass."""
+    return np.array([crc32(w) for w in words.cast(pa.binary()).to_pylist()], dtype=np.int64) + 2
+
+
+def _frequent_pairs(pair: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that hold ``share`` of these tokens or more, and their counts; found through their slots' counts."""
+    least = max(2, int(np.ceil(share * len(pair))))
+    slot = (pair & np.uint64(SLOTS - 1)).astype(np.int64)
+    some = pair[np.bincount(slot, minlength=SLOTS)[slot] >= least]
+    found, n = np.unique(some, return_counts=True)
+    return found[n >= least], n[n >= least]
+
+
+def count_all(docs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """token, c over all rows (doc_id, text), the end token's count being that of the rows; and rows of a blank and a
+    pair's hash instead of a token (no word begins with a blank), whose c is the pair's count where it is frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = 0
         for b in small_batches(batches, 16 << 20):
-            _, words, idx = words_of_batch(b.column(1))
+            offsets, words, idx = words_of_batch(b.column(1))
             rows += b.num_rows
             n = np.bincount(idx, minlength=len(words))
             keep = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([words.cast(pa.string()).take(pa.array(keep)), pa.array(n[keep], pa.int64())], names=["token", "c"])
+            _, _, one, two = _histories(offsets, _names(words)[idx] if len(words) else idx)
+            pairs, n = _frequent_pairs(_hash(1, one, two), share)
+            yield pa.RecordBatch.from_arrays([pa.array([f" {p:016x}" for p in pairs.tolist()], pa.string()), pa.array(n, pa.int64())], names=["token", "c"])
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.string()), pa.array([rows], pa.int64())], names=["token", "c"])
     return docs.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def only_tokens(counts: DataFrame) -> DataFrame:
+    return counts.where(~F.col("token").startswith(" "))
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """token, c over all rows (doc_id, text); the end token's count is that of the rows."""
+    return only_tokens(count_all(docs))
+
+
+def make_heavy(counts: DataFrame, tokens: int, share: float = HEAVY_SHARE) -> Heavy:
+    """The pairs whose counts in ``count_all`` reach the share: as these are parts of their counts, at most 1 / share
+    pairs; and every pair of twice the share is among them, since a part leaves out no more than the share of its tokens."""
+    rows = counts.where(F.col("token").startswith(" ") & (F.col("c") >= max(2.0, share * tokens))).select("token").collect()
+    pairs = np.sort(np.array([int(r["token"], 16) for r in rows], dtype=np.uint64))
+    return Heavy(pairs, np.zeros((len(pairs), CLASSES), dtype=np.int64))
+
+
 def make_head(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> Head:
     """Take the most frequent tokens: those above the count at which ``size`` would be passed."""
     band = F.floor(F.log2("c") * 16).cast("long")
@@ -114,8 +181,8 @@ def make_head(counts: DataFrame, size: int = HEAD, classes: int = CLASSES) -> He
     inside = np.log10(n / mass_of[which]) if len(n) else np.zeros(0)
     rare_total = (total - mass) + 0.5 * (distinct - taken + 1)
     ends = np.flatnonzero(rows["token"].to_numpy() == END)
-    return Head(pa.array(rows["token"].tolist(), pa.string()), n, which, inside, int(total), int(distinct), float(rare_total),
-                int(ends[0]) if len(ends) else -1)
+    words = pa.array(rows["token"].tolist(), pa.string())
+    return Head(words, n, which, inside, int(total), int(distinct), float(rare_total), _names(words), int(ends[0]) if len(ends) else -1)
 
 
 def _hash(kind: int, *parts: np.ndarray) -> np.ndarray:
@@ -130,6 +197,24 @@ def _mix(kind: int, *parts: np.ndarray) -> np.ndarray:
     return (_hash(kind, *parts) % np.uint64(BUCKETS)).astype(np.int64) + kind * BUCKETS
 
 
+def _histories(offsets: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' words given by name: whether a token is an end, each token's text, and the names of the word before it
+    and of the one before that; 1 stands before a text."""
+    sizes = np.diff(offsets)
+    ends = offsets[1:] + np.arange(len(sizes))
+    n = int(offsets[-1]) + len(sizes)
+    is_end = np.zeros(n, dtype=bool)
+    is_end[ends] = True
+    name = np.zeros(n, np.int64)
+    name[~is_end] = names
+    first = np.concatenate([[0], ends[:-1] + 1]) if len(sizes) else np.zeros(0, np.int64)
+    one, two = np.concatenate([[1], name[:-1]])[:n], np.concatenate([[1, 1], name[:-2]])[:n]
+    one[first] = 1
+    two[first] = 1
+    two[first[sizes > 0] + 1] = 1
+    return is_end, np.repeat(np.arange(len(sizes)), sizes + 1), one, two
+
+
 @dataclass
 class Tokens:
     """Tokens of a batch of texts, each text closed by its end token."""
@@ -145,33 +230,23 @@ def tokens_of(texts: pa.Array, head: Head) -> Tokens:
     import pyarrow.compute as pc
     offsets, words, idx = words_of_batch(texts)
     words = words.cast(pa.string())
-    sizes = np.diff(offsets)
     at = np.asarray(pc.fill_null(pc.index_in(words, value_set=head.words), -1)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    names = at.copy()  # what a word is to the features: its place, or a hash if rare
+    names = head.names[at] if len(head.names) else at.copy()
     rare = np.flatnonzero(at < 0)
-    names[rare] = [len(head.counts) + crc32(w) for w in words.take(pa.array(rare, pa.int64())).cast(pa.binary()).to_pylist()]
-    ends = offsets[1:] + np.arange(len(sizes))
-    n = int(offsets[-1]) + len(sizes)
-    is_end = np.zeros(n, dtype=bool)
-    is_end[ends] = True
-    word, place, name = np.full(n, -1, np.int64), np.full(n, head.end, np.int64), np.zeros(n, np.int64)
-    word[~is_end], place[~is_end], name[~is_end] = idx, at[idx], names[idx] + 2
-    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-    first = np.concatenate([[0], ends[:-1] + 1]) if len(sizes) else np.zeros(0, np.int64)
-    one, two = np.concatenate([[1], name[:-1]]), np.concatenate([[1, 1], name[:-2]])[:n]
-    one[first] = 1  # 1 stands before a text
-    two[first] = 1
-    second = first[sizes > 0] + 1
-    two[second] = 1
+    names[rare] = _names(words.take(pa.array(rare, pa.int64())))
+    is_end, doc, one, two = _histories(offsets, names[idx])
+    n = len(is_end)
+    word, place = np.full(n, -1, np.int64), np.full(n, head.end, np.int64)
+    word[~is_end], place[~is_end] = idx, at[idx]
     pair = _hash(1, one, two)
     features = np.stack([_mix(0, one), (pair % np.uint64(BUCKETS)).astype(np.int64) + BUCKETS, _mix(2, two)], axis=1) if n else np.zeros((0, KINDS), np.int64)
     return Tokens(doc, place, word, words, features, pair)
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[:, 0]]
+    z = np.take(weights, features[:, 0], axis=0)
     for k in range(1, KINDS):
-        z += weights[features[:, k]]
+        z += np.take(weights, features[:, k], axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
     return z
@@ -181,20 +256,34 @@ def _class_of(head: Head, place: np.ndarray) -> np.ndarray:
     return np.where(place >= 0, head.classes[place] if len(head.classes) else CLASSES - 1, CLASSES - 1)
 
 
+def _segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``first``; most runs are short."""
+    sizes = np.diff(np.append(first, len(rows)))
+    out = np.take(rows, first, axis=0)
+    for k in range(1, 4):
+        more = np.flatnonzero(sizes > k)
+        out[more] += np.take(rows, first[more] + k, axis=0)
+    for j in np.flatnonzero(sizes > 4).tolist():
+        i = first[j] + 4
+        out[j] += np.ones(sizes[j] - 4, rows.dtype) @ rows[i:i + sizes[j] - 4]
+    return out
+
+
 def gradient_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, features: np.ndarray, target: np.ndarray, rate: float) -> None:
     """Steps through the tokens in batches; the step of a feature shrinks with its gathered squared gradient."""
     for i in range(0, len(target), BATCH):
         f, y = features[i:i + BATCH], target[i:i + BATCH]
-        p = np.exp(_logits(weights, bias, f))
-        p /= p.sum(axis=1, keepdims=True)
+        p = _logits(weights, bias, f)
+        np.exp(p, out=p)
+        p /= (p @ np.ones(CLASSES, p.dtype))[:, None]
         p[np.arange(len(y)), y] -= 1
         for k in range(KINDS):
             order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # a radix sort; a kind's buckets fit 16 bits
             placed = f[order, k]
             first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
             rows = placed[first]
-            slope = np.add.reduceat(p[order], first, axis=0)
-            squares[rows] += (slope * slope).mean(axis=1)
+            slope = _segment_sums(np.take(p, order, axis=0), first)
+            squares[rows] += np.einsum("ij,ij->i", slope, slope) / CLASSES
             weights[rows] -= (rate / np.sqrt(1e-6 + squares[rows]))[:, None] * slope
 
 
@@ -202,41 +291,51 @@ def rounds_for(tokens: int) -> int:
     return max(ROUNDS, (tokens // ROUND_TOKENS).bit_length())
 
 
-def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """Class weights (KINDS x BUCKETS rows) and bias, from all rows (doc_id, text)."""
+def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = RATE, heavy: Heavy | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Class weights (KINDS x BUCKETS rows) and bias, from all rows (doc_id, text). Every row is in one round; so the
+    rounds together count the tokens after ``heavy`` pairs, if given, by class."""
     spark = docs.sparkSession
     mass = np.bincount(head.classes, head.counts, minlength=CLASSES) if len(head.counts) else np.zeros(CLASSES)
     mass[CLASSES - 1] += max(0.0, head.tokens - mass.sum())
     bias = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES)).astype(np.float32)
     weights = np.zeros((KINDS * BUCKETS, CLASSES), dtype=np.float32)
-    sent_head = spark.sparkContext.broadcast(head)
+    sent_head = spark.sparkContext.broadcast((head, Heavy(heavy.pairs, heavy.counts[:0]) if heavy is not None and len(heavy.pairs) else None))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((weights, bias))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (start, b0), h = sent.value, sent_head.value
+            (start, b0), (h, hot) = sent.value, sent_head.value
             own, squares, seen = start.copy(), np.ones(len(start), dtype=np.float32), 0
+            after = np.zeros(len(hot.pairs) * CLASSES if hot else 0, dtype=np.int64)
             for b in small_batches(batches, 4 << 20):
                 t = tokens_of(b.column(1), h)
-                gradient_steps(own, b0, squares, t.features, _class_of(h, t.head), rate)
+                target = _class_of(h, t.head)
+                gradient_steps(own, b0, squares, t.features, target, rate)
                 seen += len(t.doc)
+                if hot:
+                    which, at = hot.place(t.pair)
+                    after += np.bincount(at * CLASSES + target[which], minlength=len(after))
             if seen:
                 change = (own - start).astype(np.float16)
-                cells = [c.tobytes() for c in np.split(change, CHUNKS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array(cells, pa.binary())],
+                cells = [c.tobytes() for c in np.split(change, CHUNKS)] + [c.tobytes() for c in np.array_split(after, CHUNKS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(2 * CHUNKS), pa.int32()), pa.array([seen] * (2 * CHUNKS), pa.int64()), pa.array(cells, pa.binary())],
                                                  names=["chunk", "seen", "change"])
 
         def mean(key: tuple, group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = 0.0, 0
+            total, n, counted = 0, 0, key[0] >= CHUNKS
             for part in group:
                 for seen, cell in zip(part["seen"], part["change"]):
-                    total, n = total + seen * np.frombuffer(cell, np.float16).astype(np.float64), n + seen
-            yield pd.DataFrame({"chunk": [key[0]], "change": [(total / max(n, 1)).astype(np.float32).tobytes()]})
+                    total = total + (np.frombuffer(cell, np.int64) if counted else seen * np.frombuffer(cell, np.float16).astype(np.float64))
+                    n += seen
+            yield pd.DataFrame({"chunk": [key[0]], "change": [(total if counted else (total / max(n, 1)).astype(np.float32)).tobytes()]})
 
         share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == r) if rounds > 1 else docs
-        moved = share.mapInArrow(run, "chunk int, seen long, change binary").groupBy("chunk").applyInPandas(mean, "chunk int, change binary").collect()
+        moved = share.coalesce(TRAINERS).mapInArrow(run, "chunk int, seen long, change binary").groupBy("chunk").applyInPandas(mean, "chunk int, change binary").collect()
         if moved:
-            weights = weights + np.concatenate([np.frombuffer(m["change"], np.float32).reshape(-1, CLASSES) for m in sorted(moved, key=lambda m: m["chunk"])])
+            cells = [m["change"] for m in sorted(moved, key=lambda m: m["chunk"])]
+            weights = weights + np.concatenate([np.frombuffer(c, np.float32).reshape(-1, CLASSES) for c in cells[:CHUNKS]])
+            if heavy is not None and len(heavy.pairs):
+                heavy.counts += np.concatenate([np.frombuffer(c, np.int64) for c in cells[CHUNKS:]]).reshape(-1, CLASSES)
     return weights, bias
 
 
@@ -244,14 +343,23 @@ RARE = "array<struct<token:string,n:long>>"
 _RARE_TYPE = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
 
-def _score_head(docs: DataFrame, head: Head, shards: int) -> DataFrame:
+def heavy_scores(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log10 P(class | history) of every class after pairs of the given features and class counts."""
+    z = np.exp(_logits(weights, bias, features).astype(np.float64))
+    q = np.maximum(z / z.sum(axis=1, keepdims=True), 1e-30)
+    return np.log10(q + counts / prior) - np.log10(1 + counts.sum(axis=1, keepdims=True) / prior)
+
+
+def _score_head(docs: DataFrame, head: Head, shards: int, heavy: Heavy | None = None, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """A row per text: its sums over frequent tokens, and its rare tokens with their numbers; and a row per part of a
     batch and shard with the tokens of that shard's pairs, under the number of the part's first text. From rows
-    (doc_id, text, learn)."""
-    sent = docs.sparkSession.sparkContext.broadcast(head)
+    (doc_id, text, learn). With ``heavy`` and the ``model`` (weights, bias) the class part of tokens after heavy
+    pairs is in a text's sum, and these tokens are not dealt."""
+    sent = docs.sparkSession.sparkContext.broadcast((head, *((heavy, *model) if heavy is not None and len(heavy.pairs) else (None, None, None))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = sent.value
+        h, hot, weights, bias = sent.value
+        known, table = np.zeros(len(hot.pairs) if hot else 0, dtype=bool), np.zeros((len(hot.pairs) if hot else 0, CLASSES))
         number = TaskContext.get().partitionId() << 40
         for b in small_batches(batches, 2 << 20):
             t, n = tokens_of(b.column(1), h), b.num_rows
@@ -260,6 +368,17 @@ def _score_head(docs: DataFrame, head: Head, shards: int) -> DataFrame:
             base, model = np.zeros(len(target)), np.zeros(len(target))
             base[frequent] = np.log10((h.counts[t.head[frequent]] + 0.5) / h.base_total)
             model[frequent] = h.inside[t.head[frequent]]
+            light = np.ones(len(target), dtype=bool)
+            if hot:
+                which, at = hot.place(t.pair)
+                fresh, first = np.unique(at, return_index=True)
+                first, fresh = first[~known[fresh]], fresh[~known[fresh]]
+                for i in range(0, len(fresh), BATCH):  # a pair's features are those of any token after it
+                    some = fresh[i:i + BATCH]
+                    table[some] = heavy_scores(weights, bias, t.features[which[first[i:i + BATCH]]], hot.counts[some])
+                known[fresh] = True
+                model[which] += table[at, target[which]]
+                light[which] = False
             rare = np.flatnonzero(~frequent)
             # an end token is rare only if there is no head at all: it is then the word ""
             key = t.doc[rare] * (len(t.words) + 1) + t.word[rare] + 1
@@ -272,7 +391,7 @@ def _score_head(docs: DataFrame, head: Head, shards: int) -> DataFrame:
                      pa.array(np.bincount(t.doc, minlength=n), pa.int64()), pa.array(np.bincount(t.doc, frequent, minlength=n).astype(np.int64)),
                      pa.array(np.bincount(t.doc, base, minlength=n)), pa.array(np.bincount(t.doc, model, minlength=n)), cells]
             yield pa.RecordBatch.from_arrays([*texts, *[pa.nulls(n, pa.binary())] * 3], schema=_DEALT_TYPE)
-            dealt = _deal(t, target, np.asarray(b.column(2)), shards)
+            dealt = _deal(t, target, np.asarray(b.column(2)), shards, light)
             k = len(dealt[0])
             yield pa.RecordBatch.from_arrays([pa.array([number] * k, pa.int64()), pa.array(dealt[0], pa.int32()), *[pa.nulls(k, x.type) for x in texts[2:]],
                                               *[pa.array(x, pa.binary()) for x in dealt[1:]]], schema=_DEALT_TYPE)
@@ -285,14 +404,16 @@ _DEALT_TYPE = pa.schema([("row", pa.int64()), ("shard", pa.int32()), *_TEXT, ("d
 _SCORED_TYPE = pa.schema([("row", pa.int64()), *_TEXT, ("docs", pa.binary()), ("sums", pa.binary())])
 
 
-def _deal(t: Tokens, target: np.ndarray, learn: np.ndarray, shards: int) -> tuple[list, list, list, list]:
-    """The tokens by shard of their pair: shards; steps of text number; kinds 0 and 2 and class (32 bits); 15 bits of
+def _deal(t: Tokens, target: np.ndarray, learn: np.ndarray, shards: int, light: np.ndarray) -> tuple[list, list, list, list]:
+    """The ``light`` tokens by shard of their pair: shards; steps of text number; kinds 0 and 2 and class (32 bits); 15 bits of
     the pair, of which 13 are kind 1, and whether the token is learned from. With the shard this tells pairs apart."""
-    shard = ((t.pair >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+    light = np.flatnonzero(light)
+    pair, doc, features = t.pair[light], t.doc[light], np.take(t.features, light, axis=0)
+    shard = ((pair >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
-    low = (t.features[:, 0] << 19 | (t.features[:, 2] - 2 * BUCKETS) << 6 | target).astype("<u4")[order]
-    high = ((t.pair & np.uint64(0x7FFF)).astype(np.int64) << 1 | learn.astype(np.int64)[t.doc]).astype("<u2")[order]
-    docs, ends = t.doc[order], np.searchsorted(shard[order], np.arange(shards + 1))
+    low = (features[:, 0] << 19 | (features[:, 2] - 2 * BUCKETS) << 6 | target[light]).astype("<u4")[order]
+    high = ((pair & np.uint64(0x7FFF)).astype(np.int64) << 1 | learn.astype(np.int64)[doc]).astype("<u2")[order]
+    docs, ends = doc[order], np.searchsorted(shard[order], np.arange(shards + 1))
     some = [(k, i, j) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if i < j]
     return ([k for k, _, _ in some], [np.diff(docs[i:j], prepend=0).astype("<u4").tobytes() for _, i, j in some],
             [low[i:j].tobytes() for _, i, j in some], [high[i:j].tobytes() for _, i, j in some])
@@ -380,19 +501,22 @@ def _class_sums(scored: DataFrame) -> DataFrame:
 
 
 def scores(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD,
-           rounds: int | None = None) -> DataFrame:
+           rounds: int | None = None, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: a row per input
     row. base_score is log10 of an add-1/2 unigram model, score the log10
     probability by the maximum-entropy model; both learn from the rows where
-    ``learn`` (a condition on doc_id) holds."""
+    ``learn`` (a condition on doc_id) holds. ``heavy_share`` says which pairs are
+    heavy; it is no part of the result."""
     rows = id_text(docs, id_col, text_col)
     learning = rows.where(learn) if learn is not None else rows
-    counts = store(count_tokens(learning), "maxent-counts")
+    every = store(count_all(learning, heavy_share), "maxent-counts")
+    counts = only_tokens(every)
     head = make_head(counts, head_size)
-    weights, bias = fit(learning, head, rounds or rounds_for(head.tokens))
+    heavy = make_heavy(every, head.tokens, heavy_share)
+    weights, bias = fit(learning, head, rounds or rounds_for(head.tokens), heavy=heavy)
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), head.tokens // SHARD_TOKENS)
     marked = rows.withColumn("learn", F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True))
-    found = store(_score_pairs(_score_head(marked, head, tasks * SHARES), weights, bias, tasks), "maxent-scored")
+    found = store(_score_pairs(_score_head(marked, head, tasks * SHARES, heavy, (weights, bias)), weights, bias, tasks), "maxent-scored")
     scored, classes = found.where("docs is null").drop("docs", "sums"), _class_sums(found)
     floor = int(head.counts.min()) if len(head.counts) else 1 << 62
     rarer = counts.where(F.col("c") <= floor)  # words of the head never ask, so a few of them do no harm
