@@ -149,6 +149,10 @@ def test_rounds_follow_the_learning_tokens():
     assert [M.rounds_for(n) for n in (0, 1 << 24, 1 << 27, 1 << 33)] == [2, 2, 4, 10]
 
 
+def test_trainers_of_a_round_are_bounded():
+    assert [M.trainers_for(n, r, 8) for n, r in ((0, 2), (1 << 24, 2), (1 << 30, 7), (1 << 44, 21))] == [8, 8, 36, 4096]
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(0, .1, (M.KINDS * M.BUCKETS, M.CLASSES)).astype(np.float32), np.zeros(M.CLASSES, np.float32)

@@ -64,6 +64,7 @@ SHARD_TOKENS = 4_000_000  # tokens of the pairs that a task is meant for
 RATE = 0.15
 CHUNKS = 64         # pieces in which weights are averaged
 TRAINERS = 4096     # tasks of a training round at most: each gives back a change of all weights
+TRAINER_TOKENS = 1 << 22  # tokens that a trainer is meant for, where there are more than cores can take at once
 HEAVY_SHARE = 2.0 ** -14  # a pair that holds this share of the learning tokens is heavy (bounds their number)
 SLOTS = 1 << 20     # a first sieve for heavy pairs
 END = ""            # no word is empty, so this stands for the end token
@@ -291,6 +292,10 @@ def rounds_for(tokens: int) -> int:
     return max(ROUNDS, (tokens // ROUND_TOKENS).bit_length())
 
 
+def trainers_for(tokens: int, rounds: int, cores: int) -> int:
+    return min(TRAINERS, max(cores, tokens // (rounds * TRAINER_TOKENS)))
+
+
 def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = RATE, heavy: Heavy | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Class weights (KINDS x BUCKETS rows) and bias, from all rows (doc_id, text). Every row is in one round; so the
     rounds together count the tokens after ``heavy`` pairs, if given, by class."""
@@ -299,6 +304,7 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = RATE, h
     mass[CLASSES - 1] += max(0.0, head.tokens - mass.sum())
     bias = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES)).astype(np.float32)
     weights = np.zeros((KINDS * BUCKETS, CLASSES), dtype=np.float32)
+    trainers = trainers_for(head.tokens, rounds, spark.sparkContext.defaultParallelism)
     sent_head = spark.sparkContext.broadcast((head, Heavy(heavy.pairs, heavy.counts[:0]) if heavy is not None and len(heavy.pairs) else None))
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((weights, bias))
@@ -330,7 +336,7 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = RATE, h
             yield pd.DataFrame({"chunk": [key[0]], "change": [(total if counted else (total / max(n, 1)).astype(np.float32)).tobytes()]})
 
         share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == r) if rounds > 1 else docs
-        moved = share.coalesce(TRAINERS).mapInArrow(run, "chunk int, seen long, change binary").groupBy("chunk").applyInPandas(mean, "chunk int, change binary").collect()
+        moved = share.coalesce(trainers).mapInArrow(run, "chunk int, seen long, change binary").groupBy("chunk").applyInPandas(mean, "chunk int, change binary").collect()
         if moved:
             cells = [m["change"] for m in sorted(moved, key=lambda m: m["chunk"])]
             weights = weights + np.concatenate([np.frombuffer(c, np.float32).reshape(-1, CLASSES) for c in cells[:CHUNKS]])
