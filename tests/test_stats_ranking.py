@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 
@@ -62,3 +63,24 @@ def test_no_percentile_buffer_in_plans(spark):
     for name in ("eda_median_split", "ml_precision_top_decile_rule", "ml_decile_lift_rule"):
         plan = E.queries()[name](spark, SF0001)._jdf.queryExecution().executedPlan().toString().lower()
         assert "percentile" not in plan and "median(" not in plan
+
+
+def test_recent_events_from_the_rollup_keep_the_instant(spark):
+    """Whole days come from the rollup, the bound's own day is cut at the time of the latest event."""
+    from types import SimpleNamespace
+
+    from tidemark.operators import features
+    from tidemark.plans.queries_analysis import _recent_events
+    start = dt.datetime(2001, 5, 1)
+    rows = [(f"c{i % 7}", start + dt.timedelta(hours=5 * i % 2300, minutes=i % 60), "login") for i in range(900)]
+    rows += [("c0", None, "login"), ("c9", start, "login")]
+    events = spark.createDataFrame(rows, "customer_id string, timestamp timestamp, event_type string")
+    for some in (events, events.where("customer_id = 'c9'"), events.where("customer_id = 'none'")):
+        got = {r["customer_id"]: r["v"] for r in _recent_events(SimpleNamespace(usage_events=some, event_days=features.event_days(some, "timestamp"))).collect()}
+        kept = [(r["customer_id"], r["timestamp"]) for r in some.collect() if r["timestamp"] is not None]
+        latest = max((at for _, at in kept), default=None)
+        want = {}
+        for c, at in kept:
+            if at >= latest - dt.timedelta(days=30):
+                want[c] = want.get(c, 0) + 1
+        assert got == want

@@ -192,20 +192,35 @@ def _t(name: str) -> str:
     return with_ctes(OT.TESTS[name], OT.TEST_CTES)
 
 
+def _events_of(days, event_type):
+    return days.where(F.col("event_type") == event_type).groupBy("customer_id").agg(F.sum("n").alias("v"))
+
+
+def _recent_events(w, n_days=30):
+    """customer_id, v: events of the last ``n_days`` to the instant of the latest one. Whole days come from the
+    rollup; raw events are read of two days only, the last one (for that instant) and the one the bound falls in."""
+    e, days = w.usage_events, w.event_days
+    last = days.agg(F.max("day")).first()[0]  # single values, so that the filters reach the scans
+    if last is None:
+        return days.groupBy("customer_id").agg(F.sum("n").alias("v"))
+    latest = e.where(F.col("timestamp") >= F.lit(last).cast("timestamp")).agg(F.max("timestamp")).first()[0]
+    bound, day = F.lit(latest) - F.expr(f"INTERVAL {n_days} DAYS"), last - _dt.timedelta(days=n_days)
+    edge = e.where((F.col("timestamp") >= bound) & (F.col("timestamp") < F.lit(day + _dt.timedelta(days=1)).cast("timestamp")))
+    return days.where(F.col("day") > F.lit(day)).select("customer_id", "n").unionByName(
+        edge.select("customer_id", F.lit(1).cast("long").alias("n"))).groupBy("customer_id").agg(F.sum("n").alias("v"))
+
+
 def _mw_frames(s, d):
     w = wh(s, d)
-    c, e = w.customers, w.usage_events
-    latest = e.agg(F.max("timestamp")).first()[0]  # one number, so that the filter reaches the scan
-    recent = e.where(F.col("timestamp") >= F.lit(latest) - F.expr("INTERVAL 30 DAYS")).groupBy("customer_id").agg(F.count(F.lit(1)).alias("v"))
+    c, days = w.customers, w.event_days
+    recent = _recent_events(w)
     ev30 = c.select("customer_id", F.col("churn_date").isNotNull().alias("g")).join(recent, "customer_id", "left") \
         .select("g", F.coalesce("v", F.lit(0)).alias("v"))
     asof = lit_date(K.ORDERS_AS_OF)
-    trials = e.where((F.col("event_type") == "premium_feature_trial")
-                     & (F.to_date("timestamp") >= F.date_sub(asof, 30))).groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("v"))
+    trials = _events_of(days.where(F.col("day") >= F.date_sub(asof, 30)), "premium_feature_trial")
     tr = c.where(F.col("churn_date").isNull()).select("customer_id", F.col("upgrade_date").isNotNull().alias("g")) \
         .join(trials, "customer_id", "left").select("g", F.coalesce("v", F.lit(0)).alias("v"))
-    lim = e.where(F.col("event_type") == "feature_limit_hit").groupBy("customer_id").agg(F.count(F.lit(1)).alias("v"))
+    lim = _events_of(days, "feature_limit_hit")
     li = c.where(F.col("plan_tier") == "free").select("customer_id", F.col("upgrade_date").isNotNull().alias("g")) \
         .join(lim, "customer_id", "left").select("g", F.coalesce("v", F.lit(0)).alias("v"))
     return ev30, tr, li
@@ -221,8 +236,7 @@ def _mw_stats(s, d):
 def _t_frames(s, d):
     w = wh(s, d)
     c = w.customers
-    integ = w.usage_events.where(F.col("event_type") == "integration_connect").groupBy("customer_id") \
-        .agg(F.count(F.lit(1)).alias("v"))
+    integ = _events_of(w.event_days, "integration_connect")
     a = c.select("customer_id", F.col("churn_date").isNull().alias("g")).join(integ, "customer_id", "left") \
         .select("g", F.coalesce("v", F.lit(0)).alias("v"))
     hp = w.support_tickets.where(F.col("priority").isin(*K.HIGH_PRIORITIES)).groupBy("customer_id") \
