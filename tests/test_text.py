@@ -76,3 +76,21 @@ def test_a_row_allows_its_own_features(spark):
     df = spark.createDataFrame([("sso_login_count rose", ["sso_login_count"]), ("sso_login_count rose", ["other_signal"]), ("sso_login_count rose", None)], "t string, own array<string>")
     got = [r[0] for r in df.select(F.size(TX.expansion_brief_flags(F.col("t"), F.col("own")))).collect()]
     assert got == [0, 1, 1]
+
+
+def test_a_text_is_scanned_once_for_its_tokens(spark):
+    """The count of flags reads the flags: one scan a text, and none where it has no underscore."""
+    df = spark.createDataFrame([("made_up_feature (other_fake_thing), no__pe x_",), ("plain words",), (None,)], "text string")
+    g = TX.churn_brief_guardrails(df, "text").select("flags", "n_flags")
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [(r[0], r[1]) for r in g.collect()] == [
+        (["hallucinated_feature:made_up_feature", "hallucinated_feature:other_fake_thing"], 2), ([], 0), (None, None)]
+
+
+def test_strip_compares_only_the_ends(spark):
+    """No pattern runs over the whole text, and every kind of Python whitespace goes."""
+    every = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+    df = spark.createDataFrame([(every + "a b" + every,), (every,), ("",), (None,), ("a\x00 ",)], "t string")
+    got = df.select(TX.py_strip(F.col("t")).alias("s"))
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r[0] for r in got.collect()] == ["a b", "", "", None, "a\x00"]
