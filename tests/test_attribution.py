@@ -59,3 +59,47 @@ def test_two_saved_models_are_not_mixed_up(spark, tmp_path):
             assert got.first()["feature"] == feature
             del model
             gc.collect()
+
+
+def _plain_contributions(x, leaves, n_features):
+    phi, base = np.zeros((x.shape[0], n_features)), 0.0
+    for leaf in leaves:
+        base += leaf["base"]
+        for row in range(x.shape[0]):
+            ok = {f: all((x[row, g] <= t) == left for g, t, left, _ in leaf["path"] if g == f) for f in leaf["feats"]}
+            at = sum(int(ok[f]) << k for k, f in enumerate(leaf["feats"]))
+            for k, f in enumerate(leaf["feats"]):
+                phi[row, f] += leaf["table"][at, k]
+    return phi, base
+
+
+def test_a_split_is_compared_once_a_batch():
+    """Same contributions, bit for bit, as leaf by leaf and row by row; a threshold that
+    many leaves share is compared with its column once."""
+    rng = np.random.default_rng(4)
+
+    def tree(depth, cover):
+        nodes = []
+
+        def walk(d, c):
+            at = len(nodes)
+            nodes.append({"value": float(rng.normal()), "cover": c, "feature": -1})
+            if d:
+                nodes[at].update(feature=int(rng.integers(4)), threshold=float(rng.integers(-2, 3)) / 2)
+                nodes[at]["left"], nodes[at]["right"] = walk(d - 1, c * 0.25), walk(d - 1, c * 0.75)
+            return at
+        walk(depth, cover)
+        return nodes
+    leaves = [x for d in (0, 1, 5, 5, 5) for x in AT._leaf_tables(tree(d, 64.0), 0.3)]
+    x = rng.normal(size=(50, 4))
+    x[3, 2] = np.nan
+    compared = []
+
+    class Columns(np.ndarray):
+        def __le__(self, other):
+            compared.append(float(other))
+            return np.asarray(self) <= other
+    got, base = AT._contributions(x.view(Columns), leaves, 4)
+    want, want_base = _plain_contributions(x, leaves, 4)
+    assert np.array_equal(np.asarray(got), want) and base == want_base
+    assert len(compared) <= 4 * 5  # features x thresholds, not one a leaf and path step

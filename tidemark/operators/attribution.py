@@ -157,24 +157,33 @@ def explain_tables(gbt_model, saved_dir: str | None = None) -> list:
 
 
 def _contributions(x: np.ndarray, leaves: list, n_features: int) -> tuple[np.ndarray, float]:
-    phi = np.zeros((x.shape[0], n_features))
+    """Contributions (rows x features) and the base value. Splits are few (a bounded number
+    of thresholds a feature, shared by all trees), so each is compared once a batch; what
+    a leaf then does is on contiguous columns: bytes for its pattern, one gather a feature."""
+    rows = x.shape[0]
+    columns = np.ascontiguousarray(x.T)
+    goes_left: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
+    phi = np.zeros((n_features, rows))
     base = 0.0
     for leaf in leaves:
         base += leaf["base"]
         feats = leaf["feats"]
         if not feats:
             continue
-        bits = {f: np.ones(x.shape[0], dtype=bool) for f in feats}
+        bits: dict[int, np.ndarray] = {}
         for f, thr, left, _ in leaf["path"]:
-            go_left = x[:, f] <= thr  # NaN goes right, as in Spark
-            bits[f] &= go_left if left else ~go_left
-        pattern = np.zeros(x.shape[0], dtype=np.int64)
+            if (f, thr) not in goes_left:
+                below = columns[f] <= thr  # NaN goes right, as in Spark
+                goes_left[f, thr] = (below, ~below)
+            side = goes_left[f, thr][0 if left else 1]
+            bits[f] = bits[f] & side if f in bits else side
+        pattern = np.zeros(rows, dtype=np.uint8 if len(feats) <= 8 else np.int64)
         for k, f in enumerate(feats):
-            pattern |= bits[f].astype(np.int64) << k
-        vals = leaf["table"][pattern]  # rows x m
+            pattern |= bits[f].astype(pattern.dtype) << pattern.dtype.type(k)
+        at = pattern.astype(np.intp)
         for k, f in enumerate(feats):
-            phi[:, f] += vals[:, k]
-    return phi, base
+            phi[f] += np.ascontiguousarray(leaf["table"][:, k]).take(at)
+    return np.ascontiguousarray(phi.T), base
 
 
 def attribute(scored_frame: DataFrame, gbt_model, names: list[str], top_k: int = 5,
@@ -183,7 +192,8 @@ def attribute(scored_frame: DataFrame, gbt_model, names: list[str], top_k: int =
     spark = scored_frame.sparkSession
     bc = spark.sparkContext.broadcast(explain_tables(gbt_model, saved_dir))  # bounded by model size
     n = len(names)
-    data = scored_frame.select("customer_id", vector_to_array("features").alias("x"))
+    # a mart is few files, but thousands of leaves a row are work for all cores
+    data = scored_frame.select("customer_id", vector_to_array("features").alias("x")).repartition("customer_id")
     schema = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("base_value", T.DoubleType()),
                            T.StructField("margin", T.DoubleType()),
                            T.StructField("contributions", T.ArrayType(T.DoubleType()))])
