@@ -49,3 +49,19 @@ def test_auc_matches_pairs(spark):
     pairs = [(a > b) + 0.5 * (a == b) for a, u in zip(s, y) if u for b, v in zip(s, y) if not v]
     got = MT.auc(spark.createDataFrame([(f"c{i}", float(a), int(b)) for i, (a, b) in enumerate(zip(s, y))], "customer_id string, score double, label int")).first()
     assert abs(got["auc"] - np.mean(pairs)) < 1e-8
+
+
+def test_fit_tasks_follow_the_cores():
+    """Tasks of a tree level are those that the cores take, not one for each so many rows."""
+    assert MD.fit_partitions(13_000, 12, 6) == 1  # small data: one task, as ever
+    assert MD.fit_partitions(530_000, 12, 6) == 4
+    assert MD.fit_partitions(3_200_000, 12, 6) == 4
+    assert MD.fit_partitions(3_200_000, 600, 6) == 33  # no tiny tasks
+    assert MD.fit_partitions(100_000_000, 12, 6) == 51  # nor boundless ones
+
+
+def test_scoring_takes_all_cores(spark, frame, tmp_path):
+    """Rows of few files are dealt out before the trees are evaluated."""
+    model = MD.fit_calibrated(frame, dict(SMALL, maxIter=1), k=2)
+    plan = model.predict(frame.coalesce(1)).select("customer_id", "probability_calibrated")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [customer_id" in plan

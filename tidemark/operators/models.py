@@ -33,7 +33,7 @@ from tidemark.session import ensure_checkpoint_dir
 GBT_PARAMS = dict(maxIter=300, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                   seed=K.RANDOM_SEED)
 N_FOLDS = 5
-ROWS_PER_TASK = 20_000
+MIN_ROWS_PER_TASK, MAX_ROWS_PER_TASK = 100_000, 2_000_000
 CHURN_GATES = {"auc_min": 0.80, "brier_max": 0.15}
 EXPANSION_GATES = {"auc_min": 0.75, "brier_max": 0.10}
 PROMOTION_AUC = 0.80
@@ -89,7 +89,7 @@ class CalibratedGBT:
 
     def predict(self, df: DataFrame, out: str = "probability_calibrated") -> DataFrame:
         cols = []
-        cur = df
+        cur = df.repartition("customer_id")  # a mart is few files, but 1,500 trees a row are work for all cores
         for i, (g, iso) in enumerate(self.pairs):
             cur = _prob(g, cur, f"_raw{i}")
             cur = iso.setFeaturesCol(f"_raw{i}").setPredictionCol(f"_cal{i}").transform(cur)
@@ -112,11 +112,20 @@ class CalibratedGBT:
                      IsotonicRegressionModel.load(f"{path}/fold{i}/iso")) for i in range(k)], path)
 
 
+def fit_partitions(rows: int, cores: int, fits: int) -> int:
+    """Partitions of the training rows. A level of a tree is a job of two stages, 1,500 of
+    them a fit, so the tasks are as many as the cores can take at once from all fits that
+    run side by side, twice over; more would only add task starts. Rows bound it on
+    either side: no tiny tasks, and none that grows without end."""
+    wanted = min(rows // MIN_ROWS_PER_TASK + 1, -(-2 * cores // fits))
+    return max(1, wanted, rows // MAX_ROWS_PER_TASK + 1)
+
+
 def fit_calibrated(train: DataFrame, params: dict | None = None, k: int = N_FOLDS) -> CalibratedGBT:
     params = params or GBT_PARAMS
     data = folds(with_class_weight(train)).select("customer_id", "features", "label", "weight", "fold")
-    # a tree level is a job: small data in many partitions spends its time starting tasks
-    n = max(1, min(data.rdd.getNumPartitions(), data.count() // ROWS_PER_TASK + 1))
+    n = fit_partitions(data.count(), train.sparkSession.sparkContext.defaultParallelism, k + 1)
+    n = min(data.rdd.getNumPartitions(), n)
     data = data.coalesce(n).checkpoint(eager=True)  # cut lineage once; six fits read it concurrently
 
     def gbt() -> GBTClassifier:
