@@ -64,3 +64,28 @@ def test_stored_rollup_is_pruned_by_day(spark):
     w = warehouse(spark, SF0001, K.ORDERS_AS_OF)
     plan = risk.usage_decay(w.customers, w.event_days, K.ORDERS_AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(day" in plan
+
+
+def test_a_table_of_customers_is_not_broadcast_by_its_size(spark, tmp_path):
+    """Files under Spark's own 10 MB may hold very many rows: such a table is shuffled,
+    in every registered query; a mark in the code still broadcasts."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import catalog
+    for name in ("left", "right"):
+        spark.range(400_000).select(F.md5(F.col("id").cast("string")).substr(1, 16).alias("customer_id"), F.lit(name).alias(name)).coalesce(1).write.parquet(str(tmp_path / name))
+
+    def plan(s, d, hint=lambda df: df):
+        left, right = s.read.parquet(f"{d}/left"), s.read.parquet(f"{d}/right")
+        return left.join(hint(right), "customer_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        shuffled = catalog.register("_join")(plan)(spark, str(tmp_path))
+        marked = catalog.register("_marked")(lambda s, d: plan(s, d, F.broadcast))(spark, str(tmp_path))
+        assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in marked._jdf.queryExecution().executedPlan().toString()
+        assert shuffled.count() == 400_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        catalog.QUERIES.pop("_join", None), catalog.QUERIES.pop("_marked", None)

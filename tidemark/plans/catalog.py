@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import constants as K
 from tidemark.plans.warehouse import warehouse
-from tidemark.session import apply_query_settings
+from tidemark.session import apply_query_settings, bound_broadcasts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -39,6 +39,7 @@ def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_query_settings(spark)
+            bound_broadcasts(spark)
             return normalise(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -104,3 +104,14 @@ def apply_query_settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
+#: Spark sends a table to the driver and on to every executor if its files look smaller than this.
+#: Files count compressed, so Spark's own 10 MB may be a table of millions of customers.
+SMALL_TABLE_BYTES = 1 << 20
+
+
+def bound_broadcasts(spark: SparkSession) -> None:
+    """Only tables that are small whatever the input are broadcast by their size; a table
+    of customers is shuffled. Explicit ``broadcast()`` marks stay."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(SMALL_TABLE_BYTES))
