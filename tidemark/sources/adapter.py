@@ -5,8 +5,9 @@ The mapping is deterministic (see FIXTURES.md §4). Design for scale:
 * customers: one ``groupBy(o_custkey)`` over orders (partial aggregation makes
   a hot customer cheap), then one equi-join with ``customer`` on the same key.
   Nothing is broadcast unless AQE measures it under the threshold.
-* usage_events: lineitem ⋈ orders on orderkey, then ⋈ customers on custkey.
-  Both are shuffle joins at scale; AQE splits skewed customer partitions.
+* usage_events: orders ⋈ customers on custkey, then lineitem ⋈ these on orderkey.
+  Both are shuffle joins at scale. The lines are shuffled once and by order, so a
+  customer with many of them is spread; AQE splits a skewed customer's orders.
 * every date filter (``< as_of``) is a plain comparison on the scan column so
   it reaches the parquet reader as a pushed filter.
 """
@@ -80,10 +81,9 @@ def usage_events(spark: SparkSession, sf_dir: str, custs: DataFrame,
     li = (read_table(spark, sf_dir, "lineitem")
           .where(F.col("l_shipdate") < _ts(as_of))
           .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"))
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
-    j = j.withColumn("_cid", F.col("o_custkey").cast("string"))
-    j = j.join(_customer_bounds(custs), "_cid", "inner")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("_cid"))
+    owned = orders.join(_customer_bounds(custs), "_cid", "inner")
+    j = li.join(owned, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
     d = compress_date(F.col("l_shipdate"), as_of)
     j = j.withColumn("_d", d).where(_within_life(F.col("_d")))
     types = F.array(*[F.lit(t) for t in K.EVENT_TYPES])
