@@ -9,13 +9,15 @@
   the other folds plus isotonic regression on the held-out fold; the
   calibrated probability is the mean of the five. The six fits (five folds +
   the uncalibrated full model) are submitted concurrently from a thread pool
-  (independent Spark jobs), and the fitted models are saved under the shared
-  checkpoint folder so scoring jobs load them instead of refitting.
+  (independent Spark jobs, each a long task: ``boosting``), and the fitted models
+  are saved under the shared checkpoint folder so scoring jobs load them instead
+  of refitting.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
@@ -27,13 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.operators import boosting
+from tidemark.session import ensure_checkpoint_dir, shared_root, ship_package
 
 # fixed values: GBT hyper-parameters and gates
 GBT_PARAMS = dict(maxIter=300, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
                   seed=K.RANDOM_SEED)
 N_FOLDS = 5
 MIN_ROWS_PER_TASK, MAX_ROWS_PER_TASK = 100_000, 2_000_000
+# seconds of a tree level: a row in a task of ours, a row in Spark's fit on one core, the jobs of a level of six fits
+TASK_ROW_S, JOB_ROW_S, JOB_S = 7e-8, 5e-7, 0.1
 CHURN_GATES = {"auc_min": 0.80, "brier_max": 0.15}
 EXPANSION_GATES = {"auc_min": 0.75, "brier_max": 0.10}
 PROMOTION_AUC = 0.80
@@ -107,9 +112,11 @@ class CalibratedGBT:
 
     @classmethod
     def load(cls, path: str, k: int = N_FOLDS) -> "CalibratedGBT":
-        return cls(GBTClassificationModel.load(f"{path}/full"),
-                   [(GBTClassificationModel.load(f"{path}/fold{i}/gbt"),
-                     IsotonicRegressionModel.load(f"{path}/fold{i}/iso")) for i in range(k)], path)
+        with ThreadPoolExecutor(max_workers=k + 1) as pool:  # each model is a few small jobs
+            full = pool.submit(GBTClassificationModel.load, f"{path}/full")
+            gbts = [pool.submit(GBTClassificationModel.load, f"{path}/fold{i}/gbt") for i in range(k)]
+            isos = [pool.submit(IsotonicRegressionModel.load, f"{path}/fold{i}/iso") for i in range(k)]
+            return cls(full.result(), [(g.result(), iso.result()) for g, iso in zip(gbts, isos)], path)
 
 
 def fit_partitions(rows: int, cores: int, fits: int) -> int:
@@ -121,33 +128,60 @@ def fit_partitions(rows: int, cores: int, fits: int) -> int:
     return max(1, wanted, rows // MAX_ROWS_PER_TASK + 1)
 
 
-def fit_calibrated(train: DataFrame, params: dict | None = None, k: int = N_FOLDS) -> CalibratedGBT:
+def grown_in_tasks(rows: int, cores: int, fits: int) -> bool:
+    """Whether a task for each fit is sooner done than Spark's jobs for each tree level, which
+    deal the rows to all cores: so it is but on very many cores. Both give the same trees."""
+    return rows * TASK_ROW_S <= JOB_S + rows * JOB_ROW_S * fits / cores
+
+
+def fit_calibrated(train: DataFrame, params: dict | None = None, k: int = N_FOLDS, path: str | None = None) -> CalibratedGBT:
+    """The ensemble, which is also saved under ``path`` if that is given."""
+    from tidemark.plans.warehouse import drop
     params = params or GBT_PARAMS
+    spark = train.sparkSession
+    ship_package(spark)
     data = folds(with_class_weight(train)).select("customer_id", "features", "label", "weight", "fold")
-    n = fit_partitions(data.count(), train.sparkSession.sparkContext.defaultParallelism, k + 1)
-    n = min(data.rdd.getNumPartitions(), n)
-    data = data.coalesce(n).checkpoint(eager=True)  # cut lineage once; six fits read it concurrently
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).first()
+    cores = spark.sparkContext.defaultParallelism
+    n = min(data.rdd.getNumPartitions(), fit_partitions(size["n"], cores, k + 1))
+    # cut lineage once; six fits read it concurrently
+    data = data.coalesce(n).withColumn("part", F.spark_partition_id()).checkpoint(eager=True)
+    # without a negative row all weights are 0: left to Spark
+    in_tasks = grown_in_tasks(size["n"], cores, k + 1) and (size["least"] or 0) > 0
+    ensure_checkpoint_dir(spark)
+    root = path or f"{shared_root(spark)}/tidemark-models/fit-{uuid.uuid4().hex}"
 
-    def gbt() -> GBTClassifier:
-        return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **params)
+    def fit(rows: DataFrame, at: str) -> GBTClassificationModel:
+        gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **params)
+        if in_tasks:
+            return boosting.fit(rows, gbt, at)
+        model = gbt.fit(rows)
+        if path:
+            model.write().overwrite().save(at)
+        return model
 
     def fit_fold(i: int):
         tr, ho = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
-        g = gbt().fit(tr)
+        g = fit(tr, f"{root}/fold{i}/gbt")
         scored = _prob(g, ho, "raw")
         iso = IsotonicRegression(featuresCol="raw", labelCol="label", isotonic=True).fit(scored)
+        if path:
+            iso.write().overwrite().save(f"{root}/fold{i}/iso")
         return g, iso
 
-    with ThreadPoolExecutor(max_workers=k + 1) as pool:
-        full_f = pool.submit(lambda: gbt().fit(data))
-        fold_f = [pool.submit(fit_fold, i) for i in range(k)]
-        pairs = [f.result() for f in fold_f]
-        full = full_f.result()
-    return CalibratedGBT(full, pairs)
+    try:
+        with ThreadPoolExecutor(max_workers=k + 1) as pool:
+            full_f = pool.submit(fit, data, f"{root}/full")
+            fold_f = [pool.submit(fit_fold, i) for i in range(k)]
+            pairs = [f.result() for f in fold_f]
+            full = full_f.result()
+    finally:
+        if not path:
+            drop(spark, root)  # the models are in the driver now
+    return CalibratedGBT(full, pairs, path)
 
 
 def model_path(spark: SparkSession, key: str) -> str:
-    from tidemark.session import shared_root
     ensure_checkpoint_dir(spark)
     return f"{shared_root(spark)}/tidemark-models/{key}"
 
@@ -161,24 +195,29 @@ _FIT_LOCKS: dict[str, threading.Lock] = {}
 _FIT_GUARD = threading.Lock()
 
 
+_LOADED: dict[str, CalibratedGBT] = {}  # by path, which names inputs and code; a model is some 20 MB
+
+
 def fit_or_load(spark: SparkSession, key: str, train_fn) -> CalibratedGBT:
     """Load the saved ensemble, or fit and save it (one fitter per key even when
-    queries run concurrently)."""
+    queries run concurrently). Loading takes seconds, so it is done once."""
     path = model_path(spark, key)
     with _FIT_GUARD:
         lock = _FIT_LOCKS.setdefault(path, threading.Lock())
     with lock:
-        if _exists(spark, f"{path}/_DONE"):
-            return CalibratedGBT.load(path)
-        from tidemark.plans.warehouse import publish
-        m = fit_calibrated(train_fn())
-
-        def write(tmp: str) -> None:
-            m.save(tmp)
-            spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{tmp}/_DONE")
-
-        publish(spark, write, path, marker="_DONE")
-        return CalibratedGBT.load(path)
+        if not _exists(spark, f"{path}/_DONE"):
+            from tidemark.plans.warehouse import publish
+
+            def write(tmp: str) -> None:
+                _LOADED[path] = fit_calibrated(train_fn(), path=tmp)
+                spark.createDataFrame([(1,)], "done int").write.mode("overwrite").parquet(f"{tmp}/_DONE")
+
+            _LOADED.pop(path, None)
+            publish(spark, write, path, marker="_DONE")
+            _LOADED[path].path = path
+        if path not in _LOADED:
+            _LOADED[path] = CalibratedGBT.load(path)
+        return _LOADED[path]
 
 
 def feature_importance(model: CalibratedGBT, names: list[str]) -> DataFrame:

@@ -75,7 +75,7 @@ register("ml_standardise", _m("ml_standardise"))(_standardised)
 def _key(s, d, name):
     """Models are keyed by the warehouse (inputs + as_of + layout) and the split."""
     from tidemark.plans.warehouse import code_fingerprint
-    code = code_fingerprint(["operators/models.py", "plans/queries_models.py"])
+    code = code_fingerprint(["operators/boosting.py", "operators/models.py", "plans/queries_models.py"])
     return f"{name}-{wh(s, d).key}-{K.ORDERS_TRAIN_CUTOFF.isoformat()}-{code}"
 
 

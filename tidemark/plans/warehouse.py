@@ -36,6 +36,12 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate results."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as a full URI: whatever store it is in, and however it is spelled."""
     p, fs = _fs(spark, path)
