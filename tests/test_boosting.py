@@ -41,12 +41,13 @@ def test_trees_are_those_of_spark(spark, tmp_path, n, parts, more):
 
 
 def test_blocks_and_mapped_rows_change_no_tree(tmp_path, monkeypatch):
-    """More rows than are held in memory, in several blocks: the same trees but for the rounding of sums."""
+    """More rows than are held in memory, in several blocks, with siblings' sums by difference: the same
+    trees but for the rounding of sums."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 4))
     table = [(float(v), 2.0 if v else 1.0, list(r)) for r, v in zip(x, x[:, 0] + rng.normal(size=900) > 0.5)]
     thresholds = [np.linspace(-2, 2, 31)] * 4
-    spec = dict(thresholds=thresholds, per_node=3, depth=3, trees=5, seed=7, rate=0.8, step=0.1)
+    spec = dict(thresholds=thresholds, per_node=3, depth=4, trees=5, seed=7, rate=0.8, step=0.1)
 
     def grow(block, held):
         import pyarrow as pa
@@ -57,7 +58,8 @@ def test_blocks_and_mapped_rows_change_no_tree(tmp_path, monkeypatch):
         parts = B._read(iter(batches), thresholds, str(tmp_path))
         assert [b.n for b in parts[0]] == [min(block, 900 - lo) for lo in range(0, 900, block)]
         trees = list(B._boost(parts, spec))
-        return [(t.feature, t.bin, t.left, t.right, t.count) for t in trees], np.concatenate([t.value for t in trees])
+        numbers = [np.array([[v, g, i, *st] for v, g, i, st in zip(t.value, t.gain, t.impurity, t.stats)]) for t in trees]
+        return [(t.feature, t.bin, t.left, t.right, t.count) for t in trees], np.concatenate(numbers)
 
     whole, cut = grow(1000, 10_000), grow(128, 256)
     assert whole[0] == cut[0] and np.allclose(whole[1], cut[1], rtol=1e-9, atol=1e-12)
