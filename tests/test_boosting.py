@@ -49,19 +49,18 @@ def test_blocks_and_mapped_rows_change_no_tree(tmp_path, monkeypatch):
     thresholds = [np.linspace(-2, 2, 31)] * 4
     spec = dict(thresholds=thresholds, per_node=3, depth=4, trees=5, seed=7, rate=0.8, step=0.1)
 
-    def grow(block, held):
+    def grow(exact, block, held):
         import pyarrow as pa
-        monkeypatch.setattr(B, "BLOCK_ROWS", block)
         monkeypatch.setattr(B, "ROWS_IN_MEMORY", held)
         batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(t), pa.int32()), pa.array([r[0] for r in t]), pa.array([r[1] for r in t]),
                                                pa.array([r[2] for r in t], pa.list_(pa.float64()))], names=list("pywx")) for t in (table[:250], [], table[250:])]
-        parts = B._read(iter(batches), thresholds, str(tmp_path))
+        parts = B._read(iter(batches), thresholds, str(tmp_path), block)
         assert [b.n for b in parts[0]] == [min(block, 900 - lo) for lo in range(0, 900, block)]
-        trees = list(B._boost(parts, spec))
+        trees = list(B._boost(parts, dict(spec, exact=exact)))
         numbers = [np.array([[v, g, i, *st] for v, g, i, st in zip(t.value, t.gain, t.impurity, t.stats)]) for t in trees]
         return [(t.feature, t.bin, t.left, t.right, t.count) for t in trees], np.concatenate(numbers)
 
-    whole, cut = grow(1000, 10_000), grow(128, 256)
+    whole, cut = grow(True, 1000, 10_000), grow(False, 128, 256)
     assert whole[0] == cut[0] and np.allclose(whole[1], cut[1], rtol=1e-9, atol=1e-12)
     assert any(tmp_path.iterdir())  # rows were mapped to files
 
